@@ -33,8 +33,7 @@ TEMPLATES = (
 )
 #: Phrases whose places are always counted, and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Words too common to post; templates hold them as free places unless a
-#: mandatory phrase names them.
+#: Words too common to post: templates and phrases hold them as free places.
 COMMON = frozenset("the a an is are of to and or in into any this with without for under by all as no use 0".split())
 
 
@@ -48,7 +47,7 @@ def _parts() -> tuple[list[tuple], list[str]]:
             p = phrase.split()
             at = next(i for i in range(len(terms)) if terms[i : i + len(p)] == p)
             must |= set(range(at, at + len(p)))
-        rows += [(t, label, i, w, i in must) for i, w in enumerate(terms) if i in must or w not in COMMON]
+        rows += [(t, label, i, w, i in must) for i, w in enumerate(terms) if w not in COMMON]
     posted |= {r[3] for r in rows}
     return rows, sorted(posted)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontamination, licenses, mixing, secrets, sharding
+from skein.llm import decontamination, jaccard, licenses, mixing, secrets, sharding, topk
 from skein.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best products of every fiftieth vector (topk.top_inner_products)."""
+    return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document (decontamination.find_passages)."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -51,6 +56,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleaved_shards(docs).drop("text")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents (jaccard.near_duplicates)."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes from every document (mixing.mix)."""
     docs = table(spark, sf_dir, "documents").select(
@@ -63,9 +73,36 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op2_license_scan, op5_benchmark_decontamination, op6_secret_scan, op7_sharding, op9_source_mixing)
+        for f in (
+            op2_license_scan,
+            op3_exact_top_k,
+            op5_benchmark_decontamination,
+            op6_secret_scan,
+            op7_sharding,
+            op8_ngram_jaccard_join,
+            op9_source_mixing,
+        )
     }
 
 
+#: The same rows in DuckDB, for the operators that SQL can express.
+TOP_K_SQL = """
+WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id <> b.vec_id
+  WHERE a.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_top_k": TOP_K_SQL}

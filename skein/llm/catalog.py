@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontamination, jaccard, licenses, mixing, secrets, sharding, topk
+from skein.llm import decontamination, jaccard, licenses, mixing, quality, secrets, sharding, topk, toxicity
 from skein.llm.common import table
+from skein.llm.labels import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document (toxicity.toxicity)."""
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return _judged(scored, folds=5, held_out=0)
+
+
+def _judged(scored: DataFrame, *, folds: int, held_out: int) -> DataFrame:
+    more = [c for c in scored.columns if c not in ("doc_id", "score")]
+    return scored.select(
+        "doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *more
+    )
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices of every document (licenses.scan_licenses)."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -23,6 +37,13 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document (quality.score_quality)."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+    return _judged(scored, folds=3, held_out=1)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document (decontamination.find_passages)."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -74,8 +95,10 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
+            op1_toxicity,
             op2_license_scan,
             op3_exact_top_k,
+            op4_quality_classifier,
             op5_benchmark_decontamination,
             op6_secret_scan,
             op7_sharding,

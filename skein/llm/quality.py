@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from skein.llm.labels import labelled_sample
 from skein.llm.shingles import word_hashes
@@ -145,21 +146,24 @@ def _counted(batches: Iterator[pa.RecordBatch], block: int = 128) -> Iterator[tu
             yield term_counts(part.column(0).to_pylist()), part.column(1).to_pylist()
 
 
-def score_quality(docs: DataFrame, space: LatentSpace, block: int = 128) -> DataFrame:
-    """The docs' doc_id and score (0 to 1). Texts without two bytes are
+def with_quality(docs: DataFrame, space: LatentSpace, block: int = 128) -> DataFrame:
+    """`docs` (text and any other columns) with a score (0 to 1) for each row;
+    a column of that name is replaced. Texts of fewer than two bytes are
     similar to nothing and score the sample's share of label 1."""
     held = docs.sparkSession.sparkContext.broadcast(space)
+    docs = docs.drop("score")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = held.value
         for batch in batches:
             scores = [np.empty(0)]
             for s in range(0, batch.num_rows, block):
-                scores.append(space.score(space.embed(term_counts(batch.column(1).slice(s, block).to_pylist()))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(np.concatenate(scores), 0.0, 1.0))], ["doc_id", "score"])
+                scores.append(space.score(space.embed(term_counts(batch.column(at).slice(s, block).to_pylist()))))
+            score = pa.array(np.clip(np.concatenate(scores), 0.0, 1.0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "score"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, per_label: int = 2000, folds: int = 3, held_out: int = 1) -> LatentSpace:

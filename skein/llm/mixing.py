@@ -170,7 +170,7 @@ def mix(
     near = F.struct(F.abs(F.col("__gap") - F.col("__size")).alias("off"), F.col("__draw").alias("draw"), F.col("__end").alias("end"))
     fill = (
         run.filter(~F.col("__in") & (F.col("__size") > 0))
-        .join(gap, "__pattern")
+        .join(F.broadcast(gap), "__pattern")
         .filter(F.abs(F.col("__gap") - F.col("__size")) < F.col("__gap"))
         .groupBy("__pattern")
         .agg(F.min(near).alias("__fill"))

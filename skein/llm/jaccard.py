@@ -4,18 +4,19 @@ The incidence of documents by shingles is cut into blocks of columns. A first
 product over the blocks counts, for each set, the shingles it shares with any
 other set; sets that share too few to reach the threshold leave. For the
 others, a product over the columns that the size-derived bound requires gives
-candidate pairs, in two rounds: first every set with the first of its column,
-then, in columns whose sets aren't connected yet, all pairs that would
-connect. Each pair's overlap is then counted exactly.
+candidate pairs, in two rounds: first every set with the smallest of its
+column, then, in columns whose sets aren't connected yet, all pairs that would
+connect. Pairs whose sizes and shared counts exclude a link are discarded;
+each other pair's overlap is counted exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import materialize
@@ -44,9 +45,29 @@ def _signatures(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {kind}, n long, n_half long, sig long")
 
 
-def _column_blocks(texts: DataFrame, width: int, blocks: int) -> DataFrame:
-    """The incidence's lower half of columns, in blocks: packed entries of 48
-    hash bits and 16 bits for the set's place in `sigs`.
+Sets = Callable[[pa.RecordBatch], Iterable[tuple[int, np.ndarray]]]
+
+
+def _lower_half(width: int) -> Sets:
+    """Signatures and lower half of the hashes of a batch of texts."""
+
+    def sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for s in shingle_sets(batch.column(0).to_pylist(), width):
+            if len(s):
+                yield set_signature(s), s[: np.searchsorted(s, np.uint64(1 << 63))]
+
+    return sets
+
+
+def _packed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """Signatures and all hashes of a batch of packed sets."""
+    for sig, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        yield sig, np.frombuffer(raw.as_py(), np.uint64)
+
+
+def _column_blocks(source: DataFrame, sets_of: Sets, blocks: int) -> DataFrame:
+    """The incidence of sets by hashes in blocks of columns: packed entries of
+    48 hash bits and 16 bits for the set's place in `sigs`.
 
     A column that many sets of one task share goes on as one entry (place
     65535), and the sets' shares are counted here: `credits`.
@@ -90,17 +111,17 @@ def _column_blocks(texts: DataFrame, width: int, blocks: int) -> DataFrame:
         sets: dict[int, np.ndarray] = {}
         size = 0
         for batch in batches:
-            for s in shingle_sets(batch.column(0).to_pylist(), width):
-                if len(s) and (sig := set_signature(s)) not in sets:
-                    sets[sig] = s[: np.searchsorted(s, np.uint64(1 << 63))]
-                    size += len(sets[sig])
+            for sig, s in sets_of(batch):
+                if sig not in sets:
+                    sets[sig] = s
+                    size += len(s)
                     if len(sets) >= GATHER or size >= 4_000_000:
                         yield from flush(sets)
                         sets, size = {}, 0
         if sets:
             yield from flush(sets)
 
-    return texts.select("text").mapInArrow(run, "block int, packed binary, sigs binary, credits binary")
+    return source.mapInArrow(run, "block int, packed binary, sigs binary, credits binary")
 
 
 def _shared_counts(columns: DataFrame) -> DataFrame:
@@ -170,9 +191,9 @@ def _kept_sets(texts: DataFrame, kept: DataFrame, width: int) -> DataFrame:
     return sets.join(kept.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
 
 
-def _required_columns(sets: DataFrame, percent: int) -> DataFrame:
-    """sig, n, column: the lowest hashes of each set, so many that two linked
-    sets have one in common."""
+def _required_columns(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """sig, n, shared, column: the lowest hashes of each set in `sizes`, so
+    many that two linked sets have one in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,10 +201,10 @@ def _required_columns(sets: DataFrame, percent: int) -> DataFrame:
             for n, raw in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 need = n - -(-percent * n // 100) + 1
                 lists.append(np.frombuffer(raw.as_py(), np.int64)[:need])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64()))], ["sig", "n", "columns"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["sig", "columns"])
 
-    lists = sets.select("sig", "n", "hashes").mapInArrow(run, "sig long, n long, columns array<long>")
-    return lists.select("sig", "n", F.explode("columns").alias("column"))
+    lists = sets.select("sig", "n", "hashes").mapInArrow(run, "sig long, columns array<long>")
+    return lists.join(sizes, "sig").select("sig", "n", "shared", F.explode("columns").alias("column"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -249,38 +270,50 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> Da
     texts = docs.select("doc_id", "text")
     base = materialize(_signatures(texts, width), "sets")
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = _shared_counts(_column_blocks(texts, width, blocks))
     # A linked set has at most n * (100 - percent) / 100 columns of its own.
+    alone = F.floor(F.col("n") * (100 - percent) / 100)
+    shared = _shared_counts(_column_blocks(texts.select("text"), _lower_half(width), blocks))
     classes = base.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("n_half").alias("n_half"))
-    kept = classes.join(shared, "sig").filter(F.col("n_half") - F.col("shared") <= F.floor(F.col("n") * (100 - percent) / 100))
+    kept = classes.join(shared, "sig").filter(F.col("n_half") - F.col("shared") <= alone)
     kept = materialize(kept.select("sig"), "kept")
     sets = materialize(_kept_sets(texts, kept, width), "kept_sets")
 
-    columns = materialize(_required_columns(sets, percent), "columns")
-    first = columns.groupBy("column").agg(F.min(F.struct("sig", "n")).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
-    fits = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    # Over the kept sets all columns are counted: `shared` now bounds any overlap.
+    shared = _shared_counts(_column_blocks(sets.select("sig", "hashes"), _packed, blocks))
+    sizes = sets.select("sig", "n").join(shared, "sig").filter(F.col("n") - F.col("shared") <= alone)
+    columns = materialize(_required_columns(sets, sizes, percent), "columns")
+
+    def may_link(n: Column, shared: Column, other_n: Column, other_shared: Column) -> Column:
+        """The overlap is at most the smaller shared count, and that must do."""
+        most = F.least(shared, other_shared)
+        return most * 100 >= (n + other_n - most) * percent
+
+    # The smallest set of a column has least of its own: it links best.
+    first = columns.groupBy("column").agg(F.min(F.struct("n", "sig", "shared")).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
     star = (
         columns.join(first, "column")
-        .filter((F.col("first.sig") != F.col("sig")) & fits(F.col("n"), F.col("first.n")))
-        .select(F.col("first.sig").alias("a"), F.col("sig").alias("b"))
+        .filter((F.col("first.sig") != F.col("sig")) & may_link(F.col("n"), F.col("shared"), F.col("first.n"), F.col("first.shared")))
+        .select(F.least("first.sig", "sig").alias("a"), F.greatest("first.sig", "sig").alias("b"))
         .distinct()
     )
     star = materialize(star, "pairs")
     links = materialize(_linked(star, sets, percent), "links")
     roots = components(links)
 
-    labelled = columns.join(roots, columns["sig"] == roots["node"], "left").select("column", "sig", "n", F.coalesce("root", "sig").alias("root"))
+    labelled = columns.join(roots, columns["sig"] == roots["node"], "left").select("column", "sig", "n", "shared", F.coalesce("root", "sig").alias("root"))
     labelled = materialize(labelled, "labelled")
-    of_root = labelled.groupBy("column", "root").agg(F.count("*").alias("rows"))
-    open_ = of_root.groupBy("column").agg(F.max(F.struct("rows", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1")
-    left = labelled.join(open_.select("column", F.col("most.root").alias("most")), "column")
-    minor = left.filter(F.col("root") != F.col("most")).select("column", F.col("sig").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"))
+    of_root = labelled.groupBy("column", "root").agg(F.count("*").alias("rows"), F.min("n").alias("least_n"))
+    open_ = of_root.groupBy("column").agg(F.max(F.struct("rows", "root")).alias("most"), F.min("least_n").alias("least_n"), F.count("*").alias("roots")).filter("roots > 1")
+    left = labelled.join(open_.select("column", F.col("most.root").alias("most"), "least_n"), "column")
+    # A set that couldn't link even with the column's smallest size is done.
+    minor = left.filter((F.col("root") != F.col("most")) & may_link(F.col("n"), F.col("shared"), F.col("least_n"), F.col("shared")))
+    minor = minor.select("column", F.col("sig").alias("x"), F.col("n").alias("xn"), F.col("shared").alias("xs"), F.col("root").alias("xr"))
     rest = (
-        minor.join(left.select("column", "sig", "n", "root"), "column")
-        .filter((F.col("xr") != F.col("root")) & fits(F.col("xn"), F.col("n")))
+        minor.join(left.select("column", "sig", "n", "shared", "root"), "column")
+        .filter((F.col("xr") != F.col("root")) & may_link(F.col("xn"), F.col("xs"), F.col("n"), F.col("shared")))
         .select(F.least("x", "sig").alias("a"), F.greatest("x", "sig").alias("b"))
         .distinct()
-        .join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        .join(star, ["a", "b"], "left_anti")
     )
     more = _linked(materialize(rest, "pairs"), sets, percent)
     roots = components(links.union(more))

@@ -4,18 +4,431 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skein.functions import text as X
+from skein.functions import vocab
+from skein.operators import dependencies, detectors, findings, history, risk, surface
+from skein.plans import samples
+from skein.sources import documents as docs_source
+from skein.sources import pages as pages_source
+from skein.sources.tables import table
+from skein.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+#: Findings with status, observation and tier, as SQL for the oracle.
+NORMALIZED = f"""
+  WITH raw AS ({samples.FINDINGS_SQL}),
+  normalized AS (
+    SELECT * EXCLUDE (observation), status IN ('informational', 'false_positive') OR observation
+        OR (evidence_type = 'static_pattern' AND severity NOT IN ('CRITICAL', 'HIGH')) AS observation
+    FROM (SELECT *, CASE
+        WHEN observation THEN 'informational'
+        WHEN confidence = 'confirmed' THEN 'confirmed'
+        WHEN confidence = 'high' THEN 'open'
+        WHEN confidence = 'medium' THEN 'needs_review'
+        WHEN severity = 'HIGH' THEN 'needs_review'
+        ELSE 'informational' END AS status FROM raw)
+  ), tiered AS (
+    SELECT *, CASE WHEN status = 'confirmed' OR confidence = 'confirmed' THEN 3
+        WHEN evidence_type = 'runtime_browser' OR confidence = 'high' THEN 2
+        WHEN confidence = 'medium' THEN 1 ELSE 0 END AS tier,
+      CASE severity WHEN 'INFO' THEN 0 WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END AS sev_rank,
+      CASE confidence WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 3 END AS conf_rank
+    FROM normalized
+  )"""
+SCORED = NORMALIZED + """, first AS (
+    SELECT * FROM tiered
+    QUALIFY row_number() OVER (PARTITION BY scan_id, id, file, line, left(sink, 80), left(source, 80) ORDER BY ordinal) = 1
+  ), based AS (
+    SELECT *, CAST(round_even((CASE sev_rank WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 7 ELSE 10 END)
+        * (CASE tier WHEN 3 THEN 1.0 WHEN 2 THEN 0.75 WHEN 1 THEN 0.45 ELSE 0.2 END)::DOUBLE * 2.0, 0) AS INTEGER) AS base
+    FROM first
+  ), scored AS (
+    SELECT *, CASE
+        WHEN observation THEN 'Security observations (API surface, obfuscation, inventory)'
+        WHEN status = 'confirmed' THEN 'Confirmed/demonstrated dangerous behavior'
+        WHEN tier >= 2 AND evidence_type = 'source_to_sink' THEN 'High-confidence source-to-sink flow'
+        WHEN tier >= 2 AND contains(evidence_type, 'runtime') THEN 'High-confidence runtime observation'
+        WHEN tier >= 2 THEN 'High-confidence finding'
+        WHEN evidence_type = 'behavioral_correlation' THEN 'Sensitive data → external destination correlation'
+        WHEN tier = 1 THEN 'Needs-review finding (medium confidence)'
+        ELSE 'Low-confidence signal on a high-impact pattern' END AS label,
+      CAST(CASE
+        WHEN observation THEN 1
+        WHEN status = 'confirmed' THEN base + 10
+        WHEN tier >= 2 AND evidence_type = 'source_to_sink' THEN base + 8
+        WHEN tier >= 2 THEN base + 4
+        WHEN evidence_type = 'behavioral_correlation' THEN base + 5
+        WHEN tier = 1 THEN base + 2
+        ELSE greatest(3, base) END AS INTEGER) AS points
+    FROM based
+  )"""
+FINGERPRINT = "sha1(concat_ws('|', lower(trim(id)), lower(trim(file)), lower(trim(sink)), '', ''))"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.normalize(samples.findings(spark, sf_dir))
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.finding_rows(_normalized(spark, sf_dir), cap=1 << 30)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return overall_risk(spark, sf_dir)
+
+
+# ---- findings ---------------------------------------------------------------
+
+
+@query(NORMALIZED + " SELECT ordinal, id, severity, confidence, status, evidence_type, file, line, observation FROM normalized")
+def normalize_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalized(spark, sf_dir).select("ordinal", "id", "severity", "confidence", "status", "evidence_type", "file", "line", "observation")
+
+
+@query(NORMALIZED + """
+  SELECT scan_id, id, file, line, min(ordinal) AS ordinal, count(*) AS records,
+    arg_max(severity, conf_rank * 10 + sev_rank) AS severity, arg_max(confidence, conf_rank * 10 + sev_rank) AS confidence
+  FROM tiered GROUP BY scan_id, id, file, line, source, sink""")
+def deduplicate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = findings.deduplicate(samples.findings(spark, sf_dir), ["scan_id"])
+    return merged.select("scan_id", "id", "file", "line", "ordinal", "records", "severity", "confidence")
+
+
+@query(NORMALIZED + " SELECT observation, severity, status, count(*) AS n FROM normalized GROUP BY ALL")
+def actionable_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real, seen = findings.split(_normalized(spark, sf_dir))
+    return real.unionByName(seen).groupBy("observation", "severity", "status").agg(F.count("*").alias("n"))
+
+
+@query(NORMALIZED + """
+  SELECT ordinal, id, file, status FROM normalized
+  WHERE status = 'open' AND severity = 'HIGH' AND contains(lower(concat_ws(' ', id, file, source, sink)), 'user1')
+  ORDER BY ordinal LIMIT 80""")
+def findings_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.matching(_normalized(spark, sf_dir), status="open", severity="high", text="User1", limit=80).select("ordinal", "id", "file", "status")
+
+
+@query(SCORED + " SELECT scan_id, ordinal, tier, label, points FROM scored")
+def risk_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.scored(_normalized(spark, sf_dir), ["scan_id"]).select("scan_id", "ordinal", "tier", "label", "points")
+
+
+_RISK_SQL = SCORED + """, buckets AS (
+    SELECT {scope}, label, CASE WHEN label LIKE 'Security observations%' THEN least(sum(points), 15) ELSE sum(points) END AS points FROM scored GROUP BY {scope}, label
+  ), raw_score AS (SELECT {scope}, sum(points) AS raw FROM buckets GROUP BY {scope}
+  ), counts AS (
+    SELECT {scope}, count(*) FILTER (NOT observation AND status = 'confirmed') AS confirmed,
+      count(*) FILTER (label LIKE '%source-to-sink flow') AS high_confidence_flows,
+      count(*) FILTER (NOT observation) AS findings, count(*) FILTER (observation) AS observations,
+      count(*) FILTER (NOT observation AND sev_rank >= 3) AS high_or_critical,
+      coalesce(max(sev_rank) FILTER (NOT observation AND status = 'confirmed'), 0) AS proven
+    FROM scored GROUP BY {scope}
+  ), final AS (
+    SELECT *, CAST(least(100, greatest(0, raw + greatest((CASE WHEN proven >= 4 THEN 75 WHEN proven >= 3 THEN 50 ELSE 0 END) - raw, 0))) AS INTEGER) AS score
+    FROM raw_score JOIN counts USING ({scope})
+  )
+  SELECT {scope}, score, CASE WHEN score >= 75 OR confirmed >= 2 THEN 'CRITICAL'
+      WHEN score >= 50 OR confirmed >= 1 OR high_confidence_flows >= 2 THEN 'HIGH'
+      WHEN score >= 25 OR high_confidence_flows >= 1 OR findings >= 3 OR high_or_critical >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS label,
+    confirmed, high_confidence_flows, findings, observations, high_or_critical FROM final"""
+_RISK_COLUMNS = ("score", "label", "confirmed", "high_confidence_flows", "findings", "observations", "high_or_critical")
+
+
+@query(_RISK_SQL.format(scope="scan_id"))
+def overall_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.overall(_normalized(spark, sf_dir), ["scan_id"]).select("scan_id", *_RISK_COLUMNS)
+
+
+@query(_RISK_SQL.replace("PARTITION BY scan_id, id, file", "PARTITION BY file, id").format(scope="file"))
+def file_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.overall(_normalized(spark, sf_dir), ["file"]).select("file", *_RISK_COLUMNS)
+
+
+@query(f"""
+  WITH s AS ({samples.SCRIPTS_SQL}), third AS (
+    SELECT *, n_reads > 0 AND n_external > 0 AS exfil,
+      CASE WHEN n_reads > 0 AND n_external > 0 THEN least(18, 6 + score // 6) ELSE least(12, 4 + score // 10) END AS due
+    FROM s WHERE party = 'third_party' AND ((n_reads > 0 AND n_external > 0) OR score >= 40)
+  ), run AS (SELECT *, sum(due) OVER (PARTITION BY scan_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS total FROM third)
+  SELECT scan_id, ordinal, exfil, CAST(least(30, total) - least(30, total - due) AS INTEGER) AS points FROM run""")
+def third_party_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.third_party(samples.scripts(spark, sf_dir), ["scan_id"]).select("scan_id", "ordinal", "exfil", "points")
+
+
+@query(NORMALIZED + """
+  SELECT scan_id, place, ordinal, rank, CASE WHEN line > 0 THEN file || ':' || line ELSE file END AS location FROM (
+    SELECT *, tier * 10 + sev_rank AS rank, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY tier * 10 + sev_rank DESC, ordinal) AS INTEGER) AS place
+    FROM tiered WHERE NOT observation) WHERE place <= 5""")
+def top_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.priorities(_normalized(spark, sf_dir), ["scan_id"]).select("scan_id", "place", "ordinal", "rank", "location")
+
+
+# ---- history ----------------------------------------------------------------
+
+
+@query(NORMALIZED + f" SELECT scan_id, {FINGERPRINT} AS fingerprint, id AS finding_id, severity, confidence, file, observation, ordinal FROM normalized")
+def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(spark, sf_dir).select("scan_id", "fingerprint", "finding_id", "severity", "confidence", "file", "observation", "ordinal")
+
+
+@query(NORMALIZED + f""", f AS (SELECT DISTINCT scan_id, {FINGERPRINT} AS fp FROM normalized),
+  a AS (SELECT fp FROM f WHERE scan_id = 2), b AS (SELECT fp FROM f WHERE scan_id = 1)
+  SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS new, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS resolved,
+    (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS unchanged""")
+def scan_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    return history.set_diff(rows.filter("scan_id = 2"), rows.filter("scan_id = 1"))
+
+
+@query(NORMALIZED + f""", f AS (SELECT DISTINCT scan_id, {FINGERPRINT} AS fp FROM normalized),
+  s AS (SELECT scan_id, 'site' || scan_id % 3 AS target, lag(scan_id) OVER (PARTITION BY scan_id % 3 ORDER BY scan_id) AS previous_id FROM (SELECT DISTINCT scan_id FROM f)),
+  now AS (SELECT s.scan_id, fp FROM s JOIN f USING (scan_id)), old AS (SELECT s.scan_id, fp FROM s JOIN f ON f.scan_id = s.previous_id),
+  j AS (SELECT coalesce(now.scan_id, old.scan_id) AS scan_id, now.fp AS n, old.fp AS o FROM now FULL JOIN old ON now.scan_id = old.scan_id AND now.fp = old.fp)
+  SELECT s.scan_id, s.target, s.previous_id, count(*) FILTER (o IS NULL) AS new, count(*) FILTER (n IS NULL) AS resolved, count(*) FILTER (n IS NOT NULL AND o IS NOT NULL) AS unchanged
+  FROM s JOIN j USING (scan_id) GROUP BY ALL""")
+def scan_chain_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    scans = rows.select("scan_id").distinct().withColumn("target", F.concat(F.lit("site"), (F.col("scan_id") % 3).cast("string")))
+    return history.chain_diff(rows, scans).select("scan_id", "target", "previous_id", "new", "resolved", "unchanged")
+
+
+_TWO = NORMALIZED + f""", r AS (SELECT *, {FINGERPRINT} AS fp FROM tiered),
+  o AS (SELECT fp, arg_max(sev_rank, ordinal) AS s, arg_max(conf_rank, ordinal) AS c, arg_max(observation, ordinal) AS obs, arg_max(file, ordinal) AS f FROM r WHERE scan_id <= 10 GROUP BY fp),
+  n AS (SELECT fp, arg_max(sev_rank, ordinal) AS s, arg_max(conf_rank, ordinal) AS c, arg_max(observation, ordinal) AS obs, arg_max(file, ordinal) AS f FROM r WHERE scan_id BETWEEN 11 AND 13 GROUP BY fp),
+  v AS (SELECT coalesce(n.fp, o.fp) AS fingerprint, CASE WHEN o.fp IS NULL THEN 'new' WHEN n.fp IS NULL THEN 'resolved'
+      WHEN n.s > o.s OR (o.obs AND NOT n.obs) OR n.c > o.c THEN 'worsened' WHEN n.s < o.s OR (NOT o.obs AND n.obs) OR n.c < o.c THEN 'improved' ELSE 'persisted' END AS verdict,
+    coalesce(n.f, o.f) AS file FROM o FULL JOIN n ON o.fp = n.fp)"""
+
+
+def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _rows(spark, sf_dir)
+    return rows.filter("scan_id <= 10"), rows.filter("scan_id BETWEEN 11 AND 13")
+
+
+@query(_TWO + """ SELECT fingerprint, verdict, file,
+    verdict = 'resolved' AND file NOT IN (SELECT file FROM r WHERE scan_id BETWEEN 11 AND 13) AS coverage_gap FROM v""")
+def revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.revalidate(*_two(spark, sf_dir)).select("fingerprint", "verdict", "file", "coverage_gap")
+
+
+@query(_TWO + " SELECT verdict, count(*) AS n FROM v GROUP BY verdict")
+def revalidation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.revalidate(*_two(spark, sf_dir)).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query(_TWO + """, a AS (SELECT DISTINCT file FROM r WHERE scan_id <= 10), b AS (SELECT DISTINCT file FROM r WHERE scan_id BETWEEN 11 AND 13)
+  SELECT count(*) AS files, count(b.file) AS covered, CASE WHEN count(*) = count(b.file) THEN 'full' ELSE 'partial' END AS coverage FROM a LEFT JOIN b USING (file)""")
+def scan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.coverage(*_two(spark, sf_dir))
+
+
+@query(NORMALIZED + f""", r AS (SELECT *, {FINGERPRINT} AS fp FROM tiered),
+  known AS (SELECT fp, max(sev_rank) AS k FROM r WHERE scan_id <= 5 AND line < 50 GROUP BY fp)
+  SELECT r.ordinal, r.fp AS fingerprint, CASE WHEN k IS NULL THEN 'new' WHEN sev_rank > k THEN 'worse' ELSE 'known' END AS state
+  FROM r LEFT JOIN known USING (fp) WHERE scan_id > 5""")
+def baseline_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    normalized = _normalized(spark, sf_dir)
+    baseline = history.finding_rows(normalized.filter("scan_id <= 5 AND line < 50"), cap=1 << 30)
+    rows = history.finding_rows(normalized.filter("scan_id > 5"), cap=1 << 30)
+    return history.against_baseline(rows, baseline).select("ordinal", "fingerprint", "state")
+
+
+@query(NORMALIZED + """, real AS (SELECT * FROM tiered WHERE NOT observation), worst AS (SELECT scan_id, max(sev_rank) AS w FROM real GROUP BY scan_id)
+  SELECT scan_id, CASE w WHEN 0 THEN 'INFO' WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'HIGH' ELSE 'CRITICAL' END AS worst,
+    count(*) FILTER (sev_rank = w) AS n_worst, count(*) FILTER (sev_rank >= 3) AS at_or_above, CAST(count(*) FILTER (sev_rank >= 3) > 0 AS INTEGER) AS exit_code
+  FROM real JOIN worst USING (scan_id) GROUP BY scan_id, w""")
+def severity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.gate(_normalized(spark, sf_dir), "high", ["scan_id"])
+
+
+@query(NORMALIZED + f""", r AS (SELECT *, {FINGERPRINT} AS fp FROM tiered), t AS (SELECT fp, max(ordinal) AS o FROM r WHERE line % 7 = 0 GROUP BY fp)
+  SELECT r.ordinal, r.fp AS triage_fp, CASE WHEN o IS NULL THEN NULL WHEN o % 2 = 0 THEN 'false_positive' ELSE 'open' END AS triage_status FROM r LEFT JOIN t USING (fp)""")
+def triage_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = history.finding_rows(_normalized(spark, sf_dir), cap=1 << 30)
+    changes = history.finding_rows(_normalized(spark, sf_dir).filter("line % 7 = 0"), cap=1 << 30).select(
+        "fingerprint", F.when(F.col("ordinal") % 2 == 0, "false_positive").otherwise("open").alias("status"), F.lit("").alias("note"), F.col("ordinal").alias("updated_at")
+    )
+    triage = history.upsert_triage(changes.limit(0), changes)
+    return history.with_triage(rows, triage).select("ordinal", "triage_fp", "triage_status")
+
+
+@query(NORMALIZED + " SELECT scan_id, severity, confidence, count(*) AS n FROM normalized GROUP BY ALL")
+def severity_confidence_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalized(spark, sf_dir).groupBy("scan_id", "severity", "confidence").agg(F.count("*").alias("n"))
+
+
+@query(NORMALIZED + " SELECT scan_id, ordinal, id FROM normalized QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY ordinal) <= 40")
+def first_of_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("scan_id").orderBy("ordinal"))
+    return _normalized(spark, sf_dir).withColumn("nth", nth).filter("nth <= 40").select("scan_id", "ordinal", "id")
+
+
+# ---- documents and pages ----------------------------------------------------
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_sha256 FROM documents WHERE text IS NOT NULL GROUP BY text")
+def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_source.first_copies(samples.documents(spark, sf_dir).filter("content IS NOT NULL")).select("doc_id", "content_sha256")
+
+
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) > 8000 THEN 'oversized_script' END AS skip_reason FROM documents")
+def size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_source.sized(samples.documents(spark, sf_dir), 8000).select("doc_id", "skip_reason")
+
+
+@query(r"""SELECT doc_id, unnest(regexp_extract_all(text, '(?i)token\s*[:=]\s*[''"][^''"]+')) AS value FROM documents
+  UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '(?i)[A-Za-z0-9+/]{40,}={0,2}')) FROM documents""")
+def secret_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.functions.patterns import SECRETS
+
+    d = samples.documents(spark, sf_dir)
+    return d.select("doc_id", F.explode(detectors.sweep(F.col("content"), [SECRETS[6], SECRETS[8]])).alias("value"))
+
+
+@query(r"""WITH v AS (SELECT doc_id, regexp_extract(text, 'token = "([0-9a-f]{40})"', 1) AS value FROM documents), g AS (SELECT * FROM v WHERE value <> ''),
+  c AS (SELECT doc_id, value, unnest(string_split(value, '')) AS ch FROM g), n AS (SELECT doc_id, value, ch, count(*) / 40.0::DOUBLE AS p FROM c GROUP BY ALL)
+  SELECT doc_id, value, round(-sum(p * log2(p)), 6) AS entropy FROM n GROUP BY doc_id, value""")
+def secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.regexp_extract("content", 'token = "([0-9a-f]{40})"', 1)
+    found = samples.documents(spark, sf_dir).select("doc_id", value.alias("value")).filter("value <> ''")
+    return found.select("doc_id", "value", F.round(X.entropy(F.col("value")), 6).alias("entropy"))
+
+
+@query()
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.secret_table(samples.documents(spark, sf_dir))
+
+
+@query()
+def detector_finds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.long(samples.documents(spark, sf_dir))
+
+
+@query()
+def risk_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.signals(samples.documents(spark, sf_dir))
+
+
+@query(r"""SELECT page_id, ordinal - 1 AS ordinal, trim(body) AS body FROM (
+    SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script\s*>', 1)) AS body, generate_subscripts(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script\s*>', 1), 1) AS ordinal FROM pages) WHERE trim(body) <> ''""")
+def inline_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages_source.script_elements(samples.pages(spark, sf_dir)).filter("body IS NOT NULL")
+    return found.select("page_id", F.col("ordinal").cast("long").alias("ordinal"), "body")
+
+
+@query(r"""SELECT page_id, octet_length(encode(html)) AS page_bytes, len(list_filter(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script\s*>', 1), lambda b: trim(b) <> '')) AS inline_count FROM pages""")
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_source.page_metadata(samples.pages(spark, sf_dir)).select("page_id", "page_bytes", "inline_count")
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS canonical,
+    regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '([^/]*)$', 1) AS base FROM pages""")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return samples.pages(spark, sf_dir).select("page_id", X.url_host(url).alias("host"), X.canonical_url(url).alias("canonical"), X.basename(url).alias("base"))
+
+
+@query("""WITH p AS (SELECT page_id, unnest(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&')) AS pair FROM pages)
+  SELECT page_id, string_split(pair, '=')[1] AS name, array_to_string(list_sort(list(DISTINCT regexp_extract(pair, '^[^=]*=?(.*)$', 1))), ',') AS value
+  FROM p WHERE regexp_matches(pair, '^[^=]+') GROUP BY ALL""")
+def url_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = samples.pages(spark, sf_dir).select("page_id", F.explode(surface.query_parameters(F.col("url"))).alias("name", "values"))
+    return rows.select("page_id", "name", F.array_join("values", ",").alias("value"))
+
+
+@query("""SELECT count(DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1))) AS domains, count(*) AS pages,
+    sum(octet_length(encode(html)))::BIGINT AS bytes, min(length(html)) AS shortest, max(length(html)) AS longest FROM pages""")
+def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = samples.pages(spark, sf_dir)
+    return p.agg(
+        F.count_distinct(X.url_host(F.col("url"))).alias("domains"), F.count("*").alias("pages"), F.sum(F.octet_length("html")).alias("bytes"),
+        F.min(F.length("html")).cast("long").alias("shortest"), F.max(F.length("html")).cast("long").alias("longest"),
+    )
+
+
+@query()
+def page_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = surface.endpoints(samples.pages(spark, sf_dir).select(F.col("page_id").alias("doc_id"), F.col("html").alias("content")))
+    return points.select("doc_id", "ordinal", "method", "url", "internal")
+
+
+@query(r"""SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a href="([^"]+)"', 1))) AS links FROM pages""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.pages(spark, sf_dir).select("page_id", F.size(F.array_distinct(X.find_all(F.col("html"), '<a href="([^"]+)"', 1))).cast("long").alias("links"))
+
+
+@query()
+def dependency_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependencies.dependency_scan(samples.documents(spark, sf_dir))
+
+
+@query("""WITH v AS (SELECT p_partkey, (p_partkey % 5) || '.' || (p_partkey % 7) || '.' || (p_partkey % 11) AS version FROM part),
+  n AS (SELECT *, (p_partkey % 5) * 10000 + (p_partkey % 7) * 100 + (p_partkey % 11) AS k FROM v)
+  SELECT p_partkey, version, CASE WHEN k < 30500 THEN 'CVE-2020-11022' END AS first_cve,
+    (k < 30500)::INT + (k >= 10200 AND k < 30400)::INT + (k >= 10400 AND k < 30000)::INT AS n_cves FROM n""")
+def advisory_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    version = F.concat_ws(".", (k % 5).cast("string"), (k % 7).cast("string"), (k % 11).cast("string"))
+    libraries = table(spark, sf_dir, "part").select("p_partkey", version.alias("version"), F.lit("jquery").alias("library"))
+    hit = libraries.join(F.broadcast(dependencies.advisories(spark)), "library", "left")
+    hit = hit.withColumn("cve", F.when(X.version_in(F.col("version"), F.col("ranges")), F.col("cve")))
+    return hit.groupBy("p_partkey", "version").agg(F.max(F.when(F.col("cve") == "CVE-2020-11022", F.col("cve"))).alias("first_cve"), F.count("cve").cast("int").alias("n_cves"))
+
+
+# ---- progress ---------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), d AS (SELECT * FROM c WHERE before IS NULL OR before <> event_type)
+  SELECT user_id, event_type, ts, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) AS micros FROM d""")
+def stage_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress.durations(table(spark, sf_dir, "events"), "user_id", "ts", "event_type")
+
+
+@query("SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS progress FROM events")
+def running_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
+    return progress.monotonic(e, "user_id", "at", "value").select("event_id", "progress")
+
+
+@query("""SELECT event_id, sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) / 86400.0::DOUBLE AS rate FROM events""")
+def sliding_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("amount", F.floor("value").cast("long"))
+    return progress.window_rate(e, "user_id", "ts", "amount", 86_400).select("event_id", "rate")
+
+
+@query("""WITH g AS (SELECT user_id, list(greatest(0.25, least(4.0, value / 20.0)) ORDER BY event_id) AS r FROM events WHERE value > 0 GROUP BY user_id)
+  SELECT user_id, CAST(len(r) AS BIGINT) AS samples, round(list_reduce(list_prepend(1.0::DOUBLE, r), lambda s, x: 0.65::DOUBLE * s + 0.35::DOUBLE * x), 9) AS ratio FROM g""")
+def self_tuned_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("predicted", F.lit(20.0))
+    return progress.tuned_ratio(e, "user_id", "event_id", "value", "predicted").withColumn("ratio", F.round("ratio", 9))
+
+
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
+def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    rows = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return rows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one Arrow batch, so that a worker holds a few MB of texts at once.
+BATCH_ROWS = 1024
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lowers the session's Arrow batches to `rows`; texts can be very long."""
+    now = int(spark.conf.get(_BATCH_KEY))
+    if now <= 0 or now > rows:
+        spark.conf.set(_BATCH_KEY, str(rows))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most `rows` for what is computed inside."""
+    before = spark.conf.get(_BATCH_KEY)
+    spark.conf.set(_BATCH_KEY, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_KEY, before)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. Where no other upper-case letter occurs, the
     built-in lower() gives the same at a fraction of translate()'s cost."""

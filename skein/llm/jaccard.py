@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialize
+from skein.llm.common import batches_of, bound_batches, materialize
 from skein.llm.shingles import set_signature, shingle_sets
 
-#: The sets of so many documents are gathered before a map task writes.
-GATHER = 16_384
+#: So many sets, or hashes, are gathered before a map task writes.
+GATHER, GATHER_HASHES = 8_192, 1_500_000
 #: Bits of the table that keeps most sets without partners out of a shuffle.
 #: It has a fixed size; where it fills up, the join after it does all the work.
 FILTER_BITS = 1 << 25
@@ -115,7 +115,7 @@ def _column_blocks(source: DataFrame, sets_of: Sets, blocks: int) -> DataFrame:
                 if sig not in sets:
                     sets[sig] = s
                     size += len(s)
-                    if len(sets) >= GATHER or size >= 4_000_000:
+                    if len(sets) >= GATHER or size >= GATHER_HASHES:
                         yield from flush(sets)
                         sets, size = {}, 0
         if sets:
@@ -267,6 +267,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> Da
     Shingles and sets are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select("doc_id", "text")
     base = materialize(_signatures(texts, width), "sets")
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -281,7 +282,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> Da
     # Over the kept sets all columns are counted: `shared` now bounds any overlap.
     shared = _shared_counts(_column_blocks(sets.select("sig", "hashes"), _packed, blocks))
     sizes = sets.select("sig", "n").join(shared, "sig").filter(F.col("n") - F.col("shared") <= alone)
-    columns = materialize(_required_columns(sets, sizes, percent), "columns")
+    with batches_of(spark, 256):
+        columns = materialize(_required_columns(sets, sizes, percent), "columns")
 
     def may_link(n: Column, shared: Column, other_n: Column, other_shared: Column) -> Column:
         """The overlap is at most the smaller shared count, and that must do."""
@@ -297,7 +299,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> Da
         .distinct()
     )
     star = materialize(star, "pairs")
-    links = materialize(_linked(star, sets, percent), "links")
+    # A batch of pairs holds two sets a row.
+    with batches_of(spark, 128):
+        links = materialize(_linked(star, sets, percent), "links")
     roots = components(links)
 
     labelled = columns.join(roots, columns["sig"] == roots["node"], "left").select("column", "sig", "n", "shared", F.coalesce("root", "sig").alias("root"))
@@ -315,7 +319,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> Da
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
-    more = _linked(materialize(rest, "pairs"), sets, percent)
+    rest = materialize(rest, "pairs")
+    with batches_of(spark, 128):
+        more = materialize(_linked(rest, sets, percent), "links")
     roots = components(links.union(more))
 
     rooted = base.join(roots, base["sig"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "sig").alias("root"))

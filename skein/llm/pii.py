@@ -10,6 +10,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from skein.llm.common import bound_batches
+
 #: Given names by script and gender.
 GIVEN_NAMES = {
     ("latin", "f"): "Anna Maria Emma Julia Laura Sarah Marta Elena Claire Sophie Lucia Carmen Ingrid Petra Helen Alice Nora Irene Paula Diana".split(),
@@ -210,5 +212,6 @@ def pseudonymize(docs: DataFrame, *, key: str) -> DataFrame:
                 spans = [[dict(zip(fields, e, strict=True)) for e in es] for _, es in done]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t for t, _ in done], pa.string()), pa.array(spans, kind)], ["doc_id", "text", "entities"])
 
+    bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, entities array<struct<type:string,start:long,end:long,surrogate:string>>")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from skein.llm.common import bound_batches
 from skein.llm.labels import labelled_sample
 from skein.llm.shingles import word_hashes
 
@@ -150,6 +151,7 @@ def with_quality(docs: DataFrame, space: LatentSpace, block: int = 128) -> DataF
     """`docs` (text and any other columns) with a score (0 to 1) for each row;
     a column of that name is replaced. Texts of fewer than two bytes are
     similar to nothing and score the sample's share of label 1."""
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(space)
     docs = docs.drop("score")
     at = docs.columns.index("text")
@@ -169,4 +171,5 @@ def with_quality(docs: DataFrame, space: LatentSpace, block: int = 128) -> DataF
 def fit_quality(docs: DataFrame, labels: DataFrame, *, per_label: int = 2000, folds: int = 3, held_out: int = 1) -> LatentSpace:
     """The space of at most `per_label` labelled rows of each label outside
     the held-out fold."""
+    bound_batches(docs.sparkSession)
     return fit_space(labelled_sample(docs, labels, "quality", folds=folds, held_out=held_out, per_label=per_label).persist())

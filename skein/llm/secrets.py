@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from skein.llm.common import bound_batches
+
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -127,5 +129,6 @@ def scan_secrets(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lea
                 spans.append([dict(zip(("kind", "start", "end", "log10_guesses"), s, strict=True)) for s in secret_spans(value.as_py(), least)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, SPANS)], ["id", "spans"])
 
+    bound_batches(docs.sparkSession)
     kind = dict(docs.select(id).dtypes)[id]
     return docs.select(id, text).mapInArrow(scan, f"id {kind}, spans {SPANS_DDL}").withColumnRenamed("id", id)

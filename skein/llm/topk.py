@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialize, shared_dir
+from skein.llm.common import batches_of, materialize
 
 
 def quantize(vectors: DataFrame, *, id: str, vector: str, scale: float) -> DataFrame:
@@ -112,7 +112,6 @@ def top_inner_products(
     padded with zeros. Rows that quantize() leaves out take no part.
     """
     spark = vectors.sparkSession
-    shared_dir(spark)
     whole = materialize(quantize(vectors, id=id, vector=vector, scale=scale), "vectors")
     length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     whole = whole.withColumn("length", length)
@@ -166,15 +165,10 @@ def top_inner_products(
     packed = ordered.select("id", "v").mapInArrow(pack_candidates, "c_ids binary, c binary")
     pairs = packed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).join(packed_queries, "qb")
     # A block is one row of some MB: few rows may share an Arrow batch.
-    rows_key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows_key)
-    spark.conf.set(rows_key, str(block))
-    try:
+    with batches_of(spark, block):
         packed_pairs = materialize(pairs, "blocks")
-        spark.conf.set(rows_key, "4")
+    with batches_of(spark, 4):
         partial = materialize(packed_pairs.mapInArrow(meet, "query_id long, vec_id long, score long"), "partial")
-    finally:
-        spark.conf.set(rows_key, before)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import bound_batches
 from skein.llm.labels import labelled_sample
 
 #: Letters that look like Latin ones.
@@ -241,6 +242,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 ["doc_id", "score", "n_hits"],
             )
 
+    bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, n_hits long")
 
@@ -248,4 +250,5 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, *, per_label: int = 4000, folds: int = 5, held_out: int = 0) -> DataFrame:
     """Scores every document with a lexicon learned from at most `per_label`
     rows of each label outside the held-out fold."""
+    bound_batches(docs.sparkSession)
     return score_toxicity(docs, fit_lexicon(labelled_sample(docs, labels, "toxic", folds=folds, held_out=held_out, per_label=per_label).persist()))

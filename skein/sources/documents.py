@@ -27,7 +27,7 @@ def folder(spark: SparkSession, path: str, limit: int = 1000) -> DataFrame:
     for name in SKIPPED:
         skipped = skipped | F.col("path").contains(f"/{name}/")
     kept = raw.filter(~skipped).orderBy("path").limit(limit)
-    content = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", F.lit("ISO-8859-1")))
+    content = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
     rows = kept.select("path", content.alias("content"))
     nth = F.row_number().over(Window.orderBy("path")) - 1
     return rows.select(nth.cast("long").alias("doc_id"), nth.cast("long").alias("ordinal"), F.regexp_replace("path", r"^.*/", "").alias("name"), F.col("path").alias("url"), "content")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.functions import vocab
-from skein.operators import dependencies, detectors, findings, history, risk, surface
+from skein.operators import dependencies, detectors, findings, history, offsets, risk, scripts, surface, taint
 from skein.plans import samples
+from skein.sinks import exports
 from skein.sources import documents as docs_source
 from skein.sources import pages as pages_source
 from skein.sources.tables import table
@@ -391,6 +392,75 @@ def advisory_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.groupBy("p_partkey", "version").agg(F.max(F.when(F.col("cve") == "CVE-2020-11022", F.col("cve"))).alias("first_cve"), F.count("cve").cast("int").alias("n_cves"))
 
 
+@query()
+def taint_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taint.flows(samples.documents(spark, sf_dir))
+
+
+@query()
+def framework_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offsets.framework_findings(_page_scripts(spark, sf_dir))
+
+
+@query()
+def api_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offsets.api_inventory(_page_scripts(spark, sf_dir))
+
+
+@query()
+def crypto_material(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offsets.crypto_material(samples.documents(spark, sf_dir))
+
+
+@query()
+def folded_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offsets.folded_literals(samples.documents(spark, sf_dir))
+
+
+def _page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_source.documents(samples.pages(spark, sf_dir))
+
+
+@query(r"""WITH s AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script\s*>', 1)) AS body, generate_subscripts(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script\s*>', 1), 1) - 1 AS i FROM pages)
+  SELECT page_id * 1000 + i AS doc_id, 'inline-' || page_id || '-' || i || '.js' AS name, sha256(trim(body)) AS content_sha256, octet_length(encode(trim(body))) AS bytes, 'external' AS load_method FROM s WHERE trim(body) <> ''""")
+def script_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scripts.inventory(_page_scripts(spark, sf_dir)).select("doc_id", "name", "content_sha256", "bytes", "load_method")
+
+
+@query(r"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host FROM pages)
+  SELECT page_id, CASE WHEN host = 'ththre.example.com' OR suffix(host, '.ththre.example.com') THEN 'first_party' ELSE 'third_party' END AS party FROM h""")
+def page_party(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.pages(spark, sf_dir).select("page_id", scripts.party(F.col("url"), F.lit("https://ththre.example.com/")).alias("party"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, role, text, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS total FROM conversations)
+  SELECT conv_id, turn, total::BIGINT AS total FROM s WHERE total <= 2000""")
+def running_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    return table(spark, sf_dir, "conversations").withColumn("total", run).filter("total <= 2000").select("conv_id", "turn", "total")
+
+
+@query("""SELECT l.l_orderkey, l.l_linenumber FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey AND abs(epoch_us(l.l_shipdate) - epoch_us(o.o_orderdate)) <= 10 * 86400000000""")
+def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    near = F.abs(micros("l_shipdate") - micros("o_orderdate")) <= 10 * 86_400_000_000
+    return items.join(orders, (F.col("l_orderkey") == F.col("o_orderkey")) & near).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def unseen_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(seen, "c_custkey", "left_anti")
+
+
+@query(f"""WITH t AS ({samples.FINDINGS_SQL})
+  SELECT id, file, file AS guarded, CASE id WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM t GROUP BY ALL""")
+def export_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = exports.sarif_results(_normalized(spark, sf_dir)).select(F.col("ruleId").alias("id"), "file", "level")
+    return results.groupBy("id", "file", exports.cell(F.col("file")).alias("guarded"), "level").agg(F.count("*").alias("n"))
+
+
 # ---- progress ---------------------------------------------------------------
 
 

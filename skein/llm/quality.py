@@ -152,12 +152,12 @@ def with_quality(docs: DataFrame, space: LatentSpace, block: int = 128) -> DataF
     a column of that name is replaced. Texts of fewer than two bytes are
     similar to nothing and score the sample's share of label 1."""
     bound_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(space)
+    held = docs.sparkSession.sparkContext.broadcast(vars(space))
     docs = docs.drop("score")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = held.value
+        space = LatentSpace(**held.value)
         for batch in batches:
             scores = [np.empty(0)]
             for s in range(0, batch.num_rows, block):

@@ -157,12 +157,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-def fit_lexicon(sample: DataFrame, *, max_terms: int = 200_000) -> Lexicon:
+def fit_lexicon(sample: DataFrame, *, least_share: float = 0.03, least_odds: float = 20.0, max_terms: int = 200_000) -> Lexicon:
     """Learns entries, exceptions and scale from a bounded sample (doc_id, text, y).
 
     A term's weight is its log odds between toxic and other documents. Terms
     enter if their share of toxic documents is significant at a false-discovery
-    rate of 1 %. An exception is a neighbouring word pair that occurs in clean
+    rate of 1 %, if at least `least_share` of the toxic documents have them, and
+    if they are `least_odds` times as frequent there as elsewhere. An exception is a neighbouring word pair that occurs in clean
     documents of the sample only. Without both labels the known insults alone
     make the lexicon.
     """
@@ -190,6 +191,9 @@ def fit_lexicon(sample: DataFrame, *, max_terms: int = 200_000) -> Lexicon:
     df = df.filter("pos + neg >= 3").persist()
     tested = df.count()
     rich = df.filter((F.col("pos") >= 3) & (F.col("pos") > 2 * share * (F.col("pos") + F.col("neg"))) & (F.col("pos") > 0.7 * (F.col("pos") + F.col("neg"))))
+    # Copies of one toxic document make all its words look significant; an
+    # entry must also be in a fair share of toxic documents, and rare elsewhere.
+    rich = rich.filter((F.col("pos") >= least_share * n_pos) & (F.col("pos") * n_neg >= least_odds * F.col("neg") * n_pos))
     rows = [tuple(r) for r in rich.orderBy(F.desc("pos"), "neg", "term").limit(max_terms).collect()]
     clean = {r["term"] for r in df.filter(F.col("term").isin(list(known)) & (F.col("neg") > F.col("pos"))).collect()}
     df.unpersist()

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SAMPLE_PARTS = 12
+
+
 def fold(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; a null id is in fold 0."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(0)).cast("string")), F.lit(folds))
@@ -14,9 +17,11 @@ def fold(doc_id: Column | str, folds: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, folds: int, held_out: int, per_label: int) -> DataFrame:
     """doc_id, text, y of at most `per_label` documents of each label (0, 1),
     outside the held-out fold, drawn by a hash of the id. Ids with both labels
-    are left out. The bound is what makes the broadcast of ids safe."""
+    are left out. The bound is what makes the broadcast of ids safe; the drawn
+    rows are gathered in SAMPLE_PARTS partitions, so that what a fit sums up by
+    partition does not grow with the corpus."""
     known = labels.filter(F.col(label).isin(0, 1) & (fold("doc_id", folds) != held_out))
     agreed = known.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("most")).filter("y = most").select("doc_id", "y")
     drawn = [agreed.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
     ids = drawn[0].unionByName(drawn[1])
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").repartition(SAMPLE_PARTS)

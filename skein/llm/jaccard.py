@@ -124,8 +124,11 @@ def _column_blocks(source: DataFrame, sets_of: Sets, blocks: int) -> DataFrame:
     return source.mapInArrow(run, "block int, packed binary, sigs binary, credits binary")
 
 
-def _shared_counts(columns: DataFrame) -> DataFrame:
-    """sig, shared: of how many counted columns another set has an entry."""
+def _shared_counts(columns: DataFrame, blocks: int) -> DataFrame:
+    """sig, shared: of how many counted columns another set has an entry.
+
+    A block's counts go on packed by ranges of signatures, and each range is
+    summed up by one task: a row a set leaves, not one a set and block."""
 
     def product(table: pa.Table) -> pa.Table:
         hashes, owners, credit_sigs, credit_n = [], [], [], []
@@ -152,11 +155,23 @@ def _shared_counts(columns: DataFrame) -> DataFrame:
             sig, n = np.unique(o[met], return_counts=True)
             credit_sigs.append(sig)
             credit_n.append(n)
-        sigs, counts = np.concatenate(credit_sigs), np.concatenate(credit_n)
-        return pa.table({"sig": pa.array(sigs, pa.int64()), "shared": pa.array(counts.astype(np.int64))})
+        sigs, counts = np.concatenate(credit_sigs), np.concatenate(credit_n).astype(np.int64)
+        span = sigs % blocks
+        order = np.argsort(span, kind="stable")
+        sigs, counts = sigs[order], counts[order]
+        cut = np.searchsorted(span[order], np.arange(blocks + 1))
+        there = [r for r in range(blocks) if cut[r] < cut[r + 1]]
+        parts = lambda x: pa.array([x[cut[r] : cut[r + 1]].tobytes() for r in there], pa.binary())
+        return pa.table({"span": pa.array(there, pa.int32()), "sigs": parts(sigs), "counts": parts(counts)})
+
+    def total(table: pa.Table) -> pa.Table:
+        sigs = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["sigs"]])
+        counts = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["counts"]])
+        each, at = np.unique(sigs, return_inverse=True)
+        return pa.table({"sig": pa.array(each, pa.int64()), "shared": pa.array(np.bincount(at, weights=counts).astype(np.int64), pa.int64())})
 
-    found = columns.groupBy("block").applyInArrow(product, "sig long, shared long")
-    return found.groupBy("sig").agg(F.sum("shared").alias("shared"))
+    found = columns.groupBy("block").applyInArrow(product, "span int, sigs binary, counts binary")
+    return found.groupBy("span").applyInArrow(total, "sig long, shared long")
 
 
 def _bit_table(sigs: DataFrame) -> np.ndarray:
@@ -243,7 +258,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u > v").distinct()
+        large = large.filter("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = materialize(small.select("e.u", "e.v").filter("u > v").distinct(), label)
@@ -273,14 +288,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> Da
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A linked set has at most n * (100 - percent) / 100 columns of its own.
     alone = F.floor(F.col("n") * (100 - percent) / 100)
-    shared = _shared_counts(_column_blocks(texts.select("text"), _lower_half(width), blocks))
+    shared = _shared_counts(_column_blocks(texts.select("text"), _lower_half(width), blocks), blocks)
     classes = base.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("n_half").alias("n_half"))
     kept = classes.join(shared, "sig").filter(F.col("n_half") - F.col("shared") <= alone)
     kept = materialize(kept.select("sig"), "kept")
     sets = materialize(_kept_sets(texts, kept, width), "kept_sets")
 
     # Over the kept sets all columns are counted: `shared` now bounds any overlap.
-    shared = _shared_counts(_column_blocks(sets.select("sig", "hashes"), _packed, blocks))
+    shared = _shared_counts(_column_blocks(sets.select("sig", "hashes"), _packed, blocks), blocks)
     sizes = sets.select("sig", "n").join(shared, "sig").filter(F.col("n") - F.col("shared") <= alone)
     with batches_of(spark, 256):
         columns = materialize(_required_columns(sets, sizes, percent), "columns")
@@ -322,7 +337,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> Da
     rest = materialize(rest, "pairs")
     with batches_of(spark, 128):
         more = materialize(_linked(rest, sets, percent), "links")
-    roots = components(links.union(more))
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     rooted = base.join(roots, base["sig"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "sig").alias("root"))
     rooted = materialize(rooted, "rooted")

@@ -76,6 +76,8 @@ def _column_blocks(source: DataFrame, sets_of: Sets, blocks: int) -> DataFrame:
     def flush(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         sigs = np.fromiter(sets, np.int64, len(sets))
         tokens = np.concatenate(list(sets.values()))
+        if not len(tokens):
+            return
         place = np.repeat(np.arange(len(sigs), dtype=np.uint64), [len(s) for s in sets.values()])
         order = np.argsort(tokens, kind="stable")
         tokens, place = tokens[order], place[order]
@@ -290,7 +292,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> Da
     alone = F.floor(F.col("n") * (100 - percent) / 100)
     shared = _shared_counts(_column_blocks(texts.select("text"), _lower_half(width), blocks), blocks)
     classes = base.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("n_half").alias("n_half"))
-    kept = classes.join(shared, "sig").filter(F.col("n_half") - F.col("shared") <= alone)
+    # A set without a row shares nothing in that half, and may link by the other.
+    kept = classes.join(shared, "sig", "left").filter(F.col("n_half") - F.coalesce("shared", F.lit(0)) <= alone)
     kept = materialize(kept.select("sig"), "kept")
     sets = materialize(_kept_sets(texts, kept, width), "kept_sets")
 

@@ -80,6 +80,21 @@ def test_near_duplicates_equal_all_pairs(spark, awkward, seed):
     assert got == brute.near_components(rows)
 
 
+def test_near_duplicates_of_short_texts_equal_all_pairs(spark):
+    rng = random.Random(12)
+    texts = []
+    for i in range(300):
+        w = [f"w{i}x{k}" for k in range(rng.randint(6, 15))]
+        texts += [" ".join(w), " ".join([*w[:-1], "other"] if i % 2 else [*w, "more"])]
+    rows = list(enumerate(texts))
+    want = brute.near_components(rows)
+    assert len({c for _, c in want.values()}) < len(rows) - 100
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want
+    one = spark.createDataFrame([(i, f"a{i} b c d e f") for i in range(40)], "doc_id long, text string").repartition(40)
+    assert jaccard.near_duplicates(one).filter("doc_id = component_id").count() == 40
+
+
 def test_near_duplicates_of_no_documents(no_docs):
     assert jaccard.near_duplicates(no_docs).count() == 0
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +39,12 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 COMMON = frozenset("the a an is are of to and or in into any this with without for under by all as no use 0".split())
 
 
-def _parts() -> tuple[list[tuple], list[str]]:
-    """Template postings (template, label, place, word, mandatory), and all posted words."""
+def _parts() -> tuple[list[tuple], list[str], list[tuple[str, int, str]]]:
+    """Template postings (template, label, place, word, mandatory), all posted
+    words, and the common words of mandatory phrases: (word, distance, posted
+    word of the phrase that must stand there)."""
     rows, posted = [], {w for phrase, _ in BASE for w in phrase.split()}
+    beside: set[tuple[str, int, str]] = set()
     for t, (label, notice, phrases) in enumerate(TEMPLATES):
         terms = notice.split()
         must: set[int] = set()
@@ -47,9 +52,14 @@ def _parts() -> tuple[list[tuple], list[str]]:
             p = phrase.split()
             at = next(i for i in range(len(terms)) if terms[i : i + len(p)] == p)
             must |= set(range(at, at + len(p)))
-        rows += [(t, label, i, w, i in must) for i, w in enumerate(terms) if w not in COMMON]
-    posted |= {r[3] for r in rows}
-    return rows, sorted(posted)
+            rare = [k for k, w in enumerate(p) if w not in COMMON]
+            for i, w in enumerate(p):
+                if w in COMMON:
+                    k = min(rare, key=lambda k: (abs(k - i), k))
+                    beside.add((w, k - i, p[k]))
+        rows += [(t, label, i, w, i in must) for i, w in enumerate(terms) if i in must or w not in COMMON]
+    posted |= {r[3] for r in rows if r[3] not in COMMON}
+    return rows, sorted(posted), sorted(beside)
 
 
 def _places(hits: Column, phrase: str) -> Column:
@@ -71,7 +81,8 @@ def _followed_by(k: int, word: str) -> Callable[[Column, Column], Column]:
 def scan_licenses(docs: DataFrame, *, least: float = 0.6, rarest: int = 6) -> DataFrame:
     """Licence notices of every document (doc_id, text).
 
-    One pass posts each document's licence words with their places. Document
+    One pass posts each document's licence words with their places, and common
+    words only beside the word of a mandatory phrase they belong to. Document
     frequencies over all documents give each word its IDF; a document's
     `rarest` words look up the templates that hold them, and postings of a
     template that agree on where it would start are intersected. A start whose
@@ -86,9 +97,14 @@ def scan_licenses(docs: DataFrame, *, least: float = 0.6, rarest: int = 6) -> Da
     licence words, and the templates are a fixed list.
     """
     spark = docs.sparkSession
-    parts, posted = _parts()
+    parts, posted, beside = _parts()
     tokens = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), words(lower_ascii(F.col("text"))).alias("w"))
-    noted = F.filter(F.transform("w", lambda w, i: F.struct(i.cast("long").alias("pos"), w.alias("word"))), lambda h: h["word"].isin(posted))
+
+    def is_noted(h: Column) -> Column:
+        stands = [(h["word"] == c) & F.coalesce(F.get("w", (h["pos"] + d).cast("int")) == near, F.lit(False)) for c, d, near in beside]
+        return h["word"].isin(posted) | (h["word"].isin(sorted({c for c, _, _ in beside})) & reduce(or_, stands))
+
+    noted = F.filter(F.transform("w", lambda w, i: F.struct(i.cast("long").alias("pos"), w.alias("word"))), is_noted)
     base = tokens.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), noted.alias("hits"))
     base = materialize(base.select("*", F.monotonically_increasing_id().alias("row")), "licenses")
 
@@ -97,7 +113,8 @@ def scan_licenses(docs: DataFrame, *, least: float = 0.6, rarest: int = 6) -> Da
     n_docs = base.count()
     df = {r["word"]: r["df"] for r in spread.groupBy("word").agg(F.count("*").alias("df")).collect()}
     idf = {w: math.log((1 + n_docs) / (1 + df.get(w, 0))) + 0.01 for w in posted}
-    weight = [(t, label, place, w, must, idf[w]) for t, label, place, w, must in parts]
+    # Common words must stand where a mandatory phrase has them, but weigh nothing.
+    weight = [(t, label, place, w, must, idf.get(w, 0.0)) for t, label, place, w, must in parts]
     template = F.broadcast(spark.createDataFrame(weight, "template int, label string, place long, word string, must boolean, idf double"))
     rare = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
 

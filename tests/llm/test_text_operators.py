@@ -24,6 +24,20 @@ def test_licences_equal_the_plain_scan(spark, docs, awkward):
     assert labels[202] == "cc-by-nc" and labels[200] == "apache,gpl,mit"
 
 
+def test_mandatory_phrases_are_checked_word_by_word(spark):
+    texts = [
+        "Some rights reserved", "no rights reserved", "rights reserved", "All rights reserved.", "see: all rights reserved",
+        "Redistribution of use in source and binary forms, with or without modification, are permitted",
+        "redistribution and use in source and binary forms with or without modification are permitted",
+        "Permission was hereby granted, free of charge, to any person obtaining a copy",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy", "licensed for cc by 4 0", "Licensed under CC BY 4.0",
+    ]
+    found = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in found.collect()}
+    none, full = ("", 0.0), lambda label: (label, 1.0)
+    assert [got[i] for i in range(len(texts))] == [none, none, none, full("proprietary"), full("proprietary"), none, full("bsd"), none, full("mit"), none, full("cc-by")]
+
+
 def test_licences_of_no_documents(no_docs):
     assert licenses.scan_licenses(no_docs).count() == 0
 

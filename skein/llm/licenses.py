@@ -9,7 +9,6 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skein.llm.common import lower_ascii, materialize, words
 
@@ -78,14 +77,14 @@ def _followed_by(k: int, word: str) -> Callable[[Column, Column], Column]:
     )
 
 
-def scan_licenses(docs: DataFrame, *, least: float = 0.6, rarest: int = 6) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, least: float = 0.6) -> DataFrame:
     """Licence notices of every document (doc_id, text).
 
     One pass posts each document's licence words with their places, and common
     words only beside the word of a mandatory phrase they belong to. Document
-    frequencies over all documents give each word its IDF; a document's
-    `rarest` words look up the templates that hold them, and postings of a
-    template that agree on where it would start are intersected. A start whose
+    frequencies over all documents give each word its IDF; the rarest mandatory
+    word of each template, wherever it stands, tells where the template would
+    start, and the template's postings are intersected there. A start whose
     mandatory phrases all stand and whose matched IDF reaches `least` of the
     template's is a match. Base phrases count wherever they stand.
 
@@ -116,16 +115,13 @@ def scan_licenses(docs: DataFrame, *, least: float = 0.6, rarest: int = 6) -> Da
     # Common words must stand where a mandatory phrase has them, but weigh nothing.
     weight = [(t, label, place, w, must, idf.get(w, 0.0)) for t, label, place, w, must in parts]
     template = F.broadcast(spark.createDataFrame(weight, "template int, label string, place long, word string, must boolean, idf double"))
-    rare = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
-
-    seen = postings.join(rare, "word")
-    order = Window.partitionBy("row").orderBy(F.desc("idf"), "word")
-    chosen = seen.withColumn("nth", F.dense_rank().over(order)).filter(F.col("nth") <= rarest)
-    starts = (
-        chosen.join(template.select("template", "place", "word"), "word")
-        .select("row", "template", (F.col("pos") - F.col("place")).alias("start"))
-        .distinct()
-    )
+    # A match holds all mandatory words, so the rarest of them finds every start.
+    rarest: dict[int, tuple[float, int, str]] = {}
+    for t, _, place, w, must, _ in weight:
+        if must and w in idf:
+            rarest[t] = min(rarest.get(t, (math.inf, 0, "")), (-idf[w], place, w))
+    lookup = F.broadcast(spark.createDataFrame([(t, place, w) for t, (_, place, w) in rarest.items()], "template int, place long, word string"))
+    starts = postings.join(lookup, "word").select("row", "template", (F.col("pos") - F.col("place")).alias("start"))
     expected = starts.join(template, "template").withColumn("pos", F.col("start") + F.col("place"))
     met = expected.join(postings.withColumn("met", F.lit(True)), ["row", "pos", "word"], "left")
     matches = (

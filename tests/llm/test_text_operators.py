@@ -38,6 +38,17 @@ def test_mandatory_phrases_are_checked_word_by_word(spark):
     assert [got[i] for i in range(len(texts))] == [none, none, none, full("proprietary"), full("proprietary"), none, full("bsd"), none, full("mit"), none, full("cc-by")]
 
 
+def test_every_notice_of_a_long_text_is_found(spark):
+    notices = [notice for _, notice, _ in licenses.TEMPLATES]
+    text = " filler eclipse commons attribution mozilla ".join(notices)
+    found = licenses.scan_licenses(spark.createDataFrame([(0, text)] + [(i, "plain license text") for i in range(1, 9)], "doc_id long, text string")).collect()
+    got = next(r for r in found if r["doc_id"] == 0)
+    words = text.split()
+    starts = {(label, i) for label, notice, _ in licenses.TEMPLATES for i in range(len(words)) if words[i : i + len(notice.split())] == notice.split()}
+    assert starts <= {(m["label"], m["start"]) for m in got["matches"] if m["share"] == 1.0}
+    assert got["labels"].split(",") == sorted({label for label, _, _ in licenses.TEMPLATES})
+
+
 def test_licences_of_no_documents(no_docs):
     assert licenses.scan_licenses(no_docs).count() == 0
 

@@ -44,8 +44,9 @@ class Surrogates:
 
     Letters stay letters of their kind, digits digits, and everything else in
     place, so that distinct entities of one format keep distinct surrogates,
-    and equal ones the same surrogate wherever they occur. Each surrogate is
-    inverted at once to prove it (ValueError otherwise).
+    and equal ones the same surrogate wherever they occur. No entity is its own
+    surrogate where its format allows another. Each surrogate is inverted at
+    once to prove it (ValueError otherwise).
     """
 
     def __init__(self, key: str):
@@ -71,6 +72,13 @@ class Surrogates:
                 a = (a + sign * self._number(f"{tweak}{r}", b, sizes[0])) % sizes[0]
         return a, b
 
+    def _moved(self, tweak: str, a: int, b: int, sizes: tuple[int, int], back: bool) -> tuple[int, int]:
+        """A keyed bijection on pairs below `sizes` that leaves no pair as it
+        is, if there are two: one step on the cycle that the rounds lay out."""
+        a, b = self._turn(tweak, a, b, sizes, False)
+        step = (a * sizes[1] + b + (-1 if back else 1)) % (sizes[0] * sizes[1])
+        return self._turn(tweak, *divmod(step, sizes[1]), sizes, True)
+
     def _letters(self, kind: str, text: str, free: list[bool], back: bool) -> str:
         """Permutes the free places of `text` within its format."""
         at = [i for i, c in enumerate(text) if free[i] and c in _CLASS_OF]
@@ -88,7 +96,7 @@ class Surrogates:
             return value, size
 
         (a, size_a), (b, size_b) = pack(range(half)), pack(range(half, len(at)))
-        a, b = self._turn(f"{kind}|{shape}|", a, b, (size_a, size_b), back)
+        a, b = self._moved(f"{kind}|{shape}|", a, b, (size_a, size_b), back)
         out = list(text)
         for value, places in ((a, range(half)), (b, range(half, len(at)))):
             for j in reversed(places):
@@ -99,10 +107,10 @@ class Surrogates:
     def _apply(self, kind: str, text: str, back: bool = False) -> str:
         if kind == "ip":
             o = [int(x) for x in text.split(".")]
-            if not 1 <= o[0] <= 223:
-                return self._letters(kind, text, [False] * len(text), back)
-            a, b = self._turn("ip|", (o[0] - 1) * 256 + o[1], o[2] * 256 + o[3], (223 * 256, 65536), back)
-            return f"{a // 256 + 1}.{a % 256}.{b // 256}.{b % 256}"
+            # Hosts and other addresses (0 and 224 to 255) each stay of their kind.
+            first = range(1, 224) if 1 <= o[0] <= 223 else (0, *range(224, 256))
+            a, b = self._moved(f"ip{len(first)}|", first.index(o[0]) * 256 + o[1], o[2] * 256 + o[3], (len(first) * 256, 65536), back)
+            return f"{first[a // 256]}.{a % 256}.{b // 256}.{b % 256}"
         if kind == "name":
             return " ".join(self._name(w, back) for w in text.split(" "))
         if kind == "email":

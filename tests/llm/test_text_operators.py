@@ -135,6 +135,24 @@ def test_surrogates_are_distinct_and_of_the_same_form(kind):
     check()
 
 
+def test_every_address_is_replaced_within_its_kind():
+    s = pii.Surrogates("key")
+    values = [f"{a}.{b}.113.{94 + b % 7}" for a in range(256) for b in (0, 53, 255)]
+    made = [s.of("ip", v) for v in values]
+    assert len(set(made)) == len(values) and all(m != v for m, v in zip(made, values, strict=True))
+    host = lambda v: 1 <= int(v.split(".")[0]) <= 223
+    assert [host(m) for m in made] == [host(v) for v in values]
+    text, _ = pii.with_surrogates("from 249.53.94.59 and 0.0.0.0 to 224.0.0.1", s)
+    assert not any(v in text.split() for v in ("249.53.94.59", "0.0.0.0", "224.0.0.1"))
+
+
+def test_no_surrogate_equals_its_original():
+    s = pii.Surrogates("key")
+    names = [a + b for a in "AEBLXZ" for b in "aeinou"] + [n for group in pii.GIVEN_NAMES.values() for n in group]
+    made = [s.of("name", n) for n in names]
+    assert len(set(made)) == len(names) and all(m != n for m, n in zip(made, names, strict=True))
+
+
 def test_names_keep_gender_and_script_and_corefer():
     s = pii.Surrogates("key")
     text, found = pii.with_surrogates("Frau Anna Müller and Herr Müller met Mr. Иван; write to a.b1@x.org or a.b1@x.org", s)

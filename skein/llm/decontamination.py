@@ -27,12 +27,13 @@ def windows_of(items: DataFrame, width: int) -> DataFrame:
 def find_passages(docs: DataFrame, items: DataFrame, *, width: int = 10, near: float = 0.8) -> DataFrame:
     """Where windows of `width` benchmark words occur in documents.
 
-    Term frequencies over all documents tell each window's rarest term, its
-    anchor. One pass posts the anchors' places in every document, each with
+    Term frequencies over all documents tell each window's rarest terms, its
+    anchors: one more than a proximity match may lack. One pass posts the anchors' places in every document, each with
     the words around it; postings meet the windows of their anchor, are
     shifted by the anchor's offset, and the other terms' places are
     intersected: all equal is an exact phrase match, at least `near` of them
-    a proximity match. Windows with a term that no document has cannot occur.
+    a proximity match, also where a window begins before a document's first
+    word or ends behind its last. Terms that no document has anchor nothing.
 
     Returns one row per document row: doc_id, n_words, n_hit (words inside an
     exact match), n_items, items_sha256, contaminated, item_ids, n_near
@@ -49,10 +50,15 @@ def find_passages(docs: DataFrame, items: DataFrame, *, width: int = 10, near: f
     df = (spread if small else spread.join(terms, "word", "left_semi")).groupBy("word").agg(F.count("*").alias("df"))
     df = df.persist()
     placed = windows.select("item_id", "terms", F.posexplode("terms").alias("offset", "word"))
-    anchors = (
+    ranked = (
         placed.join(df, "word", "left")
         .groupBy("item_id", "terms")
-        .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset", "word")).alias("a"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset", "word"))).alias("ranked"))
+    )
+    # A match lacks at most n - ceil(n * near) terms, so it has one of one more.
+    n_anchors = (F.size("terms") - F.ceil(F.size("terms") * near) + 1).cast("int")
+    anchors = (
+        ranked.select("item_id", "terms", F.explode(F.slice("ranked", F.lit(1), n_anchors)).alias("a"))
         .filter("a.df > 0")
         .select("item_id", "terms", F.col("a.word").alias("word"), F.col("a.offset").alias("offset"))
         .persist()
@@ -83,7 +89,14 @@ def find_passages(docs: DataFrame, items: DataFrame, *, width: int = 10, near: f
     # Words of the context that stand where the window's terms would.
     begin = lambda w: F.col("left") - w["offset"]
     same = lambda w: F.size(
-        F.filter(F.zip_with(F.slice("context", F.greatest(begin(w), F.lit(0)) + 1, F.size(w["terms"])), w["terms"], lambda a, b: a == b), lambda x: x)
+        F.filter(
+            F.zip_with(
+                F.slice("context", F.greatest(begin(w), F.lit(0)) + 1, F.size(w["terms"]) + F.least(begin(w), F.lit(0))),
+                F.slice(w["terms"], F.greatest(-begin(w), F.lit(0)) + 1, F.size(w["terms"])),
+                lambda a, b: a == b,
+            ),
+            lambda x: x,
+        )
     )
     judged = F.filter(
         F.transform(
@@ -92,7 +105,7 @@ def find_passages(docs: DataFrame, items: DataFrame, *, width: int = 10, near: f
                 w["item_id"].alias("item_id"),
                 (F.col("pos") - w["offset"]).alias("start"),
                 F.size(w["terms"]).alias("n"),
-                F.when(begin(w) >= 0, same(w)).otherwise(0).alias("same"),
+                same(w).alias("same"),
             ),
         ),
         lambda m: m["same"] >= F.ceil(m["n"] * near),

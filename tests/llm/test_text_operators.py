@@ -77,6 +77,36 @@ def test_leaks_beyond_the_literal_sets_are_the_same(spark, monkeypatch):
     assert by_row(decontamination.find_passages(*args), list(brute.leaks("", windows))) == sorted(((d, *brute.leaks(t, windows).values()) for d, t in texts), key=repr)
 
 
+def near_items(text, items, width=10):
+    """Items with a window of which four fifths stand in place, but none whole."""
+    w, exact, near = brute.tokens(text), set(), set()
+    for terms, names in brute.item_windows(items, width).items():
+        for at in range(1 - len(terms), len(w)):
+            same = sum(0 <= at + k < len(w) and w[at + k] == t for k, t in enumerate(terms))
+            exact |= names if same == len(terms) else set()
+            near |= names if same >= 0.8 * len(terms) else set()
+    return len(near - exact)
+
+
+@pytest.mark.parametrize("literal", [50_000, 1])
+def test_near_leaks_equal_the_plain_scan(spark, monkeypatch, literal):
+    monkeypatch.setattr(decontamination, "LITERAL_WORDS", literal)
+    rng = random.Random(7)
+    items = [(i, f"{prose(rng, n // 2)} rare{i} {prose(rng, n - n // 2)}") for i, n in enumerate((4, 6, 9, 9, 14, 18, 30))]
+    texts = []
+    for _, text in items:
+        w = text.split()
+        texts += [text, " ".join(x for x in w if not x.startswith("rare")), " ".join("altered" if x.startswith("rare") else x for x in w)]
+        for k in (1, 2, 3):
+            some = {rng.randrange(len(w)) for _ in range(k)}
+            texts.append(f"{prose(rng, k)} " + " ".join("absent" if i in some else x for i, x in enumerate(w)) + " end")
+        texts += [" ".join(w[1:]), " ".join(w[2:10]), " ".join(w[:-2]), " ".join(w[1:9]) + " " + prose(rng, 5)]
+    texts = list(enumerate(texts))
+    found = decontamination.find_passages(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    want = {d: near_items(t, items) for d, t in texts}
+    assert sum(want.values()) > 20 and {r["doc_id"]: r["n_near"] for r in found.collect()} == want
+
+
 def test_no_benchmark_and_no_documents(spark, docs, no_docs, awkward):
     none = spark.createDataFrame([], "item_id long, text string")
     found = decontamination.find_passages(docs, none)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bound_batches
+from skein.llm.common import bound_batches, materialize
+from skein.llm.jaccard import near_duplicates
 from skein.llm.labels import labelled_sample
 
 #: Letters that look like Latin ones.
@@ -88,12 +89,19 @@ class Lexicon:
         return self._automaton
 
     def hits(self, line: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) of the entries in a folded text, outside exceptions."""
+        """(start, end, weight) of the entries in a folded text, outside
+        exceptions; of a word's entries the one of most weight."""
         found, covered = [], []
         if len(self.weights) + len(self.exceptions):
             for end, (size, weight, skip) in self.automaton().iter(line):
                 (covered if skip else found).append((end + 1 - size, end + 1, weight))
-        return [h for h in found if not any(a <= h[0] and h[1] <= b for a, b, _ in covered)] if covered else found
+        if covered:
+            found = [h for h in found if not any(a <= h[0] and h[1] <= b for a, b, _ in covered)]
+        best: dict[int, tuple[int, int, float]] = {}
+        for h in found:
+            if h[0] not in best or h[2] > best[h[0]][2]:
+                best[h[0]] = h
+        return list(best.values())
 
     def weight(self, line: str) -> float:
         """Summed weight, normalised by the logarithm of the length in words."""
@@ -122,22 +130,20 @@ def _significant(rows: list[tuple[str, int, int]], share: float, tested: int, le
     return [rows[i] for i in order[: last + 1]]
 
 
-def _without_nesting(found: Iterable[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Of entries that begin alike, the longest that stands for nearly all
-    documents of the shorter; then none that begins with a kept one."""
-    by = {t: (pos, neg) for t, pos, neg in found}
+def _without_nesting(found: dict[str, tuple[int, float]]) -> dict[str, float]:
+    """Weights of entries (documents, weight). Of entries that begin alike, the
+    longest stands for nearly all documents of the shorter; then none stays
+    that begins with another of at least its weight."""
     replaced = set()
-    for t, (pos, _) in by.items():
+    for t, (pos, _) in found.items():
         stem = t.rstrip()
         for k in range(5, len(stem) + (t != stem)):
-            if (short := stem[:k]) in by and short != t and pos >= 0.95 * by[short][0]:
+            if (short := stem[:k]) in found and short != t and pos >= 0.95 * found[short][0]:
                 replaced.add(short)
-    kept: list[tuple[str, int, int]] = []
-    names: set[str] = set()
-    for t in sorted(by.keys() - replaced, key=lambda t: (len(t), t)):
-        if not any(t[:k] in names for k in range(5, len(t))):
-            names.add(t)
-            kept.append((t, *by[t]))
+    kept: dict[str, float] = {}
+    for t in sorted(found.keys() - replaced, key=lambda t: (len(t), t)):
+        if not any(kept.get(t[:k], -math.inf) >= found[t][1] for k in range(5, len(t))):
+            kept[t] = found[t][1]
     return kept
 
 
@@ -157,16 +163,19 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-def fit_lexicon(sample: DataFrame, *, least_share: float = 0.03, least_odds: float = 20.0, max_terms: int = 200_000) -> Lexicon:
+def fit_lexicon(sample: DataFrame, *, max_terms: int = 200_000) -> Lexicon:
     """Learns entries, exceptions and scale from a bounded sample (doc_id, text, y).
 
     A term's weight is its log odds between toxic and other documents. Terms
     enter if their share of toxic documents is significant at a false-discovery
-    rate of 1 %, if at least `least_share` of the toxic documents have them, and
-    if they are `least_odds` times as frequent there as elsewhere. An exception is a neighbouring word pair that occurs in clean
-    documents of the sample only. Without both labels the known insults alone
-    make the lexicon.
+    rate of 1 %. Of near copies with one label only one counts, so that a copied
+    text does not make its words significant. An exception is a neighbouring
+    word pair that occurs in clean documents of the sample only. Without both
+    labels the known insults alone make the lexicon.
     """
+    groups = near_duplicates(sample).join(sample.select("doc_id", "y").distinct(), "doc_id")
+    first = groups.groupBy("component_id", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    sample = materialize(sample.join(F.broadcast(first), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "toxic_sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,17 +199,13 @@ def fit_lexicon(sample: DataFrame, *, least_share: float = 0.03, least_odds: flo
     share = n_pos / (n_pos + n_neg)
     df = df.filter("pos + neg >= 3").persist()
     tested = df.count()
-    rich = df.filter((F.col("pos") >= 3) & (F.col("pos") > 2 * share * (F.col("pos") + F.col("neg"))) & (F.col("pos") > 0.7 * (F.col("pos") + F.col("neg"))))
-    # Copies of one toxic document make all its words look significant; an
-    # entry must also be in a fair share of toxic documents, and rare elsewhere.
-    rich = rich.filter((F.col("pos") >= least_share * n_pos) & (F.col("pos") * n_neg >= least_odds * F.col("neg") * n_pos))
+    rich = df.filter((F.col("pos") >= 3) & (F.col("pos") > share * (F.col("pos") + F.col("neg"))))
     rows = [tuple(r) for r in rich.orderBy(F.desc("pos"), "neg", "term").limit(max_terms).collect()]
     clean = {r["term"] for r in df.filter(F.col("term").isin(list(known)) & (F.col("neg") > F.col("pos"))).collect()}
     df.unpersist()
-    kept = _without_nesting(_significant(rows, share, tested))
-    weights = {t: min(8.0, math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1))) for t, pos, neg in kept}
-    covered = {t for t in known if any(t[:k] in weights for k in range(5, len(t) + 1))}
-    lexicon = Lexicon({**{t: w for t, w in known.items() if t not in clean and t not in covered}, **weights})
+    odds = lambda pos, neg: min(8.0, math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1)))
+    weights = _without_nesting({t: (pos, odds(pos, neg)) for t, pos, neg in _significant(rows, share, tested)})
+    lexicon = Lexicon({**{t: w for t, w in known.items() if t not in clean}, **weights})
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

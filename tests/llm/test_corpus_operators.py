@@ -163,6 +163,18 @@ def test_toxicity_learns_words_and_stems(labelled):
     assert lexicon.score(toxicity.folded("you Grоmblеton")) < 0.5 < lexicon.score(toxicity.folded("you zаrkf4ce"))
 
 
+def test_toxicity_learns_a_wide_vocabulary_but_no_copies(spark):
+    rng = random.Random(9)
+    rows = [(i, f"{prose(rng, 20)} zonk{'abcdefgh'[i % 8]}{'klmno'[i // 8 % 5]}q {prose(rng, 20)}", 1) for i in range(1000)]
+    rows += [(i, prose(rng, 40), 0) for i in range(1000, 2000)]
+    copied = f"{prose(rng, 30)} harmlessword {prose(rng, 30)}"
+    rows += [(i, f"{copied} {prose(rng, 1)}", 1) for i in range(2000, 2060)]
+    lexicon = toxicity.fit_lexicon(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    insults = {t.split()[20] for _, t, y in rows[:1000]}
+    assert len(insults) == 40 and all(lexicon.score(f" you {w} ") > 0.5 for w in insults)
+    assert lexicon.weight(" harmlessword ") == 0
+
+
 def test_folding():
     assert toxicity.folded("  1d10t, IDІOT! m0rоn $cum") == " idiot idiot moron scum "
     assert toxicity.folded(None) == toxicity.folded("") == " " and toxicity.folded("in 2024, 7 of 9") == " in of "

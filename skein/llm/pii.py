@@ -14,16 +14,27 @@ from skein.llm.common import bound_batches
 
 #: Given names by script and gender.
 GIVEN_NAMES = {
-    ("latin", "f"): "Anna Maria Emma Julia Laura Sarah Marta Elena Claire Sophie Lucia Carmen Ingrid Petra Helen Alice Nora Irene Paula Diana".split(),
-    ("latin", "m"): "John James Peter Paul David Thomas Martin Daniel Jean Pierre Carlos Miguel Hans Karl Robert Simon Victor Oscar Hugo Adam".split(),
-    ("cyrillic", "f"): "Анна Мария Елена Ольга Ирина Наталья Татьяна Светлана Юлия Вера".split(),
-    ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил Павел Олег".split(),
+    ("latin", "f"): (
+        "Anna Maria Emma Julia Laura Sarah Marta Elena Claire Sophie Lucia Carmen Ingrid Petra Helen Alice Nora Irene Paula Diana "
+        "Clara Eva Greta Hanna Ida Johanna Katrin Lena Martha Monica Olivia Pilar Rosa Ruth Silvia Susanne Teresa Ursula Valerie Vera"
+    ).split(),
+    ("latin", "m"): (
+        "John James Peter Paul David Thomas Martin Daniel Jean Pierre Carlos Miguel Hans Karl Robert Simon Victor Oscar Hugo Adam "
+        "Albert Andreas Antonio Bernard Bruno Diego Erik Felix Francisco George Henry Jakob Jorge Klaus Louis Manuel Michael Otto Philip Stefan"
+    ).split(),
+    ("cyrillic", "f"): "Анна Мария Елена Ольга Ирина Наталья Татьяна Светлана Юлия Вера Екатерина Людмила Галина Надежда Любовь".split(),
+    ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил Павел Олег Владимир Виктор Юрий Антон Максим".split(),
 }
 #: What introduces a name.
 TITLES = "Mrs Mr Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señora Señor Sra Sr Doña Don".split()
 
-_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?"
-_TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\b\.?\x20({_NAME}(?:\x20{_NAME})?)|\b(?:[Mm]y name is|[Nn]ame:)\x20({_NAME}(?:\x20{_NAME})?)")
+_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][a-zß-öø-ÿа-яёα-ωά-ώ]+(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?"
+#: Scripts without capitals: a name of them is what follows "name:" up to the next other sign.
+_UNCASED = r"[\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7A3\u0590-\u06FF\u0900-\u097F\u0E00-\u0E7F]+"
+_TITLED = re.compile(
+    rf"\b(?:{'|'.join(TITLES)})\b\.?\x20({_NAME}(?:\x20{_NAME})?)|\b(?:[Mm]y name is|[Nn]ame:)\x20(?:({_NAME}(?:\x20{_NAME})?)|({_UNCASED}(?:[\x20·]{_UNCASED})?))"
+)
+_WORD = re.compile(r"\w+(?:-\w+)*")
 _PATTERNS = {
     "email": re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)"),
@@ -34,8 +45,26 @@ _PATTERNS = {
 }
 _DIGIT = re.compile(r"\d")
 
-_CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ"]
+#: What may stand for what: digits, vowels, consonants and marked letters of
+#: either case, and the letters of other scripts among themselves. Common
+#: Chinese characters of names stay among themselves, as do the others.
+_COMMON_HAN = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许邓冯韩曹曾彭伟芳娜敏静丽强磊军洋勇艳杰娟涛明超兰霞平刚桂英华文玉红建国志春雷"
+
+
+def _between(*spans: tuple[int, int], leave: str = "") -> str:
+    return "".join(c for a, b in spans for c in map(chr, range(a, b + 1)) if c.isalpha() and c not in leave)
+
+
+_CLASSES = [
+    "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ",
+    "àáâãäåæèéêëìíîïòóôõöøùúûü", "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜ", "çðñýþÿß", "ÇÐÑÝÞ",
+    "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ",
+    "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
+    _COMMON_HAN, _between((0x3400, 0x9FFF), leave=_COMMON_HAN), _between((0x3041, 0x3096)), _between((0x30A1, 0x30FA)),
+    _between((0xAC00, 0xD7A3)), _between((0x05D0, 0x05EA)), _between((0x0620, 0x064A), (0x0671, 0x06D3)), _between((0x0904, 0x0939)), _between((0x0E01, 0x0E30)),
+]
 _CLASS_OF = {c: k for k, cs in enumerate(_CLASSES) for c in cs}
+_PLACE_OF = {c: i for cs in _CLASSES for i, c in enumerate(cs)}
 ROUNDS = 10
 
 
@@ -46,7 +75,8 @@ class Surrogates:
     place, so that distinct entities of one format keep distinct surrogates,
     and equal ones the same surrogate wherever they occur. No entity is its own
     surrogate where its format allows another. Each surrogate is inverted at
-    once to prove it (ValueError otherwise).
+    once to prove it; one that could not be would be replaced letter by letter
+    within its format, a bijection for any text.
     """
 
     def __init__(self, key: str):
@@ -91,7 +121,7 @@ class Surrogates:
         def pack(places: range) -> tuple[int, int]:
             value, size = 0, 1
             for j in places:
-                value = value * len(classes[j]) + classes[j].index(text[at[j]])
+                value = value * len(classes[j]) + _PLACE_OF[text[at[j]]]
                 size *= len(classes[j])
             return value, size
 
@@ -147,7 +177,7 @@ class Surrogates:
     def _of(self, kind: str, text: str) -> str:
         out = self._apply(kind, text)
         if self._apply(kind, out, back=True) != text:
-            raise ValueError(f"a surrogate of type {kind} can't be inverted")
+            return self._letters(f"{kind}|plain", text, [True] * len(text), False)
         return out
 
 
@@ -164,10 +194,33 @@ def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97
 
 
+def _is_iban(text: str) -> bool:
+    """Length and check digits; those of an issued number are 02 to 98."""
+    return 15 <= len(text.replace(" ", "")) <= 34 and 2 <= int(text[2:4]) <= 98 and _mod97(text) == 1
+
+
+def _mentions(text: str, names: set[str]) -> Iterator[tuple[int, int]]:
+    """Where words of introduced names stand again; neighbouring ones are one name."""
+    words = {w for name in names for w in _WORD.findall(name)}
+    start = end = -1
+    for m in _WORD.finditer(text):
+        if m[0] in words:
+            if start >= 0 and text[end : m.start()] == " ":
+                end = m.end()
+                continue
+            if start >= 0:
+                yield start, end
+            start, end = m.span()
+    if start >= 0:
+        yield start, end
+
+
 def find_entities(text: str | None) -> list[tuple[str, int, int]]:
     """(type, start, end) of personal data, left to right without overlap; of
     overlapping finds the earlier start wins, then the longer, then the order
-    email, iban, ip, phone, ssn, card, name. Positions count code points."""
+    email, iban, ip, phone, ssn, card, name. A name is what a title or "name:"
+    introduces, and every other mention of its words in the text. Positions
+    count code points; null and empty texts have none."""
     if not text:
         return []
     found: list[tuple[int, int, int, str]] = []
@@ -176,11 +229,14 @@ def find_entities(text: str | None) -> list[tuple[str, int, int]]:
     for rank, (kind, pattern) in enumerate(_PATTERNS.items()):
         if "@" in text if kind == "email" else digits:
             for m in pattern.finditer(text):
-                if kind != "iban" or _mod97(m[0]) == 1 and 15 <= len(m[0].replace(" ", "")) <= 34:
+                if kind != "iban" or _is_iban(m[0]):
                     found.append((m.start(), -m.end(), rank, kind))
+    called: set[str] = set()
     for m in _TITLED.finditer(text):
-        group = 1 if m[1] else 2
-        found.append((m.start(group), -m.end(group), len(names), "name"))
+        called.add(m[m.lastindex])
+        found.append((m.start(m.lastindex), -m.end(m.lastindex), len(names), "name"))
+    if called:
+        found += [(a, -b, len(names), "name") for a, b in _mentions(text, called)]
     out: list[tuple[str, int, int]] = []
     reach = 0
     for start, end, _, kind in sorted(found):
@@ -207,7 +263,8 @@ def pseudonymize(docs: DataFrame, *, key: str) -> DataFrame:
     """doc_id, text (with surrogates) and entities (type, start, end,
     surrogate) for every row of `docs`. The same key gives the same surrogates
     in every document and run. Null texts stay null, texts without entities
-    stay as they are; other columns are not read."""
+    (empty ones too) stay as they are; repeated rows each get a row; no rows
+    give no rows; texts are read whole; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surrogates = Surrogates(key)

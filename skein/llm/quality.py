@@ -14,8 +14,11 @@ from skein.llm.common import bound_batches
 from skein.llm.labels import labelled_sample
 from skein.llm.shingles import word_hashes
 
-#: Byte classes: each lower-case letter, upper-case letters as one, digits as
-#: one, each ASCII sign, blanks, and eight classes of non-ASCII bytes.
+#: Byte classes: other controls, each lower-case letter, upper-case letters as
+#: one, digits as one, blanks, line ends, each ASCII sign, and kinds of
+#: non-ASCII bytes: two of continuation bytes, and the lead bytes of marked
+#: Latin letters, Greek, Cyrillic, other two-byte letters, and three and four bytes.
+CLASSES = 72
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[65:91] = 27
@@ -23,32 +26,36 @@ _CLASS[48:58] = 28
 _CLASS[[32, 9, 13]] = 29
 _CLASS[10] = 30
 _SIGNS = [c for c in range(33, 127) if not chr(c).isalnum()]
-_CLASS[_SIGNS] = np.arange(31, 31 + len(_SIGNS)) % 64
-_CLASS[128:] = np.arange(128) % 8 + 31 + len(_SIGNS) - 8
-_CLASS = np.minimum(_CLASS, 63)
-#: Terms: pairs of byte classes, and four that count repetition.
-TERMS = 64 * 64 + 4
+_CLASS[_SIGNS] = np.arange(31, 31 + len(_SIGNS))
+_MORE = 31 + len(_SIGNS)
+for _k, (_from, _to) in enumerate([(0x80, 0xA0), (0xA0, 0xC0), (0xC0, 0xE0), (0xC2, 0xC6), (0xCE, 0xD0), (0xD0, 0xD4), (0xE0, 0xF0), (0xF0, 0x100)]):
+    _CLASS[_from:_to] = _MORE + _k
+_CAPITALS = 27 * CLASSES + 27
+#: Terms: pairs of byte classes, words by hash, and four that count repetition.
+PAIRS, WORD_TERMS = CLASSES * CLASSES, 1 << 12
+TERMS = PAIRS + WORD_TERMS + 4
 
 
 def term_counts(texts: Sequence[str | None]) -> np.ndarray:
     """Term counts of each text: byte-class pairs over the whole text, words
-    equal to the one before, word pairs and word triples seen before in the
-    text, and words in capitals; one row a text."""
+    by hash, words equal to the one before, word pairs and word triples seen
+    before in the text, and words in capitals; one row a text."""
     raw = [(t or "").encode() for t in texts]
     out = np.zeros((len(raw), TERMS), np.float32)
     for i, r in enumerate(raw):
         if len(r) > 1:
             c = _CLASS[np.frombuffer(r, np.uint8)]
-            out[i, :4096] = np.bincount(c[:-1] * 64 + c[1:], minlength=4096)
+            out[i, :PAIRS] = np.bincount(c[:-1] * CLASSES + c[1:], minlength=PAIRS)
             # Runs inside capitals count once more: shouting is a term of its own.
-            out[i, 4099] = out[i, 27 * 64 + 27] / 4
+            out[i, -1] = out[i, _CAPITALS] / 4
     words, at = word_hashes(raw)
     for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
         w = words[a:b]
+        out[i, PAIRS:-4] = np.bincount((w % np.uint64(WORD_TERMS)).astype(np.int64), minlength=WORD_TERMS)
         if len(w) > 2:
             two = w[:-1] * np.uint64(3) + w[1:]
             three = two[:-1] * np.uint64(5) + w[2:]
-            out[i, 4096:4099] = (w[1:] == w[:-1]).sum(), len(two) - len(np.unique(two)), len(three) - len(np.unique(three))
+            out[i, -4:-1] = (w[1:] == w[:-1]).sum(), len(two) - len(np.unique(two)), len(three) - len(np.unique(three))
     return out
 
 
@@ -81,11 +88,13 @@ class LatentSpace:
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Square roots of relative frequencies by IDF; repetition weighs as much
-    as a fixed share of the text."""
-    length = np.maximum(counts[:, :4096].sum(1, keepdims=True), 1.0)
+    """Square roots of relative frequencies by IDF, of pairs and of words each
+    by their own number; repetition weighs as much as a fixed share of the text."""
+    pairs = np.maximum(counts[:, :PAIRS].sum(1, keepdims=True), 1.0)
+    words = np.maximum(counts[:, PAIRS:-4].sum(1, keepdims=True), 1.0)
+    length = np.concatenate([np.repeat(pairs, PAIRS, 1), np.repeat(words, WORD_TERMS, 1), np.repeat(pairs, 4, 1)], 1)
     out = np.sqrt(counts / length) * idf
-    out[:, 4096:] *= 4.0
+    out[:, -4:] *= 4.0
     return out
 
 
@@ -150,7 +159,9 @@ def _counted(batches: Iterator[pa.RecordBatch], block: int = 128) -> Iterator[tu
 def with_quality(docs: DataFrame, space: LatentSpace, block: int = 128) -> DataFrame:
     """`docs` (text and any other columns) with a score (0 to 1) for each row;
     a column of that name is replaced. Texts of fewer than two bytes are
-    similar to nothing and score the sample's share of label 1."""
+    similar to nothing and score the sample's share of label 1, as do all where
+    the space has no voters (0.5 then). Equal texts score alike; no rows give
+    no rows. Of equally near neighbours any may vote."""
     bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(vars(space))
     docs = docs.drop("score")
@@ -170,6 +181,12 @@ def with_quality(docs: DataFrame, space: LatentSpace, block: int = 128) -> DataF
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, per_label: int = 2000, folds: int = 3, held_out: int = 1) -> LatentSpace:
     """The space of at most `per_label` labelled rows of each label outside
-    the held-out fold."""
+    the held-out fold. Null and empty texts are rows without terms; an id that
+    repeats may count up to the sample's bound; without labels, or documents,
+    the space has no voters."""
     bound_batches(docs.sparkSession)
-    return fit_space(labelled_sample(docs, labels, "quality", folds=folds, held_out=held_out, per_label=per_label).persist())
+    sample = labelled_sample(docs, labels, "quality", folds=folds, held_out=held_out, per_label=per_label).persist()
+    try:
+        return fit_space(sample)
+    finally:
+        sample.unpersist()

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import bound_batches, materialize
@@ -33,6 +33,8 @@ KNOWN_WEIGHT = 3.0
 #: Phrases in which an entry is no insult.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clown nose", "sore loser clause", "bitch unit", "moron number", "stupid simple", "pathetic fallacy")
 PREFIXES = range(4, 9)
+#: False discoveries among learned entries.
+LEVEL = 0.01
 
 _TABLE = {ord(k): v for k, v in HOMOGLYPHS.items()}
 _TABLE |= {c: chr(c - 0xFEE0).lower() for c in range(0xFF21, 0xFF5B) if chr(c - 0xFEE0).isalpha()}
@@ -113,7 +115,14 @@ class Lexicon:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.slope * self.weight(line) + self.offset))))
 
 
-def _significant(rows: list[tuple[str, int, int]], share: float, tested: int, level: float = 0.01) -> list[tuple[str, int, int]]:
+def _may_pass(share: float, level: float = LEVEL) -> Column:
+    """Terms (pos, neg) whose own bound is below `level`, as all are that _significant keeps."""
+    n = F.col("pos") + F.col("neg")
+    clean = F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / n / (1 - share))).otherwise(0.0)
+    return (F.col("pos") > share * n) & (F.col("pos") * F.log(F.col("pos") / n / share) + clean >= -math.log(level) - 1e-6)
+
+
+def _significant(rows: list[tuple[str, int, int]], share: float, tested: int, level: float = LEVEL) -> list[tuple[str, int, int]]:
     """Benjamini-Hochberg over Chernoff bounds of the binomial tail: how likely
     so many toxic documents among a term's documents are by chance."""
     if not rows:
@@ -163,7 +172,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-def fit_lexicon(sample: DataFrame, *, max_terms: int = 200_000) -> Lexicon:
+def fit_lexicon(sample: DataFrame) -> Lexicon:
     """Learns entries, exceptions and scale from a bounded sample (doc_id, text, y).
 
     A term's weight is its log odds between toxic and other documents. Terms
@@ -171,7 +180,9 @@ def fit_lexicon(sample: DataFrame, *, max_terms: int = 200_000) -> Lexicon:
     rate of 1 %. Of near copies with one label only one counts, so that a copied
     text does not make its words significant. An exception is a neighbouring
     word pair that occurs in clean documents of the sample only. Without both
-    labels the known insults alone make the lexicon.
+    labels, or rows, the known insults alone make the lexicon. Null and empty
+    texts have no terms; repeated rows count once. What comes to the driver is
+    bounded by the sample: its significant terms and pairs.
     """
     groups = near_duplicates(sample).join(sample.select("doc_id", "y").distinct(), "doc_id")
     first = groups.groupBy("component_id", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
@@ -199,8 +210,8 @@ def fit_lexicon(sample: DataFrame, *, max_terms: int = 200_000) -> Lexicon:
     share = n_pos / (n_pos + n_neg)
     df = df.filter("pos + neg >= 3").persist()
     tested = df.count()
-    rich = df.filter((F.col("pos") >= 3) & (F.col("pos") > share * (F.col("pos") + F.col("neg"))))
-    rows = [tuple(r) for r in rich.orderBy(F.desc("pos"), "neg", "term").limit(max_terms).collect()]
+    rich = df.filter((F.col("pos") >= 3) & _may_pass(share))
+    rows = [tuple(r) for r in rich.orderBy(F.desc("pos"), "neg", "term").collect()]
     clean = {r["term"] for r in df.filter(F.col("term").isin(list(known)) & (F.col("neg") > F.col("pos"))).collect()}
     df.unpersist()
     odds = lambda pos, neg: min(8.0, math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1)))
@@ -232,7 +243,7 @@ def fit_lexicon(sample: DataFrame, *, max_terms: int = 200_000) -> Lexicon:
 
     pairs = sample.select("text", F.col("y").cast("int").alias("y")).mapInArrow(look, "pair string, x double, y int")
     only_clean = pairs.filter("pair <> ''").groupBy("pair").agg(F.count("*").alias("n"), F.max("y").alias("toxic")).filter("toxic = 0 AND n >= 2")
-    lexicon.exceptions = (*EXCEPTIONS, *sorted(r["pair"] for r in only_clean.limit(10_000).collect()))
+    lexicon.exceptions = (*EXCEPTIONS, *sorted(r["pair"] for r in only_clean.collect()))
     lexicon._automaton = None
     x, y = points(lexicon)
     lexicon.slope, lexicon.offset = _logistic(x, y)
@@ -241,7 +252,8 @@ def fit_lexicon(sample: DataFrame, *, max_terms: int = 200_000) -> Lexicon:
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, score (0 to 1), n_hits for every row of `docs`. Null and empty
-    texts have no hits and score as texts without any."""
+    texts have no hits and score as texts without any; equal texts score alike;
+    no rows give no rows; texts are matched whole; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,6 +270,12 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, per_label: int = 4000, folds: int = 5, held_out: int = 0) -> DataFrame:
     """Scores every document with a lexicon learned from at most `per_label`
-    rows of each label outside the held-out fold."""
+    rows of each label outside the held-out fold (fit_lexicon, score_toxicity).
+    Labels that are null, or differ for one id, are left out."""
     bound_batches(docs.sparkSession)
-    return score_toxicity(docs, fit_lexicon(labelled_sample(docs, labels, "toxic", folds=folds, held_out=held_out, per_label=per_label).persist()))
+    sample = labelled_sample(docs, labels, "toxic", folds=folds, held_out=held_out, per_label=per_label).persist()
+    try:
+        lexicon = fit_lexicon(sample)
+    finally:
+        sample.unpersist()
+    return score_toxicity(docs, lexicon)

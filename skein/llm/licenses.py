@@ -31,6 +31,45 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc-by", "licensed under a creative commons attribution", ("creative commons attribution",)),
     ("proprietary", "all rights reserved", ("all rights reserved",)),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+        "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+        "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+        ("permission is hereby granted free of charge", "without restriction"),
+    ),
+    (
+        "apache",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
+        ("compliance with the license", "apache org licenses"),
+    ),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
+        "as published by the free software foundation either version 2 of the license or at your option any later version",
+        ("gnu general public license", "free software foundation"),
+    ),
+    (
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+        "in the documentation and or other materials provided with the distribution",
+        ("redistributions of source code", "redistributions in binary form"),
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies",
+        ("permission to use copy modify", "hereby granted provided that"),
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages",
+        ("express or implied warranty", "held liable for any damages"),
+    ),
+    ("boost", "distributed under the boost software license version 1 0", ("boost software license",)),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("source code form", "mozilla public license")),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights", ("related or neighboring rights",)),
 )
 #: Phrases whose places are always counted, and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -38,26 +77,36 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 COMMON = frozenset("the a an is are of to and or in into any this with without for under by all as no use 0".split())
 
 
+def _mandatory(notice: str, phrases: tuple[str, ...]) -> list[tuple[int, list[str]]]:
+    """Where the mandatory phrases stand in a notice, and their words."""
+    terms = notice.split()
+    each = [p.split() for p in phrases]
+    return [(next(i for i in range(len(terms)) if terms[i : i + len(p)] == p), p) for p in each]
+
+
+def template_words() -> list[tuple[int, str, int, str, bool]]:
+    """(template, label, place, word, mandatory) of what is looked for: common
+    words only where a mandatory phrase has them."""
+    rows = []
+    for t, (label, notice, phrases) in enumerate(TEMPLATES):
+        must = {i for at, p in _mandatory(notice, phrases) for i in range(at, at + len(p))}
+        rows += [(t, label, i, w, i in must) for i, w in enumerate(notice.split()) if i in must or w not in COMMON]
+    return rows
+
+
 def _parts() -> tuple[list[tuple], list[str], list[tuple[str, int, str]]]:
-    """Template postings (template, label, place, word, mandatory), all posted
-    words, and the common words of mandatory phrases: (word, distance, posted
-    word of the phrase that must stand there)."""
-    rows, posted = [], {w for phrase, _ in BASE for w in phrase.split()}
+    """Template postings, all posted words, and the common words of mandatory
+    phrases: (word, distance, posted word of the phrase that must stand there)."""
     beside: set[tuple[str, int, str]] = set()
-    for t, (label, notice, phrases) in enumerate(TEMPLATES):
-        terms = notice.split()
-        must: set[int] = set()
-        for phrase in phrases:
-            p = phrase.split()
-            at = next(i for i in range(len(terms)) if terms[i : i + len(p)] == p)
-            must |= set(range(at, at + len(p)))
+    for _, notice, phrases in TEMPLATES:
+        for _, p in _mandatory(notice, phrases):
             rare = [k for k, w in enumerate(p) if w not in COMMON]
             for i, w in enumerate(p):
                 if w in COMMON:
                     k = min(rare, key=lambda k: (abs(k - i), k))
                     beside.add((w, k - i, p[k]))
-        rows += [(t, label, i, w, i in must) for i, w in enumerate(terms) if i in must or w not in COMMON]
-    posted |= {r[3] for r in rows if r[3] not in COMMON}
+    rows = template_words()
+    posted = {w for phrase, _ in BASE for w in phrase.split()} | {r[3] for r in rows if r[3] not in COMMON}
     return rows, sorted(posted), sorted(beside)
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontamination, jaccard, licenses, mixing, pii, quality, secrets, sharding, topk, toxicity
+from skein.llm import decontamination, jaccard, licenses, mixing, oracles, pii, quality, secrets, sharding, topk, toxicity
 from skein.llm.common import table
 from skein.llm.labels import fold
 
@@ -29,7 +30,7 @@ def _judged(scored: DataFrame, *, folds: int, held_out: int) -> DataFrame:
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices of every document (licenses.scan_licenses)."""
-    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("matches")
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +51,15 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.find_passages(docs.select("doc_id", "text"), items).drop("item_ids", "text_key")
 
 
-def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: A public vocabulary whose words guessers know; without the file, only the
+#: built-in words count.
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str, vocabulary: str | None = VOCABULARY) -> DataFrame:
     """Secret spans of every document (secrets.scan_secrets), as counts and digests."""
-    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    words = secrets.vocabulary_words(vocabulary) if vocabulary and os.path.exists(vocabulary) else ()
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), words=words)
 
     def of(kind: str) -> Column:
         return F.filter("spans", lambda s: s["kind"] == kind)
@@ -85,7 +92,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes from every document (mixing.mix)."""
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", mixing.blank_word_count(F.col("text")).alias("n_words"), F.xxhash64("text").alias("text_key")
+        "doc_id", "source", mixing.blank_word_count(F.col("text")).alias("n_words"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key")
     )
     mixed = mixing.mix(docs, member=F.array("source"), size=F.col("n_words"), identity=[F.col("doc_id"), F.col("text_key")])
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
@@ -120,24 +127,5 @@ def queries() -> dict[str, Query]:
     }
 
 
-#: The same rows in DuckDB, for the operators that SQL can express.
-TOP_K_SQL = """
-WITH q AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), scored AS (
-  SELECT a.vec_id AS query_id, b.vec_id,
-         CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
-  FROM q a JOIN q b ON a.vec_id <> b.vec_id
-  WHERE a.vec_id % 50 = 0
-), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
-)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": TOP_K_SQL}
+    return oracles.sql()

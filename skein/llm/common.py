@@ -24,22 +24,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share: spark.checkpoint.dir, or, where
-    that is unset (tests), a temporary one."""
+    """The folder driver and executors share: spark.checkpoint.dir. A local
+    master without one (tests) gets a temporary folder; a cluster must name one."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-"))
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Rows of one file where materialize() is told how many there may be.
+FILE_ROWS = 1_000_000
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives
-    lost executors, and computes its input a single time."""
+    lost executors, and computes its input a single time. `rows`: at most so
+    many narrow rows come, and go to few files instead of one a partition."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df if rows is None else df.repartition(rows // FILE_ROWS + 1)).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._skein_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what materialize() wrote for `frames`; nothing may read them later."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._skein_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of one Arrow batch, so that a worker holds a few MB of texts at once.
@@ -81,9 +97,20 @@ def words(lowered: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(lowered, F.lit("")), GAP), "")
 
 
-def unit(key: Column) -> Column:
-    """A 64-bit hash as a fraction of [0, 1), in the same order."""
-    return F.least(key.cast("double") / F.lit(2.0**64) + F.lit(0.5), F.lit(1.0 - 2.0**-52))
+#: Bits of draw().
+DRAW_BITS = 60
+
+
+def draw(*parts: Column) -> Column:
+    """A seeded number of DRAW_BITS bits: the head of the MD5 sum of the parts,
+    so that any engine can draw the same. Null parts are left out."""
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("long")
+
+
+def unit(drawn: Column) -> Column:
+    """A draw as a fraction of [0, 1), in the same order."""
+    return F.least(drawn.cast("double") / F.lit(2.0**DRAW_BITS), F.lit(1.0 - 2.0**-52))
 
 
 def running_total(

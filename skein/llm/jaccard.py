@@ -1,13 +1,15 @@
 """The n-gram Jaccard join as a blocked sparse matrix product.
 
-The incidence of documents by shingles is cut into blocks of columns. A first
+The incidence of documents by shingles is cut into blocks of columns. A
 product over the blocks counts, for each set, the shingles it shares with any
-other set; sets that share too few to reach the threshold leave. For the
-others, a product over the columns that the size-derived bound requires gives
-candidate pairs, in two rounds: first every set with the smallest of its
-column, then, in columns whose sets aren't connected yet, all pairs that would
-connect. Pairs whose sizes and shared counts exclude a link are discarded;
-each other pair's overlap is counted exactly.
+other set; sets that share too few to reach the threshold leave. Of the others
+a second product takes the columns that the size-derived bound requires: the
+rarest of each set, in one order for all, so that a common passage is left out
+of nearly every set. Two sets that meet in a column are a pair only if the
+places of the column in both leave room for the overlap they need. Pairs come
+in rounds: each set with a few sets of its column, of other components, and at
+last, in the columns whose sets aren't connected yet, all pairs that would
+connect. Each pair's overlap is counted exactly.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import batches_of, bound_batches, materialize
+from skein.llm.common import batches_of, bound_batches, discard, materialize
 from skein.llm.shingles import set_signature, shingle_sets
 
 #: So many sets, or hashes, are gathered before a map task writes.
@@ -27,6 +29,12 @@ GATHER, GATHER_HASHES = 8_192, 1_500_000
 #: Bits of the table that keeps most sets without partners out of a shuffle.
 #: It has a fixed size; where it fills up, the join after it does all the work.
 FILTER_BITS = 1 << 25
+#: So many counted entries make a block of columns, whatever the input's size.
+BLOCK_ENTRIES = 1 << 19
+#: Counters of the fixed-size sketch of column frequencies, and rows it takes.
+COUNTERS, COUNTER_ROWS = 1 << 20, 64
+#: Sets of a column that each of its sets meets, by round, before all meet.
+HUBS = (1, 16)
 
 
 def _signatures(texts: DataFrame, width: int) -> DataFrame:
@@ -59,12 +67,6 @@ def _lower_half(width: int) -> Sets:
     return sets
 
 
-def _packed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    """Signatures and all hashes of a batch of packed sets."""
-    for sig, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        yield sig, np.frombuffer(raw.as_py(), np.uint64)
-
-
 def _column_blocks(source: DataFrame, sets_of: Sets, blocks: int) -> DataFrame:
     """The incidence of sets by hashes in blocks of columns: packed entries of
     48 hash bits and 16 bits for the set's place in `sigs`.
@@ -208,20 +210,73 @@ def _kept_sets(texts: DataFrame, kept: DataFrame, width: int) -> DataFrame:
     return sets.join(kept.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
 
 
-def _required_columns(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """sig, n, shared, column: the lowest hashes of each set in `sizes`, so
-    many that two linked sets have one in common."""
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many hashes of all sets fall on each of COUNTERS counters."""
+    width = COUNTERS // COUNTER_ROWS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                np.add.at(total, np.frombuffer(raw.as_py(), np.uint64) % np.uint64(COUNTERS), 1)
+        parts = [(k, total[k * width : (k + 1) * width]) for k in range(COUNTER_ROWS)]
+        parts = [(k, p) for k, p in parts if p.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())], ["k", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.int64)
+        for raw in table["counts"]:
+            total += np.frombuffer(raw.as_py(), np.int64)
+        return pa.table({"k": table["k"][:1], "counts": pa.array([total.tobytes()])})
+
+    found = sets.select("hashes").mapInArrow(count, "k int, counts binary").groupBy("k").applyInArrow(add, "k int, counts binary").toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    for k, raw in zip(found["k"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        out[k * width : (k + 1) * width] = np.frombuffer(raw, np.int64)
+    return out
+
+
+def _required_columns(sets: DataFrame, percent: int) -> DataFrame:
+    """sig, n, column, place: the rarest hashes of each set, so many that two
+    linked sets have one in common, and their places in the set's order.
+
+    Rarity is the count of the hash's counter, then the hash: any order that is
+    the same for all sets gives the same links, a better one fewer pairs."""
+    held = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = held.value
         for batch in batches:
             lists = []
             for n, raw in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                s = np.frombuffer(raw.as_py(), np.uint64)
                 need = n - -(-percent * n // 100) + 1
-                lists.append(np.frombuffer(raw.as_py(), np.int64)[:need])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["sig", "columns"])
-
-    lists = sets.select("sig", "n", "hashes").mapInArrow(run, "sig long, columns array<long>")
-    return lists.join(sizes, "sig").select("sig", "n", "shared", F.explode("columns").alias("column"))
+                lists.append(s[np.lexsort((s, counts[s % np.uint64(COUNTERS)]))[:need]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64()))], ["sig", "n", "columns"])
+
+    lists = sets.select("sig", "n", "hashes").mapInArrow(run, "sig long, n long, columns array<long>")
+    return lists.select("sig", "n", F.posexplode("columns").alias("place", "column"))
+
+
+def _meeting(columns: DataFrame, hubs: int | None, percent: int) -> DataFrame:
+    """a < b: sets of different roots that meet in a column and may link.
+
+    With `hubs`, each set meets one set of each of so many groups of its
+    column's roots: the one with the fewest columns rarer than this, as it has
+    least of its own and links best. Without, all sets of the column that are not of its
+    most frequent root meet all. At their first common column, what is left of
+    both sets bounds the overlap."""
+    if hubs:
+        group = F.pmod(F.xxhash64("root"), F.lit(hubs)).alias("group")
+        few = columns.groupBy("column", group).agg(F.min(F.struct("place", "n", "sig", "root")).alias("x")).select("column", "x.*")
+    else:
+        of_root = columns.groupBy("column", "root").agg(F.count("*").alias("rows"))
+        most = of_root.groupBy("column").agg(F.max(F.struct("rows", "root"))["root"].alias("most"))
+        few = columns.join(most, "column").filter("root <> most")
+    few = few.select("column", F.col("n").alias("xn"), F.col("sig").alias("x"), F.col("place").alias("xplace"), F.col("root").alias("xroot"))
+    room = F.least(F.col("n") - F.col("place"), F.col("xn") - F.col("xplace"))
+    met = columns.join(few, "column").filter((F.col("root") != F.col("xroot")) & (room * (100 + percent) >= (F.col("n") + F.col("xn")) * percent))
+    return met.select(F.least("x", "sig").alias("a"), F.greatest("x", "sig").alias("b")).distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -246,15 +301,18 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, label: str = "components") -> DataFrame:
+def components(links: DataFrame, label: str = "components", rows: int | None = None) -> DataFrame:
     """node, root: the smallest node reachable over links (a, b), for every
     node that has one.
 
     Alternates large-star and small-star steps: every node points at the
     smallest neighbour known, until nothing moves. A step shuffles the links
     twice; a node with very many links is summed up before it is shuffled.
+    `rows` is a bound of the links, if one is known.
     """
-    edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
+    edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label, rows)
+    # A step never makes more edges than nodes and edges before it.
+    rows = 2 * edges.count()
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -263,13 +321,49 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         large = large.filter("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = materialize(small.select("e.u", "e.v").filter("u > v").distinct(), label)
+        before, edges = edges, materialize(small.select("e.u", "e.v").filter("u > v").distinct(), label, rows)
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._skein_path = edges._skein_path
+            return out
         state = now
 
 
+def _roots(sets: DataFrame, percent: int) -> DataFrame:
+    """node, root: components of the sets (sig, n, hashes), for those with links."""
+    spark = sets.sparkSession
+    with batches_of(spark, 256):
+        columns = materialize(_required_columns(sets, percent), "columns")
+    entries = columns.count()
+    roots = materialize(spark.createDataFrame([], "node long, root long"), "roots", 0)
+    met = materialize(spark.createDataFrame([], "a long, b long"), "met", 0)
+    held = columns.withColumn("root", F.col("sig"))
+    for hubs in (*HUBS, None):
+        # A column whose sets are all connected is done.
+        open_ = held.groupBy("column").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("column")
+        open_columns = materialize(held.join(open_, "column", "left_semi"), "open", entries)
+        discard(columns)
+        columns, entries = open_columns, open_columns.count()
+        pairs = materialize(_meeting(columns, hubs, percent).join(met, ["a", "b"], "left_anti"), "pairs", entries)
+        n_pairs = pairs.count()
+        # A batch of pairs holds two sets a row.
+        with batches_of(spark, 128):
+            links = materialize(_linked(pairs, sets, percent), "links", n_pairs)
+        if not links.isEmpty():
+            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            before, roots = roots, components(known.union(links), rows=known.count() + n_pairs)
+            discard(before)
+        if hubs is None:
+            discard(columns, met, pairs, links)
+            return roots
+        before, met = met, materialize(met.union(pairs), "met", n_pairs + met.count())
+        discard(before, pairs, links)
+        held = columns.drop("root").join(roots, columns["sig"] == roots["node"], "left").select("sig", "n", "place", "column", F.coalesce("root", "sig").alias("root"))
+    raise AssertionError("the last round returns")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text).
 
@@ -278,8 +372,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> Da
     documents link when 100 * intersection >= percent * union;
     component_id is the smallest doc_id reachable over links. Documents with
     equal sets are one class, so copies are never paired. Null and blank texts
-    have the empty set and link with nothing; repeated rows each get a row;
-    other columns are not read.
+    have the empty set and link with nothing; repeated rows each get a row; no
+    rows give no rows; other columns are not read.
 
     Shingles and sets are told apart by 64-bit hashes.
     """
@@ -287,64 +381,22 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> Da
     bound_batches(spark)
     texts = docs.select("doc_id", "text")
     base = materialize(_signatures(texts, width), "sets")
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, entries = base.agg(F.count("*"), F.coalesce(F.sum("n_half"), F.lit(0))).first()
+    blocks = int(entries // BLOCK_ENTRIES) + 1
     # A linked set has at most n * (100 - percent) / 100 columns of its own.
     alone = F.floor(F.col("n") * (100 - percent) / 100)
     shared = _shared_counts(_column_blocks(texts.select("text"), _lower_half(width), blocks), blocks)
     classes = base.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("n_half").alias("n_half"))
     # A set without a row shares nothing in that half, and may link by the other.
     kept = classes.join(shared, "sig", "left").filter(F.col("n_half") - F.coalesce("shared", F.lit(0)) <= alone)
-    kept = materialize(kept.select("sig"), "kept")
+    kept = materialize(kept.select("sig"), "kept", rows)
     sets = materialize(_kept_sets(texts, kept, width), "kept_sets")
-
-    # Over the kept sets all columns are counted: `shared` now bounds any overlap.
-    shared = _shared_counts(_column_blocks(sets.select("sig", "hashes"), _packed, blocks), blocks)
-    sizes = sets.select("sig", "n").join(shared, "sig").filter(F.col("n") - F.col("shared") <= alone)
-    with batches_of(spark, 256):
-        columns = materialize(_required_columns(sets, sizes, percent), "columns")
-
-    def may_link(n: Column, shared: Column, other_n: Column, other_shared: Column) -> Column:
-        """The overlap is at most the smaller shared count, and that must do."""
-        most = F.least(shared, other_shared)
-        return most * 100 >= (n + other_n - most) * percent
-
-    # The smallest set of a column has least of its own: it links best.
-    first = columns.groupBy("column").agg(F.min(F.struct("n", "sig", "shared")).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
-    star = (
-        columns.join(first, "column")
-        .filter((F.col("first.sig") != F.col("sig")) & may_link(F.col("n"), F.col("shared"), F.col("first.n"), F.col("first.shared")))
-        .select(F.least("first.sig", "sig").alias("a"), F.greatest("first.sig", "sig").alias("b"))
-        .distinct()
-    )
-    star = materialize(star, "pairs")
-    # A batch of pairs holds two sets a row.
-    with batches_of(spark, 128):
-        links = materialize(_linked(star, sets, percent), "links")
-    roots = components(links)
-
-    labelled = columns.join(roots, columns["sig"] == roots["node"], "left").select("column", "sig", "n", "shared", F.coalesce("root", "sig").alias("root"))
-    labelled = materialize(labelled, "labelled")
-    of_root = labelled.groupBy("column", "root").agg(F.count("*").alias("rows"), F.min("n").alias("least_n"))
-    open_ = of_root.groupBy("column").agg(F.max(F.struct("rows", "root")).alias("most"), F.min("least_n").alias("least_n"), F.count("*").alias("roots")).filter("roots > 1")
-    left = labelled.join(open_.select("column", F.col("most.root").alias("most"), "least_n"), "column")
-    # A set that couldn't link even with the column's smallest size is done.
-    minor = left.filter((F.col("root") != F.col("most")) & may_link(F.col("n"), F.col("shared"), F.col("least_n"), F.col("shared")))
-    minor = minor.select("column", F.col("sig").alias("x"), F.col("n").alias("xn"), F.col("shared").alias("xs"), F.col("root").alias("xr"))
-    rest = (
-        minor.join(left.select("column", "sig", "n", "shared", "root"), "column")
-        .filter((F.col("xr") != F.col("root")) & may_link(F.col("xn"), F.col("xs"), F.col("n"), F.col("shared")))
-        .select(F.least("x", "sig").alias("a"), F.greatest("x", "sig").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    rest = materialize(rest, "pairs")
-    with batches_of(spark, 128):
-        more = materialize(_linked(rest, sets, percent), "links")
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    roots = _roots(sets, percent)
+    discard(kept, sets)
 
     rooted = base.join(roots, base["sig"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "sig").alias("root"))
-    rooted = materialize(rooted, "rooted")
+    rooted = materialize(rooted, "rooted", rows)
+    discard(base, roots)
     least = rooted.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rooted.join(least, "root", "left")
     return out.select(

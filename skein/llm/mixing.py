@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import BLANK_WORD, materialize, root_buckets, running_total, unit
+from skein.llm.common import BLANK_WORD, draw, materialize, root_buckets, running_total, unit
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -127,7 +127,7 @@ def mix(
             "__size": F.coalesce(size, F.lit(0)).cast("long"),
             "__pattern": F.to_json(F.struct(F.array_sort(F.array_distinct(member)).alias("m")), {"ignoreNullFields": "false"}),
             "__first": F.array_sort(F.array_distinct(member))[0],
-            "__draw": F.xxhash64(F.lit(seed), *identity),
+            "__draw": draw(F.lit(seed), *identity),
         }
     ).drop(*new)
     base = materialize(base, "mix")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import root_buckets, running_total, unit
+from skein.llm.common import draw, root_buckets, running_total, unit
 
 
 def interleaved_shards(docs: DataFrame, shards: int = 16, seed: int = 20) -> DataFrame:
@@ -35,7 +35,7 @@ def interleaved_shards(docs: DataFrame, shards: int = 16, seed: int = 20) -> Dat
     placed = named.withColumns(
         {
             "__stratum": F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))),
-            "__shuffle": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_crc32")),
+            "__shuffle": draw(F.lit(seed), F.col("doc_id"), F.col("text_crc32")),
         }
     )
     buckets = root_buckets(rows)
@@ -44,7 +44,7 @@ def interleaved_shards(docs: DataFrame, shards: int = 16, seed: int = 20) -> Dat
         placed, group=["__stratum"], fraction=unit(F.col("__shuffle")), order=ties, value=F.lit(1),
         buckets=buckets, total="__rank", whole="__n",
     )
-    share = (F.col("__rank") - 1 + unit(F.xxhash64(F.lit(seed + 1), F.col("__stratum")))) / F.col("__n")
+    share = (F.col("__rank") - 1 + unit(draw(F.lit(seed + 1), F.col("__stratum")))) / F.col("__n")
     ranked = ranked.withColumn("__share", F.least(share, F.lit(1.0 - 2.0**-52))).drop("__rank", "__n")
     dealt = running_total(
         ranked, group=[], fraction=F.col("__share"), order=[F.col("__share"), F.col("__stratum"), *ties],

@@ -52,7 +52,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken."""
     size = mixing.blank_word_count(F.col("text"))
-    mixed = mixing.mix(docs.select(*COLUMNS), member=F.array("source"), size=size, identity=[F.col("doc_id"), F.xxhash64("text")])
+    mixed = mixing.mix(docs.select(*COLUMNS), member=F.array("source"), size=size, identity=[F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))])
     return _documents(mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
 
 

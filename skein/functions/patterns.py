@@ -284,3 +284,25 @@ CALLS = (
     ("endpoint", r"""(?i)(?:navigator\s*\.\s*)?sendBeacon\s*\(\s*["']([^"']+)["']""", "POST", 1),
     ("endpoint", r"""\bfetch\s*\(\s*["'`]([^"'`]+)["'`]""", "GET", 1),
 )
+
+# What is no crypto key: blanks, words of interfaces, URLs, paths, assets, and labels.
+NO_KEY = (
+    r"\s",
+    r"arrow|enter|ctrl|shift|draw|render|chart|axis|tooltip|legend|monaco|encrypted|header|http-equiv|unidentified|spinner-bar-|statekey|datakey|content-type|responseurl|form|label|component|icon|style|class",
+    r"\b(?:mat|mdc|ng|btn|p-)\b",
+    r"(?:^|\W)(?:https?|wss|ws|ftp)://",
+    r"(?:^|/)(?:api|v[0-9]+|auth|login|logout|graphql|assets|static|js|css|chunk)",
+    r"^(?:/|\./|\.\./|www\.|localhost|127\.)",
+    r"\.(?:js|mjs|css|png|jpg|jpeg|gif|svg|ico|json|html|map)(?:\b|$)",
+    r"^(?:defaultvalue|placeholder|originaldata|encrypteddata|decodedvalue|data|example|sample|username|password123|network|browser|element|children|document|window|global|response|request)$",
+)
+# Signs that keys have, or a whole base64 run.
+KEY_SIGNS = r"[~<>$%&+;_/=?@#]|^[A-Za-z0-9+/]{16,}={0,2}$"
+# What is no initial vector.
+NO_IV = (
+    r"http-equiv|unidentified|spinner-bar-|content-type|statekey|datakey",
+    r"^(?:assigned|content|example|sample|default|placeholder)$",
+    r"https?://|wss?://|^(?:\./|\.\./|/|www\.|localhost|127\.)|\.(?:js|mjs|css|png|jpg|jpeg|gif|svg|ico|json|html|map)\b|^(?:api|v[0-9]+|auth|login|logout|graphql|assets|static|js|css)/",
+)
+ENVIRONMENT = r"\bprocess\s*\.\s*env\s*\.\s*([A-Za-z_][A-Za-z0-9_]*)"
+CRYPTO_FUNCTION = r"\bfunction\s+((?:encrypt|decrypt|cipher|decipher|hash|sign)\w*)\s*\("

@@ -2,10 +2,77 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Sequence
+from functools import lru_cache, reduce
+from operator import or_
+from re import _parser as parser
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Shorter pieces say too little to test for them first.
+SHORTEST_NEEDLE = 3
+
+
+@lru_cache(maxsize=1024)
+def needles(pattern: str) -> tuple[str, ...]:
+    """Lower-case texts of which every match of a pattern holds one; none
+    where the pattern needs no fixed text."""
+    # Needles are compared without case, so flags for it say nothing here.
+    return tuple(sorted(_needles(parser.parse(pattern.replace("(?i)", ""))) or ()))
+
+
+def _needles(parts: Iterable) -> frozenset[str] | None:
+    """The most telling set of a sequence: longest shortest text, then fewest."""
+    found: list[frozenset[str]] = []
+    run = ""
+    for op, value in parts:
+        name = str(op)
+        if name == "LITERAL" and chr(value).isascii():
+            run += chr(value).lower()
+            continue
+        if len(run) >= SHORTEST_NEEDLE:
+            found.append(frozenset({run}))
+        run = ""
+        inner = None
+        if name == "SUBPATTERN":
+            inner = _needles(value[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+            inner = _needles(value[2])
+        elif name == "BRANCH":
+            each = [_needles(b) for b in value[1]]
+            inner = frozenset().union(*each) if all(each) else None
+        if inner:
+            found.append(inner)
+    if len(run) >= SHORTEST_NEEDLE:
+        found.append(frozenset({run}))
+    return max(found, key=lambda s: (min(map(len, s)), -len(s)), default=None)
+
+
+def may_match(low: Column, patterns: Sequence[str]) -> Column | None:
+    """Whether a lower-cased text holds what some of the patterns need; null
+    where one of them needs nothing."""
+    each = [needles(p) for p in patterns]
+    if not all(each):
+        return None
+    return reduce(or_, [low.contains(n) for n in sorted({n for e in each for n in e})])
+
+
+def find_some(content: Column, low: Column, pattern: str, group: int = 0) -> Column:
+    """find_all() where the lower-cased text holds what the pattern needs:
+    most texts are spared the regular expression."""
+    test = may_match(low, [pattern])
+    found = find_all(content, pattern, group)
+    return found if test is None else F.when(test, found).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def matches(content: Column, low: Column, pattern: str) -> Column:
+    """rlike(), tested for what the pattern needs first."""
+    test = may_match(low, [pattern])
+    return content.rlike(pattern) if test is None else test & content.rlike(pattern)
+
 def find_all(content: Column, pattern: str, group: int = 0) -> Column:
     """Every match of a pattern (or of one group), in order; none for null."""
     return F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(pattern), F.lit(group))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import patterns as P
 from skein.functions import text as X
-from skein.operators.detectors import imports
+from skein.operators.detectors import imports, with_text
 
 
 def advisories(spark: SparkSession) -> DataFrame:
@@ -16,35 +19,32 @@ def advisories(spark: SparkSession) -> DataFrame:
 
 def dependency_scan(documents: DataFrame, cap: int = 40) -> DataFrame:
     """doc_id, source, name, kind, evidence, ordinal: imported packages first,
-    then bundle markers of frameworks, libraries and crypto, then aliases."""
-    c, low = F.col("content"), F.lower("content")
-    packages = {k: (n, kind) for k, n, kind in P.PACKAGES}
+    then bundle markers of frameworks, libraries and crypto, then aliases. Each
+    source once, as it is first seen; all within the document's row."""
+    base, text = with_text(documents)
     entry = lambda source, how: F.struct(source.alias("source"), F.lit(how).alias("how"))
-    marked = [F.when(low.contains(k), entry(F.lit(k), "bundle marker")) for k, _, kind in P.PACKAGES if kind in ("framework", "library", "crypto")]
+    marked = [F.when(text.low.contains(k), entry(F.lit(k), "bundle marker")) for k, _, kind in P.PACKAGES if kind in ("framework", "library", "crypto")]
     hinted = []
     for k, hints in P.ALIASES:
-        seen = F.lit(False)
-        for h in hints:
-            seen = seen | low.contains(h)
-        if k == "jquery":
-            seen = seen | c.rlike(P.JQUERY_CHAIN)
-        hinted.append(F.when(seen, entry(F.lit(k), "bundle alias")))
-    every = F.concat(F.transform(imports(c), lambda s: entry(s, "import")), F.array_compact(F.array(*marked)), F.array_compact(F.array(*hinted)))
-    rows = documents.select("doc_id", F.posexplode(every).alias("ordinal", "d")).select("doc_id", "ordinal", "d.source", "d.how")
-    first = rows.groupBy("doc_id", "source").agg(F.min(F.struct("ordinal", "how")).alias("f")).select("doc_id", "source", "f.ordinal", "f.how")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal"))
-    kept = first.withColumn("nth", nth).filter(F.col("nth") <= cap)
-    known = documents.sparkSession.createDataFrame([(k, n, kind) for k, (n, kind) in packages.items()], "source string, known string, kind string")
-    joined = kept.join(F.broadcast(known), "source", "left")
-    how = F.when(F.col("how") == "import", F.concat(F.when(F.col("known").isNotNull(), "import/require ").otherwise("import/require "), F.col("source"))).otherwise(F.col("how"))
-    return joined.select("doc_id", "ordinal", "source", F.coalesce("known", "source").alias("name"), F.coalesce("kind", F.lit("node/npm")).alias("kind"), how.alias("evidence"))
+        seen = reduce(or_, [text.low.contains(h) for h in hints])
+        hinted.append(F.when(seen | text.content.rlike(P.JQUERY_CHAIN) if k == "jquery" else seen, entry(F.lit(k), "bundle alias")))
+    every = F.concat(F.transform(imports(text), lambda s: entry(s, "import")), F.array_compact(F.array(*marked)), F.array_compact(F.array(*hinted)))
+    rows = base.select("doc_id", every.alias("every"))
+    sources = F.slice(F.array_distinct(F.transform("every", lambda e: e["source"])), 1, cap)
+    first = F.transform(sources, lambda s: F.struct(s.alias("source"), F.element_at(F.filter("every", lambda e: e["source"] == s), 1)["how"].alias("how")))
+    each = rows.select("doc_id", F.posexplode(first).alias("ordinal", "d")).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "d.*")
+    name = F.create_map(*[F.lit(x) for k, n, _ in P.PACKAGES for x in (k, n)])[F.col("source")]
+    kind = F.create_map(*[F.lit(x) for k, _, kind in P.PACKAGES for x in (k, kind)])[F.col("source")]
+    how = F.when(F.col("how") == "import", F.concat(F.lit("import/require "), "source")).otherwise(F.col("how"))
+    return each.select("doc_id", "ordinal", "source", F.coalesce(name, "source").alias("name"), F.coalesce(kind, F.lit("node/npm")).alias("kind"), how.alias("evidence"))
 
 
 def library_versions(content: Column) -> Column:
     """array<struct<library, version>>: the first banner of each library."""
     first: dict[str, Column] = {}
     for library, pattern in P.VERSIONS:
-        found = F.nullif(F.regexp_extract(content, pattern, 1), F.lit(""))
+        test = X.may_match(F.lower(content), [pattern])
+        found = F.when(F.lit(True) if test is None else test, F.nullif(F.regexp_extract(content, pattern, 1), F.lit("")))
         first[library] = F.coalesce(first[library], found) if library in first else found
     return F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("library"), v.alias("version"))) for k, v in first.items()]))
 

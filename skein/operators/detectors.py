@@ -1,38 +1,55 @@
 """Pattern detectors over document text, all as Catalyst expressions.
 
-`DETECTORS` maps a name to a builder: content column -> array<string>. One
-projection runs any number of them over one scan of the documents.
+`DETECTORS` maps a name to a builder: Text -> array<string>. One projection
+runs any number of them over one scan of the documents; patterns that need
+some fixed text are tried only where the lower-cased document holds it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import patterns as P
 from skein.functions import text as X
+from skein.operators import offsets
 
-Detector = Callable[[Column], Column]
-NONE = "cast(array() as array<string>)"
 
+class Text(NamedTuple):
+    """A document's text, and the same in lower case."""
 
-def sweep(content: Column, patterns: Iterable[str]) -> Column:
-    """All finds of some patterns, pattern by pattern; of a pattern with a
-    group, the group."""
-    return F.concat(*[X.find_all(content, p, 1 if _has_group(p) else 0) for p in patterns])
+    content: Column
+    low: Column
 
+    def all(self, pattern: str, group: int = 0) -> Column:
+        return X.find_some(self.content, self.low, pattern, group)
 
-def _has_group(pattern: str) -> bool:
-    import re
+    def has(self, pattern: str) -> Column:
+        return X.matches(self.content, self.low, pattern)
 
-    return re.compile(pattern).groups > 0
 
+Detector = Callable[[Text], Column]
 
-def flags(content: Column, named: Iterable[tuple[str, str]]) -> Column:
+
+def with_text(documents: DataFrame) -> tuple[DataFrame, Text]:
+    """doc_id and the columns of a Text, lower-cased once for all patterns."""
+    content = F.coalesce("content", F.lit(""))
+    return documents.select("doc_id", content.alias("content"), F.lower(content).alias("__low")), Text(F.col("content"), F.col("__low"))
+
+
+def sweep(text: Text, patterns: Iterable[str]) -> Column:
+    """All finds of some patterns, pattern by pattern; of a pattern with a
+    group, the group."""
+    return F.concat(*[text.all(p, 1 if re.compile(p).groups else 0) for p in patterns])
+
+
+def flags(text: Text, named: Iterable[tuple[str, str]]) -> Column:
     """Names of the patterns that occur, in their order."""
-    return F.array_compact(F.array(*[F.when(content.rlike(p), F.lit(n)) for n, p in named]))
+    return F.array_compact(F.array(*[F.when(text.has(p), F.lit(n)) for n, p in named]))
 
 
 def looks_like_url(value: Column) -> Column:
@@ -93,26 +110,33 @@ def credible_secret(text: Column) -> Column:
 def secret_table(documents: DataFrame, cap: int = 25) -> DataFrame:
     """Secrets of each document (doc_id, content), one row for each value: the
     longest text that holds it, whether it is a public client key, whether it
-    is credible, its provider, line and context. At most `cap` rows that are
-    not public keys, and 10 that are, in order of first appearance."""
-    from pyspark.sql import Window
-
-    found = documents.select("doc_id", "content", F.posexplode(sweep(F.col("content"), P.SECRETS)).alias("ordinal", "text"))
-    found = found.withColumn("text", F.trim("text")).filter("text <> ''").withColumn("key", secret_key(F.col("text"))).filter("key <> ''")
-    best = found.groupBy("doc_id", "key").agg(
-        F.min("ordinal").alias("ordinal"), F.max_by("text", F.struct(F.length("text"), -F.col("ordinal"))).alias("text"), F.first("content").alias("content")
-    )
+    is credible, its provider, line and context. Texts put together from
+    several literals count as assignments of what they make. At most `cap`
+    rows that are not public keys, and 10 that are, in order of first appearance.
+
+    A find's line and context are taken where it stands, so that only finds
+    are shuffled, never documents."""
+    base, text = with_text(documents)
+    finds = F.filter(F.transform(sweep(text, P.SECRETS), lambda x: F.trim(x)), lambda x: x != "")
+    placed = F.transform(finds, lambda x: F.struct(x.alias("text"), X.line_of(text.content, x).alias("line"), X.around(text.content, x, 120, 180).alias("context")))
+    found = base.select(F.col("doc_id"), F.posexplode(placed).alias("ordinal", "f")).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "f.*")
+    made = offsets.folded_literals(documents).select("doc_id", "ordinal", "line", F.concat("target", F.lit(' = "'), "value", F.lit('"')).alias("content"))
+    whole = Text(F.col("content"), F.lower("content"))
+    of_made = made.select("doc_id", ((F.col("ordinal") + 1) * (1 << 20)).alias("at"), "line", "content", F.posexplode(sweep(whole, P.SECRETS)).alias("nth", "text"))
+    of_made = of_made.select("doc_id", (F.col("at") + F.col("nth")).alias("ordinal"), F.trim("text").alias("text"), "line", F.col("content").alias("context")).filter("text <> ''")
+    ids = dict(found.dtypes)["doc_id"]
+    found = found.unionByName(of_made.withColumn("doc_id", F.col("doc_id").cast(ids)))
+    found = found.withColumn("key", secret_key(F.col("text"))).filter("key <> ''")
+    best = F.max_by(F.struct("text", "line", "context"), F.struct(F.length("text"), -F.col("ordinal")))
+    rows = found.groupBy("doc_id", "key").agg(F.min("ordinal").alias("ordinal"), best.alias("f")).select("doc_id", "ordinal", "f.*")
     value = X.assigned_value(F.col("text"))
     public = value.rlike(P.PUBLIC_KEY)
-    kept = best.withColumn("public", public).filter(public | ~looks_like_url(value) | F.col("text").rlike(P.CREDENTIAL_WORD))
+    kept = rows.withColumn("public", public).filter(public | ~looks_like_url(value) | F.col("text").rlike(P.CREDENTIAL_WORD))
     nth = F.row_number().over(Window.partitionBy("doc_id", "public").orderBy("ordinal"))
     kept = kept.withColumn("nth", nth).filter(F.col("nth") <= F.when(F.col("public"), 10).otherwise(cap))
     return kept.select(
-        "doc_id", "ordinal", "text", "public",
-        (~F.col("public") & credible_secret(F.col("text"))).alias("credible"),
-        canonical_provider(value).alias("provider"),
-        X.line_of(F.col("content"), F.col("text")).alias("line"),
-        X.around(F.col("content"), F.col("text"), 120, 180).alias("context"),
+        "doc_id", "ordinal", "text", "public", (~F.col("public") & credible_secret(F.col("text"))).alias("credible"),
+        canonical_provider(value).alias("provider"), "line", "context",
     )
 
 
@@ -130,79 +154,79 @@ def decode_hex(value: Column) -> Column:
     return printable(F.try_validate_utf8(F.try_to_binary(F.when(even, value), F.lit("hex")).cast("string")))
 
 
-def decoded(content: Column) -> Column:
+def decoded(text: Text) -> Column:
     """Readable texts behind base64 and hex runs, then those behind longer runs
     that mention credentials or addresses."""
-    plain = F.flatten(F.transform(sweep(content, P.ENCODED), lambda x: F.array(decode_base64(x), decode_hex(x))))
-    hidden = F.transform(sweep(content, P.HIDDEN), lambda x: F.coalesce(decode_base64(x), decode_hex(x)))
+    plain = F.flatten(F.transform(sweep(text, P.ENCODED), lambda x: F.array(decode_base64(x), decode_hex(x))))
+    hidden = F.transform(sweep(text, P.HIDDEN), lambda x: F.coalesce(decode_base64(x), decode_hex(x)))
     named = F.filter(F.array_compact(hidden), lambda x: F.lower(x).rlike("|".join(P.HIDDEN_WORDS)))
     return X.first(X.ordered_distinct(F.array_compact(plain), named), 30)
 
 
-def storage(content: Column) -> Column:
+def storage(text: Text) -> Column:
     """API names: localStorage.setItem, document.cookie, get."""
-    both = F.zip_with(X.find_all(content, P.STORAGE[0], 1), X.find_all(content, P.STORAGE[0], 2), lambda a, b: F.concat_ws(".", a, b))
-    return X.ordered_distinct(both, X.find_all(content, P.STORAGE[1]), X.find_all(content, P.STORAGE[2], 1))
+    both = F.zip_with(text.all(P.STORAGE[0], 1), text.all(P.STORAGE[0], 2), lambda a, b: F.concat_ws(".", a, b))
+    return X.ordered_distinct(both, text.all(P.STORAGE[1]), text.all(P.STORAGE[2], 1))
 
 
-def storage_classes(content: Column) -> Column:
+def storage_classes(text: Text) -> Column:
     """name: credential, sensitive or safe storage."""
-    words = content.rlike("(?i)(token|auth|secret|password)")
+    words = text.has("(?i)(token|auth|secret|password)")
 
     def kind(name: str) -> Column:
         if name in ("localStorage", "sessionStorage"):
             return F.when(words, "credential storage").otherwise("safe storage")
         return F.lit("sensitive storage" if name in ("cookie", "indexedDB") else "safe storage")
 
-    return F.array_compact(F.array(*[F.when(content.rlike(p), F.concat(F.lit(f"{n}: "), kind(n))) for n, p in P.STORAGE_KINDS]))
+    return F.array_compact(F.array(*[F.when(text.has(p), F.concat(F.lit(f"{n}: "), kind(n))) for n, p in P.STORAGE_KINDS]))
 
 
-def dom_sinks(content: Column) -> Column:
-    named = F.array_compact(F.array(*[F.when(content.contains(n), F.lit(n)) for n in P.FRAMEWORK_SINKS]))
-    return X.ordered_distinct(flags(content, P.DOM_SINKS), named)
+def dom_sinks(text: Text) -> Column:
+    named = F.array_compact(F.array(*[F.when(text.content.contains(n), F.lit(n)) for n in P.FRAMEWORK_SINKS]))
+    return X.ordered_distinct(flags(text, P.DOM_SINKS), named)
 
 
-def imports(content: Column) -> Column:
+def imports(text: Text) -> Column:
     """Packages imported or required, without their subpaths."""
-    heads = F.transform(sweep(content, P.IMPORTS), lambda s: F.substring_index(s, "/", 1))
+    heads = F.transform(sweep(text, P.IMPORTS), lambda s: F.substring_index(s, "/", 1))
     return F.array_distinct(F.filter(heads, lambda s: s != ""))
 
 
-def source_map_reference(content: Column) -> Column:
+def source_map_reference(text: Text) -> Column:
     """The last sourceMappingURL; `inline` for data URLs; null without one."""
-    refs = X.find_all(content, r"""[#@]\s*sourceMappingURL\s*=\s*([^\s'"*]+)""", 1)
+    refs = text.all(r"""[#@]\s*sourceMappingURL\s*=\s*([^\s'"*]+)""", 1)
     last = F.element_at(F.when(F.size(refs) > 0, refs), -1)
     return F.when(last.startswith("data:"), "inline").otherwise(last)
 
 
-def module_references(content: Column) -> Column:
+def module_references(text: Text) -> Column:
     """Script-like references in imports, bundler hints and literals, sorted."""
     found = F.concat(
-        X.find_all(content, r"""\b(?:from|import)\s*\(?\s*["']([^"']+)["']""", 1),
-        X.find_all(content, r"""\brequire\s*\(\s*["']([^"']+)["']""", 1),
-        X.find_all(content, r"""\bimportScripts\s*\(\s*["']([^"']+)["']""", 1),
-        X.find_all(content, r"""["']((?:https?:)?/?/?[A-Za-z0-9_./@-]+\.(?:m?js|cjs)(?:\?[^"']*)?)["']""", 1),
+        text.all(r"""\b(?:from|import)\s*\(?\s*["']([^"']+)["']""", 1),
+        text.all(r"""\brequire\s*\(\s*["']([^"']+)["']""", 1),
+        text.all(r"""\bimportScripts\s*\(\s*["']([^"']+)["']""", 1),
+        text.all(r"""["']((?:https?:)?/?/?[A-Za-z0-9_./@-]+\.(?:m?js|cjs)(?:\?[^"']*)?)["']""", 1),
     )
     script = lambda r: r.rlike(r"^(?:\.{0,2}/|https?://|//)") | r.rlike(r"(?i)\.(?:m?js|cjs)(?:\?.*)?$")
     return F.array_sort(F.array_distinct(F.filter(found, script)))
 
 
-def hash_routes(content: Column) -> Column:
-    routes = F.transform(X.find_all(content, P.HASH_ROUTE, 1), lambda r: F.concat(F.lit("/"), r))
+def hash_routes(text: Text) -> Column:
+    routes = F.transform(text.all(P.HASH_ROUTE, 1), lambda r: F.concat(F.lit("/"), r))
     return X.first(F.array_distinct(F.filter(routes, lambda r: ~r.rlike(P.ASSET) & r.rlike("(?i)[a-z]"))), 60)
 
 
-def graphql(content: Column) -> Column:
-    named = F.transform(sweep(content, P.GRAPHQL_OPS), lambda n: F.when(n == "", "(anonymous)").otherwise(n))
+def graphql(text: Text) -> Column:
+    named = F.transform(sweep(text, P.GRAPHQL_OPS), lambda n: F.when(n == "", "(anonymous)").otherwise(n))
     return X.first(named, 40)
 
 
-def methods(content: Column) -> Column:
-    return X.first(F.array_distinct(F.transform(sweep(content, P.METHODS), lambda m: F.upper(m))), 20)
+def methods(text: Text) -> Column:
+    return X.first(F.array_distinct(F.transform(sweep(text, P.METHODS), lambda m: F.upper(m))), 20)
 
 
-def long_runs(content: Column) -> Column:
-    runs = F.filter(sweep(content, P.LONG_RUNS), lambda r: (F.length(r) > 16) & r.rlike("^[A-Za-z0-9]+$"))
+def long_runs(text: Text) -> Column:
+    runs = F.filter(sweep(text, P.LONG_RUNS), lambda r: (F.length(r) > 16) & r.rlike("^[A-Za-z0-9]+$"))
     return F.transform(runs, lambda r: F.substring(r, 1, 80))
 
 
@@ -233,7 +257,7 @@ DETECTORS: dict[str, Detector] = {
     "notable_features": lambda c: flags(c, P.FEATURES),
     "hash_routes": hash_routes,
     "graphql_operations": graphql,
-    "graphql_urls": lambda c: F.array_distinct(X.find_all(c, P.GRAPHQL_URL)),
+    "graphql_urls": lambda c: F.array_distinct(c.all(P.GRAPHQL_URL)),
 }
 
 
@@ -244,9 +268,8 @@ def register(name: str, detector: Detector) -> None:
 
 def wide(documents: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
     """doc_id and one array column for each detector, over (doc_id, content)."""
-    chosen = list(names or DETECTORS)
-    content = F.coalesce("content", F.lit(""))
-    return documents.select("doc_id", *[DETECTORS[n](content).alias(n) for n in chosen])
+    base, text = with_text(documents)
+    return base.select("doc_id", *[DETECTORS[n](text).alias(n) for n in names or DETECTORS])
 
 
 def long(documents: DataFrame, names: Iterable[str] | None = None) -> DataFrame:

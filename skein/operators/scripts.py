@@ -34,9 +34,12 @@ def party(url: Column, page_url: Column) -> Column:
 
 
 def load_method(name: Column, url: Column) -> Column:
+    """How a script came into its page. The url of an inline script is that of
+    its page, so its name decides first."""
     named = F.coalesce(name, F.lit(""))
     return (
         F.when(named.rlike("^(?:runtime|url)://"), "runtime_dynamic")
+        .when(named.rlike(r"^inline(?:-[0-9]+)*(?:\.js)?$"), "inline")
         .when((named == "") | (F.coalesce(url, F.lit("")) != ""), "external")
         .when(named.isin("inline.js", "inline"), "inline")
         .when(named.contains("chunk-"), "dynamic_import")
@@ -62,9 +65,9 @@ def inventory(documents: DataFrame, page_url: str = "") -> DataFrame:
     low = F.lower("content")
     base = documents.select(
         "doc_id", "name", "url", F.sha2("content", 256).alias("content_sha256"), F.octet_length("content").cast("long").alias("bytes"),
-        load_method(F.col("name"), F.col("url")).alias("load_method"), party(F.col("url"), F.lit(page_url)).alias("party"),
+        load_method(F.col("name"), F.col("url")).alias("load_method"), party(F.when(load_method(F.col("name"), F.col("url")) != "inline", F.col("url")), F.lit(page_url)).alias("party"),
         _named(low, CAPABILITIES).alias("capabilities"), _named(low, READS).alias("reads"),
-        detectors.imports(F.col("content")).alias("imports"),
+        detectors.imports(detectors.Text(F.col("content"), F.lower("content"))).alias("imports"),
     )
     hosts = surface.endpoints(documents).withColumn("host", X.url_host(F.col("url"))).filter("host <> ''")
     to = hosts.groupBy("doc_id").agg(F.array_sort(F.collect_set("host")).alias("destinations"))

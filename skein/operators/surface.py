@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import patterns as P
@@ -18,40 +18,52 @@ def internal(url: Column) -> Column:
     return out
 
 
-def calls(documents: DataFrame) -> DataFrame:
-    """doc_id, ordinal, kind, method, url, internal: request calls by pattern."""
+def _calls(content: Column) -> Column:
+    """array<struct<kind, method, url>> of request calls by pattern."""
     parts = []
     for kind, pattern, method, url in P.CALLS:
-        urls = X.find_all(F.col("content"), pattern, url)
-        names = F.transform(X.find_all(F.col("content"), pattern, method), lambda m: F.upper(m)) if isinstance(method, int) else F.transform(urls, lambda _, m=None: F.lit(None).cast("string")) if method == "" else F.transform(urls, _constant(method))
-        parts.append(F.zip_with(names, urls, _call(kind)))
-    rows = documents.select("doc_id", F.posexplode(F.concat(*parts)).alias("ordinal", "c")).select("doc_id", "ordinal", "c.*")
-    return rows.withColumn("internal", internal(F.col("url")))
+        urls = X.find_some(content, F.lower(content), pattern, url)
+        if isinstance(method, int):
+            methods = F.transform(X.find_some(content, F.lower(content), pattern, method), lambda m: F.upper(m))
+        else:
+            methods = F.transform(urls, _constant(method or None))
+        parts.append(F.zip_with(methods, urls, _call(kind)))
+    return F.concat(*parts)
 
 
-def _constant(value: str):
-    return lambda _: F.lit(value)
+def _constant(value: str | None):
+    return lambda _: F.lit(value).cast("string")
 
 
 def _call(kind: str):
     return lambda m, u: F.struct(F.lit(kind).alias("kind"), m.alias("method"), u.alias("url"))
 
 
+def calls(documents: DataFrame) -> DataFrame:
+    """doc_id, ordinal, kind, method, url, internal: request calls by pattern."""
+    rows = documents.select("doc_id", F.posexplode(_calls(F.col("content"))).alias("ordinal", "c")).select("doc_id", "ordinal", "c.*")
+    return rows.withColumn("internal", internal(F.col("url")))
+
+
+def _url_literals(content: Column) -> Column:
+    return F.array_distinct(F.filter(X.find_all(content, P.URL_LITERAL, 1), lambda u: ~X.canonical_url(u).rlike(P.ASSET)))
+
+
 def url_literals(documents: DataFrame) -> DataFrame:
     """doc_id, ordinal, url: quoted absolute or root-relative URLs that are no assets."""
-    found = F.array_distinct(F.filter(X.find_all(F.col("content"), P.URL_LITERAL, 1), lambda u: ~X.canonical_url(u).rlike(P.ASSET)))
-    return documents.select("doc_id", F.posexplode(found).alias("ordinal", "url"))
+    return documents.select("doc_id", F.posexplode(_url_literals(F.col("content"))).alias("ordinal", "url"))
 
 
 def endpoints(documents: DataFrame, cap: int = 120) -> DataFrame:
     """Calls, then URL literals that no call names, each (url, method) once;
-    the first `cap` of a document."""
-    called = calls(documents).filter("kind = 'endpoint'").select("doc_id", "ordinal", "method", "url")
-    unseen = url_literals(documents).join(called.select("doc_id", "url").distinct(), ["doc_id", "url"], "left_anti")
-    rest = unseen.select("doc_id", (F.col("ordinal") + (1 << 20)).alias("ordinal"), F.lit("GET").alias("method"), "url")
-    each = called.unionByName(rest).groupBy("doc_id", "url", "method").agg(F.min("ordinal").alias("ordinal"))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal"))
-    return each.withColumn("nth", nth).filter(F.col("nth") <= cap).drop("nth").withColumn("internal", internal(F.col("url")))
+    the first `cap` of a document. All within the document's row: nothing is
+    shuffled."""
+    rows = documents.select("doc_id", F.filter(_calls(F.col("content")), lambda c: c["kind"] == "endpoint").alias("called"), _url_literals(F.col("content")).alias("literals"))
+    named = F.transform("called", lambda c: F.struct(c["method"].alias("method"), c["url"].alias("url")))
+    unseen = F.array_except("literals", F.transform("called", lambda c: c["url"]))
+    points = F.array_distinct(F.concat(named, F.transform(unseen, lambda u: F.struct(F.lit("GET").alias("method"), u.alias("url")))))
+    each = rows.select("doc_id", F.posexplode(F.slice(points, 1, cap)).alias("ordinal", "p"))
+    return each.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "p.method", "p.url", internal(F.col("p.url")).alias("internal"))
 
 
 def query_parameters(url: Column) -> Column:

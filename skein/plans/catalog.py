@@ -189,12 +189,12 @@ def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(NORMALIZED + f""", f AS (SELECT DISTINCT scan_id, {FINGERPRINT} AS fp FROM normalized),
-  a AS (SELECT fp FROM f WHERE scan_id = 2), b AS (SELECT fp FROM f WHERE scan_id = 1)
+  a AS (SELECT DISTINCT fp FROM f WHERE scan_id > 15), b AS (SELECT DISTINCT fp FROM f WHERE scan_id <= 15)
   SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS new, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS resolved,
     (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS unchanged""")
 def scan_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir)
-    return history.set_diff(rows.filter("scan_id = 2"), rows.filter("scan_id = 1"))
+    old, new = _two(spark, sf_dir)
+    return history.set_diff(new, old)
 
 
 @query(NORMALIZED + f""", f AS (SELECT DISTINCT scan_id, {FINGERPRINT} AS fp FROM normalized),
@@ -210,8 +210,8 @@ def scan_chain_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TWO = NORMALIZED + f""", r AS (SELECT *, {FINGERPRINT} AS fp FROM tiered),
-  o AS (SELECT fp, arg_max(sev_rank, ordinal) AS s, arg_max(conf_rank, ordinal) AS c, arg_max(observation, ordinal) AS obs, arg_max(file, ordinal) AS f FROM r WHERE scan_id <= 10 GROUP BY fp),
-  n AS (SELECT fp, arg_max(sev_rank, ordinal) AS s, arg_max(conf_rank, ordinal) AS c, arg_max(observation, ordinal) AS obs, arg_max(file, ordinal) AS f FROM r WHERE scan_id BETWEEN 11 AND 13 GROUP BY fp),
+  o AS (SELECT fp, arg_max(sev_rank, ordinal) AS s, arg_max(conf_rank, ordinal) AS c, arg_max(observation, ordinal) AS obs, arg_max(file, ordinal) AS f FROM r WHERE scan_id <= 15 GROUP BY fp),
+  n AS (SELECT fp, arg_max(sev_rank, ordinal) AS s, arg_max(conf_rank, ordinal) AS c, arg_max(observation, ordinal) AS obs, arg_max(file, ordinal) AS f FROM r WHERE scan_id > 15 GROUP BY fp),
   v AS (SELECT coalesce(n.fp, o.fp) AS fingerprint, CASE WHEN o.fp IS NULL THEN 'new' WHEN n.fp IS NULL THEN 'resolved'
       WHEN n.s > o.s OR (o.obs AND NOT n.obs) OR n.c > o.c THEN 'worsened' WHEN n.s < o.s OR (NOT o.obs AND n.obs) OR n.c < o.c THEN 'improved' ELSE 'persisted' END AS verdict,
     coalesce(n.f, o.f) AS file FROM o FULL JOIN n ON o.fp = n.fp)"""
@@ -219,11 +219,11 @@ _TWO = NORMALIZED + f""", r AS (SELECT *, {FINGERPRINT} AS fp FROM tiered),
 
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = _rows(spark, sf_dir)
-    return rows.filter("scan_id <= 10"), rows.filter("scan_id BETWEEN 11 AND 13")
+    return rows.filter("scan_id <= 15"), rows.filter("scan_id > 15")
 
 
 @query(_TWO + """ SELECT fingerprint, verdict, file,
-    verdict = 'resolved' AND file NOT IN (SELECT file FROM r WHERE scan_id BETWEEN 11 AND 13) AS coverage_gap FROM v""")
+    verdict = 'resolved' AND file NOT IN (SELECT file FROM r WHERE scan_id > 15) AS coverage_gap FROM v""")
 def revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.revalidate(*_two(spark, sf_dir)).select("fingerprint", "verdict", "file", "coverage_gap")
 
@@ -233,20 +233,20 @@ def revalidation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.revalidate(*_two(spark, sf_dir)).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query(_TWO + """, a AS (SELECT DISTINCT file FROM r WHERE scan_id <= 10), b AS (SELECT DISTINCT file FROM r WHERE scan_id BETWEEN 11 AND 13)
+@query(_TWO + """, a AS (SELECT DISTINCT file FROM r WHERE scan_id <= 15), b AS (SELECT DISTINCT file FROM r WHERE scan_id > 15)
   SELECT count(*) AS files, count(b.file) AS covered, CASE WHEN count(*) = count(b.file) THEN 'full' ELSE 'partial' END AS coverage FROM a LEFT JOIN b USING (file)""")
 def scan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.coverage(*_two(spark, sf_dir))
 
 
 @query(NORMALIZED + f""", r AS (SELECT *, {FINGERPRINT} AS fp FROM tiered),
-  known AS (SELECT fp, max(sev_rank) AS k FROM r WHERE scan_id <= 5 AND line < 50 GROUP BY fp)
+  known AS (SELECT fp, max(sev_rank) AS k FROM r WHERE scan_id <= 15 GROUP BY fp)
   SELECT r.ordinal, r.fp AS fingerprint, CASE WHEN k IS NULL THEN 'new' WHEN sev_rank > k THEN 'worse' ELSE 'known' END AS state
-  FROM r LEFT JOIN known USING (fp) WHERE scan_id > 5""")
+  FROM r LEFT JOIN known USING (fp) WHERE scan_id > 15""")
 def baseline_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     normalized = _normalized(spark, sf_dir)
-    baseline = history.finding_rows(normalized.filter("scan_id <= 5 AND line < 50"), cap=1 << 30)
-    rows = history.finding_rows(normalized.filter("scan_id > 5"), cap=1 << 30)
+    baseline = history.finding_rows(normalized.filter("scan_id <= 15"), cap=1 << 30)
+    rows = history.finding_rows(normalized.filter("scan_id > 15"), cap=1 << 30)
     return history.against_baseline(rows, baseline).select("ordinal", "fingerprint", "state")
 
 
@@ -299,7 +299,7 @@ def secret_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.functions.patterns import SECRETS
 
     d = samples.documents(spark, sf_dir)
-    return d.select("doc_id", F.explode(detectors.sweep(F.col("content"), [SECRETS[6], SECRETS[8]])).alias("value"))
+    return d.select("doc_id", F.explode(detectors.sweep(detectors.Text(F.col("content"), F.lower("content")), [SECRETS[6], SECRETS[8]])).alias("value"))
 
 
 @query(r"""WITH v AS (SELECT doc_id, regexp_extract(text, 'token = "([0-9a-f]{40})"', 1) AS value FROM documents), g AS (SELECT * FROM v WHERE value <> ''),
@@ -422,7 +422,7 @@ def _page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH s AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script\s*>', 1)) AS body, generate_subscripts(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script\s*>', 1), 1) - 1 AS i FROM pages)
-  SELECT page_id * 1000 + i AS doc_id, 'inline-' || page_id || '-' || i || '.js' AS name, sha256(trim(body)) AS content_sha256, octet_length(encode(trim(body))) AS bytes, 'external' AS load_method FROM s WHERE trim(body) <> ''""")
+  SELECT page_id * 1000 + i AS doc_id, 'inline-' || page_id || '-' || i || '.js' AS name, sha256(trim(body)) AS content_sha256, octet_length(encode(trim(body))) AS bytes, 'inline' AS load_method FROM s WHERE trim(body) <> ''""")
 def script_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.inventory(_page_scripts(spark, sf_dir)).select("doc_id", "name", "content_sha256", "bytes", "load_method")
 
@@ -444,8 +444,9 @@ def running_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    near = F.abs(micros("l_shipdate") - micros("o_orderdate")) <= 10 * 86_400_000_000
-    return items.join(orders, (F.col("l_orderkey") == F.col("o_orderkey")) & near).select("l_orderkey", "l_linenumber")
+    left = items.select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("key"), micros("l_shipdate").alias("position"))
+    right = orders.select(F.col("o_orderkey").alias("key"), micros("o_orderdate").alias("position"))
+    return offsets.band_join(left, right, ["key"], 10 * 86_400_000_000).select("l_orderkey", "l_linenumber")
 
 
 @query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import vocab
@@ -54,6 +54,7 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     """One SARIF result for each finding."""
     conf, state = vocab.confidence(F.col("confidence")), F.col("status")
     kind = F.when(F.col("observation") | state.isin("informational", "false_positive"), "informational").when(conf == "confirmed", "fail").otherwise("open")
+    cwe = vocab.choose(rule_id(F.col("id")), CWE, F.lit(None).cast("int"))
     return findings.select(
         "ordinal",
         F.col("id").alias("ruleId"),
@@ -61,7 +62,8 @@ def sarif_results(findings: DataFrame) -> DataFrame:
         vocab.choose(conf, RANKS, 25.0).alias("rank"),
         kind.alias("kind"),
         vocab.choose(F.col("severity"), SECURITY, "5.5").alias("security_severity"),
-        vocab.choose(rule_id(F.col("id")), CWE, F.lit(None).cast("int")).alias("cwe"),
+        cwe.alias("cwe"),
+        F.array_compact(F.array(F.lower("severity"), F.lit("security"), F.lit("javascript"), F.concat(F.lit("cwe-"), cwe.cast("string")))).alias("tags"),
         "file",
         F.greatest(F.col("line"), F.lit(1)).alias("start_line"),
         F.col("type").alias("message"),
@@ -71,25 +73,32 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
     """One rule for each id: of its first finding."""
-    first = sarif_results(findings).groupBy("ruleId").agg(F.min_by(F.struct("message", "level", "security_severity", "cwe"), "ordinal").alias("f"))
+    first = sarif_results(findings).groupBy("ruleId").agg(F.min_by(F.struct("message", "level", "security_severity", "cwe", "tags"), "ordinal").alias("f"))
     return first.select("ruleId", "f.*")
 
 
 def sarif(findings: DataFrame, tool: str = "skein", limit: int = 25_000) -> str:
-    """A SARIF 2.1.0 log of at most `limit` findings, as one text; it is a
-    report to read, so it is put together on the driver."""
+    """A SARIF 2.1.0 log of the distinct findings as one text; it is a report
+    to read, so it is put together on the driver. Readers take no more than
+    `limit` results; where some are left out, the run's properties say how many."""
+    key = [c for c in ("id", "file", "line", "sink", "source") if c in findings.columns]
+    order = F.row_number().over(Window.partitionBy(*key).orderBy("ordinal"))
+    distinct = findings.withColumn("__nth", order).filter("__nth = 1").drop("__nth")
     rules = [
         {"id": r["ruleId"], "name": r["ruleId"], "shortDescription": {"text": r["message"]}, "defaultConfiguration": {"level": r["level"]},
-         "properties": {"security-severity": r["security_severity"], "tags": ["security", *([f"external/cwe/cwe-{r['cwe']}"] if r["cwe"] else [])]}}
-        for r in sarif_rules(findings).orderBy("ruleId").limit(limit).collect()
+         "properties": {"security-severity": r["security_severity"], "tags": r["tags"]}}
+        for r in sarif_rules(distinct).orderBy("ruleId").limit(limit).collect()
     ]
+    rows = sarif_results(distinct).orderBy("ordinal").limit(limit).collect()
     results = [
         {"ruleId": r["ruleId"], "level": r["level"], "rank": r["rank"], "kind": r["kind"], "message": {"text": r["message"]},
          "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["file"]}, "region": {"startLine": r["start_line"]}}}],
          **({"suppressions": [{"kind": "external"}]} if r["suppressed"] else {})}
-        for r in sarif_results(findings).orderBy("ordinal").limit(limit).collect()
+        for r in rows
     ]
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": tool, "rules": rules}}, "results": results}]}, ensure_ascii=False)
+    left_out = distinct.count() - len(rows) if len(rows) == limit else 0
+    run = {"tool": {"driver": {"name": tool, "rules": rules}}, "results": results, **({"properties": {"resultsLeftOut": left_out}} if left_out else {})}
+    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [run]}, ensure_ascii=False)
 
 
 def diagnostics(spark, sarif_text: str) -> DataFrame:

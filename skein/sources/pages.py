@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.operators.detectors import module_references
+from skein.operators.detectors import Text, module_references
 
 # What marks script elements and links in HTML.
 SCRIPT = r"(?is)<script([^>]*)>(.*?)</script\s*>"
@@ -46,6 +46,36 @@ def script_elements(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "url", "ordinal", resolve(F.col("url"), src).alias("src"), F.when(src.isNull(), body).alias("body")).filter("src IS NOT NULL OR body IS NOT NULL")
 
 
+#: Script references in inline code: imports, bundler hints, absolute addresses.
+INLINE_REFS = (
+    r"""(?:import\s*\(\s*|from\s+|import\s+)["']([^"']+\.m?js(?:\?[^"']*)?)["']""",
+    r"""(?:importScripts|__webpack_require__\.e|System\.import)\s*\(\s*["']([^"']+)["']""",
+    r"""["'](https?://[^"'\s]+\.m?js(?:\?[^"']*)?)["']""",
+    r"""["']((?:\.{0,2}/)?(?:static|assets|_next|dist|build|chunks?)/[^"'\s]+\.m?js)["']""",
+)
+
+
+def inline_references(pages: DataFrame) -> DataFrame:
+    """page_id, src: scripts that inline code imports, names as bundler chunks
+    or addresses absolutely; each once a page."""
+    bodies = script_elements(pages).filter("body IS NOT NULL")
+    found = F.array_distinct(F.concat(*[X.find_some(F.col("body"), F.lower("body"), p, 1) for p in INLINE_REFS]))
+    each = bodies.select("page_id", "url", F.explode(found).alias("ref"))
+    return each.select("page_id", resolve(F.col("url"), F.col("ref")).alias("src")).distinct()
+
+
+def script_assets(pages: DataFrame) -> DataFrame:
+    """page_id, src, via: every script a page refers to, each once, by the
+    first of: element, preload, inline."""
+    parts = [
+        script_elements(pages).filter("src IS NOT NULL").select("page_id", "src", F.lit(0).alias("rank")),
+        preloaded_scripts(pages).select("page_id", "src", F.lit(1).alias("rank")),
+        inline_references(pages).select("page_id", "src", F.lit(2).alias("rank")),
+    ]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("page_id", "src").agg(F.min("rank").alias("rank"))
+    return every.select("page_id", "src", F.element_at(F.array(F.lit("element"), F.lit("preload"), F.lit("inline")), F.col("rank") + 1).alias("via"))
+
+
 def preloaded_scripts(pages: DataFrame) -> DataFrame:
     """page_id, src: modulepreload, prefetch and script preload links."""
     links = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("a"))
@@ -84,8 +114,8 @@ def robots_sitemaps(robots: DataFrame, limit: int = 3) -> DataFrame:
 
 
 def soft_404(content: Column) -> Column:
-    """HTML where a script was expected."""
-    low = F.lower(F.substring(F.ltrim(content), 1, 512))
+    """HTML where a script was expected, wherever in the text it begins."""
+    low = F.lower(content)
     return low.contains("<html") | low.contains("<!doctype")
 
 
@@ -93,7 +123,7 @@ def followed(scripts: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFr
     """url, depth of the scripts (url, content) that references reach from
     `seeds` (url) in at most `max_depth` steps: one join a level, each level
     without what earlier ones reached."""
-    refs = scripts.select("url", F.explode(module_references(F.col("content"))).alias("ref"))
+    refs = scripts.select("url", F.explode(module_references(Text(F.col("content"), F.lower("content")))).alias("ref"))
     edges = refs.select(F.col("url").alias("from"), resolve(F.col("url"), F.col("ref")).alias("to")).join(scripts.select(F.col("url").alias("to")), "to", "left_semi").distinct()
     level = seeds.select("url").distinct().join(scripts.select("url"), "url", "left_semi").withColumn("depth", F.lit(0))
     reached = level

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from skein.functions import vocab
 
 # Stages in order, their weights, and older names for them.
-STAGES = (("discover", 5), ("download", 15), ("prepare", 5), ("analyze", 50), ("expand", 8), ("runtime", 7), ("correlate", 5), ("report", 5))
-ALIASES = {"recon": "discover", "crawl": "discover", "fetch": "download", "beautify": "prepare", "scan": "analyze", "source_maps": "expand", "browser": "runtime", "merge": "correlate", "render": "report"}
+STAGES = (("recon", 1.0), ("discover", 1.5), ("download", 3.0), ("normalize", 1.5), ("analyze", 6.0), ("correlate", 1.0), ("verify", 4.0), ("report", 0.5))
+ALIASES = {
+    "queued": "recon", "scan": "analyze", "inline_scan": "analyze", "recursive_scan": "analyze", "beautify": "normalize",
+    "runtime": "verify", "starting": "recon", "working": "analyze", "done": "report",
+}
 RATE_WINDOW_S, EMA_ALPHA, STALE_S = 12, 0.35, 45.0
 RATIO_LIMITS, RATIO_ALPHA = (0.25, 4.0), 0.35
 
@@ -23,7 +26,9 @@ def _micros(at: Column) -> Column:
 
 
 def stage(name: Column) -> Column:
-    return F.coalesce(vocab.choose(F.lower(name), ALIASES, F.lit(None).cast("string")), F.lower(name))
+    """The stage of an emitted name; unknown ones count as analysis."""
+    low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    return vocab.choose(low, {n: n for n, _ in STAGES} | ALIASES, F.lit("analyze"))
 
 
 def durations(events: DataFrame, key: str, at: str, name: str) -> DataFrame:
@@ -42,12 +47,13 @@ def monotonic(events: DataFrame, key: str, at: str, value: str) -> DataFrame:
 
 def weighted_percent(stage_: Column, fraction: Column) -> Column:
     """Percent of the whole when `fraction` of a stage is done."""
-    done, before = None, 0
+    whole, before = sum(w for _, w in STAGES), 0.0
+    out = F.lit(0.0)
     for name, weight in STAGES:
-        value = F.lit(float(before)) + F.lit(float(weight)) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction))
-        done = F.when(stage_ == name, value) if done is None else done.when(stage_ == name, value)
+        share = F.lit(before) + F.lit(weight) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction))
+        out = F.when(stage_ == name, share / whole * 100).otherwise(out)
         before += weight
-    return done.otherwise(0.0)
+    return out
 
 
 def window_rate(events: DataFrame, key: str, at: str, amount: str, seconds: int = RATE_WINDOW_S) -> DataFrame:

@@ -34,6 +34,8 @@ _CAPITALS = 27 * CLASSES + 27
 #: Terms: pairs of byte classes, words by hash, and four that count repetition.
 PAIRS, WORD_TERMS = CLASSES * CLASSES, 1 << 12
 TERMS = PAIRS + WORD_TERMS + 4
+#: Rows in which a matrix of terms is summed up.
+SUM_ROWS = 16
 
 
 def term_counts(texts: Sequence[str | None]) -> np.ndarray:
@@ -124,14 +126,20 @@ def fit_space(sample: DataFrame, *, dims: int = 48, neighbours: int = 15, power:
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A fixed random projection finds the range of the leading vectors.
         probe = np.random.default_rng(4).standard_normal((TERMS, dims + 16)).astype(np.float32)
-        total = np.zeros(probe.shape)
+        total = np.zeros(probe.shape, np.float32)
         for counts, _ in _counted(batches):
             x = _weighted(counts, idf)
             total += x.T @ (x @ probe)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()])], ["y"])
+        parts = np.array_split(total, SUM_ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SUM_ROWS), pa.int32()), pa.array([p.tobytes() for p in parts])], ["k", "y"])
 
-    parts = base.mapInArrow(second, "y binary").toArrow()["y"].to_pylist()
-    y = np.sum([np.frombuffer(p, np.float32).reshape(TERMS, dims + 16).astype(np.float64) for p in parts], axis=0) if parts else np.zeros((TERMS, dims + 16))
+    def add(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(r.as_py(), np.float32).astype(np.float64) for r in table["y"]]
+        return pa.table({"k": table["k"][:1], "y": pa.array([sum(rows[1:], rows[0]).astype(np.float32).tobytes()])})
+
+    # Summed up on the executors, one matrix comes back.
+    parts = base.mapInArrow(second, "k int, y binary").groupBy("k").applyInArrow(add, "k int, y binary").toArrow().sort_by("k")["y"]
+    y = np.frombuffer(b"".join(p.as_py() for p in parts), np.float32).reshape(-1, dims + 16) if len(parts) else np.zeros((TERMS, dims + 16), np.float32)
     q = np.linalg.qr(y)[0]
     basis = q.astype(np.float32)
 
@@ -143,7 +151,8 @@ def fit_space(sample: DataFrame, *, dims: int = 48, neighbours: int = 15, power:
     rows = base.mapInArrow(project, "x binary, y int").toArrow()
     x = np.array([np.frombuffer(r, np.float32) for r in rows["x"].to_pylist()], np.float32).reshape(-1, dims + 16)
     if len(x):
-        turn = np.linalg.svd(x.astype(np.float64), full_matrices=True)[2].T[:, :dims] if len(x) >= 1 else np.eye(dims + 16)[:, :dims]
+        # Right singular vectors from the small product: no matrix of rows by rows.
+        turn = np.linalg.eigh(x.T.astype(np.float64) @ x)[1][:, ::-1][:, :dims]
         basis = (basis @ turn).astype(np.float32)
         x = x @ turn.astype(np.float32)
     return LatentSpace(idf, basis, _unit(x), np.array(rows["y"].to_pylist(), np.float64), neighbours, power)

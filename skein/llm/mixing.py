@@ -39,9 +39,10 @@ def min_cost_flow(sizes: Sequence[int], member: Sequence[Sequence[int]], quotas:
     """Words routed from each pattern to each source it belongs to.
 
     The k-th pass over a pattern costs k a word, so the cost is convex and
-    repetition is spread before any pattern is read once more. Successive
-    shortest paths with potentials; the graph has one node a pattern and one
-    a source, so it is as small as the table of patterns.
+    repetition is spread before any pattern is read once more. Primal-dual:
+    each phase finds the distances from the start, then a whole maximum flow
+    over the edges on shortest paths (levels and blocking flows). Path costs
+    are small integers, so phases are few, whatever the number of patterns.
     """
     n_p, n_s = len(sizes), len(quotas)
     start, end = n_p + n_s, n_p + n_s + 1
@@ -65,9 +66,9 @@ def min_cost_flow(sizes: Sequence[int], member: Sequence[Sequence[int]], quotas:
     for s, quota in enumerate(quotas):
         link(n_p + s, end, quota, 0)
     potential = [0] * len(edges)
-    while True:
+
+    def distances() -> bool:
         far: list[float] = [float("inf")] * len(edges)
-        via = [-1] * len(edges)
         far[start], queue = 0, [(0, start)]
         while queue:
             d, u = heapq.heappop(queue)
@@ -75,19 +76,55 @@ def min_cost_flow(sizes: Sequence[int], member: Sequence[Sequence[int]], quotas:
                 continue
             for e in edges[u]:
                 if room[e] and (nd := d + cost[e] + potential[u] - potential[to[e]]) < far[to[e]]:
-                    far[to[e]], via[to[e]] = nd, e
+                    far[to[e]] = nd
                     heapq.heappush(queue, (nd, to[e]))
-        if via[end] < 0:
-            break
-        potential = [p + int(d) if d < float("inf") else p for p, d in zip(potential, far, strict=True)]
-        path, v = [], end
-        while v != start:
-            path.append(via[v])
-            v = to[via[v] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
+        # Nodes out of reach move as far as the end, so that costs stay right.
+        for u, d in enumerate(far):
+            potential[u] += int(min(d, far[end])) if far[end] < float("inf") else 0
+        return far[end] < float("inf")
+
+    def levels() -> list[int]:
+        level = [-1] * len(edges)
+        level[start], queue = 0, [start]
+        for u in queue:
+            for e in edges[u]:
+                if room[e] and level[to[e]] < 0 and cost[e] + potential[u] == potential[to[e]]:
+                    level[to[e]] = level[u] + 1
+                    queue.append(to[e])
+        return level
+
+    def block(level: list[int]) -> None:
+        """A blocking flow of the level graph, by one path after another."""
+        turn = [0] * len(edges)
+        path: list[int] = []
+        u = start
+        while True:
+            if u == end:
+                push = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= push
+                    room[e ^ 1] += push
+                full = next(i for i, e in enumerate(path) if not room[e])
+                u = to[path[full] ^ 1]
+                del path[full:]
+                continue
+            while turn[u] < len(edges[u]):
+                e = edges[u][turn[u]]
+                if room[e] and level[to[e]] == level[u] + 1 and cost[e] + potential[u] == potential[to[e]]:
+                    break
+                turn[u] += 1
+            if turn[u] < len(edges[u]):
+                path.append(edges[u][turn[u]])
+                u = to[path[-1]]
+            elif path:
+                u = to[path.pop() ^ 1]
+                turn[u] += 1
+            else:
+                return
+
+    while distances():
+        while (level := levels())[end] >= 0:
+            block(level)
     return [{s: room[e ^ 1] for s, e in route.items() if room[e ^ 1]} for route in routes]
 
 
@@ -116,12 +153,15 @@ def mix(
     taken are replaced) plus size, source_size and target (of the row's first
     source), copies and taken = copies * size. `identity`: what tells rows
     apart in the seeded order; fully equal rows are interchangeable. Rows
-    without words are in every whole pass and take nothing. No rows give no
+    without words are in every whole pass and take nothing. A null or empty
+    `member` counts as the null source. No rows give no
     rows. The table of patterns is all the driver sees; more than
     `max_patterns` of them raise ValueError.
     """
     spark = docs.sparkSession
     new = ["size", "source_size", "target", "copies", "taken"]
+    null_source = F.array(F.lit(None).cast(docs.select(F.element_at(member, 1)).dtypes[0][1]))
+    member = F.when(F.size(F.coalesce(member, F.array())) > 0, member).otherwise(null_source)
     base = docs.withColumns(
         {
             "__size": F.coalesce(size, F.lit(0)).cast("long"),

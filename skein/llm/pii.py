@@ -175,10 +175,13 @@ class Surrogates:
         return out
 
     def _of(self, kind: str, text: str) -> str:
-        out = self._apply(kind, text)
-        if self._apply(kind, out, back=True) != text:
-            return self._letters(f"{kind}|plain", text, [True] * len(text), False)
-        return out
+        try:
+            out = self._apply(kind, text)
+            if self._apply(kind, out, back=True) == text:
+                return out
+        except (ValueError, IndexError):  # not of its kind's format
+            pass
+        return self._letters(f"{kind}|plain", text, [True] * len(text), False)
 
 
 def _luhn(digits: list[str]) -> int:

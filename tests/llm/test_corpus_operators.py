@@ -1,6 +1,8 @@
 """Shards, mixes, joins, searches and classifiers."""
 
+import itertools
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -37,6 +39,54 @@ def test_flow_spreads_repeats_and_serves_overlaps():
     assert sum(sum(f.values()) for f in mixing.min_cost_flow([4], [[0]], [12], 3)) == 12
 
 
+def plain_flow(sizes, member, quotas, repeats):
+    """Most words, then least cost, over all whole routings."""
+    options = []
+    for size, sources in zip(sizes, member, strict=True):
+        all_ = itertools.product(range(size * repeats + 1), repeat=len(sources))
+        options.append([dict(zip(sources, v, strict=True)) for v in all_ if sum(v) <= size * repeats])
+    best = (-1, 0)
+    for routed in itertools.product(*options):
+        got = Counter()
+        for r in routed:
+            got.update(r)
+        if all(got[k] <= q for k, q in enumerate(quotas)):
+            best = max(best, (sum(got.values()), -flow_cost(routed, sizes)))
+    return best
+
+
+def flow_cost(routed, sizes):
+    total = 0
+    for r, size in zip(routed, sizes, strict=True):
+        words, nth = sum(r.values()), 1
+        while words > 0:
+            total, words, nth = total + nth * min(words, size), words - size, nth + 1
+    return total
+
+
+def test_flow_is_the_cheapest_of_the_largest():
+    rng = random.Random(3)
+    for _ in range(120):
+        sources, patterns = rng.randint(1, 3), rng.randint(1, 3)
+        sizes = [rng.randint(0, 2) for _ in range(patterns)]
+        member = [sorted(rng.sample(range(sources), rng.randint(1, min(2, sources)))) for _ in range(patterns)]
+        quotas = [rng.randint(0, 5) for _ in range(sources)]
+        routed = mixing.min_cost_flow(sizes, member, quotas, 2)
+        assert (sum(sum(r.values()) for r in routed), -flow_cost(routed, sizes)) == plain_flow(sizes, member, quotas, 2)
+
+
+def test_mix_of_overlapping_sources(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice([["a"], ["b"], ["a", "b"], ["b", "c"], [], None]), rng.randint(0, 40), "x", 0.5) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, sources array<string>, n long, size string, target double")
+    got = mixing.mix(docs, member=F.col("sources"), size=F.col("n"), identity=[F.col("doc_id")]).collect()
+    assert len(got) == 600 and all(0 <= r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"] for r in got)
+    want = sum(r["size"] for r in got)
+    assert abs(sum(r["taken"] for r in got) - want) < 0.02 * want
+
+
 def test_mix_comes_near_targets(spark):
     rng = random.Random(2)
     rows = [(i, f"s{i % 4}" if i % 5 else None, rng.randint(0, 60)) for i in range(900)]
@@ -134,6 +184,32 @@ def test_top_k_is_exact(spark):
     assert topk.top_inner_products(df.limit(0)).count() == 0
 
 
+def test_top_k_ignores_clashing_columns_and_takes_long_vectors(spark):
+    rows = [(i, [float((i * k) % 7) / 8 for k in range(400)], i, [1.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id long, v array<double>")
+    got = topk.top_inner_products(df, every=10, block=8, head=4).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == plain_top([r[:2] for r in rows], 5, 10)
+
+
+def test_shards_by_the_plain_rule(spark, docs, awkward):
+    """Ranks, shares and cuts as the docstring says, row by row."""
+    import hashlib
+
+    draw = lambda *parts: int(hashlib.md5("|".join(str(p) for p in parts if p is not None).encode()).hexdigest()[:15], 16)
+    unit = lambda d: min(d / 2.0**60, 1.0 - 2.0**-52)
+    rows = [(("1" if s is None else f"0{s}"), draw(20, d, zlib.crc32((t or "").encode())), d, zlib.crc32((t or "").encode())) for d, t, s in awkward]
+    order = sorted(rows)
+    by = Counter(r[0] for r in rows)
+    nth, placed = Counter(), []
+    for r in order:
+        nth[r[0]] += 1
+        placed.append((min((nth[r[0]] - 1 + unit(draw(21, r[0]))) / by[r[0]], 1.0 - 2.0**-52), *r))
+    placed.sort()
+    want = sorted((r[3], r[4], i * 5 // len(rows)) for i, r in enumerate(placed))
+    got = sorted((r["doc_id"], r["text_crc32"], r["shard"]) for r in sharding.interleaved_shards(docs, shards=5).collect())
+    assert got == want
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(8)
@@ -199,6 +275,49 @@ def test_quality_votes(labelled):
     assert accuracy(quality.with_quality(docs, quality.fit_quality(docs, labels)), labels, "quality") > 0.98
 
 
+def test_quality_votes_equal_plain_votes(labelled):
+    docs, labels = labelled
+    space = quality.fit_quality(docs, labels)
+    texts = [r["text"] for r in docs.limit(40).collect()]
+    x = space.embed(quality.term_counts(texts))
+    for row, score in zip(x, space.score(x), strict=True):
+        near = sorted(range(len(space.labels)), key=lambda i: -float(row @ space.vectors[i]))[: space.neighbours]
+        weight = [max(0.0, float(row @ space.vectors[i])) ** space.power for i in near]
+        assert score == pytest.approx(sum(w * space.labels[i] for w, i in zip(weight, near, strict=True)) / sum(weight), rel=1e-3)
+
+
+def test_byte_classes_are_apart():
+    code, cyrillic, accents = (quality.term_counts([t])[0][: quality.PAIRS] for t in ("{}[]|~^", "привет", "éàü"))
+    assert not (code * cyrillic).any() and not (code * accents).any() and not (cyrillic * accents)[quality._CLASS[0xD0] :: quality.CLASSES].any()
+
+
+def test_hits_equal_a_plain_search():
+    lexicon = toxicity.Lexicon({" zonk ": 2.0, " blor": 1.5, " blorfest ": 3.0, " the": -1.0}, exceptions=("zonk valve",))
+    line = toxicity.folded("The zonk valve, a Zonk! blorfest blorish theatre zоnk")
+    want = {}
+    covered = [(m, m + len(" zonk valve ")) for m in range(len(line)) if line.startswith(" zonk valve ", m)]
+    for entry, weight in lexicon.weights.items():
+        for a in range(len(line)):
+            b = a + len(entry)
+            if line.startswith(entry, a) and not any(x <= a and b <= y for x, y in covered) and weight > want.get(a, (0, float("-inf")))[1]:
+                want[a] = (b, weight)
+    assert sorted(lexicon.hits(line)) == sorted((a, b, w) for a, (b, w) in want.items())
+
+
+def test_toxicity_without_documents_or_labels(no_docs, docs, labelled, awkward):
+    _, labels = labelled
+    assert toxicity.toxicity(no_docs, labels).count() == 0
+    assert toxicity.toxicity(docs, labels).count() == len(awkward)
+
+
+def test_a_sample_is_bounded_in_rows_too(spark):
+    from skein.llm.labels import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "clean")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None)], "doc_id long, toxic int")
+    assert labelled_sample(docs, labels, "toxic", folds=7, held_out=6, per_label=10).count() == 11
+
+
 def test_every_operator_has_its_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in catalog.queries())
     assert numbers == list(range(1, 11))

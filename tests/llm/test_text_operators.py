@@ -133,6 +133,44 @@ def test_guess_costs_rank_values():
     assert [s[0] for s in secrets.secret_spans("pwd: zk7Qm2Xv9Lp4 and password = changeme")] == ["guess"]
 
 
+def plain_guess_cost(value, dictionary):
+    """The least cost over all segmentations, span by span."""
+    low, n = value.lower(), len(value)
+    jumps = list(secrets._jumps(value, dictionary))
+    best = [0.0] + [float("inf")] * n
+    for i in range(n):
+        more = secrets.SPAN if i else 0.0
+        spans = [(i + 1, secrets._brute(value[i])), *((end, more + cost) for end, cost in jumps[i])]
+        for end in range(i + 2, n + 1):
+            steps = [secrets._STEP.get(p) for p in zip(low[i:end], low[i + 1 : end])]
+            if all(steps):
+                spans.append((end, more + secrets.KEY + secrets.TURN * (1 + sum(a != b for a, b in zip(steps, steps[1:])))))
+        for p in range(1, min(i, secrets.LONGEST_BLOCK) + 1):
+            for end in range(i + 1, n + 1):
+                if value[end - 1] != value[end - 1 - p]:
+                    break
+                spans.append((end, secrets.SPAN + secrets.COPY))
+        for end, cost in spans:
+            best[end] = min(best[end], best[i] + cost)
+    return best[n]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "aa", "admin", "P4ss", "word", "qwe", "rty", "123", "2020", "-05-", "17", "xyz", "k9", "Z", "1qaz", "é"]), max_size=7).map("".join))
+def test_guess_costs_are_minimal(value):
+    for dictionary in (secrets.PLAIN, secrets.Dictionary(["word", "wordy", "azert"])):
+        got, want = secrets.guess_cost(value, dictionary), plain_guess_cost(value, dictionary)
+        assert abs(got - want) < 1e-9 or secrets.ENOUGH <= got <= want + 1e-9
+
+
+def test_guess_costs_of_patterns():
+    cost = secrets.guess_cost
+    assert cost("123123123123") < 5 and cost("xyzxyzxyzxyz") < 5 and cost("aaaadmin") < 5 and cost("1qaz2wsx3edc") < 9
+    assert cost("international", secrets.Dictionary(["international"])) < 4 < cost("international")
+    assert cost("ab" * 5000) < 6 and cost("k9Qz7Lp2" * 3 + "Xw4") < 16
+    assert secrets.secret_spans(None) == secrets.secret_spans("") == []
+
+
 def test_secrets_of_awkward_rows(docs, no_docs, awkward):
     assert secrets.scan_secrets(docs).count() == len(awkward)
     assert secrets.scan_secrets(no_docs).count() == 0
@@ -165,6 +203,38 @@ def test_surrogates_are_distinct_and_of_the_same_form(kind):
     check()
 
 
+def iban(country, rest):
+    flat = "".join(str(int(c, 36)) for c in f"{rest}{country}00")
+    return f"{country}{98 - int(flat) % 97:02d}{rest}"
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["DE", "FR", "GB"]), st.from_regex(r"[0-9]{18}", fullmatch=True)), unique=True, max_size=20))
+def test_ibans_stay_valid_and_distinct(parts):
+    s, values = pii.Surrogates("key"), [iban(c, r) for c, r in parts]
+    made = [s.of("iban", v) for v in values]
+    assert len(set(made)) == len(set(values)) and all(pii._is_iban(m) and m != v for m, v in zip(made, values, strict=True))
+    assert all(s._apply("iban", m, back=True) == v for m, v in zip(made, values, strict=True))
+
+
+def test_numbers_that_no_bank_issues_end_no_job():
+    s = pii.Surrogates("k")
+    assert pii.with_surrogates("iban DE99244757710465634148 end", s)[1] == []
+    for kind in pii._PATTERNS:
+        assert s.of(kind, "DE99 x@ 1.2.3.4 é" if kind != "ip" else "1.2.3.4")
+
+
+def test_later_mentions_get_the_same_surrogate():
+    s = pii.Surrogates("k")
+    text, found = pii.with_surrogates("Mr John Smith came in. John Smith spoke; Smith, not Smithson, left. John!", s)
+    new = [e[3] for e in found]
+    assert len(new) == 4 and new[0] == new[1] and new[2] == new[0].split()[1] and new[3] == new[0].split()[0]
+    assert "Smith," not in text and "John" not in text and "Smithson" in text
+    for name, script in (("李雷", "\u4e00"), ("김철수", "\uac00"), ("Γιώργος", "\u0370")):
+        _, ((kind, a, b, other),) = pii.with_surrogates(f"name: {name} ok", s)
+        assert kind == "name" and (a, b) == (6, 6 + len(name)) and other != name and len(other) == len(name) and all(c >= script for c in other)
+
+
 def test_every_address_is_replaced_within_its_kind():
     s = pii.Surrogates("key")
     values = [f"{a}.{b}.113.{94 + b % 7}" for a in range(256) for b in (0, 53, 255)]

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.functions import patterns as P
 from skein.functions import text as X
 from skein.functions import vocab
 from skein.operators import dependencies, detectors, findings, history, offsets, risk, scripts, surface, taint
-from skein.plans import samples
+from skein.plans import samples, snippets
 from skein.sinks import exports
 from skein.sources import documents as docs_source
 from skein.sources import pages as pages_source
@@ -311,9 +313,48 @@ def secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "value", F.round(X.entropy(F.col("value")), 6).alias("entropy"))
 
 
-@query()
+def _any(column: str, words: tuple[str, ...]) -> str:
+    return " OR ".join(f"contains({column}, '{w}')" for w in words)
+
+
+_RX = lambda p: "'" + p.replace("'", "''") + "'"
+_SWEPT = ", ".join(f"regexp_extract_all(text, {_RX(p)}, {re.compile(p).groups and 1})" for p in P.SECRETS)
+#: The secret table over documents without split literals or JSON web tokens.
+SECRETS_SQL = f"""WITH swept AS (SELECT doc_id, text AS body, list_filter(list_transform(flatten([{_SWEPT}]), lambda x: trim(x)), lambda x: x <> '') AS f FROM documents),
+  each AS (SELECT doc_id, body, unnest(f) AS find, CAST(unnest(range(len(f))) AS BIGINT) AS ordinal FROM swept),
+  valued AS (SELECT *, CASE WHEN regexp_extract(find, '[''"]([^''"]{{4,}})[''"]', 1) <> '' THEN regexp_extract(find, '[''"]([^''"]{{4,}})[''"]', 1) ELSE trim(find) END AS value FROM each),
+  runs AS (SELECT *, list_reduce(list_prepend('', regexp_extract_all(value, '[A-Za-z0-9+/=_\\-]{{8,}}')), lambda a, b: CASE WHEN len(b) > len(a) THEN b ELSE a END) AS run FROM valued),
+  keyed AS (SELECT *, regexp_replace(lower(CASE WHEN run = '' THEN value ELSE run END), '\\s+', '', 'g') AS key FROM runs),
+  best AS (SELECT doc_id, min(ordinal) AS ordinal, arg_max(find, (len(find), -ordinal)) AS find, arg_max(value, (len(find), -ordinal)) AS value, any_value(body) AS body FROM keyed WHERE key <> '' GROUP BY doc_id, key),
+  judged AS (SELECT *, regexp_matches(value, {_RX(P.PUBLIC_KEY)}) AS public,
+      CASE WHEN regexp_extract(find, '["'']([^"'']+)["'']', 1) = '' THEN find ELSE regexp_extract(find, '["'']([^"'']+)["'']', 1) END AS v FROM best),
+  classed AS (SELECT *, len(v) AS n, lower(v) AS low, regexp_matches(v, '[a-z]')::INT + regexp_matches(v, '[A-Z]')::INT + regexp_matches(v, '[0-9]')::INT + regexp_matches(v, '[^A-Za-z0-9]')::INT AS classes FROM judged)
+  SELECT doc_id, ordinal, find AS text, public, NOT public AND CASE
+      WHEN {" OR ".join(f"regexp_matches(v, {_RX(p)})" for _, p in P.PROVIDERS)} THEN TRUE
+      WHEN {_any("low", P.FIXTURES)} THEN FALSE
+      WHEN regexp_matches(v, '[$%]?\\{{[^}}]*\\}}|<[^>]+>|\\[\\w+\\]') THEN FALSE
+      WHEN contains(lower(find), '-----begin ') THEN TRUE
+      WHEN n < 10 OR low IN ({", ".join(map(_RX, P.PLAIN_WORDS))}) THEN FALSE
+      WHEN n >= 20 AND classes >= 2 OR n >= 12 AND classes >= 3 THEN TRUE
+      ELSE n >= 10 AND classes >= 2 AND list_aggregate(string_split(v, ''), 'entropy') >= 3.2 END AS credible,
+    CAST(len(substr(body, 1, instr(body, find) - 1)) - len(replace(substr(body, 1, instr(body, find) - 1), chr(10), '')) + 1 AS INTEGER) AS line FROM classed"""
+
+
+@query(SECRETS_SQL)
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.secret_table(samples.documents(spark, sf_dir))
+    return detectors.secret_table(samples.documents(spark, sf_dir)).select("doc_id", "ordinal", "text", "public", "credible", "line")
+
+
+@query(snippets.expected_sql(lambda s: s.secrets, "text, credible, line"))
+def split_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets put together from several literals, in scripts."""
+    return detectors.secret_table(snippets.documents(spark, sf_dir)).filter("NOT public").select("doc_id", "text", "credible", "line")
+
+
+@query(snippets.expected_sql(lambda s: [(d, i, v) for d in snippets.DETECTORS for i, v in enumerate(s.finds.get(d, ()))], "detector, ordinal, value"))
+def script_finds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detectors over scripts whose finds are known."""
+    return detectors.long(snippets.documents(spark, sf_dir), snippets.DETECTORS).select("doc_id", "detector", "ordinal", "value")
 
 
 @query()
@@ -374,6 +415,11 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.pages(spark, sf_dir).select("page_id", F.size(F.array_distinct(X.find_all(F.col("html"), '<a href="([^"]+)"', 1))).cast("long").alias("links"))
 
 
+@query(snippets.expected_sql(lambda s: s.packages, "source, kind, evidence"))
+def script_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dependencies.dependency_scan(snippets.documents(spark, sf_dir)).select("doc_id", "source", "kind", "evidence")
+
+
 @query()
 def dependency_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dependencies.dependency_scan(samples.documents(spark, sf_dir))
@@ -392,19 +438,24 @@ def advisory_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.groupBy("p_partkey", "version").agg(F.max(F.when(F.col("cve") == "CVE-2020-11022", F.col("cve"))).alias("first_cve"), F.count("cve").cast("int").alias("n_cves"))
 
 
-@query()
+@query(snippets.expected_sql(lambda s: s.flows, "id, severity, confidence, status, line, observation"))
 def taint_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taint.flows(samples.documents(spark, sf_dir))
+    return taint.flows(snippets.documents(spark, sf_dir)).select("doc_id", "id", "severity", "confidence", "status", "line", "observation")
 
 
-@query()
+@query(snippets.expected_sql(lambda s: s.frameworks, "id, line, observation"))
 def framework_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offsets.framework_findings(_page_scripts(spark, sf_dir))
+    return offsets.framework_findings(snippets.documents(spark, sf_dir)).select("doc_id", "id", "line", "observation")
 
 
-@query()
+@query(snippets.expected_sql(lambda s: s.requests, "kind, endpoint, auth_required"))
 def api_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offsets.api_inventory(_page_scripts(spark, sf_dir))
+    return offsets.api_inventory(snippets.documents(spark, sf_dir)).select("doc_id", "kind", "endpoint", "auth_required")
+
+
+@query(snippets.expected_sql(lambda s: s.crypto, "kind, value"))
+def crypto_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offsets.crypto_material(snippets.documents(spark, sf_dir)).select("doc_id", "kind", "value")
 
 
 @query()
@@ -412,9 +463,9 @@ def crypto_material(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offsets.crypto_material(samples.documents(spark, sf_dir))
 
 
-@query()
+@query(snippets.expected_sql(lambda s: s.folded, "target, value, line"))
 def folded_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offsets.folded_literals(samples.documents(spark, sf_dir))
+    return offsets.folded_literals(snippets.documents(spark, sf_dir)).select("doc_id", "target", "value", "line")
 
 
 def _page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:

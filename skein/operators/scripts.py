@@ -119,28 +119,3 @@ def requests_with_responses(requests: DataFrame, responses: DataFrame) -> DataFr
 
     a, b = last_of(requests, ["method", "url"]), last_of(responses, ["method", "url"])
     return a.join(b.withColumnRenamed("ordinal", "response_ordinal") if "ordinal" in b.columns else b, ["method", "url"], "full")
-
-
-def runtime_findings(runtime: DataFrame) -> DataFrame:
-    """Findings of captured browser evidence (scan_id, url, captured, and the
-    counts n_eval, n_string_timers, n_dom_sinks, n_sensitive_storage,
-    n_console_errors, n_failed, n_websockets, n_api_calls)."""
-    r = runtime.filter("captured")
-    rule = lambda when, id, severity, confidence, status, evidence_type, observation: F.when(
-        when,
-        F.struct(F.lit(id).alias("id"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), F.lit(status).alias("status"), F.lit(evidence_type).alias("evidence_type"), F.lit(observation).alias("observation")),
-    )
-    some = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
-    every = F.array_compact(
-        F.array(
-            rule(some("n_eval"), "runtime_eval", "HIGH", "confirmed", "confirmed", "runtime_effect", False),
-            rule(~some("n_eval") & some("n_string_timers"), "runtime_string_timer", "MEDIUM", "medium", "needs_review", "runtime_browser", False),
-            rule(some("n_dom_sinks"), "runtime_dom_sink", "MEDIUM", "high", "open", "runtime_browser", False),
-            rule(some("n_sensitive_storage"), "runtime_sensitive_storage", "MEDIUM", "medium", "needs_review", "runtime_browser", False),
-            rule(some("n_console_errors"), "runtime_console_errors", "LOW", "medium", "informational", "runtime_browser", True),
-            rule(some("n_failed"), "runtime_failed_requests", "LOW", "medium", "informational", "runtime_browser", True),
-            rule(some("n_websockets"), "runtime_websocket", "LOW", "medium", "informational", "runtime_browser", True),
-            rule(some("n_api_calls"), "runtime_api_calls", "INFO", "medium", "informational", "runtime_browser", True),
-        )
-    )
-    return r.select("scan_id", F.col("url").alias("file"), F.posexplode(every).alias("ordinal", "f")).select("scan_id", "file", F.col("ordinal").cast("long").alias("ordinal"), "f.*")

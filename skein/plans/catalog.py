@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import patterns as P
+from skein.functions import policy
 from skein.functions import text as X
 from skein.functions import vocab
-from skein.operators import dependencies, detectors, findings, history, offsets, risk, scripts, surface, taint
+from skein.operators import dependencies, detectors, findings, history, offsets, report, risk, runtime, scripts, surface, taint
 from skein.plans import samples, snippets
 from skein.sinks import exports
 from skein.sources import documents as docs_source
@@ -273,7 +274,7 @@ def triage_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(NORMALIZED + " SELECT scan_id, severity, confidence, count(*) AS n FROM normalized GROUP BY ALL")
 def severity_confidence_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _normalized(spark, sf_dir).groupBy("scan_id", "severity", "confidence").agg(F.count("*").alias("n"))
+    return report.mix(_normalized(spark, sf_dir), "confidence", ["scan_id", "severity"])
 
 
 @query(NORMALIZED + " SELECT scan_id, ordinal, id FROM normalized QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY ordinal) <= 40")
@@ -513,6 +514,64 @@ def export_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.groupBy("id", "file", exports.cell(F.col("file")).alias("guarded"), "level").agg(F.count("*").alias("n"))
 
 
+# ---- reports ----------------------------------------------------------------
+
+_FOUND = snippets.expected_sql(lambda s: [(d, len(v)) for d, v in s.finds.items()], "category, found")
+
+
+@query(f"""WITH t AS (SELECT category, CAST(sum(found) AS BIGINT) AS n FROM ({_FOUND}) GROUP BY category)
+  SELECT category, n, CASE WHEN category IN ('storage', 'dom_risks', 'suspicious_calls') THEN 'HIGH' WHEN category IN ('api_calls', 'endpoints', 'crypto') THEN 'MEDIUM' ELSE 'INFO' END AS severity FROM t""")
+def category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.category_totals(detectors.long(snippets.documents(spark, sf_dir), snippets.DETECTORS))
+
+
+@query(f"""WITH f AS (SELECT DISTINCT doc_id, category FROM ({_FOUND})), p AS (SELECT doc_id,
+    2 * max((category IN ('storage'))::INT) + 2 * max((category = 'dom_risks')::INT) + 2 * max((category = 'crypto')::INT)
+    + max((category IN ('api_calls', 'endpoints'))::INT) + max((category = 'suspicious_calls')::INT) AS s FROM f GROUP BY doc_id),
+  j AS (SELECT CAST(p_partkey AS BIGINT) AS doc_id, coalesce(s, 0) AS score FROM part LEFT JOIN p ON p_partkey = doc_id)
+  SELECT doc_id, CAST(score AS INTEGER) AS score, CASE WHEN score >= 9 THEN 'CRITICAL' WHEN score >= 5 THEN 'HIGH' WHEN score >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS label FROM j""")
+def additive_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.legacy_risk(detectors.wide(snippets.documents(spark, sf_dir), snippets.DETECTORS))
+
+
+@query("""SELECT count(*) AS discovered, count(*) FILTER (octet_length(encode(text)) <= 8000) AS analyzed, count(*) FILTER (octet_length(encode(text)) > 8000) AS skipped,
+    CAST(coalesce(sum(octet_length(encode(text))) FILTER (octet_length(encode(text)) <= 8000), 0) AS BIGINT) AS bytes,
+    round(count(*) FILTER (octet_length(encode(text)) <= 8000) / count(*) * 100, 1) AS coverage_percent FROM documents WHERE text IS NOT NULL""")
+def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = samples.documents(spark, sf_dir).filter("content IS NOT NULL")
+    return report.scan_summary(docs_source.sized(d, 8000)).drop("reasons")
+
+
+@query("""WITH u AS (SELECT c_custkey, c_custkey % 223 AS a, c_custkey * 7 % 256 AS b FROM customer)
+  SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'scheme' WHEN 1 THEN 'credentials' WHEN 2 THEN '' WHEN 3 THEN 'local network' ELSE CASE
+    WHEN a IN (0, 10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b IN (0, 168)) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127)
+      OR (a = 198 AND b IN (18, 19)) THEN 'local network' ELSE '' END END AS fault FROM u""")
+def url_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    address = F.concat(F.lit("http://"), (key % 223).cast("string"), F.lit("."), (key * 7 % 256).cast("string"), F.lit(".0.1:80/x"))
+    url = F.when(key % 5 == 0, "ftp://example.com/a").when(key % 5 == 1, "https://u:p@example.com/").when(key % 5 == 2, "https://example.com/?q=http://localhost/").when(key % 5 == 3, "http://localhost:8080/").otherwise(address)
+    return table(spark, sf_dir, "customer").select("c_custkey", policy.url_fault(url).alias("fault"))
+
+
+@query("""WITH e AS (SELECT event_id AS scan_id, event_type AS t FROM events WHERE event_id % 4 <> 0)
+  SELECT scan_id, 'runtime_eval' AS id, 'confirmed' AS status FROM e WHERE t = 'error'
+  UNION ALL SELECT scan_id, 'runtime_string_timer', 'needs_review' FROM e WHERE t <> 'error' AND scan_id % 3 = 0
+  UNION ALL SELECT scan_id, 'runtime_sensitive_storage', 'needs_review' FROM e WHERE t = 'signup'
+  UNION ALL SELECT scan_id, 'runtime_api_calls', 'informational' FROM e WHERE t = 'purchase' OR t = 'signup'
+  UNION ALL SELECT scan_id, 'runtime_data_exfiltration_candidate', 'needs_review' FROM e WHERE t = 'signup'""")
+def runtime_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, key = F.col("event_type"), F.col("event_id")
+    notes = lambda when: F.when(when, F.lit('[{"text": "x"}]')).otherwise("[]")
+    calls = F.when(kind.isin("purchase", "signup"), '[{"method": "GET", "url": "https://t.example.net/c", "resource_type": "xhr"}]').otherwise("[]")
+    stored = F.when(kind == "signup", '["authToken"]').otherwise('["theme"]')
+    evidence = F.concat(
+        F.lit('{"captured": '), (key % 4 != 0).cast("string"), F.lit(', "url": "https://app.example.com/", "eval_calls": '), notes(kind == "error"),
+        F.lit(', "string_timers": '), notes(key % 3 == 0), F.lit(', "requests": '), calls, F.lit(', "local_storage_keys": '), stored, F.lit("}"),
+    )
+    counted = runtime.counts(table(spark, sf_dir, "events").select(key.alias("scan_id"), evidence.alias("evidence")))
+    return runtime.findings(counted).select("scan_id", "id", "status")
+
+
 # ---- progress ---------------------------------------------------------------
 
 

@@ -281,6 +281,20 @@ def long(documents: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
     return each
 
 
+def run_each(documents: DataFrame, names: Iterable[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """The finds of the named detectors, and (name, error) of those that could
+    not be built or planned: one that fails doesn't take the others with it."""
+    good, errors = [], []
+    for name in names:
+        try:
+            base, text = with_text(documents)
+            base.select(DETECTORS[name](text).cast("array<string>").alias(name)).schema  # noqa: B018 - analyzes the plan
+            good.append(name)
+        except Exception as error:  # noqa: BLE001 - any fault of a detector is reported
+            errors.append((name, f"{type(error).__name__}: {error}"))
+    return (long(documents, good) if good else long(documents.limit(0), list(DETECTORS)[:1])), errors
+
+
 def signals(documents: DataFrame) -> DataFrame:
     """Coarse risk signals of each document as findings, in their order: id,
     severity, title, evidence_list, confidence, observation, ordinal, file."""

@@ -600,6 +600,34 @@ def self_tuned_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.tuned_ratio(e, "user_id", "event_id", "value", "predicted").withColumn("ratio", F.round("ratio", 9))
 
 
+@query("""WITH v AS (SELECT event_id, least(1.0, value / 100.0)::DOUBLE AS f, (event_id % 30)::DOUBLE AS e, (event_id % 90)::DOUBLE AS q, (1 + event_id % 500)::DOUBLE AS m, (event_id % 11 / 10.0)::DOUBLE AS c,
+      CASE WHEN event_id % 6 = 0 THEN NULL ELSE (event_id % 400)::DOUBLE END AS o, CASE WHEN event_id % 4 = 0 THEN NULL ELSE (event_id % 100)::DOUBLE END AS p FROM events),
+  a AS (SELECT *, greatest(0.0, least(1.0, f / 0.35, e / 8.0)) AS oc FROM v), b AS (SELECT *, greatest(0.05, least(0.95, c * (1.0 - oc * exp(-q / 45.0)))) AS w FROM a),
+  x AS (SELECT *, CASE WHEN o IS NULL THEN m ELSE (1.0 - w) * o + w * m END AS mixed FROM b)
+  SELECT event_id, round(greatest(0.0, least(CASE WHEN p IS NOT NULL AND mixed > p THEN least(mixed, p * (1.6 + 1.2 * c) + 3.0 + 30.0 * c) ELSE mixed END, greatest(900.0, least(3.0 * m + 60.0, 5400.0)))), 6)::DOUBLE AS eta,
+    CASE WHEN o IS NULL OR w >= 0.7 THEN 'workload model' WHEN w >= 0.35 THEN 'blended' ELSE 'observed rate' END AS basis FROM x""")
+def blended_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("event_id")
+    number = lambda c: c.cast("double")
+    e = table(spark, sf_dir, "events").select(
+        "event_id", progress.observed_confidence(F.least(F.lit(1.0), F.col("value") / 100.0), number(key % 30)).alias("seen"), number(key % 90).alias("quiet"), number(key % 500 + 1).alias("model"),
+        (number(key % 11) / 10.0).alias("sure"), F.when(key % 6 != 0, number(key % 400)).alias("observed"), F.when(key % 4 != 0, number(key % 100)).alias("previous"),
+    )
+    weight = progress.model_weight(F.col("seen"), F.col("sure"), F.col("quiet"))
+    eta = progress.blended_eta(F.col("observed"), F.col("seen"), F.col("model"), F.col("sure"), F.col("quiet"), F.col("previous"))
+    return e.select("event_id", F.round(eta, 6).alias("eta"), progress.eta_basis(F.col("observed"), weight).alias("basis"))
+
+
+@query("""WITH s AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'queued' WHEN 'view' THEN 'beautify' WHEN 'click' THEN 'verify' WHEN 'signup' THEN ' Report ' ELSE 'other' END AS raw, least(1.0, value / 100.0)::DOUBLE AS f FROM events),
+  n AS (SELECT *, CASE raw WHEN 'queued' THEN 'recon' WHEN 'beautify' THEN 'normalize' WHEN 'verify' THEN 'verify' WHEN ' Report ' THEN 'report' ELSE 'analyze' END AS stage FROM s)
+  SELECT event_id, stage, round(CASE stage WHEN 'recon' THEN f WHEN 'normalize' THEN 5.5 + 1.5 * f WHEN 'verify' THEN 14.0 + 4.0 * f WHEN 'report' THEN 18.0 + 0.5 * f ELSE 7.0 + 6.0 * f END / 18.5 * 100, 6)::DOUBLE AS percent FROM n""")
+def stage_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    raw = F.when(kind == "error", "queued").when(kind == "view", "beautify").when(kind == "click", "verify").when(kind == "signup", " Report ").otherwise("other")
+    rows = table(spark, sf_dir, "events").select("event_id", progress.stage(raw).alias("stage"), F.least(F.lit(1.0), F.col("value") / 100.0).alias("f"))
+    return rows.select("event_id", "stage", F.round(progress.weighted_percent(F.col("stage"), F.col("f")), 6).alias("percent"))
+
+
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")

@@ -85,3 +85,45 @@ def cost_seconds(bytes_: Column) -> Column:
 
 def staleness(quiet_seconds: Column) -> Column:
     return F.exp(-quiet_seconds / F.lit(STALE_S))
+
+
+# Work and seconds from which a rate is trusted, limits of weights and of rises, and the longest estimate.
+CONFIDENT_AT, CONFIDENT_S, WEIGHTS, RISE, SLACK_S, LONGEST_S = 0.35, 8.0, (0.05, 0.95), 1.6, 3.0, 900.0
+
+
+def observed_confidence(fraction: Column, elapsed: Column) -> Column:
+    """How far a measured rate is to be trusted: by work done and time watched."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction / CONFIDENT_AT, elapsed / CONFIDENT_S))
+
+
+def model_weight(observed: Column, model: Column, quiet_seconds: Column) -> Column:
+    """The cost model's part of an estimate: it leads while little was measured,
+    and again when progress has been quiet."""
+    return F.greatest(F.lit(WEIGHTS[0]), F.least(F.lit(WEIGHTS[1]), model * (F.lit(1.0) - observed * staleness(quiet_seconds))))
+
+
+def blended_eta(observed_eta: Column, observed: Column, model_eta: Column, model: Column, quiet_seconds: Column, previous: Column) -> Column:
+    """Seconds left: the measured and the model's estimate by weight (the
+    model's alone where nothing was measured), rising no faster than a share
+    of the previous one, and never beyond a horizon that grows with the work."""
+    w = model_weight(observed, model, quiet_seconds)
+    mixed = F.coalesce((F.lit(1.0) - w) * observed_eta + w * model_eta, model_eta)
+    limited = F.when(mixed > previous, F.least(mixed, previous * (F.lit(RISE) + 1.2 * model) + SLACK_S + 30.0 * model)).otherwise(mixed)
+    horizon = F.greatest(F.lit(LONGEST_S), F.least(3.0 * model_eta + 60.0, F.lit(5400.0)))
+    return F.greatest(F.lit(0.0), F.least(limited, horizon))
+
+
+def eta_basis(observed_eta: Column, weight: Column) -> Column:
+    return F.when(observed_eta.isNull() | (weight >= 0.7), "workload model").when(weight >= 0.35, "blended").otherwise("observed rate")
+
+
+def heartbeat_age(events: DataFrame, key: str, at: str, now: Column) -> DataFrame:
+    """Seconds since the last event of each key."""
+    return events.groupBy(key).agg(((_micros(now) - _micros(F.max(at))) / F.lit(1e6)).alias("age"))
+
+
+def retained_jobs(jobs: DataFrame, now: Column, seconds: int = 3600, most: int = 64) -> DataFrame:
+    """Jobs (job_id, finished_at) that are kept: unfinished ones, and of those
+    finished in the last `seconds` the newest, `most` in all."""
+    fresh = jobs.filter(F.col("finished_at").isNull() | (_micros(F.col("finished_at")) >= _micros(now) - seconds * 1_000_000))
+    return fresh.orderBy(F.col("finished_at").desc_nulls_first(), F.desc("job_id")).limit(most)

@@ -130,3 +130,25 @@ def test_history_store(spark, tmp_path):
     assert sorted((x["scan_id"], len(x["findings"])) for x in lines) == [(1, 2), (2, 2), (3, 1)]
     assert store.delete(2) and not store.delete(2) and store.scans().count() == 2
     assert store.wipe() == {"deleted_scans": 2, "deleted_findings": 3} and store.scans().count() == 0
+
+
+def test_a_failing_detector_is_isolated(spark):
+    detectors.register("broken", lambda t: F.col("no_such_column"))
+    detectors.register("raising", lambda t: 1 / 0)
+    try:
+        got, errors = detectors.run_each(docs(spark, "fetch('/a')"), ["transport", "broken", "raising"])
+        assert [r["value"] for r in got.collect()] == ["fetch"] and [n for n, _ in errors] == ["broken", "raising"]
+    finally:
+        del detectors.DETECTORS["broken"], detectors.DETECTORS["raising"]
+
+
+def test_jobs_that_are_kept(spark):
+    from skein.streaming import progress
+
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    rows = [(i, f"2024-01-01 11:{i % 60:02d}:00") for i in range(100)] + [(200, None), (201, "2024-01-01 09:00:00")]
+    jobs = spark.createDataFrame(rows, "job_id long, finished_at string").withColumn("finished_at", F.col("finished_at").cast("timestamp"))
+    kept = {r["job_id"] for r in progress.retained_jobs(jobs, now).collect()}
+    assert len(kept) == 64 and 200 in kept and 201 not in kept and 59 in kept
+    age = progress.heartbeat_age(jobs.filter("job_id = 30"), "job_id", "finished_at", now).first()["age"]
+    assert age == 1800.0

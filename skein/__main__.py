@@ -6,11 +6,16 @@ Exit codes: 0 passed, 1 the gate closed, 2 the input can't be used.
 from __future__ import annotations
 
 import argparse
+import csv
+import io
 import sys
+import time
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from skein.functions.vocab import SEVERITIES
-from skein.operators import history, risk
+from skein.operators import detectors, history, report
 from skein.plans.analysis import PROFILES, analyze_folder
 from skein.session import local_session
 from skein.sinks import exports
@@ -25,8 +30,12 @@ def main(argv: list[str] | None = None) -> int:
     args.add_argument("--fail-on", choices=[s.lower() for s in SEVERITIES])
     args.add_argument("--baseline")
     args.add_argument("--save-baseline")
+    args.add_argument("--triage", help="JSON lines of fingerprint, status, note; false positives neither count nor close the gate")
+    args.add_argument("--watch", type=int, help="scan again every so many seconds (10 at least) until the gate closes")
     args.add_argument("--workers", default="8")
     o = args.parse_args(argv)
+    if o.watch:
+        return watch(argv or sys.argv[1:], max(10, o.watch))
     if not Path(o.target).is_dir():
         print(f"{o.target} is no folder", file=sys.stderr)
         return 2
@@ -38,28 +47,45 @@ def main(argv: list[str] | None = None) -> int:
         rows = history.against_baseline(rows, exports.read_baseline(spark, o.baseline)).filter("state <> 'known'")
     if o.save_baseline:
         exports.write_baseline(done.rows(), o.save_baseline)
-    if o.format in ("txt", "html"):
-        score = done.overall().first()
-        model = score.asDict(recursive=True) if score else {"score": 0, "label": "LOW", "contributors": []}
-        top = [r.asDict() for r in risk.priorities(found.withColumn("scan_id", found["doc_id"] * 0), ["scan_id"]).orderBy("place").collect()]
-        totals = {"documents": done.documents.count(), "findings": found.filter("NOT observation").count(), "observations": found.filter("observation").count(), "endpoints": done.endpoints.count()}
-        text = (exports.text_report if o.format == "txt" else exports.html_report)(model, top, totals)
+    if o.triage:
+        states = spark.read.schema("fingerprint string, status string, note string").json(o.triage)
+        rows = history.with_triage(rows, states).filter("triage_status IS NULL OR triage_status <> 'false_positive'")
+    if o.format in ("txt", "html", "json"):
+        sized = done.documents.withColumn("skip_reason", F.lit(None).cast("string"))
+        model = report.dashboard(spark, sized, found, detectors.long(done.documents))
+        text = {"txt": exports.text_report, "html": exports.html_report, "json": exports.json_report}[o.format](model)
+    elif o.format == "csv" and o.output:
+        exports.write_csv(found, o.output)
+        text = None
     elif o.format == "csv":
-        text = exports.csv_rows(found).toPandas().to_csv(index=False)
+        names = exports.CSV_COLUMNS
+        buffer = io.StringIO()
+        out = csv.writer(buffer)
+        out.writerow(names)
+        out.writerows([r[c] for c in names] for r in exports.csv_rows(found).toLocalIterator())
+        text = buffer.getvalue()
     elif o.format == "sarif":
         text = exports.sarif(found)
-    elif o.format == "json":
-        text = "\n".join(r["value"] for r in exports.json_rows(found).toLocalIterator()) + "\n"
     else:
         from skein.operators import surface
 
         text = exports.openapi(surface.openapi_paths(done.endpoints))
-    Path(o.output).write_text(text) if o.output else print(text)
+    if text is not None:
+        Path(o.output).write_text(text) if o.output else print(text)
     if not o.fail_on:
         return 0
     closed = history.gate(rows, o.fail_on).first()
     return closed["exit_code"] if closed else 0
 
 
+def watch(argv: list[str], seconds: int) -> int:
+    """The same scan again and again; ends with the first exit code above 0."""
+    at = argv.index("--watch")
+    once = argv[:at] + argv[at + 2 :]
+    while not (code := main(once)):
+        time.sleep(seconds)
+    return code
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -205,6 +205,8 @@ def module_references(text: Text) -> Column:
         text.all(r"""\b(?:from|import)\s*\(?\s*["']([^"']+)["']""", 1),
         text.all(r"""\brequire\s*\(\s*["']([^"']+)["']""", 1),
         text.all(r"""\bimportScripts\s*\(\s*["']([^"']+)["']""", 1),
+        text.all(r"""\b(?:System\.import|__webpack_require__\.e|loadChunk)\s*\(\s*["']([^"']+)["']""", 1),
+        text.all(r"""["'`]([A-Za-z0-9_./-]*chunk[-.][A-Za-z0-9_.-]+\.m?js)["'`]""", 1),
         text.all(r"""["']((?:https?:)?/?/?[A-Za-z0-9_./@-]+\.(?:m?js|cjs)(?:\?[^"']*)?)["']""", 1),
     )
     script = lambda r: r.rlike(r"^(?:\.{0,2}/|https?://|//)") | r.rlike(r"(?i)\.(?:m?js|cjs)(?:\?.*)?$")
@@ -281,6 +283,21 @@ def long(documents: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
     return each
 
 
+#: Detectors by marks, whose first match is evidence.
+MARKS = {"crypto": P.CRYPTO, "auth_markers": P.AUTH, "config_markers": P.CONFIG_MARKERS, "technology": P.TECHNOLOGY, "notable_features": P.FEATURES, "transport": P.TRANSPORT}
+
+
+def mark_evidence(documents: DataFrame, names: Iterable[str] = tuple(MARKS)) -> DataFrame:
+    """doc_id, detector, name, evidence: the first match of each mark."""
+    base, text = with_text(documents)
+    found = [
+        F.when(text.has(p), F.struct(F.lit(d).alias("detector"), F.lit(n).alias("name"), F.substring(F.regexp_extract(text.content, p, 0), 1, 160).alias("evidence")))
+        for d in names
+        for n, p in MARKS[d]
+    ]
+    return base.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("m")).select("doc_id", "m.*")
+
+
 def run_each(documents: DataFrame, names: Iterable[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
     """The finds of the named detectors, and (name, error) of those that could
     not be built or planned: one that fails doesn't take the others with it."""

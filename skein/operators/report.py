@@ -138,7 +138,8 @@ def dashboard(spark: SparkSession, documents: DataFrame, findings: DataFrame, fi
     mixes, reliability and summary of one scan. Findings carry `file`."""
     one = findings_.normalize(findings).withColumn("scan_id", F.lit(1))
     score = next(iter(risk.overall(one, ["scan_id"]).collect()), None)
-    total = {"score": 0, "label": "INFO"} if score is None else {"score": score["score"], "label": score["label"]}
+    row = score.asDict(recursive=True) if score else {}
+    total = {"score": row.get("score", 0), "label": row.get("label", "INFO"), "contributors": row.get("contributors", [])}
     summary = scan_summary(documents).first().asDict()
     confidence = {r["confidence"]: r["n"] for r in confidence_mix(findings).collect()}
     return {

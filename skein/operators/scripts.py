@@ -59,13 +59,23 @@ def _named(low: Column, table: tuple) -> Column:
     return F.array_compact(F.array(*[F.when(_found(low, words), F.lit(name)) for name, words in table]))
 
 
-def inventory(documents: DataFrame, page_url: str = "") -> DataFrame:
+def script_party(name: Column, url: Column, page_url: str) -> Column:
+    """The party of a script: that of its URL; a script of a page whose own URL
+    is not known belongs to the page, an inline one is inline."""
+    inline = F.coalesce(name, F.lit("")).startswith("inline")
+    by_url = party(F.when(~inline, url), F.lit(page_url))
+    known = F.coalesce(F.nullif(url, F.lit("")), name).rlike("^[A-Za-z][A-Za-z0-9+.-]*:")
+    return F.when(~inline & ~known, "first_party").otherwise(by_url) if page_url else by_url
+
+
+def inventory(documents: DataFrame, page_url: str = "", runtime: DataFrame | None = None) -> DataFrame:
     """One row for each document (doc_id, name, url, content): party, load
-    method, hash, capabilities, sensitive reads, destinations, risk score."""
+    method, hash, capabilities, sensitive reads, destinations, risk score.
+    `runtime` (doc_id, n_requests, n_eval) adds what a browser saw of a script."""
     low = F.lower("content")
     base = documents.select(
         "doc_id", "name", "url", F.sha2("content", 256).alias("content_sha256"), F.octet_length("content").cast("long").alias("bytes"),
-        load_method(F.col("name"), F.col("url")).alias("load_method"), party(F.when(load_method(F.col("name"), F.col("url")) != "inline", F.col("url")), F.lit(page_url)).alias("party"),
+        load_method(F.col("name"), F.col("url")).alias("load_method"), script_party(F.col("name"), F.col("url"), page_url).alias("party"),
         _named(low, CAPABILITIES).alias("capabilities"), _named(low, READS).alias("reads"),
         detectors.imports(detectors.Text(F.col("content"), F.lower("content"))).alias("imports"),
     )
@@ -83,7 +93,11 @@ def inventory(documents: DataFrame, page_url: str = "") -> DataFrame:
         + points(has("websocket"), 10) + points(has("post_message"), 8) + points(F.size("imports") > 0, 8)
         + points(has("geolocation") | has("camera_microphone") | has("notifications") | has("clipboard"), 10)
     )
-    return joined.withColumn("score", F.least(F.lit(100), score)).withColumns({"n_reads": F.size("reads"), "n_external": F.size("external_destinations")})
+    if runtime is not None:
+        seen = runtime.groupBy("doc_id").agg(F.sum("n_requests").alias("__requests"), F.sum("n_eval").alias("__eval"))
+        joined = joined.join(seen, "doc_id", "left")
+        score = score + points(F.coalesce("__requests", F.lit(0)) > 10, 5) + points(F.coalesce("__eval", F.lit(0)) > 0, 10)
+    return joined.withColumn("score", F.least(F.lit(100), score)).drop("__requests", "__eval").withColumns({"n_reads": F.size("reads"), "n_external": F.size("external_destinations")})
 
 
 def exfiltration(inventory_: DataFrame) -> DataFrame:

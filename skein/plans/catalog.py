@@ -12,7 +12,7 @@ from skein.functions import patterns as P
 from skein.functions import policy
 from skein.functions import text as X
 from skein.functions import vocab
-from skein.operators import dependencies, detectors, findings, history, offsets, report, risk, runtime, scripts, surface, taint
+from skein.operators import dependencies, detectors, findings, history, offsets, report, requests, risk, runtime, scripts, surface, taint
 from skein.plans import samples, snippets
 from skein.sinks import exports
 from skein.sources import documents as docs_source
@@ -464,6 +464,13 @@ def crypto_material(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offsets.crypto_material(samples.documents(spark, sf_dir))
 
 
+@query(snippets.expected_sql(lambda s: s.calls, "kind, method, url, parameters, headers, body_fields, auth, line"))
+def attack_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = requests.attack_surface(snippets.documents(spark, sf_dir))
+    joined = [F.array_join(c, ",").alias(c) for c in ("parameters", "headers", "body_fields")]
+    return found.select("doc_id", "kind", "method", "url", *joined, "auth", "line")
+
+
 @query(snippets.expected_sql(lambda s: s.folded, "target, value, line"))
 def folded_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offsets.folded_literals(snippets.documents(spark, sf_dir)).select("doc_id", "target", "value", "line")

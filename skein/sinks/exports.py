@@ -158,18 +158,35 @@ def read_baseline(spark, path: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def text_report(risk: dict, priorities: list[dict], totals: dict[str, int]) -> str:
-    """A plain report of a small model: score, reasons, what to do first."""
-    lines = [f"RISK {risk['score']}/100 ({risk['label']})", "", "WHY"]
-    lines += [f"  +{c['points']:>3}  {c['label']} (x{c['count']})" for c in risk["contributors"]] or ["  nothing found"]
-    lines += ["", "INVESTIGATE FIRST"] + ([f"  {p['severity']:<8} {p['type']} at {p['location']}" for p in priorities] or ["  nothing open"])
-    return "\n".join([*lines, "", "TOTALS", *[f"  {k}: {v}" for k, v in totals.items()]]) + "\n"
+def text_report(model: dict) -> str:
+    """A plain report of a dashboard payload (report.dashboard)."""
+    listed = lambda items, none: [f"  {x}" for x in items] or [f"  {none}"]
+    steps = model["executive"]["first_steps"]
+    sections = {
+        f"RISK {model['score']}/100 ({model['label']})": [f"  {model['executive']['words']}"],
+        "WHY": listed([f"+{c['points']:>3}  {c['label']} (x{c['count']})" for c in model.get("contributors") or []], "nothing found"),
+        "INVESTIGATE FIRST": listed([f"{p['severity']:<8} {p['type']} at {p['location']}" for p in model["priorities"]], "nothing open"),
+        "FINDINGS IN PLAIN WORDS": listed([f"{f['severity']:<8} {f['id']} in {f['where']}" for f in model["executive"]["findings"]], "none"),
+        "WHAT TO DO": listed(steps, "nothing"),
+        "CATEGORIES": listed([f"{k}: {v['n']} ({v['severity']})" for k, v in sorted(model["categories"].items())], "none"),
+        "SEVERITIES": listed([f"{k}: {n}" for k, n in sorted(model["severities"].items())], "none"),
+        "CONFIDENCE": listed([f"{k}: {n}" for k, n in sorted(model["confidence"].items(), key=lambda x: (-x[1], x[0]))], "none"),
+        "RELIABILITY": listed([f"{k}: {v}" for k, v in model["reliability"]], "unknown"),
+        "SCAN": listed([f"{k}: {v}" for k, v in model["summary"].items()], "unknown"),
+    }
+    return "\n\n".join("\n".join([title, *lines]) for title, lines in sections.items()) + "\n"
 
 
-def html_report(risk: dict, priorities: list[dict], totals: dict[str, int]) -> str:
+def html_report(model: dict) -> str:
     """The same report as a page; all text is escaped."""
-    e = html.escape
-    why = "".join(f"<li>+{c['points']} {e(c['label'])} ({c['count']})</li>" for c in risk["contributors"])
-    first = "".join(f"<li>{e(p['severity'])} {e(p['type'])} <code>{e(p['location'])}</code></li>" for p in priorities)
-    rows = "".join(f"<tr><td>{e(k)}</td><td>{v}</td></tr>" for k, v in totals.items())
-    return f"<!doctype html><meta charset=utf-8><title>Report</title><h1>{risk['score']}/100 {e(risk['label'])}</h1><ul>{why}</ul><h2>Investigate first</h2><ol>{first}</ol><table>{rows}</table>"
+    head, *rest = text_report(model).strip().split("\n\n")
+    parts = [f"<h1>{html.escape(head.splitlines()[0])}</h1><p>{html.escape(head.splitlines()[1].strip())}</p>"]
+    for section in rest:
+        title, *lines = section.splitlines()
+        items = "".join(f"<li>{html.escape(line.strip())}</li>" for line in lines)
+        parts.append(f"<h2>{html.escape(title.capitalize())}</h2><ul>{items}</ul>")
+    return "<!doctype html><meta charset=utf-8><title>Report</title>" + "".join(parts)
+
+
+def json_report(model: dict) -> str:
+    return json.dumps(model, ensure_ascii=False, indent=1, default=str)

@@ -22,7 +22,7 @@ def resolve(base: Column, ref: Column) -> Column:
     relative; ./ and ../ are folded once per step."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(X.canonical_url(base), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", ""), r"[^/]*$", "")
+    folder = F.regexp_replace(F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", ""), r"[^/]*$", "")
     joined = F.concat(F.when(folder == "", "/").otherwise(folder), ref)
     path = F.aggregate(
         F.split(joined, "/"),

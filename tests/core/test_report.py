@@ -152,3 +152,75 @@ def test_jobs_that_are_kept(spark):
     assert len(kept) == 64 and 200 in kept and 201 not in kept and 59 in kept
     age = progress.heartbeat_age(jobs.filter("job_id = 30"), "job_id", "finished_at", now).first()["age"]
     assert age == 1800.0
+
+
+def test_requests_with_their_parts():
+    from skein.operators.requests import requests_of
+
+    code = "fetch('/api/a?x=1&token=2#z', {method: 'post', headers: {Authorization: t, 'X-A': 1}, body: JSON.stringify({email, name: n})});\naxios.post('/b', {u: 1, v}, {headers: {'X-Key': k}})"
+    assert requests_of(code) == [
+        ("endpoint", "POST", "/api/a?x=1&token=2#z", ["token", "x"], ["Authorization", "X-A"], ["email", "name"], True, 1),
+        ("endpoint", "POST", "/b", [], ["X-Key"], ["u", "v"], False, 2),
+    ]
+    assert requests_of("const base='https://h/api'; fetch(base + '/u', {credentials: 'include'}); fetch(unknown)")[0][1:3] == ("GET", "https://h/api/u")
+    assert requests_of("") == [] and requests_of("fetch(") == [] and requests_of("axios") == []
+
+
+def test_marks_have_evidence(spark):
+    rows = detectors.mark_evidence(docs(spark, "x = CryptoJS.AES; firebase.auth()", "plain")).filter("detector = 'crypto'").collect()
+    assert [(r["doc_id"], r["name"], r["evidence"]) for r in rows] == [(0, "AES", "AES"), (0, "CryptoJS", "CryptoJS")]
+
+
+def test_parties_and_runtime_of_scripts(spark):
+    from skein.operators import scripts
+    from tests.core.test_detectors import DOCS
+
+    d = spark.createDataFrame([(1, 1, "app.js", None, "x"), (2, 2, "inline-1-0.js", "https://h.io/", "x"), (3, 3, "v.js", "https://cdn.net/v.js", "x")], DOCS)
+    seen = spark.createDataFrame([(3, 20, 1)], "doc_id long, n_requests long, n_eval long")
+    rows = {r["doc_id"]: r for r in scripts.inventory(d, "https://h.io/", seen).collect()}
+    assert [rows[i]["party"] for i in (1, 2, 3)] == ["first_party", "inline", "third_party"] and rows[2]["load_method"] == "inline"
+    assert rows[3]["score"] == 25 + 15
+
+
+def test_assets_of_pages(spark):
+    from skein.sources import pages
+
+    html = "<script src=/a.js></script><link rel=preload as=script href=/p.js><script>import('./c.mjs'); load('https://h.io/a.js'); System.import('d')</script>"
+    p = spark.createDataFrame([(1, "https://h.io/x/", html)], "page_id long, url string, html string")
+    assert {(r["src"], r["via"]) for r in pages.script_assets(p).collect()} == {("https://h.io/a.js", "element"), ("https://h.io/p.js", "preload"), ("https://h.io/x/c.mjs", "inline"), ("https://h.io/x/d", "inline")}
+    low = spark.createDataFrame([("x" * 5000 + "<!DOCTYPE html>",), ("var a",)], "c string")
+    assert [r[0] for r in low.select(pages.soft_404(low.c)).collect()] == [True, False]
+
+
+def test_split_literals_are_secrets(spark):
+    from skein.operators import detectors as D
+
+    codes = [
+        "const key = Buffer.concat([Buffer.from('kx9'), Buffer.from('vQm2LpTn8Rb4Wc6Yd3Zf7Hj5')]);", "const a = 'AKIA';\nconst b = 'IOSFODNN7EXAMPLE';\nconst awsKey = a + b;",
+        "let a = 'AKIA';\na += 'xyz';\nconst key = a + 'IOSFODNN7EXAMPLE';", "const hello = 'Hello';\nconst world = 'World';\nconst msg = hello + world;", "const k = 'sk_live_' + '0123456789abcdefABCD';",
+    ]
+    rows = D.secret_table(docs(spark, *codes)).filter("credible").collect()
+    assert {(r["doc_id"], r["line"]) for r in rows} == {(0, 1), (1, 3), (4, 1)}
+
+
+def test_keys_and_confidence(spark):
+    from skein.operators import offsets
+
+    far = " " * 500
+    d = docs(spark, f'CryptoJS.AES.encrypt(m, "k9#mQ2$vL8pZ4wXt", {{iv: "abcdef0123456789"}});{far}x = "Zq8$wXt#mQ2vL8pZ"', 'EncryptionKey; x = "Zq8$wXt#mQ2vL8pZ"', "nothing")
+    rows = offsets.crypto_material(d).filter("kind = 'key'").collect()
+    assert {(r["doc_id"], r["value"]) for r in rows} == {(0, "k9#mQ2$vL8pZ4wXt"), (0, "abcdef0123456789"), (1, "Zq8$wXt#mQ2vL8pZ")}
+    assert {r["doc_id"]: r["confidence"] for r in offsets.crypto_confidence(offsets.crypto_material(d)).collect()}[0] == "HIGH"
+    assert not offsets.plausible_key("responseurl-tooltip-chart") and not offsets.plausible_key("a1B2#" * 40)
+
+
+@pytest.mark.parametrize("code", ["a" * 500_000, "'" + "a" * 500_000, "x=1;" * 100_000, "(" * 100_000, "{" * 100_000, "".join(f"var a{i}='b{i}'+'c';" for i in range(8_000)), "x.innerHTML = location.hash; " * 4_000])
+def test_adversarial_texts_take_linear_time(code):
+    import time
+
+    from skein.operators import offsets
+
+    began = time.perf_counter()
+    taint.analyze(code)
+    offsets.folded_of(code)
+    assert time.perf_counter() - began < 20

@@ -202,19 +202,19 @@ VERSIONS = (
 )
 LIBRARY_NAMES = {"jquery": "jQuery", "lodash": "Lodash", "underscore": "Underscore.js", "moment": "Moment.js", "axios": "Axios", "bootstrap": "Bootstrap", "angular": "AngularJS", "crypto-js": "CryptoJS"}
 ADVISORIES = (
-    ("jquery", "<3.5.0", "MEDIUM", "CVE-2020-11022", "XSS: untrusted HTML passed to jQuery manipulation methods can execute (also CVE-2020-11023)"),
-    ("jquery", ">=1.2.0,<3.4.0", "HIGH", "CVE-2019-11358", "Prototype pollution via jQuery.extend(deep, ...)"),
-    ("jquery", ">=1.4.0,<3.0.0", "MEDIUM", "CVE-2015-9251", "XSS via cross-domain ajax responses when dataType is auto-detected"),
-    ("lodash", "<4.17.19", "HIGH", "CVE-2020-8203", "Prototype pollution via zipObjectDeep"),
-    ("lodash", "<4.17.21", "HIGH", "CVE-2021-23337", "Command injection via template"),
-    ("underscore", "<1.12.1", "HIGH", "CVE-2021-23358", "Arbitrary code execution via the template function"),
-    ("moment", "<2.29.2", "MEDIUM", "CVE-2022-31129", "ReDoS via crafted locale data (also CVE-2022-24785 path traversal)"),
-    ("axios", "<0.21.4", "MEDIUM", "CVE-2021-3749", "ReDoS via trim that follows a crafted response"),
-    ("axios", "<0.21.1", "HIGH", "CVE-2020-28168", "SSRF: absolute URL requests ignore the configured baseURL proxy"),
-    ("bootstrap", ">=3.0.0,<3.4.1", "MEDIUM", "CVE-2019-8331", "XSS via data-template / tooltip popover content (also affects 4.x < 4.3.1)"),
-    ("bootstrap", ">=4.0.0,<4.3.1", "MEDIUM", "CVE-2019-8331", "XSS via data-template / tooltip popover content"),
-    ("angular", "<1.8.3", "MEDIUM", "CVE-2022-25844", "ReDoS in the angular input[url] filter (1.x line, EOL upstream)"),
-    ("crypto-js", "<4.2.0", "HIGH", "CVE-2023-46233", "PBKDF2 defaults to 1 iteration when configured with a shape it does not recognise"),
+    ("jquery", "<3.5.0", "MEDIUM", "CVE-2020-11022", "HTML from outside may run code when jQuery inserts it"),
+    ("jquery", ">=1.2.0,<3.4.0", "HIGH", "CVE-2019-11358", "Deep extend lets input change prototypes"),
+    ("jquery", ">=1.4.0,<3.0.0", "MEDIUM", "CVE-2015-9251", "Answers of other hosts may run as code"),
+    ("lodash", "<4.17.19", "HIGH", "CVE-2020-8203", "zipObjectDeep lets input change prototypes"),
+    ("lodash", "<4.17.21", "HIGH", "CVE-2021-23337", "Template options may carry commands"),
+    ("underscore", "<1.12.1", "HIGH", "CVE-2021-23358", "Template options may carry code"),
+    ("moment", "<2.29.2", "MEDIUM", "CVE-2022-31129", "Parsing long dates takes quadratic time"),
+    ("axios", "<0.21.4", "MEDIUM", "CVE-2021-3749", "Trimming crafted answers takes quadratic time"),
+    ("axios", "<0.21.1", "HIGH", "CVE-2020-28168", "Redirects get around the proxy"),
+    ("bootstrap", ">=3.0.0,<3.4.1", "MEDIUM", "CVE-2019-8331", "Tooltips and popovers may run code from their templates"),
+    ("bootstrap", ">=4.0.0,<4.3.1", "MEDIUM", "CVE-2019-8331", "Tooltips and popovers may run code from their templates"),
+    ("angular", "<1.8.3", "MEDIUM", "CVE-2022-25844", "A crafted locale makes number formats take very long"),
+    ("crypto-js", "<4.2.0", "HIGH", "CVE-2023-46233", "Keys are derived with a single iteration by default"),
 )
 
 # Markers of authentication, configuration, technology, storage,

@@ -296,15 +296,6 @@ def size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_source.sized(samples.documents(spark, sf_dir), 8000).select("doc_id", "skip_reason")
 
 
-@query(r"""SELECT doc_id, unnest(regexp_extract_all(text, '(?i)token\s*[:=]\s*[''"][^''"]+')) AS value FROM documents
-  UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '(?i)[A-Za-z0-9+/]{40,}={0,2}')) FROM documents""")
-def secret_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from skein.functions.patterns import SECRETS
-
-    d = samples.documents(spark, sf_dir)
-    return d.select("doc_id", F.explode(detectors.sweep(detectors.Text(F.col("content"), F.lower("content")), [SECRETS[6], SECRETS[8]])).alias("value"))
-
-
 @query(r"""WITH v AS (SELECT doc_id, regexp_extract(text, 'token = "([0-9a-f]{40})"', 1) AS value FROM documents), g AS (SELECT * FROM v WHERE value <> ''),
   c AS (SELECT doc_id, value, unnest(string_split(value, '')) AS ch FROM g), n AS (SELECT doc_id, value, ch, count(*) / 40.0::DOUBLE AS p FROM c GROUP BY ALL)
   SELECT doc_id, value, round(-sum(p * log2(p)), 6) AS entropy FROM n GROUP BY doc_id, value""")
@@ -341,6 +332,13 @@ SECRETS_SQL = f"""WITH swept AS (SELECT doc_id, text AS body, list_filter(list_t
     CAST(len(substr(body, 1, instr(body, find) - 1)) - len(replace(substr(body, 1, instr(body, find) - 1), chr(10), '')) + 1 AS INTEGER) AS line FROM classed"""
 
 
+@query(f"SELECT doc_id, unnest(flatten([{_SWEPT}])) AS value FROM documents WHERE text IS NOT NULL")
+def secret_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every find of every secret pattern."""
+    d = samples.documents(spark, sf_dir)
+    return d.select("doc_id", F.explode(detectors.sweep(detectors.Text(F.col("content"), F.lower("content")), P.SECRETS)).alias("value"))
+
+
 @query(SECRETS_SQL)
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.secret_table(samples.documents(spark, sf_dir)).select("doc_id", "ordinal", "text", "public", "credible", "line")
@@ -363,6 +361,12 @@ def detector_finds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.long(samples.documents(spark, sf_dir))
 
 
+@query(snippets.expected_sql(lambda s: s.signals, "id, severity, observation"))
+def script_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk signals of scripts whose signals are known."""
+    return detectors.signals(snippets.documents(spark, sf_dir)).select("doc_id", "id", "severity", "observation")
+
+
 @query()
 def risk_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.signals(samples.documents(spark, sf_dir))
@@ -405,7 +409,26 @@ def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def _surface_sql() -> str:
+    """Calls in the order of their patterns, then literals that none names."""
+    parts = []
+    for kind, pattern, method, url in P.CALLS:
+        if kind == "endpoint":
+            urls = f"regexp_extract_all(html, {_RX(pattern)}, {url})"
+            named = f"upper(regexp_extract_all(html, {_RX(pattern)}, {method})[i + 1])" if isinstance(method, int) else f"'{method}'"
+            parts.append(f"list_transform(range(len({urls})), lambda i: {{'method': {named}, 'url': {urls}[i + 1]}})")
+    literal = P.URL_LITERAL.replace("/(?!/)[A-Za-z0-9_\\-./]+", "/[A-Za-z0-9_\\-.][A-Za-z0-9_\\-./]*")
+    internal = " OR ".join(f"contains(lower(p.url), '{w}')" for w in P.INTERNAL)
+    return f"""WITH c AS (SELECT page_id AS doc_id, list_concat({", ".join(parts)}) AS called, regexp_extract_all(html, {_RX(literal)}, 1) AS literals FROM pages),
+    l AS (SELECT doc_id, called, list_filter(list_filter(literals, lambda u, i: list_position(literals, u) = i),
+      lambda u: NOT regexp_matches(regexp_replace(regexp_replace(u, '[?#].*$', ''), '/+$', ''), {_RX(P.ASSET)})) AS literals FROM c),
+    e AS (SELECT doc_id, list_concat(called, list_transform(list_filter(literals, lambda u: NOT list_contains(list_transform(called, lambda x: x.url), u)), lambda u: {{'method': 'GET', 'url': u}})) AS every FROM l),
+    d AS (SELECT doc_id, list_filter(every, lambda x, i: list_position(every, x) = i)[1:120] AS points FROM e),
+    p AS (SELECT doc_id, unnest(points) AS p, CAST(unnest(range(len(points))) AS BIGINT) AS ordinal FROM d)
+    SELECT doc_id, ordinal, p.method AS method, p.url AS url, {internal} AS internal FROM p"""
+
+
+@query(_surface_sql())
 def page_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = surface.endpoints(samples.pages(spark, sf_dir).select(F.col("page_id").alias("doc_id"), F.col("html").alias("content")))
     return points.select("doc_id", "ordinal", "method", "url", "internal")
@@ -426,17 +449,29 @@ def dependency_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dependencies.dependency_scan(samples.documents(spark, sf_dir))
 
 
-@query("""WITH v AS (SELECT p_partkey, (p_partkey % 5) || '.' || (p_partkey % 7) || '.' || (p_partkey % 11) AS version FROM part),
-  n AS (SELECT *, (p_partkey % 5) * 10000 + (p_partkey % 7) * 100 + (p_partkey % 11) AS k FROM v)
-  SELECT p_partkey, version, CASE WHEN k < 30500 THEN 'CVE-2020-11022' END AS first_cve,
-    (k < 30500)::INT + (k >= 10200 AND k < 30400)::INT + (k >= 10400 AND k < 30000)::INT AS n_cves FROM n""")
+def _bound(constraint: str) -> str:
+    """A version constraint as a condition on k = major * 10000 + minor * 100 + patch."""
+    op, version = re.fullmatch(r"(<=|>=|<|>|=)?([0-9.]+)", constraint).groups()
+    major, minor, patch = (*map(int, version.split(".")), 0, 0)[:3]
+    return f"k {op or '='} {major * 10000 + minor * 100 + patch}"
+
+
+_LIBRARIES = sorted({a[0] for a in P.ADVISORIES})
+_HIT = " UNION ALL ".join(f"SELECT p_partkey, '{cve}' AS cve FROM v WHERE library = '{lib}' AND {' AND '.join(map(_bound, ranges.split(',')))}" for lib, ranges, _, cve, _ in P.ADVISORIES)
+
+
+@query(f"""WITH v AS (SELECT p_partkey, ({_LIBRARIES!r})[p_partkey % {len(_LIBRARIES)} + 1] AS library, (p_partkey % 5) || '.' || (p_partkey % 31) || '.' || (p_partkey % 23) AS version,
+    (p_partkey % 5) * 10000 + (p_partkey % 31) * 100 + p_partkey % 23 AS k FROM part), h AS ({_HIT})
+  SELECT p_partkey, library, version, coalesce((SELECT string_agg(cve, ',' ORDER BY cve) FROM h WHERE h.p_partkey = v.p_partkey), '') AS cves FROM v""")
 def advisory_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which advisories of all libraries hold for a version."""
     k = F.col("p_partkey")
-    version = F.concat_ws(".", (k % 5).cast("string"), (k % 7).cast("string"), (k % 11).cast("string"))
-    libraries = table(spark, sf_dir, "part").select("p_partkey", version.alias("version"), F.lit("jquery").alias("library"))
+    version = F.concat_ws(".", (k % 5).cast("string"), (k % 31).cast("string"), (k % 23).cast("string"))
+    library = F.element_at(F.array(*map(F.lit, _LIBRARIES)), (k % len(_LIBRARIES) + 1).cast("int"))
+    libraries = table(spark, sf_dir, "part").select("p_partkey", version.alias("version"), library.alias("library"))
     hit = libraries.join(F.broadcast(dependencies.advisories(spark)), "library", "left")
-    hit = hit.withColumn("cve", F.when(X.version_in(F.col("version"), F.col("ranges")), F.col("cve")))
-    return hit.groupBy("p_partkey", "version").agg(F.max(F.when(F.col("cve") == "CVE-2020-11022", F.col("cve"))).alias("first_cve"), F.count("cve").cast("int").alias("n_cves"))
+    cve = F.when(X.version_in(F.col("version"), F.col("ranges")), F.col("cve"))
+    return hit.groupBy("p_partkey", "library", "version").agg(F.array_join(F.array_sort(F.collect_list(cve)), ",").alias("cves"))
 
 
 @query(snippets.expected_sql(lambda s: s.flows, "id, severity, confidence, status, line, observation"))
@@ -508,12 +543,6 @@ def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offsets.band_join(left, right, ["key"], 10 * 86_400_000_000).select("l_orderkey", "l_linenumber")
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
-def unseen_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(seen, "c_custkey", "left_anti")
-
-
 @query(f"""WITH t AS ({samples.FINDINGS_SQL})
   SELECT id, file, file AS guarded, CASE id WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM t GROUP BY ALL""")
 def export_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

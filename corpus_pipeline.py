@@ -23,7 +23,11 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier does not reject (score of at least 0.5)."""
+    """Rows that the classifier does not reject (score of at least 0.5).
+
+    Null and empty texts score the sample's share of good rows, and so stay
+    where most are good; equal texts fare alike; repeated rows each stay; no
+    rows, or no labels, reject nothing."""
     space = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     return _documents(quality.with_quality(docs.select(*COLUMNS), space).filter("score >= 0.5"))
 
@@ -32,8 +36,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each near-duplicate component: the one of smallest id.
 
     A component's smallest doc_id names it, so the decision needs no second
-    look at the group. Rows that repeat both id and text are one document.
-    Documents without words are no copies of each other and stay.
+    look at the group. Rows that repeat both id and text are one document; of
+    those the first by source, lang and n_chars stays. Documents without words
+    are no copies of each other and stay. No rows give no rows.
     """
     copies = jaccard.near_duplicates(docs).filter("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
     once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars")
@@ -42,7 +47,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark passage stands."""
+    """Documents in which no benchmark passage stands. Null and empty texts
+    hold none; repeated rows go or stay together; an empty benchmark drops
+    nothing; ids that differ only in being null are told apart by the text."""
     found = decontamination.find_passages(docs, table(spark, sf_dir, "benchmark"))
     leaks = found.filter("contaminated").select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key")).distinct()
     key = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -50,14 +57,18 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken."""
+    """The mix: each document as often as it is taken, three times at most.
+    A null source is a source; documents without words stay once for each whole
+    pass over their source; repeated rows are rows of their own; no rows give no
+    rows."""
     size = mixing.blank_word_count(F.col("text"))
     mixed = mixing.mix(docs.select(*COLUMNS), member=F.array("source"), size=size, identity=[F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))])
     return _documents(mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard and slot."""
+    """All rows with their shard and slot; null texts and sources, repeated
+    rows and empty tables as sharding.interleaved_shards says."""
     return sharding.interleaved_shards(docs.select(*COLUMNS))
 
 
@@ -69,8 +80,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", sharding_stage),
 ]
 
-#: Votes of neighbours and seeded choices have no SQL form; the tests hold the
-#: stages against brute force.
+#: Votes of neighbours have no SQL form. Tests hold the join and decontamination
+#: stages against brute force, the others to their laws on planted rows.
 ORACLE_SQL = None
 
 

@@ -81,53 +81,45 @@ def overall(findings: DataFrame, scope: list[str], scripts: DataFrame | None = N
     Input: normalized findings; optionally scripts (see third_party) and
     runtime (captured, n_eval, n_dom_sinks) with the scope's columns."""
     f = scored(findings, scope, ordinal)
-    at = F.min(ordinal)
-    parts = [
-        f.groupBy(*scope, "label").agg(F.sum("points").alias("points"), F.count("*").alias("count"), F.max("label_tier").alias("tier"), at.alias("at")).withColumns(
-            {
-                "points": F.when(F.col("label") == L_OBSERVED, F.least("points", F.lit(OBSERVATION_CAP))).otherwise(F.col("points")),
-                "at": F.when(F.col("label") == L_OBSERVED, F.lit(1 << 60)).otherwise(F.col("at")),
-            }
-        )
-    ]
     flags = lambda c: F.count_if(c).cast("long")
     proven = (vocab.status(F.col("status")) == "confirmed") | (F.col("evidence_type") == "runtime_effect")
     real = ~F.col("observation")
-    counts = f.groupBy(*scope).agg(
-        flags(real & proven).alias("confirmed"),
-        flags(F.col("label") == L_FLOW).alias("high_confidence_flows"),
-        flags(real).alias("findings"),
-        flags(F.col("observation")).alias("observations"),
-        flags(real & proven & F.col("evidence_type").contains("runtime")).alias("runtime_effects"),
-        flags(real & (vocab.severity_rank(F.col("severity"), unknown=1) >= 3)).alias("high_or_critical"),
-        F.coalesce(F.max(F.when(real & proven, vocab.severity_rank(F.col("severity"), unknown=1))), F.lit(0)).alias("proven_rank"),
+    severe = vocab.severity_rank(F.col("severity"), unknown=1)
+    # Points and counts by label in one pass; a scope has few labels.
+    counted = {
+        "confirmed": flags(real & proven), "high_confidence_flows": flags(F.col("label") == L_FLOW), "findings": flags(real), "observations": flags(F.col("observation")),
+        "runtime_effects": flags(real & proven & F.col("evidence_type").contains("runtime")), "high_or_critical": flags(real & (severe >= 3)),
+        "proven_rank": F.coalesce(F.max(F.when(real & proven, severe)), F.lit(0)).cast("long"),
+    }
+    behaved = {"third_party_exfil": flags(F.col("exfil")), "third_party_risky": flags(~F.col("exfil")), "third_party_points": F.sum("points").cast("long")}
+    totals = [*counted, *behaved]
+
+    def part(rows: DataFrame, at: Column, tier: Column, mine: dict[str, Column]) -> DataFrame:
+        row = rows.groupBy(*scope, "label").agg(F.sum("points").cast("long").alias("points"), F.count("*").alias("count"), tier.cast("int").alias("tier"), at.alias("at"), *[c.alias(n) for n, c in mine.items()])
+        return row.select(*scope, "label", "points", "count", "tier", "at", *[F.col(n) if n in mine else F.lit(0).cast("long").alias(n) for n in totals])
+
+    seen_last = F.col("label") == L_OBSERVED
+    buckets = part(f, F.min(ordinal), F.max("label_tier"), counted).withColumns(
+        {"points": F.when(seen_last, F.least("points", F.lit(OBSERVATION_CAP))).otherwise(F.col("points")), "at": F.when(seen_last, F.lit(1 << 60)).otherwise(F.col("at"))}
     )
-    scopes = findings.select(*scope).distinct()
+    scopes = None
     if scripts is not None:
-        t = third_party(scripts, scope, ordinal)
-        parts.append(
-            t.filter("points > 0").groupBy(*scope, "label").agg(F.sum("points").alias("points"), F.count("*").alias("count"), F.lit(1).alias("tier"), (F.min(ordinal) + F.lit((1 << 60) + 1)).alias("at"))
-        )
-        behaved = t.groupBy(*scope).agg(flags(F.col("exfil")).alias("third_party_exfil"), flags(~F.col("exfil")).alias("third_party_risky"), F.sum("points").cast("long").alias("third_party_points"))
-        counts, scopes = counts.join(behaved, scope, "full"), scopes.union(scripts.select(*scope)).distinct()
+        buckets = buckets.union(part(third_party(scripts, scope, ordinal), F.min(ordinal) + F.lit((1 << 60) + 1), F.lit(1), behaved))
+        scopes = scripts.select(*scope)
     if runtime is not None:
         seen = runtime.filter("captured")
         for column, label, points, tier, at_ in (("n_eval", L_EVAL, 8, 3, 1), ("n_dom_sinks", L_SINKS, 5, 2, 2)):
-            parts.append(seen.filter(F.col(column) > 0).select(*scope, F.lit(label).alias("label"), F.lit(points).cast("long").alias("points"), F.col(column).cast("long").alias("count"), F.lit(tier).alias("tier"), F.lit((1 << 62) + at_).alias("at")))
-        scopes = scopes.union(runtime.select(*scope)).distinct()
-    buckets = parts[0].select(*scope, "label", "points", "count", "tier", "at")
-    for p in parts[1:]:
-        buckets = buckets.union(p.select(*scope, "label", "points", "count", "tier", "at"))
-    summed = buckets.groupBy(*scope).agg(
-        F.sum("points").alias("raw"),
-        F.collect_list(F.struct((-F.col("points")).alias("by"), "at", "label", F.col("points").cast("int").alias("points"), F.col("count").cast("long").alias("count"), F.col("tier").cast("int").alias("tier"))).alias("all"),
-    )
-    out = scopes.join(counts, scope, "left").join(summed, scope, "left")
-    numeric = [c for c in out.columns if c not in (*scope, "all")]
-    out = out.fillna(0, numeric)
-    for c in ("third_party_exfil", "third_party_risky", "third_party_points"):
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(0).cast("long"))
+            one = seen.filter(F.col(column) > 0).select(*scope, F.lit(label).alias("label"), F.lit(points).cast("long").alias("points"), F.col(column).cast("long").alias("count"), F.lit(tier).alias("tier"), F.lit((1 << 62) + at_).alias("at"))
+            buckets = buckets.union(one.select("*", *[F.lit(0).cast("long").alias(n) for n in totals]))
+        scopes = runtime.select(*scope) if scopes is None else scopes.union(runtime.select(*scope))
+    bucket = F.struct((-F.col("points")).alias("by"), "at", "label", F.col("points").cast("int").alias("points"), F.col("count").cast("long").alias("count"), F.col("tier").cast("int").alias("tier"))
+    sums = [(F.max(n) if n == "proven_rank" else F.sum(n)).alias(n) for n in totals]
+    # Scripts that the ceiling leaves nothing count, but contribute nothing.
+    paid = (F.col("points") > 0) | ~F.col("label").isin(L_THIRD_READS, L_THIRD_HIGH)
+    out = buckets.groupBy(*scope).agg(F.sum("points").alias("raw"), F.collect_list(F.when(paid, bucket)).alias("all"), *sums)
+    if scopes is not None:
+        out = scopes.distinct().join(out, scope, "full")
+    out = out.fillna(0, ["raw", *totals])
     floor = F.when(F.col("proven_rank") >= 4, FLOORS[4][0]).when(F.col("proven_rank") >= 3, FLOORS[3][0]).otherwise(0)
     lift = F.greatest(floor - F.col("raw"), F.lit(0))
     name = F.concat(F.lit("Demonstrated "), F.when(F.col("proven_rank") >= 4, FLOORS[4][1]).otherwise(FLOORS[3][1]), F.lit(" effect (severity floor)"))

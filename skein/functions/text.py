@@ -172,3 +172,9 @@ def safe_name(url: Column, content: Column) -> Column:
 
 def iso_utc(epoch_seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(epoch_seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def from_char_codes(codes: Column) -> Column:
+    """The text of an array of code points; null where one is no character."""
+    each = F.transform(codes, lambda c: F.when(c.between(0, 0x10FFFF) & ~c.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0")), "UTF-32")))
+    return F.when(~F.exists(each, lambda c: c.isNull()), F.array_join(each, ""))

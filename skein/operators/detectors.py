@@ -140,6 +140,21 @@ def secret_table(documents: DataFrame, cap: int = 25) -> DataFrame:
     )
 
 
+#: What a secret's name says it is, in order.
+SECRET_KINDS = (("private key", "-----begin"), ("webhook", "hooks\\.|webhook"), ("password", "passw|pwd"), ("api key", "api[_-]?key"), ("token", "token|bearer|authorization"), ("key", "key"))
+
+
+def secret_kinds(secrets: DataFrame) -> DataFrame:
+    """doc_id, ordinal, kind, classification of the rows of secret_table;
+    fields that name people are none."""
+    kind = F.lit("secret")
+    for name, pattern in reversed(SECRET_KINDS):
+        kind = F.when(F.lower("text").rlike(pattern), name).otherwise(kind)
+    named = F.when(F.col("public"), "public client key").when(F.col("credible"), "credible").otherwise("candidate")
+    people = F.col("text").rlike(r"(?i)^\W*(?:user(?:name)?|e?mail)\W*[:=]")
+    return secrets.filter(~people).select("doc_id", "ordinal", F.coalesce(F.col("provider"), kind).alias("kind"), named.alias("classification"))
+
+
 def printable(text: Column) -> Column:
     return F.when((F.length(text) >= 3) & ~text.rlike(r"[\p{C}\p{Zl}\p{Zp}]") & (F.trim(text) != ""), text)
 

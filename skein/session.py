@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +25,16 @@ def local_session(cores: int | str = 8, app: str = "skein", **conf: str) -> Spar
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+@contextmanager
+def job_group(spark: SparkSession, name: str, description: str = "") -> Iterator[Callable[[], None]]:
+    """Names the jobs that are run inside, for progress displays; yields what
+    cancels them from another thread."""
+    context = spark.sparkContext
+    context.setJobGroup(name, description or name, True)
+    try:
+        yield lambda: context.cancelJobGroup(name)
+    finally:
+        for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(key, None)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,33 @@ def inline(spark: SparkSession, files: Iterable[tuple[str, str]]) -> DataFrame:
     return unique_names(spark.createDataFrame(rows, SCHEMA))
 
 
+def batch(spark: SparkSession, files: Iterable[tuple[str, bytes | str | None]], max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Documents of files that can be read, and (name, reason) of the others:
+    missing, blank or oversized. Bytes that are no UTF-8 count as Latin-1."""
+    good, bad = [], []
+    for name, raw in files:
+        if raw is None:
+            bad.append((name, "missing"))
+            continue
+        data = raw.encode() if isinstance(raw, str) else raw
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            text = data.decode("latin-1")
+        if len(data) > max_bytes:
+            bad.append((name, "oversized_script"))
+        elif not text.strip():
+            bad.append((name, "blank"))
+        else:
+            good.append((name, text))
+    return inline(spark, good), spark.createDataFrame(bad, "name string, reason string")
+
+
+def beautified(documents: DataFrame, hook: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Documents with their content rewritten by an expression; without one, as they are."""
+    return documents if hook is None else documents.withColumn("content", hook(F.col("content")))
+
+
 def folder(spark: SparkSession, path: str, limit: int = 1000) -> DataFrame:
     """Script files below a folder, in order of their paths."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{js,mjs,cjs,jsx,ts,tsx}").load(path)

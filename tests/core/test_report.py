@@ -224,3 +224,22 @@ def test_adversarial_texts_take_linear_time(code):
     taint.analyze(code)
     offsets.folded_of(code)
     assert time.perf_counter() - began < 20
+
+
+def test_batches_hooks_kinds_and_groups(spark):
+    from skein.session import job_group
+    from skein.sources import documents as sources
+
+    good, bad = sources.batch(spark, [("a.js", b"caf\xe9()"), ("b.js", None), ("c.js", " "), ("d.js", "x" * 50)], max_bytes=20)
+    assert [(r["name"], r["content"]) for r in good.collect()] == [("a.js", "café()")]
+    assert sorted(map(tuple, bad.collect())) == [("b.js", "missing"), ("c.js", "blank"), ("d.js", "oversized_script")]
+    assert sources.beautified(good).first()["content"] == "café()" and sources.beautified(good, lambda c: F.upper(c)).first()["content"] == "CAFÉ()"
+    table = detectors.secret_table(docs(spark, 'password = "hunter22XYZ!!"; user: "someone"', 'k = "ghp_abcdefghij0123456789ABCD"', 'token = "your_token_here"'))
+    kinds = {(r["doc_id"], r["kind"], r["classification"]) for r in detectors.secret_kinds(table).collect()}
+    assert {(0, "password", "credible"), (1, "github", "credible"), (2, "token", "candidate")} <= kinds and len(kinds) == 3
+    with job_group(spark, "g", "a group") as cancel:
+        assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") == "g"
+        cancel()
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+    codes = spark.createDataFrame([([101, 118, 0x1F600],), ([0xD800],), ([],)], "c array<int>")
+    assert [r[0] for r in codes.select(X.from_char_codes(codes.c)).collect()] == ["ev\U0001F600", None, ""]

@@ -34,11 +34,11 @@ TIER_MULTIPLIERS = {3: 1.0, 2: 0.75, 1: 0.45, 0: 0.2}
 
 
 def choose(value: Column, table: dict, otherwise: Column | object) -> Column:
-    """table[value], or `otherwise` where value is not a key (or null)."""
-    out = None
-    for key, result in table.items():
-        out = F.when(value == F.lit(key), F.lit(result)) if out is None else out.when(value == F.lit(key), F.lit(result))
-    return out.otherwise(otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
+    """table[value], or `otherwise` where value is not a key (or null). A map
+    holds `value` once, so that choices of choices don't multiply their code."""
+    key = value.cast("int") if all(isinstance(k, int) for k in table) else value
+    found = F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    return F.coalesce(found, otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
 
 
 def _word(value: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from skein.functions import patterns as P
 from skein.functions import text as X
 from skein.operators import offsets
+from skein.sources.documents import spread
 
 
 class Text(NamedTuple):
@@ -38,7 +39,7 @@ Detector = Callable[[Text], Column]
 def with_text(documents: DataFrame) -> tuple[DataFrame, Text]:
     """doc_id and the columns of a Text, lower-cased once for all patterns."""
     content = F.coalesce("content", F.lit(""))
-    return documents.select("doc_id", content.alias("content"), F.lower(content).alias("__low")), Text(F.col("content"), F.col("__low"))
+    return spread(documents.select("doc_id", "content")).select("doc_id", content.alias("content"), F.lower(content).alias("__low")), Text(F.col("content"), F.col("__low"))
 
 
 def sweep(text: Text, patterns: Iterable[str]) -> Column:

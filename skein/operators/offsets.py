@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import patterns as P
 from skein.operators.script_text import Constants, Lines, statements, tokens
+from skein.sources.documents import spread
 
 # Crypto calls, keys and initial vectors.
 CRYPTO = (
@@ -70,7 +71,7 @@ def _per_document(documents: DataFrame, find: Callable[[str], Sequence[Row]], co
             arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), *columns.values()])]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ordinal", *columns])
 
-    return documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "content").mapInArrow(run, f"doc_id long, ordinal long, {ddl}")
+    return spread(documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "content")).mapInArrow(run, f"doc_id long, ordinal long, {ddl}")
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], reach: int, at: str = "position") -> DataFrame:
@@ -136,15 +137,30 @@ def crypto_places(text: str) -> list[Row]:
     return out + sorted((r for r in ivs.values() if plausible_iv(r[2])), key=lambda r: r[3])
 
 
+_PLACE = pa.struct([("kind", pa.string()), ("category", pa.string()), ("value", pa.string()), ("position", pa.int64())])
+
+
 def crypto_material(documents: DataFrame) -> DataFrame:
     """doc_id, ordinal, kind, category, value, position: crypto signals, IVs,
     names, and the key literals within KEY_REACH of a signal, or in a document
-    with the marker."""
-    places = _per_document(documents, crypto_places, {"kind": pa.string(), "category": pa.string(), "value": pa.string(), "position": pa.int64()}, "kind string, category string, value string, position long")
-    signals, keys = places.filter("kind = 'signal'"), places.filter("kind = 'key'")
-    marked = places.filter("kind = 'marker'").select("doc_id").distinct()
-    near = band_join(keys, signals, ["doc_id"], KEY_REACH)
-    return places.filter("kind NOT IN ('key', 'marker')").unionByName(near.unionByName(keys.join(marked, "doc_id", "left_semi")).distinct())
+    with the marker. A document's places stay in one row until they are judged:
+    one pass, and nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [[dict(zip(("kind", "category", "value", "position"), r, strict=True)) for r in crypto_places(t.as_py() or "")] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(_PLACE))], ["doc_id", "places"])
+
+    # Most texts hold nothing of the kind, and stay in the JVM.
+    may = spread(documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "content"))
+    may = may.filter(F.col("content").rlike("|".join(f"(?i:{p})" for p, _ in (*CRYPTO, *IVS))) | F.col("content").contains(KEY_MARKER))
+    found = may.mapInArrow(run, "doc_id long, places array<struct<kind:string,category:string,value:string,position:long>>")
+    signals = F.transform(F.filter("places", lambda p: p["kind"] == "signal"), lambda p: p["position"])
+    held = found.select("doc_id", "places", signals.alias("signals"), F.exists("places", lambda p: p["kind"] == "marker").alias("marked"))
+    near = lambda p: F.col("marked") | F.exists("signals", lambda s: F.abs(s - p["position"]) <= KEY_REACH)
+    kept = F.filter("places", lambda p: F.when(p["kind"] == "key", near(p)).otherwise(p["kind"] != "marker"))
+    rows = held.select("doc_id", F.posexplode(kept).alias("ordinal", "p"))
+    return rows.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "p.*")
 
 
 def crypto_confidence(material: DataFrame) -> DataFrame:
@@ -235,5 +251,5 @@ def folded_of(text: str) -> list[Row]:
 def folded_literals(documents: DataFrame) -> DataFrame:
     """doc_id, ordinal, target, value, line. Documents without a sum of quoted
     or named parts never leave the JVM."""
-    may = documents.filter(F.col("content").rlike(r"""['"`\w$)]\s*\+\s*['"`A-Za-z_$]|Buffer\s*\.\s*concat"""))
+    may = spread(documents.select("doc_id", "content")).filter(F.col("content").rlike(r"""['"`\w$)]\s*\+\s*['"`A-Za-z_$]|Buffer\s*\.\s*concat"""))
     return _per_document(may, folded_of, {"target": pa.string(), "value": pa.string(), "line": pa.int32()}, "target string, value string, line int")

@@ -72,6 +72,13 @@ def unique_names(documents: DataFrame) -> DataFrame:
     return named.withColumn("nth", nth).withColumn("name", F.when(F.col("nth") > 1, suffixed).otherwise(F.col("name"))).drop("nth")
 
 
+def spread(documents: DataFrame) -> DataFrame:
+    """Documents in as many partitions as there are cores, if their scan has
+    fewer; a scan that already feeds the cluster is left alone, unshuffled."""
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    return documents.repartition(cores) if documents.rdd.getNumPartitions() < cores else documents
+
+
 def first_copies(documents: DataFrame) -> DataFrame:
     """The first document of each content. Contents are compared by hash, so
     the texts themselves are shuffled once and never sorted against each other."""

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import dependencies, detectors, findings, history, offsets, risk, scripts, surface, taint
+from skein.operators import dependencies, detectors, findings, history, offsets, risk, runtime, scripts, surface, taint
 from skein.sources import documents as sources
 from skein.sources import source_maps
 
@@ -24,6 +24,14 @@ class Analysis:
     inventory: DataFrame
     endpoints: DataFrame
     dependencies: DataFrame
+    #: Counts of browser evidence (runtime.counts), if there is any.
+    evidence: DataFrame | None = None
+
+    def runtime_findings(self) -> DataFrame:
+        """What the browser evidence shows, normalized; none without evidence."""
+        if self.evidence is None:
+            return findings.normalize(self.findings.limit(0))
+        return findings.normalize(runtime.findings(self.evidence))
 
     def file_risk(self) -> DataFrame:
         return risk.overall(self.findings, ["doc_id"])
@@ -33,7 +41,10 @@ class Analysis:
         one = lambda df: df.withColumn("scan_id", F.lit(1))
         third = one(self.inventory).withColumn("ordinal", F.col("doc_id"))
         every = one(self.findings).withColumn("ordinal", F.col("doc_id") * 1000 + F.row_number().over(_by_doc()))
-        return risk.overall(every, scope, third)
+        if self.evidence is None:
+            return risk.overall(every, scope, third)
+        seen = self.runtime_findings().withColumns({"scan_id": F.lit(1), "ordinal": F.col("ordinal") + (1 << 40)})
+        return risk.overall(every.unionByName(seen, allowMissingColumns=True), scope, third, self.evidence.withColumn("scan_id", F.lit(1)))
 
     def rows(self) -> DataFrame:
         return history.finding_rows(self.findings.withColumn("scan_id", F.lit(1).cast("long")))
@@ -45,8 +56,9 @@ def _by_doc():
     return Window.partitionBy("doc_id").orderBy("ordinal")
 
 
-def analyze(documents: DataFrame, page_url: str = "") -> Analysis:
-    """Documents (doc_id, ordinal, name, url, content) to an Analysis.
+def analyze(documents: DataFrame, page_url: str = "", evidence: DataFrame | None = None) -> Analysis:
+    """Documents (doc_id, ordinal, name, url, content) to an Analysis;
+    `evidence` (scan_id, evidence as JSON) is what a browser saw of the page.
 
     Oversized documents and copies of earlier ones are left out; original
     sources behind inline maps are scanned for flows like documents; flows,
@@ -61,7 +73,7 @@ def analyze(documents: DataFrame, page_url: str = "") -> Analysis:
     behaviour = scripts.exfiltration(inventory).withColumn("ordinal", F.lit(1 << 30).cast("long"))
     strong = flows.unionByName(behaviour.drop("file"), allowMissingColumns=True)
     found = findings.correlate(strong.join(named, "doc_id"), offsets.framework_findings(every).join(named, "doc_id"), weak.join(named, "doc_id"))
-    return Analysis(kept, found, inventory, surface.endpoints(every), dependencies.dependency_scan(every))
+    return Analysis(kept, found, inventory, surface.endpoints(every), dependencies.dependency_scan(every), None if evidence is None else runtime.counts(evidence))
 
 
 def analyze_content(spark: SparkSession, code: str, name: str = "inline.js") -> Analysis:

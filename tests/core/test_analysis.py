@@ -51,3 +51,19 @@ def test_command_line(tmp_path, capsys):
 
 def test_every_oracle_belongs_to_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_browser_evidence_counts_in_the_score(spark):
+    import json
+
+    from skein.plans.analysis import analyze
+    from skein.sources import documents as sources
+
+    d = sources.inline(spark, [("a.js", "const q = location.hash;\nbox.innerHTML = q;")])
+    seen = json.dumps({"captured": True, "url": "https://h.io/", "eval_calls": [{"text": "1"}], "dom_sinks": [{"text": "innerHTML"}]})
+    plain = analyze(d).overall().first()
+    with_browser = analyze(d, "https://h.io/", spark.createDataFrame([(7, seen)], "scan_id long, evidence string"))
+    row = with_browser.overall().first()
+    assert row["score"] > plain["score"] and row["runtime_effects"] == 1 and row["confirmed"] == 1
+    assert {r["id"] for r in with_browser.runtime_findings().collect()} == {"runtime_eval", "runtime_dom_sink"}
+    assert analyze(d).runtime_findings().count() == 0

@@ -179,6 +179,8 @@ def test_top_k_is_exact(spark):
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").repartition(4)
     got = topk.top_inner_products(df, every=10, block=64, head=32).orderBy("query_id", "rank").collect()
     assert [tuple(r) for r in got] == plain_top(rows, 5, 10)
+    rounds = topk.top_inner_products(df, every=10, block=16, head=8, first=1).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in rounds] == plain_top(rows, 5, 10)
     few = topk.top_inner_products(df.filter("vec_id < 3"), every=1).orderBy("query_id", "rank").collect()
     assert [tuple(r) for r in few] == plain_top(rows[:3], 5, 1)
     assert topk.top_inner_products(df.limit(0)).count() == 0

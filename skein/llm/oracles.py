@@ -221,6 +221,66 @@ FROM out
 """
 
 
+def manifest(levels: int = 5, fanout: int = 16) -> str:
+    """Trees of up to fanout ** levels leaves a source, and sources: each level
+    keeps a node for every group, which is its own parent where it is alone."""
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR) END"
+    covered = [field.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = [*covered[:-1], field.format(f"translate(text, '{UPPER}', '{LOWER}')")]
+
+    def tree(name: str, base: str) -> str:
+        """Tables name_0 to name_levels of (grp, place, digest, n, before, after)."""
+        out = [f"{name}_0 AS ({base})"]
+        for i in range(1, levels + 1):
+            out.append(f"""{name}_{i} AS (
+  SELECT grp, place // {fanout} AS place, CASE WHEN any_value(n) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY place)) END AS digest,
+    CAST((any_value(n) + {fanout - 1}) // {fanout} AS BIGINT) AS n
+  FROM {name}_{i - 1} GROUP BY grp, place // {fanout}
+)""")
+        for i in range(levels):
+            out.append(f"""{name}_{i}s AS (
+  SELECT *, n = 1 AS alone, coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}_{i} WINDOW run AS (PARTITION BY grp, place // {fanout} ORDER BY place)
+)""")
+        return ",\n".join(out)
+
+    def climb(name: str, grp: str, place: str) -> str:
+        return " ".join(f"JOIN {name}_{i}s {name}{i} ON {name}{i}.grp = {grp} AND {name}{i}.place = {place} // {fanout**i}" for i in range(levels))
+
+    proof = []
+    for name in ("a", "b"):
+        for i in range(levels):
+            proof.append(f"CASE WHEN {name}{i}.alone THEN '' ELSE {name}{i}.l || {name}{i}.r END")
+    steps, last = [], "f0"
+    for k, (name, i) in enumerate([(n, i) for n in ("a", "b") for i in range(levels)], 1):
+        node = f"{name}{i}"
+        steps.append(f"f{k} AS (SELECT * REPLACE (CASE WHEN {node}_alone THEN digest ELSE sha256({node}_l || digest || {node}_r) END AS digest) FROM {last})")
+        last = f"f{k}"
+    sides = ", ".join(f"{n}{i}.alone AS {n}{i}_alone, {n}{i}.l AS {n}{i}_l, {n}{i}.r AS {n}{i}_r" for n in ("a", "b") for i in range(levels))
+    return f"""
+WITH {_CRC},
+raw AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), ''))) AS bytes FROM documents),
+leaf AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS grp, sha256({" || ".join(covered)}) AS digest,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC_OF} % 5 = 0 THEN sha256({" || ".join(tampered)}) END AS tampered
+  FROM raw, crc_table
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, digest) - 1 AS place, count(*) OVER (PARTITION BY grp) AS n FROM leaf),
+{tree("a", "SELECT grp, place, digest, n FROM ranked")},
+named AS (SELECT grp AS name, digest, row_number() OVER (ORDER BY encode(grp)) - 1 AS place, count(*) OVER () AS n FROM a_{levels}),
+{tree("b", "SELECT '' AS grp, place, digest, n FROM named")},
+f0 AS (
+  SELECT ranked.doc_id, ranked.digest AS leaf, named.digest AS subroot, top.digest AS root, sha256({" || ".join(proof)}) AS proof_sha256,
+    coalesce(ranked.tampered, ranked.digest) AS digest, {sides}
+  FROM ranked JOIN named ON ranked.grp = named.name JOIN b_{levels} top ON TRUE
+  {climb("a", "ranked.grp", "ranked.place")} {climb("b", "''", "named.place")}
+),
+{", ".join(steps)}
+SELECT doc_id, leaf, subroot, root, proof_sha256, digest AS folded_root, digest = root AS verified FROM {last}
+"""
+
+
 def sql() -> dict[str, str]:
     return {
         "op2_license_scan": licenses(),
@@ -229,4 +289,5 @@ def sql() -> dict[str, str]:
         "op7_sharding": sharding(),
         "op8_ngram_jaccard_join": near_duplicates(),
         "op9_source_mixing": mixing(),
+        "op12_merkle_manifest": manifest(),
     }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontamination, jaccard, licenses, manifest, mixing, oracles, pii, quality, secrets, sharding, topk, toxicity
+from skein.llm import conversations, decontamination, jaccard, licenses, manifest, mixing, oracles, pii, quality, secrets, sharding, topk, toxicity
 from skein.llm.common import table
 from skein.llm.labels import fold
 
@@ -109,6 +109,11 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.array_join(spans, ",").alias("spans"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation (conversations.repair_conversations)."""
+    return conversations.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of every document (manifest.merkle_manifest)."""
     return manifest.merkle_manifest(table(spark, sf_dir, "documents"))
@@ -128,6 +133,7 @@ def queries() -> dict[str, Query]:
             op8_ngram_jaccard_join,
             op9_source_mixing,
             op10_pii_surrogates,
+            op11_conversation_repair,
             op12_merkle_manifest,
         )
     }

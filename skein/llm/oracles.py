@@ -281,6 +281,86 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, digest AS folded_root, digest
 """
 
 
+def conversations() -> str:
+    """Row by row, the best (cost, letters, lines) of each of the four states."""
+    far = "{'c': 1000000000, 'a': '', 't': CAST([] AS VARCHAR[])}"
+
+    def add(state: str, cost: str, letter: str, line: str | None = None) -> str:
+        lines = f"list_append({state}.t, {line})" if line else f"{state}.t"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {lines}}}"
+
+    def best(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    def insert(state: str, role: str) -> str:
+        return add(state, "2", "I", f"'{role}:'")
+
+    def takes(state: str, role: str) -> list[str]:
+        stays = "f.fate IN ('clean', 'cut')"
+        kept = f"CASE WHEN {stays} AND f.initial = '{role[0]}' THEN {add(state, 'f.more', 'K', 'f.line')} END"
+        return [kept, f"CASE WHEN {stays} THEN {add(state, '2 + f.more', 'R', f"'{role}:' || f.text")} END"]
+
+    system = f"CASE WHEN f.fate IN ('clean', 'cut') AND f.initial = 's' THEN {add('s0', 'f.more', 'K', 'f.line')} END"
+    after_user = [w for q in ("s0", "s1", "s3") for w in takes(q, "user")]
+    return rf"""
+WITH RECURSIVE {_CRC},
+spaced AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, md5(coalesce(role, ' ') || ':' || coalesce(text, ' ')) AS tie,
+    hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS bytes
+  FROM conversations
+),
+drawn AS (SELECT *, {_CRC_OF} % 20 AS draw FROM spaced, crc_table),
+hurt AS (
+  SELECT conv_id, turn, tie, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+    CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM drawn, range(CASE draw WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) c(copy)
+),
+told AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tie, copy) AS i,
+    CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE 'o' END AS initial,
+    regexp_replace(text, '[ 	-]+$', '') AS stem
+  FROM hurt
+),
+fact AS (
+  SELECT *, CASE WHEN stem = '' THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN substr(stem, -1) NOT IN ('.', '!', '?') THEN 'cut' ELSE 'clean' END AS fate,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before, role || ':' || text AS line
+  FROM told
+),
+priced AS (SELECT *, CASE WHEN fate = 'cut' THEN 1 ELSE 0 END AS more FROM fact),
+run(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), {{'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])}}, {far}, {insert("{'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])}", "user")},
+    {{'c': 4, 'a': 'II', 't': ['user:', 'assistant:']}}
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, r0, r1, q2, {best("r3", insert("q2", "assistant"))}
+  FROM (
+    SELECT *, {best("r2", insert("r0", "user"), insert("r1", "user"), insert("r3", "user"))} AS q2
+    FROM (
+      SELECT f.conv_id, f.i, {add("s0", "3", "D")} AS r0, {best(add("s1", "3", "D"), system)} AS r1,
+        {best(add("s2", "3", "D"), *after_user)} AS r2, {best(add("s3", "3", "D"), *takes("s2", "assistant"))} AS r3
+      FROM run JOIN priced f ON f.conv_id IS NOT DISTINCT FROM run.conv_id AND f.i = run.i + 1
+    )
+  )
+),
+ends AS (
+  SELECT conv_id, {best("s0", "s3")} AS s FROM run
+  WHERE i = (SELECT count(*) FROM priced WHERE priced.conv_id IS NOT DISTINCT FROM run.conv_id)
+),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fate = 'blank') AS blank,
+    count(*) FILTER (fate = 'duplicate') AS duplicate, count(*) FILTER (fate = 'cut') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM priced GROUP BY conv_id
+)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(e.s.c AS BIGINT) AS cost, e.s.a AS audit,
+  sha256(array_to_string(e.s.t, chr(10))) AS repaired_sha256
+FROM ends e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def sql() -> dict[str, str]:
     return {
         "op2_license_scan": licenses(),
@@ -289,5 +369,6 @@ def sql() -> dict[str, str]:
         "op7_sharding": sharding(),
         "op8_ngram_jaccard_join": near_duplicates(),
         "op9_source_mixing": mixing(),
+        "op11_conversation_repair": conversations(),
         "op12_merkle_manifest": manifest(),
     }

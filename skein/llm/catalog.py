@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import conversations, decontamination, jaccard, licenses, manifest, mixing, oracles, pii, quality, secrets, sharding, topk, toxicity
+from skein.llm import conversations, decontamination, jaccard, licenses, manifest, mixing, oracles, pii, quality, secrets, sharding, tokens, topk, toxicity
 from skein.llm.common import table
 from skein.llm.labels import fold
 
@@ -119,6 +119,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.merkle_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Tokens of every document (tokens.count_tokens) by a public tokenizer."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer)
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -135,6 +144,7 @@ def queries() -> dict[str, Query]:
             op10_pii_surrogates,
             op11_conversation_repair,
             op12_merkle_manifest,
+            op13_token_counts,
         )
     }
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,14 +50,14 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.find_passages(docs.select("doc_id", "text"), items).drop("item_ids", "text_key")
 
 
-#: A public vocabulary whose words guessers know; without the file, only the
-#: built-in words count.
+#: A public vocabulary whose words guessers know; None leaves the built-in
+#: words, and a file that is not there is an error.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str, vocabulary: str | None = VOCABULARY) -> DataFrame:
     """Secret spans of every document (secrets.scan_secrets), as counts and digests."""
-    words = secrets.vocabulary_words(vocabulary) if vocabulary and os.path.exists(vocabulary) else ()
+    words = secrets.vocabulary_words(vocabulary) if vocabulary else ()
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"), words=words)
 
     def of(kind: str) -> Column:

@@ -164,11 +164,12 @@ class Surrogates:
 
     def _name(self, word: str, back: bool) -> str:
         """Listed names move within their gender and script; the last letter of
-        others stays, as it often marks gender, and no listed name results."""
+        others stays, as it often marks gender, unless it is the only one; no
+        listed name results."""
         listed = self.named if back else self.names
         if word in listed:
             return listed[word]
-        free = [i < len(word) - 1 for i in range(len(word))]
+        free = [i < len(word) - 1 or len(word) == 1 for i in range(len(word))]
         out = self._letters("name", word, free, back)
         while out in listed:
             out = self._letters("name", out, free, back)

@@ -54,17 +54,23 @@ _YEAR = re.compile(r"(?:19|20)\d\d")
 _DATE_REACH = 10
 
 
-def _steps() -> dict[tuple[str, str], tuple[int, int]]:
-    """The direction from one key to the next: along a row, to the rows above
-    and below, and from a letter to its neighbours in the alphabet."""
+def _steps() -> dict[tuple[str, str], frozenset[tuple[int, int]]]:
+    """The directions from one key to the next: along a row, to the rows above
+    and below, and from a letter to its neighbours in the alphabet, which for
+    some pairs are both."""
     at = {c: (x, y) for y, row in enumerate(KEY_ROWS) for x, c in enumerate(row)}
     beside = {(1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)}
     letters = "abcdefghijklmnopqrstuvwxyz"
-    out = {(a, b): (d, 9) for d in (1, -1) for a, b in zip(letters[::d], letters[::d][1:], strict=False)}
-    return out | {(a, b): (x2 - x, y2 - y) for a, (x, y) in at.items() for b, (x2, y2) in at.items() if (x2 - x, y2 - y) in beside}
+    out = {(a, b): {(d, 9)} for d in (1, -1) for a, b in zip(letters[::d], letters[::d][1:], strict=False)}
+    for a, (x, y) in at.items():
+        for b, (x2, y2) in at.items():
+            if (x2 - x, y2 - y) in beside:
+                out.setdefault((a, b), set()).add((x2 - x, y2 - y))
+    return {pair: frozenset(ways) for pair, ways in out.items()}
 
 
 _STEP = _steps()
+_NO_STEP: frozenset[tuple[int, int]] = frozenset()
 
 
 class Dictionary:
@@ -129,7 +135,7 @@ def guess_cost(value: str, dictionary: Dictionary = PLAIN) -> float:
     """
     n, low = len(value), value.lower() if len(value.lower()) == len(value) else value
     best = [0.0] + [math.inf] * n
-    walk = (math.inf, None)  # cost and last direction of a walk that ends here
+    walks: dict[tuple[int, int], float] = {}  # costs of walks that end here, by last direction
     copies: dict[int, float] = {}
     reach = max(dictionary.longest, _DATE_REACH)
     for i, jumps in enumerate(_jumps(value, dictionary)):
@@ -143,10 +149,9 @@ def guess_cost(value: str, dictionary: Dictionary = PLAIN) -> float:
                 going[p] = min(copies.get(p, math.inf), here + SPAN + COPY)
         copies = going
         if i:
-            step = _STEP.get((low[i - 1], low[i]))
-            begun = best[i - 1] + (SPAN if i > 1 else 0.0) + KEY + TURN
-            walk = (min(walk[0] + (0.0 if walk[1] == step else TURN), begun), step) if step else (math.inf, None)
-        best[i + 1] = min([best[i + 1], walk[0], *copies.values()])
+            begun = min([best[i - 1] + (SPAN if i > 1 else 0.0) + KEY, *walks.values()]) + TURN
+            walks = {step: min(begun, walks.get(step, math.inf)) for step in _STEP.get((low[i - 1], low[i]), _NO_STEP)}
+        best[i + 1] = min([best[i + 1], *walks.values(), *copies.values()])
         if best[i + 1] >= ENOUGH and (least := min(best[max(0, i + 2 - reach) : i + 2])) >= ENOUGH:
             return least
     return best[n]

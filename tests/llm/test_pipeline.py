@@ -60,6 +60,16 @@ def test_join_stage_keeps_one_of_each_group(spark, corpus):
     assert got == Counter(dict.fromkeys(keep, 1))
 
 
+def test_join_stage_tells_documents_of_one_id_apart(spark, corpus):
+    at, _ = corpus
+    rng = random.Random(8)
+    a, b = prose(rng, 30), prose(rng, 30)
+    rows = [(5, a, "en", "s", 1), (7, a, "en", "s", 1), (7, b, "en", "s", 1), (None, b, "en", "s", 1), (9, None, "en", "s", 0), (9, "", "en", "s", 0)]
+    got = Counter(r[:2] for r in rows_of(corpus_pipeline.ngram_jaccard_join(spark, staged(spark, rows), at)))
+    # A null id is the smallest.
+    assert got == Counter({(5, a): 1, (None, b): 1, (9, None): 1, (9, ""): 1})
+
+
 def test_decontamination_stage_drops_leaks_only(spark, corpus):
     at, rows = corpus
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{at}/benchmark.parquet").collect()]

@@ -1,12 +1,15 @@
 """Licences, leaks, secrets and personal data against plain versions."""
 
+import itertools
+import math
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skein.llm import decontamination, licenses, pii, secrets
+from skein.llm import catalog, decontamination, licenses, pii, secrets
 from tests.llm import brute
 from tests.llm.conftest import prose
 
@@ -133,33 +136,69 @@ def test_guess_costs_rank_values():
     assert [s[0] for s in secrets.secret_spans("pwd: zk7Qm2Xv9Lp4 and password = changeme")] == ["guess"]
 
 
-def plain_guess_cost(value, dictionary):
-    """The least cost over all segmentations, span by span."""
+ROWS = ("1234567890", "qwertyuiop", "asdfghjkl;", "zxcvbnm,./")
+DIGITS_FOR = dict(zip("013457@$!", "oieastasi", strict=True))
+DATE = re.compile(r"((19|20)\d\d([-/._]?)(0[1-9]|1[0-2])([-/._]?)(0[1-9]|[12]\d|3[01]))|((0[1-9]|[12]\d|3[01])([-/._]?)(0[1-9]|1[0-2])([-/._]?)(19|20)\d\d)")
+
+
+def directions(a, b):
+    """All ways from a key to another, told from the keyboard and the alphabet."""
+    out = set()
+    if a.isascii() and b.isascii() and a.isalpha() and b.isalpha() and abs(ord(a) - ord(b)) == 1:
+        out.add(("abc", ord(b) - ord(a)))
+    place = {k: (r.index(k), y) for y, r in enumerate(ROWS) for k in r}
+    if a in place and b in place:
+        move = (place[b][0] - place[a][0], place[b][1] - place[a][1])
+        if move in ((1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)):
+            out.add(move)
+    return out
+
+
+def walk_turns(text):
+    """The fewest straight parts of a walk over all of `text`; None: no walk."""
+    ways = [directions(a, b) for a, b in zip(text, text[1:], strict=False)]
+    if not ways or not all(ways):
+        return None
+    return min(1 + sum(a != b for a, b in zip(way, way[1:], strict=False)) for way in itertools.product(*ways))
+
+
+def plain_guess_cost(value, words):
+    """The least cost over all segmentations, span by span, from tables of its own."""
     low, n = value.lower(), len(value)
-    jumps = list(secrets._jumps(value, dictionary))
+    rank = {}
+    for w in (*secrets.COMMON_WORDS, *words):
+        rank.setdefault(w, len(rank) + 1)
     best = [0.0] + [float("inf")] * n
     for i in range(n):
-        more = secrets.SPAN if i else 0.0
-        spans = [(i + 1, secrets._brute(value[i])), *((end, more + cost) for end, cost in jumps[i])]
+        more = 0.3 if i else 0.0
+        c = value[i]
+        spans = [(i + 1, math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33))]
         for end in range(i + 2, n + 1):
-            steps = [secrets._STEP.get(p) for p in zip(low[i:end], low[i + 1 : end])]
-            if all(steps):
-                spans.append((end, more + secrets.KEY + secrets.TURN * (1 + sum(a != b for a, b in zip(steps, steps[1:])))))
-        for p in range(1, min(i, secrets.LONGEST_BLOCK) + 1):
+            piece = low[i:end]
+            word = "".join(DIGITS_FOR.get(x, x) for x in piece)
+            if word in rank:
+                spans.append((end, more + math.log10(rank[word] * (1 + (value[i:end] != piece) + 2 * (word != piece)) + 1)))
+            if DATE.fullmatch(value[i:end]):
+                spans.append((end, more + math.log10(365 * 120)))
+            if re.fullmatch("(19|20)[0-9][0-9]", value[i:end]):
+                spans.append((end, more + math.log10(120)))
+            if (turns := walk_turns(piece)) is not None:
+                spans.append((end, more + math.log10(47) + math.log10(8) * turns))
+        for p in range(1, min(i, 32) + 1):
             for end in range(i + 1, n + 1):
                 if value[end - 1] != value[end - 1 - p]:
                     break
-                spans.append((end, secrets.SPAN + secrets.COPY))
+                spans.append((end, 0.3 + 1.3))
         for end, cost in spans:
             best[end] = min(best[end], best[i] + cost)
     return best[n]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["a", "aa", "admin", "P4ss", "word", "qwe", "rty", "123", "2020", "-05-", "17", "xyz", "k9", "Z", "1qaz", "é"]), max_size=7).map("".join))
+@given(st.lists(st.sampled_from(["a", "aa", "admin", "P4ss", "word", "qwe", "rty", "123", "2020", "-05-", "17", "xyz", "k9", "Z", "1qaz", "é", "defg", "jklop"]), max_size=6).map("".join))
 def test_guess_costs_are_minimal(value):
-    for dictionary in (secrets.PLAIN, secrets.Dictionary(["word", "wordy", "azert"])):
-        got, want = secrets.guess_cost(value, dictionary), plain_guess_cost(value, dictionary)
+    for words in ((), ("word", "wordy", "azert")):
+        got, want = secrets.guess_cost(value, secrets.Dictionary(words)), plain_guess_cost(value, words)
         assert abs(got - want) < 1e-9 or secrets.ENOUGH <= got <= want + 1e-9
 
 
@@ -167,10 +206,16 @@ def test_guess_costs_of_patterns():
     cost = secrets.guess_cost
     assert cost("123123123123") < 5 and cost("xyzxyzxyzxyz") < 5 and cost("aaaadmin") < 5 and cost("1qaz2wsx3edc") < 9
     assert cost("international", secrets.Dictionary(["international"])) < 4 < cost("international")
+    assert cost("abcdefghijkl") < 4 and cost("defghijklmno") < 4 and cost("efghijklmnop") < 4 and cost("ponmlkjihgfe") < 4 and cost("qwertyuiop") < 4
     assert cost("ab" * 5000) < 6 and cost("k9Qz7Lp2" * 3 + "Xw4") < 16
     assert secrets.secret_spans(None) == secrets.secret_spans("") == []
 
 
+def test_a_vocabulary_that_is_not_there_is_an_error(spark):
+    with pytest.raises(FileNotFoundError):
+        catalog.op6_secret_scan(spark, "/root/testdata/sf0.001", vocabulary="/nowhere/words.json")
+
+
 def test_secrets_of_awkward_rows(docs, no_docs, awkward):
     assert secrets.scan_secrets(docs).count() == len(awkward)
     assert secrets.scan_secrets(no_docs).count() == 0
@@ -203,6 +248,12 @@ def test_surrogates_are_distinct_and_of_the_same_form(kind):
     check()
 
 
+def test_names_of_one_letter_move():
+    s = pii.Surrogates("key")
+    for name in ("李", "Ю", "A", "王 伟"):
+        assert all(a != b for a, b in zip(s.of("name", name).split(" "), name.split(" "), strict=True) if len(b) == 1)
+
+
 def iban(country, rest):
     flat = "".join(str(int(c, 36)) for c in f"{rest}{country}00")
     return f"{country}{98 - int(flat) % 97:02d}{rest}"

@@ -35,14 +35,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one of smallest id.
 
-    A component's smallest doc_id names it, so the decision needs no second
-    look at the group. Rows that repeat both id and text are one document; of
-    those the first by source, lang and n_chars stays. Documents without words
-    are no copies of each other and stay. No rows give no rows.
+    Documents are told apart by id and text, so that a text is no copy only
+    because its id stands on another text too; the smallest (id, text key) of a
+    component names it, so the decision needs no second look at the group. Rows
+    that repeat both id and text are one document; of those the first by source,
+    lang and n_chars stays. Documents without words are no copies of each other
+    and stay. No rows give no rows.
     """
-    copies = jaccard.near_duplicates(docs).filter("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars")
-    kept = docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
+    key = F.xxhash64("text")
+    named = docs.select(F.struct("doc_id", key.alias("key")).alias("doc_id"), "text")
+    found = jaccard.near_duplicates(named).filter("n_shingles > 0 AND NOT doc_id <=> component_id")
+    copies = found.select(F.col("doc_id.doc_id").alias("copy_id"), F.col("doc_id.key").alias("copy_key")).distinct()
+    once = Window.partitionBy("doc_id", key).orderBy("source", "lang", "n_chars")
+    kept = docs.select(*COLUMNS).join(copies, docs["doc_id"].eqNullSafe(F.col("copy_id")) & (key == F.col("copy_key")), "left_anti")
     return _documents(kept.withColumn("nth", F.row_number().over(once)).filter("nth = 1"))
 
 

@@ -1,8 +1,11 @@
 """Watch mode and the job state machine."""
 
-from datetime import datetime
+import random
+from datetime import UTC, datetime, timedelta
 
-from skein.streaming import jobs
+import pytest
+
+from skein.streaming import jobs, tracking
 from skein.streaming.watch import ROWS, watch
 
 
@@ -33,3 +36,60 @@ def test_jobs_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("jobs").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     assert q.awaitTermination(120)
     assert {(r["job_id"], r["state"]) for r in spark.table("jobs").collect()} == {("j", "done"), ("k", "queued")}
+
+
+def job_events(rng, jobs=6, n=60):
+    kinds = ["submit", "start", *["progress"] * 12, "finish", "cancel", "fail"]
+    rows = []
+    for j in range(jobs):
+        at = 1_700_000_000.0 + j
+        for k in range(n):
+            at += rng.choice([0.3, 1, 2, 5, 20, 45])
+            kind = ["submit", "start"][k % 30] if k % 30 < 2 else rng.choice(kinds[2:] if k % 30 < 25 else kinds)
+            rows.append((f"j{j}", k, datetime.fromtimestamp(at, UTC), kind, rng.random() / 3 + k % 30 / 45, float(rng.randint(1, 400)), rng.random()))
+    return rows
+
+
+def test_job_stream_equals_the_table_whatever_the_batches(spark, tmp_path):
+    rng = random.Random(9)
+    rows = job_events(rng)
+    newest = max(r[2] for r in rows)
+    want = {tuple(r) for r in tracking.job_table(spark.createDataFrame(rows, tracking.EVENTS), 30.0, 60.0).collect()}
+    assert {r[3] for r in want} >= {"queued", "running", "done"} and any(r[8] for r in want) and len({r[7] for r in want}) >= 3
+    rows.sort(key=lambda r: r[2].timestamp() + rng.uniform(-60, 60))  # out of order, within files and between
+    for late, cuts, files in (("150 seconds", 6, "1"), ("0 seconds", 3, "100")):
+        source, out = str(tmp_path / f"events{files}"), str(tmp_path / f"out{files}")
+        size = len(rows) // cuts
+        for k in range(cuts):
+            part = rows[k * size : (k + 1) * size if k < cuts - 1 else None]
+            spark.createDataFrame(part, tracking.EVENTS).coalesce(1).write.mode("append").parquet(source)
+        stream = tracking.job_stream(spark.readStream.schema(tracking.EVENTS).option("maxFilesPerTrigger", files).parquet(source), late, 30.0, 60.0)
+        write = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-c").outputMode("append")
+        for _ in range(2):  # a restarted stream goes on from its state
+            write.trigger(availableNow=True).start().awaitTermination(200)
+        got = [tuple(r) for r in spark.read.schema(tracking.ROWS).parquet(out).collect()]
+        upto = (newest - timedelta(seconds=int(late.split()[0]))).replace(tzinfo=None)
+        # Later rows wait for the watermark.
+        assert len(got) == len(set(got)) and set(got) == {r for r in want if r[2] < upto or late == "0 seconds"}
+        assert len(got) > len(want) // 2
+
+
+def test_estimates_follow_their_rules():
+    job = tracking.Job()
+    for at, kind, f in [(0, "submit", 0), (1, "start", 0), (3, "progress", 0.1), (6, "progress", 0.2), (9, "progress", 0.15)]:
+        job = tracking.moved(job, at, at, kind, f, 100.0, 0.5, 60.0)
+    assert job.state == "running" and job.fraction == 0.2 and job.samples == ((3, 0.1), (6, 0.2)) and job.advanced == 6
+    # The first rate is that since the start, later ones those of the window.
+    first = 0.1 / 2
+    second = first + 0.35 * (0.1 / 3 - first)
+    assert job.rate == pytest.approx(second + 0.35 * (0.1 / 3 - second))
+    later, row = tracking.told_quiet("j", job, 30.0)
+    assert row["quiet"] == 30.0 and later.quiet_told and not tracking.quiet_due(later, 30.0, 1e9)
+    done = tracking.moved(job, 50, 9, "finish", 0, 0, 0, 60.0)
+    assert (done.state, done.eta, done.confidence, done.samples) == ("done", 0.0, 1.0, ())
+    assert tracking.moved(done, 109, 10, "submit", 0, 0, 0, 60.0).state == "done"
+    assert tracking.moved(done, 110, 11, "submit", 0, 0, 0, 60.0).state == "queued"
+
+
+def test_job_table_of_no_events(spark):
+    assert tracking.job_table(spark.createDataFrame([], tracking.EVENTS)).count() == 0

@@ -1,4 +1,4 @@
-"""Command line: analyze a folder of scripts, export, and gate on severity.
+"""Command line: analyze folders of scripts, export, and gate on severity.
 
 Exit codes: 0 passed, 1 the gate closed, 2 the input can't be used.
 """
@@ -9,9 +9,12 @@ import argparse
 import csv
 import io
 import sys
+import tempfile
 import time
+from datetime import UTC, datetime
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.vocab import SEVERITIES
@@ -19,11 +22,12 @@ from skein.operators import detectors, history, report
 from skein.plans.analysis import PROFILES, analyze_folder
 from skein.session import local_session
 from skein.sinks import exports
+from skein.streaming import watch as watching
 
 
 def main(argv: list[str] | None = None) -> int:
     args = argparse.ArgumentParser("skein", description=__doc__)
-    args.add_argument("target")
+    args.add_argument("targets", nargs="+", metavar="target")
     args.add_argument("--format", choices=["txt", "html", "csv", "sarif", "json", "openapi"], default="txt")
     args.add_argument("--output")
     args.add_argument("--profile", choices=list(PROFILES), default="balanced")
@@ -31,25 +35,40 @@ def main(argv: list[str] | None = None) -> int:
     args.add_argument("--baseline")
     args.add_argument("--save-baseline")
     args.add_argument("--triage", help="JSON lines of fingerprint, status, note; false positives neither count nor close the gate")
-    args.add_argument("--watch", type=int, help="scan again every so many seconds (10 at least) until the gate closes")
+    args.add_argument("--watch", type=int, help="scan again every so many seconds (10 at least) until the gate closes, and show what changed")
+    args.add_argument("--cycles", type=int, help="with --watch: stop after so many scans")
+    args.add_argument("--state", help="with --watch: the folder that keeps what was found, so that a later watch goes on from there")
     args.add_argument("--workers", default="8")
     o = args.parse_args(argv)
-    if o.watch:
-        return watch(argv or sys.argv[1:], max(10, o.watch))
-    if not Path(o.target).is_dir():
-        print(f"{o.target} is no folder", file=sys.stderr)
-        return 2
+    for target in o.targets:
+        if not Path(target).is_dir():
+            print(f"{target} is no folder", file=sys.stderr)
+            return 2
     spark = local_session(o.workers)
-    done = analyze_folder(spark, o.target)
-    found = done.findings.persist()
-    rows = done.rows()
+    return watch(spark, o) if o.watch else scan(spark, o)
+
+
+def _counted(spark: SparkSession, rows: DataFrame, o: argparse.Namespace) -> DataFrame:
+    """Rows that count: not in the baseline, nor false positives by triage."""
     if o.baseline:
         rows = history.against_baseline(rows, exports.read_baseline(spark, o.baseline)).filter("state <> 'known'")
-    if o.save_baseline:
-        exports.write_baseline(done.rows(), o.save_baseline)
     if o.triage:
         states = spark.read.schema("fingerprint string, status string, note string").json(o.triage)
         rows = history.with_triage(rows, states).filter("triage_status IS NULL OR triage_status <> 'false_positive'")
+    return rows
+
+
+def _gate(rows: DataFrame, fail_on: str | None) -> int:
+    closed = history.gate(rows, fail_on).first() if fail_on else None
+    return closed["exit_code"] if closed else 0
+
+
+def scan(spark: SparkSession, o: argparse.Namespace) -> int:
+    done = analyze_folder(spark, o.targets)
+    found = done.findings.persist()
+    rows = _counted(spark, done.rows(), o)
+    if o.save_baseline:
+        exports.write_baseline(done.rows(), o.save_baseline)
     if o.format in ("txt", "html", "json"):
         sized = done.documents.withColumn("skip_reason", F.lit(None).cast("string"))
         model = report.dashboard(spark, sized, found, detectors.long(done.documents))
@@ -72,18 +91,54 @@ def main(argv: list[str] | None = None) -> int:
         text = exports.openapi(surface.openapi_paths(done.endpoints))
     if text is not None:
         Path(o.output).write_text(text) if o.output else print(text)
-    if not o.fail_on:
-        return 0
-    closed = history.gate(rows, o.fail_on).first()
-    return closed["exit_code"] if closed else 0
+    return _gate(rows, o.fail_on)
+
+
+# How a verdict is shown.
+MARKS = {"new": "+ new", "worsened": "! worse", "improved": "- improved", "resolved": "x no longer detected"}
+
+
+def _show(batch: DataFrame, _: int) -> None:
+    """What changed, worst first, and how many findings each verdict has."""
+    if batch.isEmpty():
+        return
+    kept = batch.persist()
+    changed = kept.filter(F.col("verdict").isin(*MARKS))
+    for r in history.verdict_order(changed).collect():
+        was = f" [{r['old_severity']} to {r['severity']}]" if r["verdict"] in ("worsened", "improved") and r["old_severity"] != r["severity"] else ""
+        print(f"    {MARKS[r['verdict']]}: {r['title']} ({r['target']}: {r['file']}){was}")
+    counts = {r["verdict"]: r["count"] for r in kept.groupBy("verdict").count().collect()}
+    if set(counts) <= {"persisted"}:
+        print("    (no changes since the previous cycle)")
+    print("    " + ", ".join(f"{counts[v]} {v}" for v in history.VERDICTS if v in counts))
+    kept.unpersist()
 
 
-def watch(argv: list[str], seconds: int) -> int:
-    """The same scan again and again; ends with the first exit code above 0."""
-    at = argv.index("--watch")
-    once = argv[:at] + argv[at + 2 :]
-    while not (code := main(once)):
-        time.sleep(seconds)
+def watch(spark: SparkSession, o: argparse.Namespace) -> int:
+    """Scans all targets again and again, and shows what each cycle changed;
+    ends with the first exit code above 0. What was found is kept by a stream
+    (watch.watched), which goes on from its checkpoint."""
+    state = o.state or tempfile.mkdtemp(prefix="skein-watch-")
+    source, code, cycle = f"{state}/rows", 0, 0
+    print(f"[watch] {len(o.targets)} target(s) every {max(10, o.watch)} s")
+    while not code and (o.cycles is None or cycle < o.cycles):
+        if cycle:
+            time.sleep(max(10, o.watch))
+        cycle += 1
+        at = datetime.now(UTC)
+        seen = spark.createDataFrame([(t, None, at, -1) for t in o.targets], "target string, fingerprint string, at timestamp, ordinal long")
+        for target in o.targets:
+            found = _counted(spark, analyze_folder(spark, [target]).rows(), o)
+            seen = seen.unionByName(found.select("fingerprint", "severity", "confidence", "title", "file", "observation", "ordinal").withColumns({"target": F.lit(target), "at": F.lit(at)}), allowMissingColumns=True)
+        rows = seen.withColumn("scan_id", F.lit(int(at.timestamp())).cast("long")).persist()
+        n = rows.filter("fingerprint IS NOT NULL AND NOT observation").count()
+        print(f"[watch {at:%H:%M:%S}] cycle {cycle}: {n} actionable finding(s)")
+        columns = [c.split(" ")[0] for c in watching.CYCLE_ROWS.split(", ")]
+        rows.select(*columns).coalesce(1).write.mode("append").parquet(source)
+        verdicts = watching.watched(spark.readStream.schema(watching.CYCLE_ROWS).parquet(source))
+        verdicts.writeStream.foreachBatch(_show).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        code = _gate(rows.filter("fingerprint IS NOT NULL"), o.fail_on)
+        rows.unpersist()
     return code
 
 

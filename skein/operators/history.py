@@ -75,35 +75,55 @@ def last_of(rows: DataFrame, keys: list[str], ordinal: str = "ordinal") -> DataF
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), ordinal).alias("r")).select(*keys, "r.*")
 
 
-def revalidate(old: DataFrame, new: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """A verdict for every fingerprint of two scans (the last row counts).
-
-    Worse is tested before better: a finding whose severity fell while its
-    confidence rose is worsened. Adds coverage_gap: resolved in a file that
-    the new scan didn't see."""
-    keys = [*(scope or []), "fingerprint"]
-    pick = ["severity", "confidence", "title", "file", "observation"]
-    o = last_of(old, keys).select(*keys, F.struct(*pick).alias("o"))
-    n = last_of(new, keys).select(*keys, F.struct(*pick).alias("n"))
-    both = o.join(n, keys, "full")
-    step = lambda f, c: f(F.col(f"n.{c}")) - f(F.col(f"o.{c}"))
+def verdict(old: Column, new: Column) -> Column:
+    """What became of a finding from one scan to the next: `old` and `new` are
+    structs with severity, confidence and observation, null where the scan did
+    not have it. Worse is tested before better: a finding whose severity fell
+    while its confidence rose is worsened."""
+    step = lambda f, c: f(new[c]) - f(old[c])
     sev, conf = step(vocab.severity_rank, "severity"), step(vocab.confidence_rank, "confidence")
-    was, is_ = F.col("o.observation"), F.col("n.observation")
-    verdict = (
-        F.when(F.col("o").isNull(), "new")
-        .when(F.col("n").isNull(), "resolved")
+    was, is_ = old["observation"], new["observation"]
+    return (
+        F.when(old.isNull(), "new")
+        .when(new.isNull(), "resolved")
         .when((sev > 0) | (was & ~is_) | (conf > 0), "worsened")
         .when((sev < 0) | (~was & is_) | (conf < 0), "improved")
         .otherwise("persisted")
     )
+
+
+SHOWN = ("severity", "confidence", "title", "file", "observation")
+
+
+def chain_verdicts(rows: DataFrame, scans: DataFrame) -> DataFrame:
+    """A verdict for every fingerprint of every scan (scan_id, target) and of
+    the scan of its target before it, in one pass over all scans."""
+    linked = previous_scan(scans.select("scan_id", "target"))
+    last = last_of(rows, ["scan_id", "fingerprint"]).select("scan_id", "fingerprint", F.struct(*SHOWN).alias("n"))
+    now = linked.select("scan_id", "target").join(last, "scan_id")
+    before = linked.filter("previous_id IS NOT NULL").join(last.withColumnRenamed("scan_id", "previous_id").withColumnRenamed("n", "o"), "previous_id")
+    both = now.join(before.select("scan_id", "target", "fingerprint", "o"), ["scan_id", "target", "fingerprint"], "full")
+    return both.select("target", "scan_id", "fingerprint", *verdict_columns(F.col("o"), F.col("n")))
+
+
+def verdict_columns(old: Column, new: Column) -> list[Column]:
+    return [
+        verdict(old, new).alias("verdict"),
+        *[F.coalesce(new[c], old[c]).alias(c) for c in SHOWN],
+        old["severity"].alias("old_severity"),
+        old["confidence"].alias("old_confidence"),
+    ]
+
+
+def revalidate(old: DataFrame, new: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """A verdict for every fingerprint of two scans (the last row counts).
+
+    Adds coverage_gap: resolved in a file that the new scan didn't see."""
+    keys = [*(scope or []), "fingerprint"]
+    o = last_of(old, keys).select(*keys, F.struct(*SHOWN).alias("o"))
+    n = last_of(new, keys).select(*keys, F.struct(*SHOWN).alias("n"))
     seen = new.select(*(scope or []), "file").distinct().withColumn("seen", F.lit(True))
-    out = both.select(
-        *keys,
-        verdict.alias("verdict"),
-        *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in pick],
-        F.col("o.severity").alias("old_severity"),
-        F.col("o.confidence").alias("old_confidence"),
-    )
+    out = o.join(n, keys, "full").select(*keys, *verdict_columns(F.col("o"), F.col("n")))
     out = out.join(seen, [*(scope or []), "file"], "left")
     return out.withColumn("coverage_gap", (F.col("verdict") == "resolved") & F.col("seen").isNull()).drop("seen")
 

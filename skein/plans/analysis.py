@@ -80,5 +80,5 @@ def analyze_content(spark: SparkSession, code: str, name: str = "inline.js") ->
     return analyze(sources.inline(spark, [(name, code)]))
 
 
-def analyze_folder(spark: SparkSession, path: str) -> Analysis:
+def analyze_folder(spark: SparkSession, path: str | list[str]) -> Analysis:
     return analyze(sources.folder(spark, path))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import patterns as P
@@ -18,8 +18,9 @@ from skein.sinks import exports
 from skein.sources import documents as docs_source
 from skein.sources import pages as pages_source
 from skein.sources.tables import table
-from skein.session import scratch
+from skein.session import scratch, written
 from skein.streaming import progress, tracking
+from skein.streaming import watch as watching
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -213,6 +214,43 @@ def scan_chain_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.chain_diff(rows, scans).select("scan_id", "target", "previous_id", "new", "resolved", "unchanged")
 
 
+_CHAIN = NORMALIZED + f""", r AS (SELECT *, {FINGERPRINT} AS fp FROM tiered),
+  s AS (SELECT scan_id, 'site' || scan_id % 3 AS target, lag(scan_id) OVER (PARTITION BY scan_id % 3 ORDER BY scan_id) AS previous_id FROM (SELECT DISTINCT scan_id FROM r)),
+  l AS (SELECT scan_id, fp, arg_max(sev_rank, ordinal) AS s, arg_max(conf_rank, ordinal) AS c, arg_max(observation, ordinal) AS obs, arg_max(severity, ordinal) AS severity,
+    arg_max(confidence, ordinal) AS confidence, arg_max(file, ordinal) AS file FROM r GROUP BY scan_id, fp),
+  n AS (SELECT s.scan_id, s.target, l.* EXCLUDE (scan_id) FROM s JOIN l USING (scan_id)), o AS (SELECT s.scan_id, s.target, l.* EXCLUDE (scan_id) FROM s JOIN l ON l.scan_id = s.previous_id)
+  SELECT coalesce(n.target, o.target) AS target, coalesce(n.scan_id, o.scan_id) AS scan_id, coalesce(n.fp, o.fp) AS fingerprint,
+    CASE WHEN o.fp IS NULL THEN 'new' WHEN n.fp IS NULL THEN 'resolved' WHEN n.s > o.s OR (o.obs AND NOT n.obs) OR n.c > o.c THEN 'worsened'
+      WHEN n.s < o.s OR (NOT o.obs AND n.obs) OR n.c < o.c THEN 'improved' ELSE 'persisted' END AS verdict,
+    coalesce(n.severity, o.severity) AS severity, coalesce(n.confidence, o.confidence) AS confidence, coalesce(n.file, o.file) AS file,
+    o.severity AS old_severity, o.confidence AS old_confidence
+  FROM n FULL JOIN o ON n.scan_id = o.scan_id AND n.fp = o.fp"""
+_CHAIN_COLUMNS = ("target", "scan_id", "fingerprint", "verdict", "severity", "confidence", "file", "old_severity", "old_confidence")
+
+
+def _site() -> Column:
+    return F.concat(F.lit("site"), (F.col("scan_id") % 3).cast("string"))
+
+
+@query(_CHAIN)
+def chain_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every scan changed against the scan of its target before it."""
+    rows = _rows(spark, sf_dir)
+    return history.chain_verdicts(rows, rows.select("scan_id").distinct().withColumn("target", _site())).select(*_CHAIN_COLUMNS)
+
+
+@query(_CHAIN)
+def watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same verdicts by a stream that keeps each target's findings."""
+    at = F.timestamp_seconds(F.col("scan_id") * 60)
+    rows = written(watching.marked(_rows(spark, sf_dir).withColumn("target", _site()).withColumn("at", at)), "watch-rows")
+    source, path = rows.inputFiles()[0].rsplit("/", 1)[0], scratch(spark, "watch-verdicts")
+    verdicts = watching.watched(spark.readStream.schema(rows.schema).parquet(source))
+    write = verdicts.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "watch-stream"))
+    write.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(verdicts.schema).parquet(path).select(*_CHAIN_COLUMNS)
+
+
 _TWO = NORMALIZED + f""", r AS (SELECT *, {FINGERPRINT} AS fp FROM tiered),
   o AS (SELECT fp, arg_max(sev_rank, ordinal) AS s, arg_max(conf_rank, ordinal) AS c, arg_max(observation, ordinal) AS obs, arg_max(file, ordinal) AS f FROM r WHERE scan_id <= 15 GROUP BY fp),
   n AS (SELECT fp, arg_max(sev_rank, ordinal) AS s, arg_max(conf_rank, ordinal) AS c, arg_max(observation, ordinal) AS obs, arg_max(file, ordinal) AS f FROM r WHERE scan_id > 15 GROUP BY fp),

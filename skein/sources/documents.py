@@ -47,8 +47,8 @@ def beautified(documents: DataFrame, hook: Callable[[Column], Column] | None = N
     return documents if hook is None else documents.withColumn("content", hook(F.col("content")))
 
 
-def folder(spark: SparkSession, path: str, limit: int = 1000) -> DataFrame:
-    """Script files below a folder, in order of their paths."""
+def folder(spark: SparkSession, path: str | list[str], limit: int = 1000) -> DataFrame:
+    """Script files below a folder, or some, in order of their paths."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{js,mjs,cjs,jsx,ts,tsx}").load(path)
     skipped = F.lit(False)
     for name in SKIPPED:

@@ -2,10 +2,12 @@
 
 import random
 from datetime import UTC, datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 
 from skein.streaming import jobs, tracking
+from skein.streaming import watch as watching
 from skein.streaming.watch import ROWS, watch
 
 
@@ -93,3 +95,67 @@ def test_estimates_follow_their_rules():
 
 def test_job_table_of_no_events(spark):
     assert tracking.job_table(spark.createDataFrame([], tracking.EVENTS)).count() == 0
+
+
+def scan_rows(scans):
+    """CYCLE_ROWS of (target, scan, [(fingerprint, severity, confidence)])."""
+    out = []
+    for target, scan, found in scans:
+        at = datetime.fromtimestamp(1_700_000_000 + scan * 60, UTC)
+        out.append((target, scan, at, None, None, None, None, None, None, -1))
+        out += [(target, scan, at, f, s, c, f"title {f}", f"{f}.js", False, i) for i, (f, s, c) in enumerate(found)]
+    return out
+
+
+def plain_verdicts(scans):
+    known, out = {}, set()
+    rank = {"LOW": 1, "MEDIUM": 2, "HIGH": 3, "low": 0, "medium": 1, "high": 2}
+    for target, scan, found in scans:
+        old, new = known.get(target, {}), {f: (s, c) for f, s, c in found}
+        for f in old | new:
+            if f not in old or f not in new:
+                verdict = "new" if f in new else "resolved"
+            else:
+                moves = [rank[new[f][i]] - rank[old[f][i]] for i in (0, 1)]
+                verdict = "worsened" if max(moves) > 0 else "improved" if min(moves) < 0 else "persisted"
+            out.add((target, scan, f, verdict))
+        known[target] = new
+    return out
+
+
+def test_watched_targets_whatever_the_batches(spark, tmp_path):
+    rng = random.Random(4)
+    scans = []
+    for scan in range(1, 9):
+        for target in ("a", "b", "quiet"):
+            if rng.random() < 0.75:  # a target is not scanned in every cycle
+                n = 0 if target == "quiet" and scan % 3 else 12
+                scans.append((target, scan, [(f"f{rng.randint(0, 20)}", rng.choice(["LOW", "MEDIUM", "HIGH"]), rng.choice(["low", "medium", "high"])) for _ in range(n)]))
+    rows = scan_rows(scans)
+    for cuts in (1, 4):
+        source, out = str(tmp_path / f"rows{cuts}"), str(tmp_path / f"out{cuts}")
+        for k in range(cuts):
+            mine = [r for r in rows if r[1] * cuts // 9 == k]
+            spark.createDataFrame(mine, watching.CYCLE_ROWS).repartition(2).write.mode("append").parquet(source)
+            stream = watching.watched(spark.readStream.schema(watching.CYCLE_ROWS).parquet(source), parts=5)
+            write = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-c").outputMode("append")
+            write.trigger(availableNow=True).start().awaitTermination(200)
+        got = [(r["target"], r["scan_id"], r["fingerprint"], r["verdict"]) for r in spark.read.schema(stream.schema).parquet(out).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain_verdicts(scans)
+
+
+def test_watch_on_the_command_line_shows_differences(spark, tmp_path, capsys, monkeypatch):
+    from skein import __main__ as cli
+
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+    script = tmp_path / "one" / "a.js"
+    script.write_text("el.innerHTML = location.hash;")
+    (tmp_path / "two" / "b.js").write_text("var quiet = 1;")
+    monkeypatch.setattr(cli, "time", SimpleNamespace(sleep=lambda _: script.write_text("var fine = 1;")))
+    code = cli.main([str(tmp_path / "one"), str(tmp_path / "two"), "--watch=30", "--cycles=3", f"--state={tmp_path}/state"])
+    said = capsys.readouterr().out
+    assert code == 0 and said.count("[watch ") == 3
+    first, second, third = said.split("cycle ")[1:]
+    assert "+ new" in first and "x no longer detected" in second and "+ new" not in second and "x no" not in third
+    assert cli.main([str(tmp_path / "nowhere")]) == 2

@@ -91,7 +91,10 @@ def scan(spark: SparkSession, o: argparse.Namespace) -> int:
         text = exports.openapi(surface.openapi_paths(done.endpoints))
     if text is not None:
         Path(o.output).write_text(text) if o.output else print(text)
-    return _gate(rows, o.fail_on)
+    code = _gate(rows, o.fail_on)
+    found.unpersist()
+    done.release()
+    return code
 
 
 # How a verdict is shown.
@@ -127,8 +130,9 @@ def watch(spark: SparkSession, o: argparse.Namespace) -> int:
         cycle += 1
         at = datetime.now(UTC)
         seen = spark.createDataFrame([(t, None, at, -1) for t in o.targets], "target string, fingerprint string, at timestamp, ordinal long")
-        for target in o.targets:
-            found = _counted(spark, analyze_folder(spark, [target]).rows(), o)
+        done = [analyze_folder(spark, [target]) for target in o.targets]
+        for target, one in zip(o.targets, done, strict=True):
+            found = _counted(spark, one.rows(), o)
             seen = seen.unionByName(found.select("fingerprint", "severity", "confidence", "title", "file", "observation", "ordinal").withColumns({"target": F.lit(target), "at": F.lit(at)}), allowMissingColumns=True)
         rows = seen.withColumn("scan_id", F.lit(int(at.timestamp())).cast("long")).persist()
         n = rows.filter("fingerprint IS NOT NULL AND NOT observation").count()
@@ -138,7 +142,8 @@ def watch(spark: SparkSession, o: argparse.Namespace) -> int:
         verdicts = watching.watched(spark.readStream.schema(watching.CYCLE_ROWS).parquet(source))
         verdicts.writeStream.foreachBatch(_show).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start().awaitTermination()
         code = _gate(rows.filter("fingerprint IS NOT NULL"), o.fail_on)
-        rows.unpersist()
+        for held in (rows, *[one.documents for one in done]):
+            held.unpersist()
     return code
 
 

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from skein.functions import patterns as P
 from skein.operators.script_text import Constants, Lines, statements, tokens
-from skein.sources.documents import spread
 
 # Crypto calls, keys and initial vectors.
 CRYPTO = (
@@ -71,7 +70,7 @@ def _per_document(documents: DataFrame, find: Callable[[str], Sequence[Row]], co
             arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), *columns.values()])]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ordinal", *columns])
 
-    return spread(documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "content")).mapInArrow(run, f"doc_id long, ordinal long, {ddl}")
+    return documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "content").mapInArrow(run, f"doc_id long, ordinal long, {ddl}")
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], reach: int, at: str = "position") -> DataFrame:
@@ -152,7 +151,7 @@ def crypto_material(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(_PLACE))], ["doc_id", "places"])
 
     # Most texts hold nothing of the kind, and stay in the JVM.
-    may = spread(documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "content"))
+    may = documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "content")
     may = may.filter(F.col("content").rlike("|".join(f"(?i:{p})" for p, _ in (*CRYPTO, *IVS))) | F.col("content").contains(KEY_MARKER))
     found = may.mapInArrow(run, "doc_id long, places array<struct<kind:string,category:string,value:string,position:long>>")
     signals = F.transform(F.filter("places", lambda p: p["kind"] == "signal"), lambda p: p["position"])
@@ -251,5 +250,5 @@ def folded_of(text: str) -> list[Row]:
 def folded_literals(documents: DataFrame) -> DataFrame:
     """doc_id, ordinal, target, value, line. Documents without a sum of quoted
     or named parts never leave the JVM."""
-    may = spread(documents.select("doc_id", "content")).filter(F.col("content").rlike(r"""['"`\w$)]\s*\+\s*['"`A-Za-z_$]|Buffer\s*\.\s*concat"""))
+    may = documents.select("doc_id", "content").filter(F.col("content").rlike(r"""['"`\w$)]\s*\+\s*['"`A-Za-z_$]|Buffer\s*\.\s*concat"""))
     return _per_document(may, folded_of, {"target": pa.string(), "value": pa.string(), "line": pa.int32()}, "target string, value string, line int")

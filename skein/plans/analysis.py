@@ -17,7 +17,9 @@ PROFILES = {"balanced": (5, 15, 50), "strict": (7, 20, 100), "fast": (3, 10, 25)
 
 @dataclass(frozen=True)
 class Analysis:
-    """Lazy tables of one analysis; nothing runs until one of them is used."""
+    """Lazy tables of one analysis; nothing runs until one of them is used. The
+    documents that are kept are then stored once for all tables, on the
+    executors (a lost one's are computed again), until release()."""
 
     documents: DataFrame
     findings: DataFrame
@@ -46,6 +48,9 @@ class Analysis:
         seen = self.runtime_findings().withColumns({"scan_id": F.lit(1), "ordinal": F.col("ordinal") + (1 << 40)})
         return risk.overall(every.unionByName(seen, allowMissingColumns=True), scope, third, self.evidence.withColumn("scan_id", F.lit(1)))
 
+    def release(self) -> None:
+        self.documents.unpersist()
+
     def rows(self) -> DataFrame:
         return history.finding_rows(self.findings.withColumn("scan_id", F.lit(1).cast("long")))
 
@@ -63,7 +68,7 @@ def analyze(documents: DataFrame, page_url: str = "", evidence: DataFrame | None
     Oversized documents and copies of earlier ones are left out; original
     sources behind inline maps are scanned for flows like documents; flows,
     framework rules and signals are correlated for each document."""
-    kept = sources.first_copies(sources.sized(documents).filter("skip_reason IS NULL").drop("skip_reason"))
+    kept = sources.spread(sources.first_copies(sources.sized(documents).filter("skip_reason IS NULL").drop("skip_reason"))).persist()
     named = kept.select("doc_id", F.col("name").alias("file"))
     mapped = source_maps.originals(kept).select("doc_id", "content", F.lit("source_map").alias("via"))
     every = kept.select("doc_id", "content")

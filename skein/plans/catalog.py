@@ -374,13 +374,13 @@ SECRETS_SQL = f"""WITH swept AS (SELECT doc_id, text AS body, list_filter(list_t
 @query(f"SELECT doc_id, unnest(flatten([{_SWEPT}])) AS value FROM documents WHERE text IS NOT NULL")
 def secret_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every find of every secret pattern."""
-    d = samples.documents(spark, sf_dir)
+    d = samples.texts(spark, sf_dir)
     return d.select("doc_id", F.explode(detectors.sweep(detectors.Text(F.col("content"), F.lower("content")), P.SECRETS)).alias("value"))
 
 
 @query(SECRETS_SQL)
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.secret_table(samples.documents(spark, sf_dir)).select("doc_id", "ordinal", "text", "public", "credible", "line")
+    return detectors.secret_table(samples.texts(spark, sf_dir)).select("doc_id", "ordinal", "text", "public", "credible", "line")
 
 
 @query(snippets.expected_sql(lambda s: s.secrets, "text, credible, line"))
@@ -397,7 +397,7 @@ def script_finds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def detector_finds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.long(samples.documents(spark, sf_dir))
+    return detectors.long(samples.texts(spark, sf_dir))
 
 
 @query(snippets.expected_sql(lambda s: s.signals, "id, severity, observation"))
@@ -408,7 +408,7 @@ def script_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def risk_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.signals(samples.documents(spark, sf_dir))
+    return detectors.signals(samples.texts(spark, sf_dir))
 
 
 @query(r"""SELECT page_id, ordinal - 1 AS ordinal, trim(body) AS body FROM (
@@ -485,7 +485,7 @@ def script_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dependency_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dependencies.dependency_scan(samples.documents(spark, sf_dir))
+    return dependencies.dependency_scan(samples.texts(spark, sf_dir))
 
 
 def _bound(constraint: str) -> str:
@@ -535,7 +535,7 @@ def crypto_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def crypto_material(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offsets.crypto_material(samples.documents(spark, sf_dir))
+    return offsets.crypto_material(samples.texts(spark, sf_dir))
 
 
 @query(snippets.expected_sql(lambda s: s.calls, "kind, method, url, parameters, headers, body_fields, auth, line"))

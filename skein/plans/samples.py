@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.sources import documents as sources
 from skein.sources.tables import table
 
 #: events as findings: our own fixed mapping.
@@ -49,6 +50,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("doc_id").alias("ordinal"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".js")).alias("name"), F.lit(None).cast("string").alias("url"), F.col("text").alias("content"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread for work on their texts."""
+    return sources.spread(documents(spark, sf_dir))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", "html")
 

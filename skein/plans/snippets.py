@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.sources.documents import spread
 from skein.sources.tables import table
 
 
@@ -107,7 +108,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("doc_id"))
     code = F.element_at(F.array(*[F.lit(s.code) for s in SNIPPETS]), (F.col("doc_id") % len(SNIPPETS) + 1).cast("int"))
     name = F.concat(F.lit("part"), F.col("doc_id").cast("string"), F.lit(".js"))
-    return part.select("doc_id", F.col("doc_id").alias("ordinal"), name.alias("name"), F.lit(None).cast("string").alias("url"), code.alias("content"))
+    return spread(part).select("doc_id", F.col("doc_id").alias("ordinal"), name.alias("name"), F.lit(None).cast("string").alias("url"), code.alias("content"))
 
 
 def _literal(value: object) -> str:

@@ -72,11 +72,20 @@ def unique_names(documents: DataFrame) -> DataFrame:
     return named.withColumn("nth", nth).withColumn("name", F.when(F.col("nth") > 1, suffixed).otherwise(F.col("name"))).drop("nth")
 
 
+def planned_bytes(documents: DataFrame) -> int:
+    """The size that the optimizer expects, from its sources' sizes; runs nothing."""
+    return int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(documents: DataFrame) -> DataFrame:
-    """Documents in as many partitions as there are cores, if their scan has
-    fewer; a scan that already feeds the cluster is left alone, unshuffled."""
-    cores = documents.sparkSession.sparkContext.defaultParallelism
-    return documents.repartition(cores) if documents.rdd.getNumPartitions() < cores else documents
+    """Documents in as many partitions as there are cores, if their scan would
+    make fewer; a scan that feeds the cluster is left alone, unshuffled. Decided
+    by the sizes that the plan knows, so that planning runs no job. For those
+    who build plans on texts; operators take documents as they come."""
+    spark = documents.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return documents.repartition(cores) if planned_bytes(documents) < cores * split else documents
 
 
 def first_copies(documents: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ import pytest
 
 from skein.__main__ import main
 from skein.plans import catalog
-from skein.plans.analysis import analyze_content, analyze_folder
+from skein.plans.analysis import analyze, analyze_content, analyze_folder
+from skein.sources import documents as sources
 
 
 @pytest.fixture(autouse=True)
@@ -67,3 +68,28 @@ def test_browser_evidence_counts_in_the_score(spark):
     assert row["score"] > plain["score"] and row["runtime_effects"] == 1 and row["confirmed"] == 1
     assert {r["id"] for r in with_browser.runtime_findings().collect()} == {"runtime_eval", "runtime_dom_sink"}
     assert analyze(d).runtime_findings().count() == 0
+
+
+def test_planning_runs_nothing_and_texts_are_read_once(spark, tmp_path):
+    context = spark.sparkContext
+    read = context.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(i, i, f"f{i}.js", None, f"el.innerHTML = location.hash; // {i % 30}") for i in range(40)]
+    spark.createDataFrame(rows, sources.SCHEMA).write.parquet(str(tmp_path / "docs"))
+    documents = spark.read.parquet(str(tmp_path / "docs")).mapInArrow(counted, sources.SCHEMA)
+    context.setJobGroup("planning", "")
+    try:
+        done = analyze(documents)
+        assert not context.statusTracker().getJobIdsForGroup("planning")
+        assert done.findings.count() and done.endpoints.count() == 0 and done.inventory.count()
+        assert done.file_risk().count() == 30
+        # Once to find the first copies, once to keep them; no table reads them again.
+        assert read.value == 2 * len(rows)
+    finally:
+        done.release()
+        context.setLocalProperty("spark.jobGroup.id", None)

@@ -16,6 +16,7 @@ from skein.operators import dependencies, detectors, findings, history, offsets,
 from skein.plans import samples, snippets
 from skein.sinks import exports
 from skein.sources import documents as docs_source
+from skein.sources import frontier
 from skein.sources import pages as pages_source
 from skein.sources.tables import table
 from skein.session import scratch, written
@@ -550,6 +551,49 @@ def folded_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offsets.folded_literals(snippets.documents(spark, sf_dir)).select("doc_id", "target", "value", "line")
 
 
+CRAWL_DEPTH, CRAWL_PER_HOST, CRAWL_TOTAL = 6, 3, 120
+
+
+def _crawl_sql(depth: int = CRAWL_DEPTH, per_host: int = CRAWL_PER_HOST, total: int = CRAWL_TOTAL) -> str:
+    """Level after level, each from the one before and all that was met."""
+    host = "regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]*)', 1)"
+    parts = [f"""page AS (SELECT page_id, url, html, {host} AS host, count(*) OVER () AS n FROM pages),
+  link AS (SELECT url AS parent, n, unnest(l) AS l, unnest(range(len(l))) AS ordinal FROM (SELECT url, n, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM page)),
+  edge AS (SELECT link.parent, link.ordinal, CASE WHEN k % 7 = 6 THEN 'https://nowhere.example.org' || link.l ELSE page.url END AS url
+    FROM (SELECT *, CAST('0x' || substr(md5(parent || l), 1, 8) AS BIGINT) AS k FROM link) link JOIN page ON page.page_id = link.k % link.n),
+  met0 AS (SELECT url, NULL::VARCHAR AS parent, -1 AS came, page_id AS ordinal FROM page WHERE url LIKE '%#top')"""]
+    for d in range(depth + 1):
+        seen = " UNION ALL ".join(f"SELECT url, host, outcome FROM lev{i}" for i in range(d)) or "SELECT '' AS url, '' AS host, '' AS outcome WHERE FALSE"
+        parts.append(f"""seen{d} AS ({seen}),
+  fresh{d} AS (SELECT url, min((came, ordinal, parent)) AS p FROM met{d} WHERE url NOT IN (SELECT url FROM seen{d}) GROUP BY url),
+  host{d} AS (SELECT f.url, f.p, {host.replace("url", "f.url")} AS host, page.url IS NOT NULL AS there FROM fresh{d} f LEFT JOIN page USING (url)),
+  nth{d} AS (SELECT h.*, there AND row_number() OVER (PARTITION BY h.host, there ORDER BY p, h.url) + coalesce(had, 0) <= {per_host} AS allowed
+    FROM host{d} h LEFT JOIN (SELECT host, count(*) AS had FROM seen{d} WHERE outcome = 'visited' GROUP BY host) s ON s.host = h.host),
+  run{d} AS (SELECT *, coalesce(sum(CAST(allowed AS BIGINT)) OVER (ORDER BY p, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    (SELECT count(*) FROM seen{d} WHERE outcome = 'visited') AS visits FROM nth{d}),
+  lev{d} AS (SELECT url, host, {d} AS depth, p[3] AS parent, CASE WHEN NOT there THEN 'missing' WHEN before >= {total} - visits THEN 'budget' WHEN NOT allowed THEN 'host_quota' ELSE 'visited' END AS outcome,
+    CAST(before + visits AS BIGINT) AS place FROM run{d})""")
+        if d < depth:
+            parts.append(f"met{d + 1} AS (SELECT e.url, e.parent, l.place AS came, e.ordinal FROM edge e JOIN lev{d} l ON l.url = e.parent WHERE l.outcome = 'visited')")
+    every = " UNION ALL ".join(f"SELECT * FROM lev{d}" for d in range(depth + 1))
+    return f"WITH {', '.join(parts)} SELECT url, depth, CASE WHEN outcome = 'visited' THEN place END AS arrival, parent, outcome FROM ({every})"
+
+
+@query(_crawl_sql())
+def page_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl over the links of all pages. The table's links lead to no page of
+    it, so each is dealt to one by an MD5 sum, and one in seven to nowhere."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    n = pages.agg(F.count("*").alias("n"))
+    links = pages.select("url", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("ordinal", "l")).crossJoin(F.broadcast(n))
+    k = F.conv(F.substring(F.md5(F.concat("url", "l")), 1, 8), 16, 10).cast("long")
+    dealt = links.withColumn("k", k).withColumn("page_id", F.col("k") % F.col("n"))
+    nowhere = F.concat(F.lit("https://nowhere.example.org"), F.col("l"))
+    edges = dealt.join(pages.select("page_id", F.col("url").alias("to")), "page_id").select("url", "ordinal", F.when(F.col("k") % 7 == 6, nowhere).otherwise(F.col("to")).alias("target"))
+    seeds = pages.filter(F.col("url").endswith("#top")).select("url", F.col("page_id").alias("ordinal"))
+    return frontier.crawl(edges, pages, seeds, max_depth=CRAWL_DEPTH, per_host=CRAWL_PER_HOST, total=CRAWL_TOTAL)
+
+
 def _page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_source.documents(samples.pages(spark, sf_dir))
 

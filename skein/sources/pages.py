@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.operators.detectors import Text, module_references
+from skein.sources import frontier
 
 # What marks script elements and links in HTML.
 SCRIPT = r"(?is)<script([^>]*)>(.*?)</script\s*>"
@@ -119,16 +120,17 @@ def soft_404(content: Column) -> Column:
     return low.contains("<html") | low.contains("<!doctype")
 
 
-def followed(scripts: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
+def script_links(scripts: DataFrame) -> DataFrame:
+    """url, ordinal, target: what scripts (url, content) refer to, in order;
+    queries and fragments do not tell scripts apart."""
+    refs = scripts.select("url", F.posexplode(module_references(Text(F.col("content"), F.lower("content")))).alias("ordinal", "ref"))
+    return refs.select("url", "ordinal", F.regexp_replace(resolve(F.col("url"), F.col("ref")), r"[?#].*$", "").alias("target"))
+
+
+def followed(scripts: DataFrame, seeds: DataFrame, max_depth: int = 5, max_files: int = 1000) -> DataFrame:
     """url, depth of the scripts (url, content) that references reach from
-    `seeds` (url) in at most `max_depth` steps: one join a level, each level
-    without what earlier ones reached."""
-    refs = scripts.select("url", F.explode(module_references(Text(F.col("content"), F.lower("content")))).alias("ref"))
-    edges = refs.select(F.col("url").alias("from"), resolve(F.col("url"), F.col("ref")).alias("to")).join(scripts.select(F.col("url").alias("to")), "to", "left_semi").distinct()
-    level = seeds.select("url").distinct().join(scripts.select("url"), "url", "left_semi").withColumn("depth", F.lit(0))
-    reached = level
-    for depth in range(1, max_depth + 1):
-        level = edges.join(level.select(F.col("url").alias("from")), "from").select(F.col("to").alias("url")).distinct()
-        level = level.join(reached.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
-        reached = reached.unionByName(level)
-    return reached
+    `seeds` (url) in at most `max_depth` steps, in order of arrival up to
+    `max_files` (frontier.crawl, which also tells what was left out and why)."""
+    started = seeds.select("url", F.lit(0).alias("ordinal"))
+    met = frontier.crawl(script_links(scripts), scripts, started, max_depth=max_depth, per_host=max_files, total=max_files)
+    return met.filter(F.col("outcome") == frontier.VISITED).select("url", "depth")

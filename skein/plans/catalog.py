@@ -12,7 +12,7 @@ from skein.functions import patterns as P
 from skein.functions import policy
 from skein.functions import text as X
 from skein.functions import vocab
-from skein.operators import dependencies, detectors, findings, history, offsets, report, requests, risk, runtime, scripts, surface, taint
+from skein.operators import attribution, dependencies, detectors, findings, history, offsets, report, requests, risk, runtime, scripts, surface, taint
 from skein.plans import samples, snippets
 from skein.sinks import exports
 from skein.sources import documents as docs_source
@@ -691,6 +691,52 @@ def runtime_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runtime.findings(counted).select("scan_id", "id", "status")
 
 
+def _log_payload(kind: str = "event_type", key: str = "event_id") -> str:
+    """A browser log's JSON for an event, in SQL that both engines read: our own
+    fixed mapping. Stacks have up to four parents under either name."""
+    text = lambda n: f"CAST({n} AS VARCHAR(20))"
+    method = f"CASE WHEN {key} % 3 = 0 THEN 'POST' ELSE 'GET' END"
+    head = f"""'{{"method": "' || {method} || '", "url": "https://api' || {text('user_id % 5')} || '.example.com/v' || {text(key + ' % 9')} || '"'"""
+    frame = lambda n: f"""'{{"callFrames": [{{"url": "https://cdn.example.com/s' || {text(n)} || '.js"}}, {{"url": ""}}, {{"line": 1}}]'"""
+    stack = f"{frame(key + ' % 4')} || '}}'"
+    for depth, name in ((3, "parentStack"), (2, "parent"), (1, "parentStack"), (0, "parent")):
+        onward = f"""CASE WHEN {key} % 5 > {depth} THEN {"', " + '"parent": {}' + "' || " if name == "parentStack" else ""}', "{name}": ' || {stack} ELSE '' END"""
+        stack = f"{frame(f'({key} + user_id + {depth}) % 11')} || {onward} || '}}'"
+    own = f"""CASE WHEN {key} % 2 = 0 THEN '"url": "https://app.example.com/p' || {text(key + ' % 6')} || '", ' ELSE '' END"""
+    return f"""{head} || CASE {kind} WHEN 'view' THEN ', "resource_type": "xhr", "n": ' || {text(key + ' % 50')} WHEN 'click' THEN ', "status": ' || {text('200 + ' + key + ' % 5')}
+      WHEN 'error' THEN ', "status": null, "failed": "yes"' WHEN 'purchase' THEN ', "initiator": {{' || {own} || '"stack": ' || {stack} || '}}' ELSE ', "resource_type": "fetch"' END || '}}'"""
+
+
+_LOG_KIND = "CASE event_type WHEN 'view' THEN 'request' WHEN 'signup' THEN 'request' WHEN 'purchase' THEN 'initiator' ELSE 'response' END"
+
+
+def _attribution_sql() -> str:
+    stacks = ["payload->'$.initiator.stack'"]
+    for _ in range(4):
+        stacks.append(f"coalesce(nullif(({stacks[-1]})->'$.parent', '{{}}'::JSON), ({stacks[-1]})->'$.parentStack')")
+    frames = ", ".join(f"coalesce(json_extract_string({s}, '$.callFrames[*].url'), [])" for s in stacks)
+    return f"""WITH log AS (SELECT extract(day FROM ts) AS scan_id, event_id AS ordinal, {_LOG_KIND} AS kind, CAST({_log_payload()} AS JSON) AS payload FROM events),
+  e AS (SELECT *, payload->>'$.method' AS method, payload->>'$.url' AS url FROM log),
+  s AS (SELECT scan_id, method, url, ordinal, flatten([[payload->>'$.initiator.url'], {frames}]) AS urls FROM e WHERE kind = 'initiator'),
+  i AS (SELECT scan_id, method, url, via, min((ordinal, pos)) AS at_ FROM (SELECT * EXCLUDE (urls), unnest(urls) AS via, unnest(range(len(urls))) AS pos FROM s) WHERE via <> '' GROUP BY ALL),
+  by8 AS (SELECT scan_id, method, url, string_agg(via, ' ' ORDER BY at_) AS initiated_by FROM (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY scan_id, method, url ORDER BY at_) <= 8) GROUP BY ALL),
+  g AS (SELECT scan_id, method, url, arg_max(payload, ordinal) FILTER (kind = 'request') AS a, arg_max(payload, ordinal) FILTER (kind = 'response') AS b,
+    min(ordinal) FILTER (kind = 'request') AS fa, min(ordinal) FILTER (kind = 'response') AS fb FROM e WHERE kind <> 'initiator' GROUP BY ALL),
+  p AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY fa IS NULL, coalesce(fa, fb)) AS place FROM g)
+  SELECT p.scan_id, place, p.method, p.url, CASE WHEN b IS NOT NULL THEN b->>'$.status' END AS status, CASE WHEN b IS NOT NULL THEN b->>'$.failed' END AS failed, a->>'$.resource_type' AS resource_type, a->>'$.n' AS n,
+    coalesce(initiated_by, '') AS initiated_by
+  FROM p LEFT JOIN by8 ON p.scan_id = by8.scan_id AND p.method = by8.method AND p.url = by8.url WHERE place <= 60"""
+
+
+@query(_attribution_sql())
+def request_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests, responses and initiators of a browser's log, merged."""
+    log = table(spark, sf_dir, "events").select(F.dayofmonth("ts").cast("long").alias("scan_id"), F.col("event_id").alias("ordinal"), F.expr(_LOG_KIND).alias("kind"), F.expr(_log_payload()).alias("payload"))
+    rows = attribution.merged_requests(log, limit=60)
+    fields = [F.col("fields")[k].alias(k) for k in ("status", "failed", "resource_type", "n")]
+    return rows.select("scan_id", F.col("place").cast("long").alias("place"), "method", "url", *fields, F.array_join("initiated_by", " ").alias("initiated_by"))
+
+
 # ---- progress ---------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from skein.functions import patterns as P
 from skein.functions import policy
 from skein.functions import text as X
 from skein.functions import vocab
-from skein.operators import attribution, dependencies, detectors, findings, history, offsets, report, requests, risk, runtime, scripts, surface, taint
+from skein.operators import analyzers, attribution, chunks, dependencies, detectors, findings, history, offsets, report, requests, risk, runtime, scripts, surface, taint
 from skein.plans import samples, snippets
 from skein.sinks import exports
 from skein.sources import documents as docs_source
@@ -551,6 +551,44 @@ def folded_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offsets.folded_literals(snippets.documents(spark, sf_dir)).select("doc_id", "target", "value", "line")
 
 
+_PATH = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', '')"
+_REFERENCES_SQL = f"""WITH page AS (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS plain, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, {_PATH} AS path, count(*) OVER () AS n FROM pages),
+  split AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS site, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM page),
+  ref AS (SELECT a.page_id, a.url, a.site, regexp_extract(a.url, '^[a-z]+://[^/]*', 0) AS origin,
+      CASE a.page_id % 4 WHEN 0 THEN b.url WHEN 1 THEN '/moved/' || array_to_string(b.parts, '/') WHEN 2 THEN '/v2/' || b.parts[-1] || '?v=1' ELSE '/lost/' || a.page_id || '.mjs' END AS ref
+    FROM split a JOIN split b ON b.page_id = (a.page_id * 7 + 3) % a.n),
+  at_ AS (SELECT *, regexp_replace(CASE WHEN ref LIKE 'http%' THEN ref ELSE origin || ref END, '[?#].*$', '') AS absolute,
+    CASE WHEN ref LIKE 'http%' THEN array_to_string(string_split(regexp_extract(ref, '^[a-z]+://([^/?#:]*)', 1), '.')[-2:], '.') ELSE site END AS ref_site,
+    list_filter(string_split(regexp_replace(regexp_replace(ref, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '/'), lambda x: x <> '') AS parts FROM ref),
+  ends AS (SELECT site, suffix, min(url) AS target FROM (SELECT url, site, unnest(list_transform(range(1, len(parts) + 1), lambda i: array_to_string(parts[-i:], '/'))) AS suffix FROM split) GROUP BY site, suffix),
+  mine AS (SELECT page_id, ref_site, unnest(range(1, len(parts) + 1)) AS k, unnest(list_transform(range(1, len(parts) + 1), lambda i: array_to_string(parts[-i:], '/'))) AS suffix FROM at_),
+  best AS (SELECT page_id, max(k) AS k, arg_max(target, k) AS target FROM mine JOIN ends ON ends.site = mine.ref_site AND ends.suffix = mine.suffix GROUP BY page_id),
+  exact AS (SELECT plain, min(url) AS target FROM page GROUP BY plain)
+  SELECT a.page_id, a.url, a.ref, coalesce(e.target, j.target, b.target) AS target,
+    CASE WHEN e.target IS NOT NULL THEN 'exact' WHEN j.target IS NOT NULL THEN 'extension' WHEN b.target IS NOT NULL THEN 'suffix' END AS via,
+    CASE WHEN e.target IS NULL AND j.target IS NULL THEN CAST(b.k AS INTEGER) END AS segments
+  FROM at_ a LEFT JOIN exact e ON e.plain = a.absolute LEFT JOIN exact j ON j.plain = a.absolute || '.js' LEFT JOIN best b USING (page_id)"""
+
+
+@query(_REFERENCES_SQL)
+def reference_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to pages by address, moved path and last segment, resolved by
+    address or by the longest shared end of a path on the same site."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    n = F.broadcast(pages.agg(F.count("*").alias("n")))
+    parts = F.filter(F.split(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^[a-z]+://[^/]*", ""), "/"), lambda p: p != "")
+    others = pages.select(F.col("page_id").alias("other"), F.col("url").alias("other_url"), parts.alias("parts"))
+    met = pages.crossJoin(n).withColumn("other", (F.col("page_id") * 7 + 3) % F.col("n")).join(others, "other")
+    key = F.col("page_id") % 4
+    ref = (
+        F.when(key == 0, F.col("other_url"))
+        .when(key == 1, F.concat(F.lit("/moved/"), F.array_join("parts", "/")))
+        .when(key == 2, F.concat(F.lit("/v2/"), F.element_at("parts", -1), F.lit("?v=1")))
+        .otherwise(F.concat(F.lit("/lost/"), F.col("page_id").cast("string"), F.lit(".mjs")))
+    )
+    return chunks.resolved_references(met.select("page_id", "url", ref.alias("ref")), pages)
+
+
 CRAWL_DEPTH, CRAWL_PER_HOST, CRAWL_TOTAL = 6, 3, 120
 
 
@@ -594,6 +632,21 @@ def page_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.crawl(edges, pages, seeds, max_depth=CRAWL_DEPTH, per_host=CRAWL_PER_HOST, total=CRAWL_TOTAL)
 
 
+def _line_length(text: str) -> list[int]:
+    """Characters a line break; fails where there is none."""
+    return [len(text) // text.count("\n")]
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) AS n FROM documents)
+  SELECT doc_id, 'line_length' AS analyzer, CASE WHEN n > 0 THEN CAST(len(t) // n AS VARCHAR) END AS value, CASE WHEN n = 0 THEN 'ZeroDivisionError' END AS error FROM d
+  UNION ALL SELECT doc_id, 'capitals', CAST(len(regexp_extract_all(t, '[A-Z]')) AS VARCHAR), NULL FROM d""")
+def analyzer_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two analyzers over all documents, one of which fails on some."""
+    plugins = {"line_length": _line_length, "capitals": lambda text: [sum("A" <= c <= "Z" for c in text)]}
+    rows = analyzers.analyzed(samples.texts(spark, sf_dir), plugins)
+    return rows.select("doc_id", "analyzer", "value", F.substring_index("error", ":", 1).alias("error"))
+
+
 def _page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_source.documents(samples.pages(spark, sf_dir))
 

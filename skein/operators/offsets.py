@@ -8,6 +8,7 @@ band join between tables.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -147,89 +148,29 @@ def crypto_material(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = [[dict(zip(("kind", "category", "value", "position"), r, strict=True)) for r in crypto_places(t.as_py() or "")] for t in batch.column(1)]
+            places = [[dict(zip(("kind", "category", "value", "position"), r, strict=True)) for r in judged_places(t.as_py() or "")] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(_PLACE))], ["doc_id", "places"])
 
     # Most texts hold nothing of the kind, and stay in the JVM.
     may = documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "content")
     may = may.filter(F.col("content").rlike("|".join(f"(?i:{p})" for p, _ in (*CRYPTO, *IVS))) | F.col("content").contains(KEY_MARKER))
     found = may.mapInArrow(run, "doc_id long, places array<struct<kind:string,category:string,value:string,position:long>>")
-    signals = F.transform(F.filter("places", lambda p: p["kind"] == "signal"), lambda p: p["position"])
-    held = found.select("doc_id", "places", signals.alias("signals"), F.exists("places", lambda p: p["kind"] == "marker").alias("marked"))
-    near = lambda p: F.col("marked") | F.exists("signals", lambda s: F.abs(s - p["position"]) <= KEY_REACH)
-    kept = F.filter("places", lambda p: F.when(p["kind"] == "key", near(p)).otherwise(p["kind"] != "marker"))
-    rows = held.select("doc_id", F.posexplode(kept).alias("ordinal", "p"))
+    rows = found.select("doc_id", F.posexplode("places").alias("ordinal", "p"))
     return rows.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "p.*")
 
 
-def crypto_confidence(material: DataFrame) -> DataFrame:
-    """doc_id, signals, keys, ivs, confidence: HIGH where a key and an IV stand
-    together with an operation, MEDIUM for a key or IV with any signal, LOW
-    for signals alone."""
-    n = lambda kind: F.count_if(F.col("kind") == kind)
-    counted = material.groupBy("doc_id").agg(n("signal").alias("signals"), n("key").alias("keys"), n("iv").alias("ivs"), F.count_if(F.col("category") == "operation").alias("operations"))
-    level = F.when((F.col("keys") > 0) & (F.col("ivs") > 0) & (F.col("operations") > 0), "HIGH").when((F.col("keys") + F.col("ivs") > 0) & (F.col("signals") > 0), "MEDIUM").otherwise("LOW")
-    return counted.select("doc_id", "signals", "keys", "ivs", level.alias("confidence"))
-
-
-_REQUESTS = [(kind, re.compile(p)) for kind, p in REQUESTS]
-_PATHS, _AUTH = re.compile(PATHS), re.compile(AUTH)
-
-
-def requests_of(text: str) -> list[Row]:
-    """(kind, endpoint, auth_required). A request needs credentials if they are
-    named in its own part of its statement: from the request before it, or the
-    statement's begin, to the next one, or the statement's end."""
-    found = [(m.start(), kind, m[1] if m.re.groups else "") for kind, p in _REQUESTS for m in p.finditer(text)] or [(m.start(), "path", m[0]) for m in _PATHS.finditer(text)]
-    if not found:
-        return []
-    spans = [(c.tokens[0].start, c.tokens[-1].end) for c in statements(tokens(text)) if c.tokens]
-    shown = found[:MOST_REQUESTS]
-    order = sorted(range(len(shown)), key=lambda i: shown[i][0])
-    starts = sorted({f[0] for f in found})
-    auth, k, before = {}, 0, 0
-    for i in order:
-        at = shown[i][0]
-        while k < len(spans) and spans[k][1] <= at:
-            k += 1
-        begin, end = spans[k] if k < len(spans) and spans[k][0] <= at else (at, len(text))
-        later = next((s for s in starts if s > at), len(text))
-        auth[i] = bool(_AUTH.search(text[max(begin, before) : min(end, later)]))
-        before = at
-    return [(kind, endpoint, auth[i]) for i, (_, kind, endpoint) in enumerate(shown)]
-
-
-def api_inventory(documents: DataFrame) -> DataFrame:
-    """doc_id, ordinal, kind, endpoint, auth_required: the first MOST_REQUESTS
-    of a document."""
-    return _per_document(documents, requests_of, {"kind": pa.string(), "endpoint": pa.string(), "auth_required": pa.bool_()}, "kind string, endpoint string, auth_required boolean")
-
-
-_FRAMEWORKS = [(id, name, severity, re.compile(p), ahead) for id, name, severity, p, ahead in FRAMEWORKS]
-
-
-def framework_places(text: str) -> list[Row]:
-    """(id, framework, severity, line, around) of every framework sink."""
-    line = Lines(text)
-    at = lambda m, name: max(0, m.start() - JQUERY_BACK) if name == "jQuery" else m.start()
-    return [(id, name, severity, line(at(m, name)), text[at(m, name) : m.start() + ahead]) for id, name, severity, p, ahead in _FRAMEWORKS for m in p.finditer(text)]
-
-
-def framework_findings(documents: DataFrame) -> DataFrame:
-    """Sinks of React, Angular, Vue and jQuery as findings; jQuery's only where
-    its chain stands around. What is cleaned on the spot is an observation."""
-    columns = {"id": pa.string(), "framework": pa.string(), "severity": pa.string(), "line": pa.int32(), "around": pa.string()}
-    found = _per_document(documents, framework_places, columns, "id string, framework string, severity string, line int, around string")
-    found = found.filter((F.col("framework") != "jQuery") | F.col("around").rlike(JQUERY))
-    clean, title = F.col("around").rlike(CLEANED), F.lit(None).cast("string")
-    for name, words in FRAMEWORK_TITLES.items():
-        title = F.when(F.col("framework") == name, words).otherwise(title)
-    return found.select(
-        "doc_id", "ordinal", "id", "framework", "severity", F.lit("medium").alias("confidence"),
-        F.when(clean, "informational").otherwise("needs_review").alias("status"), "line", F.substring("around", 1, 120).alias("sink"),
-        F.substring("around", 1, 240).alias("evidence"), clean.alias("sanitization_detected"), clean.alias("observation"),
-        F.lit("framework_pattern").alias("evidence_type"), title.alias("title"), F.array(F.lit(FRAMEWORK_LIMIT)).alias("limitations"), F.lit("pattern").alias("analysis_quality"),
-    )
+def within(sorted_places: Sequence[int], at: int, reach: int) -> bool:
+    """Whether some place is at most `reach` away: one binary search."""
+    i = bisect_left(sorted_places, at - reach)
+    return i < len(sorted_places) and sorted_places[i] <= at + reach
+
+
+def judged_places(text: str) -> list[Row]:
+    """crypto_places without literals that are no keys, and without the marker."""
+    places = crypto_places(text)
+    marked = any(p[0] == "marker" for p in places)
+    signals = sorted(p[3] for p in places if p[0] == "signal")
+    return [p for p in places if p[0] != "marker" and (p[0] != "key" or marked or within(signals, p[3], KEY_REACH))]
 
 
 SHORTEST, MOST_FOLDED = 8, 200

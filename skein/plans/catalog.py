@@ -12,7 +12,7 @@ from skein.functions import patterns as P
 from skein.functions import policy
 from skein.functions import text as X
 from skein.functions import vocab
-from skein.operators import analyzers, attribution, chunks, dependencies, detectors, findings, history, offsets, report, requests, risk, runtime, scripts, surface, taint
+from skein.operators import analyzers, attribution, chunks, crypto_context, dependencies, detectors, findings, history, offsets, report, requests, risk, runtime, scripts, surface, taint
 from skein.plans import samples, snippets
 from skein.sinks import exports
 from skein.sources import documents as docs_source
@@ -632,6 +632,52 @@ def page_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.crawl(edges, pages, seeds, max_depth=CRAWL_DEPTH, per_host=CRAWL_PER_HOST, total=CRAWL_TOTAL)
 
 
+#: A script for every part, in SQL that both engines read: names, literals,
+#: paths and the length of what stands between them differ from row to row.
+_SCRIPT = """'import { Enc' || CAST(p_partkey % 7 AS VARCHAR(9)) || ' as e' || CAST(p_partkey % 5 AS VARCHAR(9)) || ', Other } from "./lib/chunk-C' || CAST(p_partkey * 31 % 1000 AS VARCHAR(9)) || '.js";' || chr(10)
+  || 'import { Util } from "./chunk-U' || CAST(p_partkey % 9 AS VARCHAR(9)) || '.js";' || chr(10) || repeat('// ' || p_name || chr(10), CAST(p_partkey % 13 AS INT))
+  || 'function seal' || CAST(p_partkey AS VARCHAR(9)) || '(v) {' || chr(10) || '  const salt = "' || p_name || '";' || chr(10) || '  return CryptoJS.AES.encrypt(v, salt);' || chr(10) || '}' || chr(10)
+  || repeat('// ' || p_name || chr(10), CAST(p_partkey % 37 AS INT)) || 'this.svc = e' || CAST(p_partkey % 5 AS VARCHAR(9)) || ';' || chr(10) || 'this.svc.decryptData(x' || CAST(p_partkey AS VARCHAR(9)) || ');' || chr(10)
+  || CASE WHEN p_partkey % 3 = 0 THEN repeat(' ', CAST(p_partkey % 600 AS INT)) || 'const h = SHA256(q);' ELSE '' END"""
+
+
+def _part_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("doc_id"), F.expr(_SCRIPT).alias("content"))
+    return docs_source.spread(parts)
+
+
+#: First places of the signals of those scripts, and overlapping windows as islands.
+_CRYPTO_SQL = f"""WITH script AS (SELECT p_partkey AS doc_id, {_SCRIPT} AS code FROM part),
+  sig AS (SELECT doc_id, code, signal, category, rank, instr(code, signal) - 1 AS at_ FROM script, (VALUES ('CryptoJS', 'library', 0), ('encrypt(', 'operation', 1), ('decryptData(', 'operation', 1),
+    ('AES', 'algorithm', 2), ('SHA256', 'mode', 3), ('decryptData(', 'webcrypto', 4)) v(signal, category, rank) WHERE instr(code, signal) > 0),
+  span AS (SELECT *, greatest(at_ - 220, 0) AS b, least(at_ + 220, len(code)) AS e FROM sig),
+  opened AS (SELECT *, CAST(coalesce(b > max(e) OVER (PARTITION BY doc_id ORDER BY b, rank, at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS INT) AS opens FROM span),
+  island AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY b, rank, at_ ROWS UNBOUNDED PRECEDING) AS island FROM opened)"""
+
+
+@query(_CRYPTO_SQL + """ SELECT doc_id, CAST(island AS BIGINT) AS island, min(b) AS start, max(e) AS "end", string_agg(signal, ' ' ORDER BY at_, rank) AS signals, md5(substr(any_value(code), min(b) + 1, max(e) - min(b))) AS text_md5
+  FROM island GROUP BY doc_id, island""")
+def crypto_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged contexts of crypto signals in scripts made from all parts."""
+    found = crypto_context.contexts(crypto_context.facts(_part_scripts(spark, sf_dir)))
+    return found.select("doc_id", "island", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.array_join("signals", " ").alias("signals"), F.md5("text").alias("text_md5"))
+
+
+@query(_CRYPTO_SQL + """ SELECT doc_id, signal, category, at_ AS "at", CAST(island AS BIGINT) AS island,
+    CASE WHEN at_ >= instr(code, 'seal') - 1 AND at_ < instr(code, 'seal') + 399 THEN 'seal' || doc_id END AS function FROM island""")
+def crypto_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals with their context and the function that holds them."""
+    found = crypto_context.flows(crypto_context.facts(_part_scripts(spark, sf_dir)))
+    return found.select("doc_id", "signal", "category", F.col("at").cast("long").alias("at"), "island", "function")
+
+
+@query(f"""WITH script AS (SELECT p_partkey AS doc_id, {_SCRIPT} AS code FROM part)
+  SELECT doc_id, nth, regexp_extract_all(code, 'chunk-[A-Za-z0-9]+[.]js')[nth] AS chunk, CASE nth WHEN 1 THEN 'service' ELSE 'import' END AS why FROM script, (VALUES (1), (2)) v(nth)""")
+def crypto_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk files that crypto services and imports name."""
+    return crypto_context.targets(crypto_context.facts(_part_scripts(spark, sf_dir)))
+
+
 def _line_length(text: str) -> list[int]:
     """Characters a line break; fails where there is none."""
     return [len(text) // text.count("\n")]

@@ -159,3 +159,35 @@ def test_watch_on_the_command_line_shows_differences(spark, tmp_path, capsys, mo
     first, second, third = said.split("cycle ")[1:]
     assert "+ new" in first and "x no longer detected" in second and "+ new" not in second and "x no" not in third
     assert cli.main([str(tmp_path / "nowhere")]) == 2
+
+
+def test_running_jobs_are_observed(spark):
+    import threading
+    import time
+
+    from skein.streaming.observe import observed
+
+    def slow(rows):
+        for b in rows:
+            time.sleep(0.4)
+            yield b
+
+    work = spark.range(0, 4000, 1, 24).mapInArrow(slow, "id long")
+    with observed(spark, "steps", 0.1) as seen:
+        assert work.groupBy().count().first()["count"] == 4000
+    kinds = [e[3] for e in seen.events]
+    assert kinds[:2] == ["submit", "start"] and kinds[-1] == "finish" and kinds.count("progress") > 1
+    states = [(r["state"], r["percent"]) for r in tracking.job_table(seen.event_table(spark)).orderBy("seq").collect()]
+    assert states[-1] == ("done", 100.0) and any(0 < p < 100 for _, p in states)
+    assert seen.stage_table(spark).filter("done > 0").count()
+
+    with observed(spark, "stopped", 0.1) as seen:
+        threading.Timer(1.5, seen.cancel).start()
+        spark.range(0, 4000, 1, 400).mapInArrow(slow, "id long").groupBy().count().first()
+        raise AssertionError("was not stopped")
+    assert seen.canceled and [e[3] for e in seen.events][-1] == "finish"
+    assert tracking.job_table(seen.event_table(spark)).orderBy("seq").collect()[-1]["state"] == "canceled"
+
+    with pytest.raises(ZeroDivisionError), observed(spark, "failing", 0.1) as seen:
+        1 / 0  # noqa: B018
+    assert [e[3] for e in seen.events] == ["submit", "start", "fail"]

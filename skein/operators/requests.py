@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.script_text import Constants, Lines, Token, closing, split, tokens
+from skein.operators.script_text import Constants, Lines, Token, closing, split, tokens, unquoted
 
 # Calls by name, with their kind and method; methods of axios and jQuery; names of header fields with credentials.
-CALLS = {"fetch": ("endpoint", "GET"), "sendBeacon": ("beacon", "POST"), "WebSocket": ("websocket", ""), "EventSource": ("sse", "GET"), "axios": ("endpoint", "GET")}
+CALLS = {"fetch": ("endpoint", "GET"), "sendBeacon": ("beacon", "POST"), "WebSocket": ("websocket", ""), "EventSource": ("sse", "GET"), "axios": ("endpoint", "GET"), "open": ("xhr", "GET")}
 METHODS = ("get", "post", "put", "patch", "delete", "head", "options")
 AUTH = re.compile(r"(?i)authorization|bearer|auth|token|api[-_]?key|credentials|cookie|session")
 _BODY = ("body", "data", "json")
@@ -50,27 +50,36 @@ def requests_of(text: str) -> list[tuple]:
             continue
         kind, method = CALLS[t.text]
         at = i + 1
-        if t.text == "axios" and toks[at].text == "." and at + 1 < len(toks) and toks[at + 1].text.lower() in METHODS:
+        short = t.text == "axios" and toks[at].text == "." and at + 1 < len(toks) and toks[at + 1].text.lower() in METHODS
+        if short:
             method, at = toks[at + 1].text.upper(), at + 2
         if at >= len(toks) or toks[at].text != "(":
             continue
         arguments = split(toks[at + 1 : closing(toks, at)], ",")
         options = _fields(arguments[0]) if arguments[0] and arguments[0][0].text == "{" else {}
         where = arguments[0]
-        for more in arguments[1:]:
+        # axios.post(address, body, options): the body's fields are no options.
+        with_body = short and method in ("POST", "PUT", "PATCH")
+        for more in arguments[2 if with_body else 1 :]:
             options |= _fields(more)
+        if t.text == "open":
+            if not (i and toks[i - 1].text == "." and len(arguments) > 1 and arguments[0] and (verb := unquoted(arguments[0][0].text) or "").lower() in METHODS):
+                continue
+            method, where, options = verb.upper(), arguments[1], {}
         if where and where[0].text == "{":
             where = options.get("url", [])
         if not where:
             continue
         url, _, _ = constants.sum(toks.index(where[0], at))
+        if url is None and where[0].text[0] == "`" and len(where) == 1:
+            url = where[0].text.strip("`")  # parts that are filled in stay as they are written
         if not url or kind == "endpoint" and not _URL_LIKE.match(url):
             continue
         if options.get("method") and options["method"][0].kind == "text":
             method = options["method"][0].text.strip("\"'`").upper()
         headers = sorted(_fields(options.get("headers", [])))
-        posts = t.text == "sendBeacon" or t.text == "axios" and method in ("POST", "PUT", "PATCH")
-        body = next((options[k] for k in _BODY if k in options), arguments[1] if posts and len(arguments) > 1 else [])
+        posts = t.text == "sendBeacon" or with_body
+        body = arguments[1] if posts and len(arguments) > 1 else next((options[k] for k in _BODY if k in options), [])
         query = url.split("#")[0].partition("?")[2]
         parameters = sorted({p.split("=")[0] for p in query.split("&") if p.split("=")[0]})
         auth = any(AUTH.search(h) for h in headers) or "include" in "".join(x.text for x in options.get("credentials", [])) or any(AUTH.search(p) for p in parameters)

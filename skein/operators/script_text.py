@@ -20,10 +20,14 @@ _TOKEN = re.compile(
     |(?P<sign>=>|[=!]==?|[+\-*/%&|^]=|\+\+|--|&&|\|\||\?\?|\?\.|.)""",
     re.X | re.S,
 )
+_REGEX = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*")
+#: After these words a slash begins a regular expression, as after any sign
+#: that does not end a value.
+_REGEX_AHEAD = frozenset("return typeof case in of delete void throw new else do instanceof yield await".split())
 _ESCAPE = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|(.))", re.S)
 _PLAIN_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\n": ""}
 #: After these a brace opens a value; after anything else, a block.
-_VALUE_AHEAD = frozenset("= ( , : [ return ? && || ?? + += !".split())
+_VALUE_AHEAD = frozenset("= ( , : [ return ? && || ?? + += ! const let var".split())
 #: A line that ends or begins with these goes on.
 _OPEN_END = frozenset("= ( , : [ ? . && || ?? + - * / % < > += -= => ! & |".split())
 _OPEN_START = frozenset(". , ? : + * / % = && || ?? => ) ] ?.".split())
@@ -42,14 +46,29 @@ class Token(NamedTuple):
         return self.start + len(self.text)
 
 
+def _opens_regex(before: Token | None) -> bool:
+    if before is None:
+        return True
+    if before.kind == "name":
+        return before.text in _REGEX_AHEAD
+    return before.kind == "sign" and before.text not in (")", "]", "}", "++", "--")
+
+
 def tokens(source: str) -> list[Token]:
-    out, broken = [], False
-    for m in _TOKEN.finditer(source):
+    """Tokens in order; kinds are text, name, number, sign and regex. What
+    quotes inside of a regular expression hold is no text."""
+    out: list[Token] = []
+    broken, at = False, 0
+    while m := _TOKEN.match(source, at):
         if m.lastgroup == "skip":
             broken = broken or "\n" in m[0]
         else:
-            out.append(Token(m.lastgroup, m[0], m.start(), broken))
+            kind = m.lastgroup
+            if kind == "sign" and m[0][0] == "/" and _opens_regex(out[-1] if out else None) and (literal := _REGEX.match(source, at)):
+                m, kind = literal, "regex"
+            out.append(Token(kind, m[0], m.start(), broken))
             broken = False
+        at = m.end()
     return out
 
 

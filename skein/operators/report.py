@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from skein.functions import policy
 from skein.operators import findings as findings_
-from skein.operators import risk
+from skein.operators import model, risk
+from skein.operators.detectors import DETECTORS
 
 #: What to do, by the findings that ask for it, in our words.
 STEPS = (
@@ -133,9 +134,21 @@ def executive(findings: DataFrame, score: int, label: str, files: int) -> dict:
     return {"label": label, "words": f"{words}; rated {label} ({score}/100).", "findings": first, "first_steps": steps}
 
 
+#: Files that a dashboard shows.
+FILES = 50
+
+
+def file_rows(documents: DataFrame, finds: DataFrame, limit: int = FILES) -> DataFrame:
+    """name, n, lists: what the detectors found in each document, by detector,
+    the documents with most finds first."""
+    found = model.file_diagnostics(finds, ["doc_id"], "detector", "value", "ordinal", sorted(DETECTORS))
+    most = found.select("doc_id", "n", "lists").orderBy(F.desc("n"), "doc_id").limit(limit)
+    return most.join(documents.select("doc_id", "name"), "doc_id").orderBy(F.desc("n"), "doc_id").select("name", "n", "lists")
+
+
 def dashboard(spark: SparkSession, documents: DataFrame, findings: DataFrame, finds: DataFrame, limit: int = 6) -> dict:
     """The payload of a dashboard: score with reasons, priorities, totals,
-    mixes, reliability and summary of one scan. Findings carry `file`."""
+    mixes, files, reliability and summary of one scan. Findings carry `file`."""
     one = findings_.normalize(findings).withColumn("scan_id", F.lit(1))
     score = next(iter(risk.overall(one, ["scan_id"]).collect()), None)
     row = score.asDict(recursive=True) if score else {}
@@ -148,6 +161,7 @@ def dashboard(spark: SparkSession, documents: DataFrame, findings: DataFrame, fi
         "categories": {r["category"]: {"n": r["n"], "severity": r["severity"]} for r in category_totals(finds).collect()},
         "severities": {r["severity"]: r["n"] for r in mix(findings, "severity").collect()},
         "confidence": confidence,
+        "files": [r.asDict() for r in file_rows(documents, finds).collect()],
         "summary": summary,
         "reliability": reliability(summary, confidence),
         "executive": executive(one, total["score"], total["label"], summary["analyzed"]),

@@ -12,7 +12,8 @@ from skein.functions import patterns as P
 from skein.functions import policy
 from skein.functions import text as X
 from skein.functions import vocab
-from skein.operators import analyzers, attribution, chunks, crypto_context, dependencies, detectors, findings, history, offsets, report, requests, risk, runtime, scripts, surface, taint
+from skein.functions.vocab import SEVERITIES
+from skein.operators import analyzers, attribution, chunks, crypto_context, dependencies, detectors, findings, history, model, offsets, report, requests, risk, runtime, scripts, surface, taint
 from skein.plans import samples, snippets
 from skein.sinks import exports
 from skein.sources import documents as docs_source
@@ -1015,6 +1016,54 @@ def job_estimate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _job_rows(spark.read.schema(tracking.ROWS).parquet(path))
 
 
+_KINDS = ("click", "error", "purchase", "signup", "view")
+_N_KINDS = ", ".join(f"count(*) FILTER (id = '{k}') AS n_{k}" for k in _KINDS)
+
+
+@query(f"""WITH raw AS ({samples.FINDINGS_SQL}), v AS (SELECT scan_id, file, id, trim(sink || ' ' || line) AS value, min(ordinal) AS at_ FROM raw GROUP BY ALL),
+  f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY scan_id, file, id ORDER BY at_, value) <= 8),
+  l AS (SELECT scan_id, file, id, string_agg(value, '|' ORDER BY at_, value) AS listed FROM f GROUP BY ALL),
+  m AS (SELECT scan_id, file, string_agg(id || '=' || listed, ';' ORDER BY id) AS lists FROM l GROUP BY ALL)
+  SELECT scan_id, file, count(*) AS n, {_N_KINDS}, any_value(lists) AS lists FROM raw JOIN m USING (scan_id, file) GROUP BY scan_id, file""")
+def file_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and first values by kind for every file of every scan."""
+    rows = samples.findings(spark, sf_dir).withColumn("value", F.concat_ws(" ", "sink", F.col("line").cast("string")))
+    found = model.file_diagnostics(rows, ["scan_id", "file"], "id", "value", "ordinal", _KINDS)
+    entries = F.transform(F.map_entries("lists"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|")))
+    return found.withColumn("lists", F.array_join(F.array_sort(entries), ";"))
+
+
+@query(f"""WITH raw AS ({samples.FINDINGS_SQL}) SELECT id, count(*) AS n, {', '.join(f"count(*) FILTER (severity = '{x}') AS n_{x}" for x in SEVERITIES)},
+  CASE max(CASE severity WHEN 'INFO' THEN 0 WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END) WHEN 0 THEN 'INFO' WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'HIGH' ELSE 'CRITICAL' END AS worst
+  FROM raw GROUP BY id""")
+def severity_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.severity_table(samples.findings(spark, sf_dir), ["id"])
+
+
+@query(f"""WITH raw AS ({samples.FINDINGS_SQL}), c AS (SELECT file, source, severity, count(*) AS n FROM raw GROUP BY ALL),
+  g AS (SELECT file, source, CAST(sum(n) AS BIGINT) AS findings, string_agg(severity || ':' || n, ',' ORDER BY severity) AS severities FROM c GROUP BY ALL),
+  o AS (SELECT 'user' || user_id % 20 AS file, 'source' || event_id % 5 AS source, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes FROM events GROUP BY ALL)
+  SELECT o.file AS doc_id, o.source, bytes, coalesce(findings, 0) AS findings, coalesce(severities, '') AS severities FROM o LEFT JOIN g ON o.file = g.file AND o.source = g.source""")
+def source_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by severity of every original source, also of those without."""
+    e = table(spark, sf_dir, "events")
+    named = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    originals = e.select(named("user", F.col("user_id") % 20).alias("doc_id"), named("source", F.col("event_id") % 5).alias("source"), F.col("props").alias("content"))
+    found = model.source_rollup(originals, samples.findings(spark, sf_dir).withColumnRenamed("file", "doc_id"))
+    pairs = F.transform(F.map_entries("severities"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string")))
+    return found.withColumn("severities", F.array_join(F.array_sort(pairs), ","))
+
+
+@query("""WITH b AS (SELECT min(epoch_us(ts) // 900000000) AS a, max(epoch_us(ts) // 900000000) AS z FROM events), k AS (SELECT DISTINCT event_type FROM events),
+  g AS (SELECT unnest(range(a, z + 1)) AS bucket FROM b), c AS (SELECT epoch_us(ts) // 900000000 AS bucket, event_type, count(*) AS n, sum(CAST(floor(value) AS BIGINT)) AS total FROM events GROUP BY ALL)
+  SELECT make_timestamp(g.bucket * 900000000) AS start, k.event_type, coalesce(n, 0) AS n, CAST(coalesce(total, 0) AS BIGINT) AS total
+  FROM g CROSS JOIN k LEFT JOIN c ON c.bucket = g.bucket AND c.event_type = k.event_type""")
+def quarter_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by kind in quarters of an hour, those without events included."""
+    found = model.timeline(table(spark, sf_dir, "events"), "ts", 900, "event_type", _KINDS, F.floor("value").cast("long"))
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")

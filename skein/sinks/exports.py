@@ -171,6 +171,7 @@ def text_report(model: dict) -> str:
         "CATEGORIES": listed([f"{k}: {v['n']} ({v['severity']})" for k, v in sorted(model["categories"].items())], "none"),
         "SEVERITIES": listed([f"{k}: {n}" for k, n in sorted(model["severities"].items())], "none"),
         "CONFIDENCE": listed([f"{k}: {n}" for k, n in sorted(model["confidence"].items(), key=lambda x: (-x[1], x[0]))], "none"),
+        "FILES": listed([f"{f['name']}: {f['n']} finds; {', '.join(f'{k} ({len(v)})' for k, v in sorted(f['lists'].items()))}" for f in model.get("files") or []], "none"),
         "RELIABILITY": listed([f"{k}: {v}" for k, v in model["reliability"]], "unknown"),
         "SCAN": listed([f"{k}: {v}" for k, v in model["summary"].items()], "unknown"),
     }

@@ -679,6 +679,54 @@ def crypto_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crypto_context.targets(crypto_context.facts(_part_scripts(spark, sf_dir)))
 
 
+def _keyed(n: str = "p_partkey") -> str:
+    return f"CAST({n} AS VARCHAR(9))"
+
+
+#: Scripts for every part with one way from a source to a sink, or none, whose
+#: names, distance and lines differ from row to row: the last line holds the sink.
+_FLOW_SCRIPT = f"""repeat('// ' || p_name || ' location.hash' || chr(10), CAST(p_partkey % 17 AS INT)) || CASE p_partkey % 6
+  WHEN 0 THEN 'var v' || {_keyed()} || ' = location.search;' || chr(10) || repeat('var q = "' || p_name || '";' || chr(10), CAST(p_partkey % 11 AS INT)) || 'el.innerHTML = v' || {_keyed()} || ';'
+  WHEN 1 THEN 'const {{hash: h' || {_keyed()} || '}} = location;' || chr(10) || 'el.innerHTML = h' || {_keyed()} || ';'
+  WHEN 2 THEN 'var r = /["' || chr(39) || ']/;' || chr(10) || 'el.innerHTML = location.hash;'
+  WHEN 3 THEN 'var n = 1;' || chr(10) || 'el.innerHTML = location.hash.length;'
+  WHEN 4 THEN 'function show' || {_keyed()} || '(a) {{ return a; }}' || chr(10) || 'var w = document.cookie; el.innerHTML = w;'
+  ELSE 'var t = "el.innerHTML = location.hash";' || chr(10) || 'el.textContent = t;' END"""
+
+
+@query(f"""WITH script AS (SELECT p_partkey AS doc_id, {_FLOW_SCRIPT} AS code FROM part)
+  SELECT doc_id, 'dom_injection' AS id, 'HIGH' AS severity, CASE doc_id % 6 WHEN 0 THEN 'URL query string' WHEN 4 THEN 'document.cookie' ELSE 'URL fragment' END AS source,
+    CASE WHEN doc_id % 6 = 2 THEN 'open' ELSE 'needs_review' END AS status, CAST(len(code) - len(replace(code, chr(10), '')) + 1 AS INTEGER) AS line
+  FROM script WHERE doc_id % 6 IN (0, 1, 2, 4)""")
+def varied_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows in scripts made from all parts: aliases, destructuring, regular
+    expressions with quotes, counts, and text that only looks like a flow."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("doc_id"), F.expr(_FLOW_SCRIPT).alias("content"))
+    return taint.flows(docs_source.spread(parts)).select("doc_id", "id", "severity", "source", "status", "line")
+
+
+#: Request calls for every part: addresses, fields and lines differ.
+_CALL_SCRIPT = f"""repeat('// ' || p_name || chr(10), CAST(p_partkey % 9 AS INT)) || CASE p_partkey % 5
+  WHEN 0 THEN 'axios.post("/api/p' || {_keyed()} || '", {{f' || {_keyed('p_partkey % 7')} || ': 1, headers: 2}}, {{headers: {{"X-Token": t}}}});'
+  WHEN 1 THEN 'fetch(`/v1/$' || '{{id}}/x' || {_keyed()} || '?k' || {_keyed('p_partkey % 3')} || '=1`);'
+  WHEN 2 THEN 'var x = new XMLHttpRequest(); x.open("PUT", "/save/' || {_keyed()} || '");'
+  WHEN 3 THEN 'const base = "/b' || {_keyed()} || '";' || chr(10) || 'fetch(base + "/list", {{method: "DELETE", credentials: "include"}});'
+  ELSE 'window.open("/page/' || {_keyed()} || '");' END"""
+
+
+@query(f"""WITH script AS (SELECT p_partkey AS doc_id, {_CALL_SCRIPT} AS code FROM part)
+  SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN 'xhr' ELSE 'endpoint' END AS kind, ['POST', 'GET', 'PUT', 'DELETE'][doc_id % 5 + 1] AS method,
+    CASE doc_id % 5 WHEN 0 THEN '/api/p' || doc_id WHEN 1 THEN '/v1/${{id}}/x' || doc_id || '?k' || doc_id % 3 || '=1' WHEN 2 THEN '/save/' || doc_id ELSE '/b' || doc_id || '/list' END AS url,
+    CASE WHEN doc_id % 5 = 1 THEN 'k' || doc_id % 3 ELSE '' END AS parameters, CASE WHEN doc_id % 5 = 0 THEN 'X-Token' ELSE '' END AS headers,
+    CASE WHEN doc_id % 5 = 0 THEN 'f' || doc_id % 7 || ',headers' ELSE '' END AS body_fields, doc_id % 5 IN (0, 3) AS auth, CAST(len(code) - len(replace(code, chr(10), '')) + 1 AS INTEGER) AS line
+  FROM script WHERE doc_id % 5 < 4""")
+def varied_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request calls in scripts made from all parts."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("doc_id"), F.expr(_CALL_SCRIPT).alias("content"))
+    found = requests.attack_surface(docs_source.spread(parts))
+    return found.select("doc_id", "kind", "method", "url", *[F.array_join(c, ",").alias(c) for c in ("parameters", "headers", "body_fields")], "auth", "line")
+
+
 def _line_length(text: str) -> list[int]:
     """Characters a line break; fails where there is none."""
     return [len(text) // text.count("\n")]

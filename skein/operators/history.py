@@ -22,18 +22,18 @@ def evidence_ends(evidence_list: Column) -> tuple[Column, Column]:
     return F.trim(F.substring_index(item, " -> ", 1)), F.trim(F.substring_index(item, " -> ", -1))
 
 
-def finding_rows(findings: DataFrame, scan_id: str = "scan_id", cap: int = 2000) -> DataFrame:
-    """The stored rows of a scan's findings, the first `cap` of each scan."""
+def finding_rows(findings: DataFrame, scan_id: str = "scan_id", cap: int | None = 2000) -> DataFrame:
+    """The stored rows of a scan's findings, the first `cap` of each scan; all,
+    and nothing sorted, where it is None."""
     label, sink = evidence_ends(F.coalesce("evidence_list", F.expr("cast(array() as array<string>)")))
     title = F.col("title") if "title" in findings.columns else F.lit(None).cast("string")
     rows = findings.withColumn("fingerprint", fingerprint(F.col("id"), F.col("file"), F.coalesce(sink, F.col("sink")), title, label))
-    nth = F.row_number().over(Window.partitionBy(scan_id).orderBy("ordinal"))
+    if cap is not None:
+        nth = F.row_number().over(Window.partitionBy(scan_id).orderBy("ordinal"))
+        rows = rows.withColumn("__nth", nth).filter(F.col("__nth") <= cap)
     shown = F.coalesce(F.nullif(title, F.lit("")), F.col("type"))
-    return (
-        rows.withColumn("__nth", nth)
-        .filter(F.col("__nth") <= cap)
-        .select(scan_id, "fingerprint", F.col("id").alias("finding_id"), "severity", "confidence", shown.alias("title"), "file", F.coalesce(sink, F.col("sink")).alias("detail"), "observation", "ordinal")
-    )
+    detail = F.coalesce(sink, F.col("sink")).alias("detail")
+    return rows.select(scan_id, "fingerprint", F.col("id").alias("finding_id"), "severity", "confidence", shown.alias("title"), "file", detail, "observation", "ordinal")
 
 
 def previous_scan(scans: DataFrame) -> DataFrame:
@@ -179,6 +179,12 @@ def upsert_triage(triage: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(newest)
 
 
+def clear_triage(triage: DataFrame, cleared: DataFrame) -> DataFrame:
+    """Decisions without those whose fingerprint is in `cleared`, trimmed."""
+    gone = cleared.select(F.trim("fingerprint").alias("fingerprint")).distinct()
+    return triage.join(gone, "fingerprint", "left_anti").select("fingerprint", "status", "note", "updated_at")
+
+
 def newest(scans: DataFrame, limit: int) -> DataFrame:
     return scans.orderBy(F.desc("scan_id")).limit(max(1, min(200, limit)))
 

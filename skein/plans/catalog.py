@@ -94,7 +94,7 @@ def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.finding_rows(_normalized(spark, sf_dir), cap=1 << 30)
+    return history.finding_rows(_normalized(spark, sf_dir), cap=None)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,8 +289,8 @@ def scan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM r LEFT JOIN known USING (fp) WHERE scan_id > 15""")
 def baseline_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     normalized = _normalized(spark, sf_dir)
-    baseline = history.finding_rows(normalized.filter("scan_id <= 15"), cap=1 << 30)
-    rows = history.finding_rows(normalized.filter("scan_id > 15"), cap=1 << 30)
+    baseline = history.finding_rows(normalized.filter("scan_id <= 15"), cap=None)
+    rows = history.finding_rows(normalized.filter("scan_id > 15"), cap=None)
     return history.against_baseline(rows, baseline).select("ordinal", "fingerprint", "state")
 
 
@@ -305,8 +305,8 @@ def severity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(NORMALIZED + f""", r AS (SELECT *, {FINGERPRINT} AS fp FROM tiered), t AS (SELECT fp, max(ordinal) AS o FROM r WHERE line % 7 = 0 GROUP BY fp)
   SELECT r.ordinal, r.fp AS triage_fp, CASE WHEN o IS NULL THEN NULL WHEN o % 2 = 0 THEN 'false_positive' ELSE 'open' END AS triage_status FROM r LEFT JOIN t USING (fp)""")
 def triage_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = history.finding_rows(_normalized(spark, sf_dir), cap=1 << 30)
-    changes = history.finding_rows(_normalized(spark, sf_dir).filter("line % 7 = 0"), cap=1 << 30).select(
+    rows = history.finding_rows(_normalized(spark, sf_dir), cap=None)
+    changes = history.finding_rows(_normalized(spark, sf_dir).filter("line % 7 = 0"), cap=None).select(
         "fingerprint", F.when(F.col("ordinal") % 2 == 0, "false_positive").otherwise("open").alias("status"), F.lit("").alias("note"), F.col("ordinal").alias("updated_at")
     )
     triage = history.upsert_triage(changes.limit(0), changes)

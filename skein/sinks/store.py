@@ -20,7 +20,9 @@ LARGEST_REPORT = 16_000_000
 
 class HistoryStore:
     """Scans and their finding rows under `path`. A scan is written as parts of
-    its own and deleted with them; scans of one store are recorded one by one."""
+    its own and deleted with them. Its number is claimed by creating a file,
+    which only one of several writers can; its row is written last, and rows of
+    scans without one, left by a writer that stopped, are not seen."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -39,7 +41,16 @@ class HistoryStore:
         return self._table("scans", SCANS)
 
     def rows(self) -> DataFrame:
-        return self._table("rows", ROWS)
+        """Rows of recorded scans."""
+        return self._table("rows", ROWS).join(self.scans().select("scan_id"), "scan_id", "left_semi")
+
+    def _claimed(self, last: int) -> int:
+        """The first number after `last` that no writer has taken."""
+        while True:
+            last += 1
+            fs, at = self._fs(f"{self.path}/claims/{last}")
+            if fs.createNewFile(at):
+                return last
 
     def record(self, findings: DataFrame, *, target: str, created_at: float, mode: str = "url", duration_ms: int | None = None, files: int = 0, size: int = 0, report: str = "", keep: int = 200) -> dict:
         """Writes a scan and its difference to the last one of its target, and
@@ -47,7 +58,7 @@ class HistoryStore:
         known = self.scans()
         last = known.agg(F.max("scan_id")).first()[0] or 0
         previous = known.filter(F.col("target") == target).agg(F.max("scan_id")).first()[0]
-        scan_id = last + 1
+        scan_id = self._claimed(last)
         mine = history.finding_rows(findings.withColumn("scan_id", F.lit(scan_id).cast("long")))
         mine.select(*[c.split()[0] for c in ROWS.split(", ")]).write.parquet(f"{self.path}/rows/scan_id={scan_id}")
         mine = self.spark.read.schema(ROWS).parquet(f"{self.path}/rows/scan_id={scan_id}")
@@ -66,7 +77,7 @@ class HistoryStore:
 
     def delete(self, scan_id: int) -> bool:
         gone = False
-        for name in ("rows", "scans"):
+        for name in ("scans", "rows"):
             fs, at = self._fs(f"{self.path}/{name}/scan_id={scan_id}")
             gone = bool(fs.delete(at, True)) or gone
         return gone

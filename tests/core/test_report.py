@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import policy
 from skein.functions import text as X
-from skein.operators import detectors, report, runtime, structure, taint
+from skein.operators import detectors, history, report, runtime, structure, taint
 from skein.sinks.store import HistoryStore
 from tests.core.test_detectors import docs
 
@@ -243,3 +243,29 @@ def test_batches_hooks_kinds_and_groups(spark):
     assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
     codes = spark.createDataFrame([([101, 118, 0x1F600],), ([0xD800],), ([],)], "c array<int>")
     assert [r[0] for r in codes.select(X.from_char_codes(codes.c)).collect()] == ["ev\U0001F600", None, ""]
+
+
+def test_writers_share_no_number_and_stopped_ones_leave_nothing(spark, tmp_path, monkeypatch):
+    store = HistoryStore(spark, str(tmp_path / "h"))
+    a = found(spark, ("dom_injection", "HIGH", "high", False, "a.js", 3))
+    other = HistoryStore(spark, store.path)
+    assert other._claimed(0) == 1  # another writer has begun, and not ended
+    assert store.record(a, target="t", created_at=1.0)["scan_id"] == 2
+    # A writer that stops between a scan's rows and its own row.
+    monkeypatch.setattr(history, "set_diff", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.record(a, target="t", created_at=2.0)
+    monkeypatch.undo()
+    assert store.rows().count() == 1 and store.scans().count() == 1
+    assert store.record(a, target="t", created_at=3.0) == {"scan_id": 4, "previous_id": 2, "new": 0, "resolved": 0, "unchanged": 1}
+
+
+def test_cleared_decisions_are_gone(spark):
+    triage = spark.createDataFrame([("a", "open", "n", 1.0), ("b", "false_positive", "", 2.0)], "fingerprint string, status string, note string, updated_at double")
+    cleared = spark.createDataFrame([(" b ",), ("zzz",), (None,)], "fingerprint string")
+    assert [tuple(r) for r in history.clear_triage(triage, cleared).collect()] == [("a", "open", "n", 1.0)]
+
+
+def test_uncapped_rows_are_all_rows(spark):
+    many = found(spark, *[("x", "LOW", "low", False, "a.js", i) for i in range(30)]).withColumn("scan_id", F.lit(1).cast("long"))
+    assert history.finding_rows(many, cap=None).count() == 30 and history.finding_rows(many, cap=7).count() == 7

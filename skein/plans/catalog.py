@@ -13,7 +13,7 @@ from skein.functions import policy
 from skein.functions import text as X
 from skein.functions import vocab
 from skein.functions.vocab import SEVERITIES
-from skein.operators import analyzers, attribution, chunks, crypto_context, dependencies, detectors, findings, history, model, offsets, report, requests, risk, runtime, scripts, surface, taint
+from skein.operators import analyzers, attribution, chunks, crypto_context, dependencies, detectors, findings, history, model, offsets, places, report, requests, risk, runtime, scripts, surface, taint
 from skein.plans import samples, snippets
 from skein.sinks import exports
 from skein.sources import documents as docs_source
@@ -727,6 +727,19 @@ def varied_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "kind", "method", "url", *[F.array_join(c, ",").alias(c) for c in ("parameters", "headers", "body_fields")], "auth", "line")
 
 
+_LINED = "[Tt]h[a-z]+"
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, string_split_regex(text, '{_LINED}') AS gaps, regexp_extract_all(text, '{_LINED}') AS finds FROM documents WHERE text IS NOT NULL),
+  g AS (SELECT doc_id, unnest(range(len(finds))) AS ordinal, unnest(finds) AS value, unnest(gaps[:len(finds)]) AS gap FROM t),
+  c AS (SELECT doc_id, ordinal, value, sum(len(gap)) OVER w + coalesce(sum(len(value)) OVER b, 0) AS place, sum(len(gap) - len(replace(gap, chr(10), ''))) OVER w + 1 AS line
+    FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT doc_id, ordinal, CAST(place AS BIGINT) AS place, CAST(line AS BIGINT) AS line, value FROM c""")
+def find_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every find of a pattern in all documents with its own place and line."""
+    return places.find_lines(samples.texts(spark, sf_dir), _LINED)
+
+
 def _line_length(text: str) -> list[int]:
     """Characters a line break; fails where there is none."""
     return [len(text) // text.count("\n")]

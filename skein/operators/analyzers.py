@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from skein.operators import offsets
+from skein.operators.batches import pieces
 
 #: An analyzer gives what it finds in a text, as anything JSON can hold.
 Analyzer = Callable[[str], Iterable[object]]
@@ -28,7 +29,7 @@ def analyzed(documents: DataFrame, analyzers: Mapping[str, Analyzer] = ANALYZERS
     texts are read as empty; repeated rows each give theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for name, analyze in analyzers.items():

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.batches import pieces
 from skein.operators.offsets import CRYPTO
 
 # Characters around a signal, of a function's beginning, of the
@@ -58,7 +59,7 @@ def facts(documents: DataFrame) -> DataFrame:
     without a signal or import never leave the JVM; null texts have no facts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [(d, i, *f) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for i, f in enumerate(facts_of(t.as_py()))]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             types = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]

@@ -23,10 +23,10 @@ def dependency_scan(documents: DataFrame, cap: int = 40) -> DataFrame:
     source once, as it is first seen; all within the document's row."""
     base, text = with_text(documents)
     entry = lambda source, how: F.struct(source.alias("source"), F.lit(how).alias("how"))
-    marked = [F.when(text.low.contains(k), entry(F.lit(k), "bundle marker")) for k, _, kind in P.PACKAGES if kind in ("framework", "library", "crypto")]
+    marked = [F.when(text.holds(k), entry(F.lit(k), "bundle marker")) for k, _, kind in P.PACKAGES if kind in ("framework", "library", "crypto")]
     hinted = []
     for k, hints in P.ALIASES:
-        seen = reduce(or_, [text.low.contains(h) for h in hints])
+        seen = reduce(or_, [text.holds(h) for h in hints])
         hinted.append(F.when(seen | text.content.rlike(P.JQUERY_CHAIN) if k == "jquery" else seen, entry(F.lit(k), "bundle alias")))
     every = F.concat(F.transform(imports(text), lambda s: entry(s, "import")), F.array_compact(F.array(*marked)), F.array_compact(F.array(*hinted)))
     rows = base.select("doc_id", every.alias("every"))

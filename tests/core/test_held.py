@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import patterns as P
 from skein.functions import text as X
-from skein.operators import detectors, held
+from skein.operators import detectors, held, offsets
 
 
 def test_held_words_are_those_that_stand_there(spark):
@@ -53,3 +53,14 @@ def test_detectors_find_the_same_as_plain_patterns(spark):
     patterns = sorted(detectors._fixed_patterns((P.SEARCHED, P.ENCODED, P.HIDDEN, P.LONG_RUNS)))
     checks = [F.when((text.has(p) != F.col("content").rlike(p)) | (text.all(p) != X.find_all(F.col("content"), p)), F.lit(p)) for p in patterns]
     assert base.select(F.explode(F.array_compact(F.array(*checks)))).collect() == []
+
+
+def test_sums_without_plus_signs_are_still_folded(spark):
+    documents = spark.createDataFrame([(1, 'k = Buffer.concat([Buffer.from("abcdefgh")])'), (2, 'k = "abcd" + "efgh"'), (3, "abcdefgh")], "doc_id long, content string")
+    assert sorted(r["doc_id"] for r in offsets.folded_literals(documents).collect()) == [1, 2]
+
+
+def test_signals_ask_the_same_pass(spark):
+    documents = spark.createDataFrame([(1, "a")], "doc_id long, content string")
+    plan = detectors.signals(documents)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(__held_low" in plan and "Contains(__low" not in plan and "Contains(content" in plan
